@@ -110,6 +110,11 @@ def purge_before(log: DataFrame, ts: str, cutoff) -> tuple[DataFrame, DataFrame]
 
     Like ``DELETE ... WHERE ts < cutoff``: a NULL stamp is never purged.
     """
-    c = F.lit(cutoff) if not isinstance(cutoff, Column) else cutoff
-    purged = F.coalesce(F.col(ts) < c, F.lit(False))
+    purged = purge_predicate(ts, cutoff)
     return log.filter(~purged), log.filter(purged)
+
+
+def purge_predicate(ts: str, cutoff) -> Column:
+    """True for rows a ``DELETE ... WHERE ts < cutoff`` removes (never NULL)."""
+    c = F.lit(cutoff) if not isinstance(cutoff, Column) else cutoff
+    return F.coalesce(F.col(ts) < c, F.lit(False))

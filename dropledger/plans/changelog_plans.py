@@ -1 +1,171 @@
-"""Queries (filled in below)."""
+"""Catalogue mutations expressed as folds over change logs."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dropledger.operators.changelog import (
+    duplicate_keys,
+    fold_state,
+    insert_or_ignore,
+    orphans,
+    remove_matching,
+    toggle_parity,
+)
+from dropledger.operators.tags import split_by_delete_set
+from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
+from dropledger.plans.calendar_plans import PUBS_SQL, publications
+from dropledger.plans.registry import query
+
+_SEQ = ["o_orderdate", "o_orderkey"]
+_SEQ_SQL = "(o_orderdate, o_orderkey)"
+
+
+@query("upsert_keep_first", PUBS_SQL + "SELECT * FROM pubs")
+def upsert_keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Publication upserts: date and status replaced, first ``detected_at`` kept."""
+    return publications(spark, sf)
+
+
+@query("upsert_last", sql_with(FILELOG_SQL) + f"""
+SELECT publish_ym, target_code,
+       arg_max(display_name, {_SEQ_SQL}) AS display_name, arg_max(file_path, {_SEQ_SQL}) AS file_path,
+       arg_max(o_orderkey, {_SEQ_SQL}) AS o_orderkey, arg_max(o_orderpriority, {_SEQ_SQL}) AS o_orderpriority,
+       arg_max(outcome, {_SEQ_SQL}) AS outcome, count(*) AS versions
+FROM filelog GROUP BY ALL""")
+def upsert_last(spark: SparkSession, sf: str) -> DataFrame:
+    """File upserts on (month, target): the latest row replaces every payload column."""
+    return fold_state(file_log(spark, sf), keys=["publish_ym", "target_code"], seq=_SEQ,
+                      last=["display_name", "file_path", "o_orderkey", "o_orderpriority", "outcome"],
+                      versions="versions")
+
+
+@query("delete_tombstone", sql_with(FILELOG_SQL) + f"""
+, tomb AS (SELECT publish_ym, target_code, max({_SEQ_SQL}) AS lt FROM filelog WHERE o_orderstatus = 'P' GROUP BY ALL)
+, life AS (SELECT f.* FROM filelog f LEFT JOIN tomb t USING (publish_ym, target_code)
+           WHERE t.lt IS NULL OR (f.o_orderdate, f.o_orderkey) > t.lt)
+SELECT publish_ym, target_code, arg_max(o_orderkey, {_SEQ_SQL}) AS o_orderkey,
+       arg_max(o_orderpriority, {_SEQ_SQL}) AS o_orderpriority,
+       arg_min(o_orderkey, {_SEQ_SQL}) AS first_orderkey, count(*) AS versions
+FROM life GROUP BY ALL""")
+def delete_tombstone(spark: SparkSession, sf: str) -> DataFrame:
+    """Failed downloads delete the file record; a later upsert starts a new life."""
+    log = (file_log(spark, sf)
+           .withColumn("op", F.when(F.col("o_orderstatus") == "P", F.lit("d")).otherwise(F.lit("u")))
+           .withColumn("first_orderkey", F.col("o_orderkey")))
+    return fold_state(log, keys=["publish_ym", "target_code"], seq=_SEQ,
+                      last=["o_orderkey", "o_orderpriority"], first=["first_orderkey"],
+                      op="op", versions="versions")
+
+
+def tag_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Assignment log: every line item assigns its part's brand to its supplier."""
+    li = t(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    p = t(spark, sf, "part").select("p_partkey", "p_brand")
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("p_brand").alias("tag"), F.lit("file").alias("scope"),
+        F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("scope_key"),
+        "l_returnflag", "l_quantity")
+
+
+ASSIGN_SQL = """assign AS (
+  SELECT p_brand AS tag, 'file' AS scope, 'supplier_' || CAST(l_suppkey AS VARCHAR) AS scope_key, l_returnflag, l_quantity
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+_TRIPLE = ["tag", "scope", "scope_key"]
+
+
+@query("assign_distinct", sql_with(ASSIGN_SQL) + "SELECT DISTINCT tag, scope, scope_key FROM assign")
+def assign_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert-or-ignore: repeated assignments collapse to one."""
+    return insert_or_ignore(tag_assignments(spark, sf), _TRIPLE)
+
+
+@query("unassign", sql_with(ASSIGN_SQL) + """
+SELECT DISTINCT tag, scope, scope_key FROM assign a
+WHERE NOT EXISTS (SELECT 1 FROM assign r WHERE r.l_returnflag = 'R' AND r.l_quantity >= 49 AND r.tag = a.tag
+                  AND r.scope = a.scope AND r.scope_key = a.scope_key)""")
+def unassign(spark: SparkSession, sf: str) -> DataFrame:
+    """Assignments hit by a large returned item are withdrawn (anti join on the triple)."""
+    a = tag_assignments(spark, sf)
+    removals = insert_or_ignore(a.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)), _TRIPLE)
+    return remove_matching(insert_or_ignore(a, _TRIPLE), removals, _TRIPLE)
+
+
+@query("toggle_parity", sql_with(ASSIGN_SQL) + """
+SELECT tag, scope, scope_key, count(*) AS toggles FROM assign GROUP BY ALL HAVING count(*) % 2 = 1""")
+def toggle_parity_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Each line item toggles its (brand, supplier) tag; odd counts stay assigned."""
+    return toggle_parity(tag_assignments(spark, sf).select(*_TRIPLE), _TRIPLE)
+
+
+# Fixed query parameter: tags deleted in the cascade query.
+DELETED_TAGS = ["Brand#1", "Brand#7", "Brand#13"]
+
+
+@query("tag_cascade", f"""
+SELECT p_brand AS tag, 'part' AS scope, 'part_' || CAST(p_partkey AS VARCHAR) AS scope_key FROM part
+WHERE p_brand NOT IN ({', '.join(f"'{x}'" for x in DELETED_TAGS)})""")
+def tag_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Deleting tags removes their assignments (anti join with the deleted set)."""
+    p = t(spark, sf, "part")
+    bridge = p.select(F.col("p_brand").alias("tag"), F.lit("part").alias("scope"),
+                      F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("scope_key"))
+    deleted = spark.createDataFrame([(x,) for x in DELETED_TAGS], "tag string")
+    return remove_matching(bridge, deleted, ["tag"])
+
+
+_CASCADE_SQL = sql_with(FILELOG_SQL) + """
+, dset AS (SELECT DISTINCT publish_ym, target_code FROM filelog
+           WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
+, catalogue AS (SELECT DISTINCT publish_ym, target_code FROM filelog)
+, bridge AS (SELECT DISTINCT o_orderpriority AS tag, publish_ym || '/' || target_code AS scope_key FROM filelog)
+, manifest AS (SELECT DISTINCT publish_ym, target_code FROM filelog WHERE outcome = 'succeeded')
+SELECT 'catalogue' AS store,
+       count_if(d.publish_ym IS NOT NULL) AS removed, count_if(d.publish_ym IS NULL) AS remaining
+FROM catalogue c LEFT JOIN dset d USING (publish_ym, target_code)
+UNION ALL
+SELECT 'tag_bridge', count_if(d.k IS NOT NULL), count_if(d.k IS NULL)
+FROM bridge b LEFT JOIN (SELECT publish_ym || '/' || target_code AS k FROM dset) d ON b.scope_key = d.k
+UNION ALL
+SELECT 'manifest', count_if(d.publish_ym IS NOT NULL), count_if(d.publish_ym IS NULL)
+FROM manifest m LEFT JOIN dset d USING (publish_ym, target_code)"""
+
+
+@query("cascade_delete", _CASCADE_SQL)
+def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """One delete set applied to catalogue, tag bridge and manifest; counts per store."""
+    log = file_log(spark, sf)
+    keys = ["publish_ym", "target_code"]
+    dset = (log.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
+            .select(*keys).distinct())
+    catalogue = fold_state(log, keys=keys, seq=_SEQ, last=["outcome"]).select(*keys)
+    scope_key = F.concat(F.col("publish_ym"), F.lit("/"), F.col("target_code"))
+    bridge = log.select(F.col("o_orderpriority").alias("tag"), scope_key.alias("scope_key")).distinct()
+    manifest = log.filter(F.col("outcome") == "succeeded").select(*keys).distinct()
+    parts = [
+        split_by_delete_set(catalogue, dset, keys, "catalogue"),
+        split_by_delete_set(bridge, dset.select(scope_key.alias("scope_key")), ["scope_key"], "tag_bridge"),
+        split_by_delete_set(manifest, dset, keys, "manifest"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("unique_violations", "SELECT p_name AS name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def unique_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag names created more than once (each would raise in ``create_tag``)."""
+    names = t(spark, sf, "part").select(F.col("p_name").alias("name"))
+    return duplicate_keys(names, ["name"])
+
+
+@query("fk_violations", """
+SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
+def fk_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items whose order is missing from the (non-pending) orders: orphans."""
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    parents = t(spark, sf, "orders").filter(F.col("o_orderstatus") != "P").select("o_orderkey")
+    return orphans(li, parents, ["l_orderkey"], ["o_orderkey"])

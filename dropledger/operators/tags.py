@@ -29,6 +29,7 @@ def tags_for(tags: DataFrame, assignments: DataFrame, scope: str, scope_key: str
     return tags.join(a.select("tag_id"), "tag_id", "inner").orderBy("name")
 
 
-def keys_with_tag(assignments: DataFrame, tag_id, scope: str) -> DataFrame:
-    """Scope keys carrying a tag (order unspecified)."""
-    return assignments.filter((F.col("tag_id") == tag_id) & (F.col("scope") == scope)).select("scope_key")
+def keys_with_tag(assignments: DataFrame, chosen_tags: DataFrame, scope: str) -> DataFrame:
+    """Scope keys carrying any of the chosen tags (order unspecified)."""
+    a = assignments.filter(F.col("scope") == scope)
+    return a.join(chosen_tags.select("tag_id"), "tag_id", "left_semi").select("scope_key")

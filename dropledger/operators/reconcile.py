@@ -55,14 +55,35 @@ def memo_lookup(listing: DataFrame, cache: DataFrame, keys: Sequence[str] = ("pa
 
 def evict_stale(cache: DataFrame, listing: DataFrame, valid: DataFrame,
                 path: str = "path", well_formed: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(surviving cache rows, evicted rows): a row survives only if its key is
-    well formed, its path is in the valid set and the file still exists."""
-    ok = cache.filter(well_formed) if well_formed is not None else cache
-    keep = (ok.join(valid.select(path).distinct(), path, "left_semi")
-            .join(listing.select(path).distinct(), path, "left_semi"))
-    gone = cache.join(keep.select(path, "_cache_id"), [path, "_cache_id"], "left_anti") \
-        if "_cache_id" in cache.columns else cache.subtract(keep)
-    return keep, gone
+    """(surviving cache rows, evicted rows).
+
+    A row survives only if its key is well formed, its path is in the valid
+    set and the file still exists in the listing.  Both sets are made
+    distinct and joined as flags, so cache rows are never multiplied.
+    """
+    v = valid.select(path).distinct().withColumn("_valid", F.lit(True))
+    e = listing.select(path).distinct().withColumn("_exists", F.lit(True))
+    ok = well_formed if well_formed is not None else F.lit(True)
+    j = cache.join(v, path, "left").join(e, path, "left")
+    alive = F.coalesce(ok, F.lit(False)) & F.col("_valid").isNotNull() & F.col("_exists").isNotNull()
+    j = j.withColumn("_alive", alive)
+    cols = cache.columns
+    return j.filter("_alive").select(*cols), j.filter(~F.col("_alive")).select(*cols)
+
+
+def upsert_stats(cache: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("path", "length", "mtime")) -> DataFrame:
+    """Stats-cache upsert: fresh rows replace cached rows of the same key."""
+    keys = list(keys)
+    old = cache.join(fresh.select(*keys), keys, "left_anti")
+    return old.unionByName(fresh.select(*cache.columns))
+
+
+def update_by_presence(rows: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """Replace ``cols`` of rows that have an update (even with NULL values)."""
+    u = updates.select(F.col(key), *[F.col(c).alias(f"_u_{c}") for c in cols], F.lit(True).alias("_upd"))
+    j = rows.join(u, key, "left")
+    return j.select(*[F.when(F.col("_upd"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols
+                      else F.col(c) for c in rows.columns])
 
 
 def precedence_merge(disk: DataFrame, manifest: DataFrame, catalogue: DataFrame,

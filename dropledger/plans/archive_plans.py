@@ -1 +1,193 @@
-"""Queries (filled in below)."""
+"""ZIP/CSV ingest, merge, extract and bundle over archives derived from lineitem.
+
+The archive library is written by a Spark job from ``lineitem`` (one ZIP per
+ship quarter × return flag, cp932 text for flags A/N and UTF-8 for R; each
+archive holds ``readme.txt``, the data CSV and a decoy ``extra.csv``), plus a
+few decoy folders the scan must skip.  It is built once per session and
+data directory, in the shared scratch folder.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dropledger.plans.bindings import t
+from dropledger.plans.registry import query
+from dropledger.session import shared_scratch
+from dropledger.sources import zipcsv
+
+_COLUMNS = ["orderkey", "linenumber", "quantity", "shipdate", "note"]
+_LIBS: dict[tuple[str, str], str] = {}
+
+
+def _ym(col):
+    return F.concat(F.year(col).cast("string"), F.lit("_"), (F.quarter(col) * 3).cast("string"))
+
+
+def archive_rows(spark: SparkSession, sf: str) -> DataFrame:
+    li = t(spark, sf, "lineitem")
+    note = F.when(F.col("l_linenumber") == 1,
+                  F.concat(F.lit('備考\n"'), F.col("l_linestatus"), F.lit('", 行'))) \
+        .otherwise(F.concat(F.lit("区分 "), F.col("l_returnflag"), F.col("l_linestatus")))
+    return li.select(
+        _ym("l_shipdate").alias("publish_ym"), F.col("l_returnflag").alias("flag"),
+        F.col("l_orderkey").cast("string").alias("orderkey"),
+        F.col("l_linenumber").cast("string").alias("linenumber"),
+        F.col("l_quantity").cast("string").alias("quantity"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipdate"),
+        note.alias("note"))
+
+
+def library_root(spark: SparkSession, sf: str) -> str:
+    """Write (once per application and data dir) the archive library; return its root."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    if key in _LIBS:
+        return _LIBS[key]
+    root = shared_scratch(spark, "library")
+    rows = archive_rows(spark, sf)
+    zipcsv.write_archives(
+        rows, root, ym=F.col("publish_ym"), label=F.concat(F.lit("flag_"), F.col("flag")),
+        member=F.concat(F.lit("data_"), F.col("flag"), F.lit(".csv")),
+        encoding=F.when(F.col("flag") == "R", F.lit("utf-8")).otherwise(F.lit("cp932")),
+        columns=_COLUMNS).collect()  # one small row per archive written
+    # Decoys the library scan must skip, and one merged CSV it must list first.
+    for sub in ("not_a_month", ".hidden/2020_1", "1999_13"):
+        os.makedirs(os.path.join(root, sub), exist_ok=True)
+        with open(os.path.join(root, sub, "decoy.zip"), "wb") as fh:
+            fh.write(b"not an archive")
+    with open(os.path.join(root, "1995_3", zipcsv.MERGED_CSV_NAME), "w", encoding="cp932") as fh:
+        fh.write("orderkey\n1\n")
+    _LIBS[key] = root
+    return root
+
+
+def _zips(spark: SparkSession, sf: str) -> DataFrame:
+    return zipcsv.library_listing(spark, library_root(spark, sf)).filter(F.col("kind") == 1)
+
+
+_YM_SQL = "CAST(year(l_shipdate) AS VARCHAR) || '_' || CAST(quarter(l_shipdate) * 3 AS VARCHAR)"
+_NOTE_SQL = """CASE WHEN l_linenumber = 1 THEN '備考' || chr(10) || '"' || l_linestatus || '", 行'
+                 ELSE '区分 ' || l_returnflag || l_linestatus END"""
+_ROWS_SQL = f"""rows AS (
+  SELECT {_YM_SQL} AS publish_ym, l_returnflag AS flag, CAST(l_orderkey AS VARCHAR) AS orderkey,
+         CAST(l_linenumber AS VARCHAR) AS linenumber, CAST(l_quantity AS VARCHAR) AS quantity,
+         strftime(l_shipdate, '%Y-%m-%d') AS shipdate, {_NOTE_SQL} AS note
+  FROM lineitem)"""
+
+
+@query("catalog_scan", f"""
+WITH {_ROWS_SQL}
+SELECT DISTINCT publish_ym, CAST(split_part(publish_ym, '_', 1) AS INTEGER) AS data_year,
+       CAST(split_part(publish_ym, '_', 2) AS INTEGER) AS data_month, 'flag_' || flag || '.zip' AS file_name, 1 AS kind
+FROM rows
+UNION ALL SELECT '1995_3', 1995, 3, '統合.csv', 0""")
+def catalog_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Library scan: valid month folders only, archives and the merged CSV (metadata only)."""
+    lst = zipcsv.library_listing(spark, library_root(spark, sf))
+    return lst.select("publish_ym", "data_year", "data_month", "file_name", "kind")
+
+
+# Bytes of one CSV line as written: cp932 takes two bytes per non-ASCII
+# character used here, UTF-8 three.
+_LINE_SQL = """orderkey || ',' || linenumber || ',' || quantity || ',' || shipdate || ','
+   || CASE WHEN note LIKE '%,%' OR note LIKE '%"%' OR note LIKE '%' || chr(10) || '%'
+           THEN '"' || replace(note, '"', '""') || '"' ELSE note END || chr(10)"""
+_HEADER_BYTES = len(",".join(_COLUMNS)) + 1
+
+
+@query("zip_first_csv", f"""
+WITH {_ROWS_SQL},
+lines AS (SELECT publish_ym, flag, {_LINE_SQL} AS line, linenumber FROM rows)
+SELECT publish_ym, 'flag_' || flag || '.zip' AS file_name, 'data_' || flag || '.csv' AS member,
+       CAST({_HEADER_BYTES} + sum(CASE WHEN flag = 'R' THEN strlen(line)
+                     ELSE length(line) + length(regexp_replace(line, '[\\x00-\\x7F]', '', 'g')) END) AS BIGINT) AS uncompressed_size,
+       CAST(count(*) + count_if(linenumber = '1') AS BIGINT) AS data_rows
+FROM lines GROUP BY publish_ym, flag""")
+def zip_first_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """First CSV member per archive, its uncompressed size and newline-rule row count."""
+    z = _zips(spark, sf)
+    firsts = zipcsv.first_csv_members(z.select("path"))
+    staged = zipcsv.stage_members(firsts, shared_scratch(spark, "stage"))
+    return (z.join(firsts.select("path", "member", "uncompressed_size"), "path")
+            .join(staged.select("path", F.greatest(F.col("newline_count") - 1, F.lit(0)).alias("data_rows")), "path")
+            .select("publish_ym", "file_name", "member", "uncompressed_size", "data_rows"))
+
+
+def _read_all(spark: SparkSession, sf: str, zips: DataFrame) -> DataFrame:
+    merged, _ = zipcsv.read_zip_csvs(spark, zips.select("path"), shared_scratch(spark, "stage"))
+    meta = zips.select(F.col("path").alias("_source"), "publish_ym", "file_name")
+    return merged.join(meta, "_source").drop("_source")
+
+
+@query("zip_csv_read", f"WITH {_ROWS_SQL} SELECT *, 'flag_' || flag || '.zip' AS file_name FROM rows")
+def zip_csv_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Every archive's CSV decoded (cp932 → shift_jis → utf-8) and read as strings."""
+    r = _read_all(spark, sf, _zips(spark, sf))
+    return r.withColumn("flag", F.regexp_extract("file_name", r"^flag_(.*)\.zip$", 1))
+
+
+@query("merge_roundtrip", f"WITH {_ROWS_SQL} SELECT publish_ym, {', '.join(_COLUMNS)} FROM rows")
+def merge_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Positional merge of all archives written as a month-partitioned dataset and read back."""
+    dest = shared_scratch(spark, "merged")
+    zipcsv.write_merged(_read_all(spark, sf, _zips(spark, sf)).drop("file_name"), dest)
+    return spark.read.parquet(dest).select("publish_ym", *_COLUMNS)
+
+
+# Fixed query parameters: selected targets, export month and file cap.
+SELECTED_FLAGS = ["A", "R"]
+EXPORT_YM, EXPORT_MAX_FILES = "1997_6", 2
+
+
+@query("merge_selected", f"""WITH {_ROWS_SQL}
+SELECT publish_ym, {', '.join(_COLUMNS)} FROM rows WHERE flag IN ({', '.join(f"'{x}'" for x in SELECTED_FLAGS)})""")
+def merge_selected(spark: SparkSession, sf: str) -> DataFrame:
+    """Merge only the selected targets' archives of each month (semi join on ``label.zip``)."""
+    sel = spark.createDataFrame([(f"flag_{x}.zip",) for x in SELECTED_FLAGS], "file_name string")
+    zips = _zips(spark, sf).join(sel, "file_name", "left_semi")
+    dest = shared_scratch(spark, "merged-selected")
+    zipcsv.write_merged(_read_all(spark, sf, zips).drop("file_name"), dest)
+    return spark.read.parquet(dest).select("publish_ym", *_COLUMNS)
+
+
+@query("merge_capped", f"""WITH {_ROWS_SQL}
+SELECT publish_ym, {', '.join(_COLUMNS)} FROM rows
+WHERE publish_ym = '{EXPORT_YM}' AND 'flag_' || flag || '.zip' IN (
+  SELECT DISTINCT 'flag_' || flag || '.zip' AS f FROM rows WHERE publish_ym = '{EXPORT_YM}' ORDER BY f LIMIT {EXPORT_MAX_FILES})""")
+def merge_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """Export of one month: its archives by path, capped at ``max_files``, merged."""
+    zips = _zips(spark, sf).filter(F.col("publish_ym") == EXPORT_YM).orderBy("path").limit(EXPORT_MAX_FILES)
+    return _read_all(spark, sf, zips).select("publish_ym", *_COLUMNS)
+
+
+@query("zip_extract", f"""
+WITH {_ROWS_SQL},
+lines AS (SELECT publish_ym, flag, {_LINE_SQL} AS line FROM rows),
+data AS (SELECT publish_ym, 'flag_' || flag AS stem, 'data_' || flag || '.csv' AS member,
+                CAST({_HEADER_BYTES} + sum(CASE WHEN flag = 'R' THEN strlen(line)
+                     ELSE length(line) + length(regexp_replace(line, '[\\x00-\\x7F]', '', 'g')) END) AS BIGINT) AS size
+         FROM lines GROUP BY ALL),
+arch AS (SELECT DISTINCT publish_ym, stem FROM data)
+SELECT * FROM data
+UNION ALL SELECT publish_ym, stem, 'readme.txt', CAST(7 AS BIGINT) FROM arch
+UNION ALL SELECT publish_ym, stem, 'extra.csv', CAST(4 AS BIGINT) FROM arch""")
+def zip_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Extract all members of every archive under ``<root>/<month>/<stem>/`` (replacing)."""
+    z = _zips(spark, sf)
+    out = zipcsv.extract_archives(z.select("path"), shared_scratch(spark, "extracted"))
+    return (out.join(z.select("path", "publish_ym", "file_name"), "path")
+            .select("publish_ym", F.regexp_replace("file_name", r"\.zip$", "").alias("stem"), "member", "size"))
+
+
+@query("bundle_by_month", f"""
+WITH {_ROWS_SQL}, f AS (SELECT DISTINCT publish_ym, 'flag_' || flag || '.zip' AS file_name FROM rows)
+SELECT publish_ym, CAST(count(*) AS INTEGER) AS n_members, string_agg(file_name, ',' ORDER BY file_name) AS members
+FROM f GROUP BY publish_ym""")
+def bundle_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    """One bundle archive per month holding its region ZIPs, sorted by name."""
+    lst = zipcsv.library_listing(spark, library_root(spark, sf))
+    b = zipcsv.bundle_months(lst, shared_scratch(spark, "bundles"))
+    return b.select("publish_ym", "n_members", "members")

@@ -132,13 +132,18 @@ STAGE_SCHEMA = ("path string, member string, encoding string, header string, n_f
                 "newline_count long, uncompressed_size long, has_data boolean, chunks array<string>, error string")
 
 
-def _record_end(text: str, parity: int, start: int = 0) -> int:
-    """Index just after the last newline of ``text`` lying outside quotes, or -1."""
-    pos = text.rfind("\n")
-    while pos >= start:
-        if (parity + text.count('"', 0, pos)) % 2 == 0:
+def _record_end_after(text: str, parity: int, start: int) -> int:
+    """Index just after the first newline at or after ``start`` lying outside
+    quotes (``parity`` = quote parity at the start of ``text``), or -1."""
+    q = parity + text.count('"', 0, start)
+    prev = start
+    pos = text.find("\n", start)
+    while pos != -1:
+        q += text.count('"', prev, pos)
+        if q % 2 == 0:
             return pos + 1
-        pos = text.rfind("\n", 0, pos)
+        prev = pos
+        pos = text.find("\n", pos + 1)
     return -1
 
 
@@ -154,11 +159,11 @@ def _first_record_end(text: str) -> int:
 class _Stager:
     """Streams one decoded member into UTF-8 chunk files.
 
-    Decoded blocks are appended to the current chunk file as they arrive;
-    once the file is past ``chunk_bytes`` the next block is cut after its
-    last newline outside quotes (tracked by quote parity), and the rest
-    starts a new file that repeats the header.  Nothing beyond one block is
-    held in memory.
+    Decoded blocks are appended to the current chunk file as they arrive; a
+    block that would take the file past ``chunk_bytes`` is cut at the first
+    newline outside quotes past the target (tracked by quote parity), and
+    the rest starts a new file that repeats the header.  Nothing beyond one
+    block is held in memory.
     """
 
     def __init__(self, out_dir: str, chunk_bytes: int):
@@ -182,14 +187,19 @@ class _Stager:
             self.header, text, self.head_buf = self.head_buf[:end], self.head_buf[end:], ""
             if not self.header.endswith("\n"):
                 self.header += "\n"
-        if self.fh is not None and self.written >= self.chunk_bytes and text:
-            cut = _record_end(text, self.parity)
-            if cut > 0:
-                self._append(text[:cut])
-                self._close()
-                text = text[cut:]
-        if text:
-            self._append(text)
+        while text:
+            open_ = self.fh is not None
+            room = self.chunk_bytes - (self.written if open_ else 0)
+            if len(text) <= room:
+                self._append(text)
+                break
+            cut = _record_end_after(text, self.parity if open_ else 0, max(room, 0))
+            if cut == -1:
+                self._append(text)  # one long record: the chunk grows past the target
+                break
+            self._append(text[:cut])
+            self._close()
+            text = text[cut:]
         if final:
             self._close()
 

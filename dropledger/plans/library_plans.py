@@ -36,8 +36,11 @@ from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
 from dropledger.plans.calendar_plans import publications
 from dropledger.plans.registry import query
 
-_EXT = F.when(F.col("lang") == "en", ".zip").when(F.col("lang") == "fr", ".csv") \
-    .when(F.col("lang") == "es", ".CSV").otherwise(".txt")
+def _ext():
+    return (F.when(F.col("lang") == "en", ".zip").when(F.col("lang") == "fr", ".csv")
+            .when(F.col("lang") == "es", ".CSV").otherwise(".txt"))
+
+
 _EXT_SQL = "CASE lang WHEN 'en' THEN '.zip' WHEN 'fr' THEN '.csv' WHEN 'es' THEN '.CSV' ELSE '.txt' END"
 _ROWS_SQL = "CAST(greatest(length(text) - length(replace(text, chr(10), '')) - 1, 0) AS BIGINT)"
 
@@ -46,7 +49,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
     d = t(spark, sf, "documents")
     return d.select(
         "doc_id",
-        F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), _EXT).alias("path"),
+        F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), _ext()).alias("path"),
         F.col("n_chars").cast("long").alias("length"),
         (F.col("doc_id") * 1000).cast("long").alias("mtime"),
         "text", "lang")

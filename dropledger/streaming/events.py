@@ -49,13 +49,21 @@ def debounce(events: DataFrame, key: str, ts: str, value: str, gap_seconds: int,
 def debounce_stream(events: DataFrame, key: str, ts: str, value: str, gap_seconds: int,
                     watermark: str = "1 day") -> DataFrame:
     """Streaming debounce with ``session_window``; a session is emitted once the
-    watermark passes its end (append mode).  Late events are dropped."""
+    watermark passes its end (append mode).  Late events are dropped.
+
+    Watermarks need an instant type, so a ``timestamp_ntz`` event time is
+    read as session-zone wall clock and the output converted back.
+    """
+    ntz = events.schema[ts].dataType.simpleString() == "timestamp_ntz"
+    if ntz:
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     w = F.session_window(F.col(ts), f"{gap_seconds} seconds")
-    return (events.withWatermark(ts, watermark)
-            .groupBy(F.col(key), w.alias("s"))
-            .agg(F.max_by(F.col(value), F.col(ts)).alias(f"last_{value}"), F.count(F.lit(1)).alias("n_events"))
-            .select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                    f"last_{value}", "n_events"))
+    out = (events.withWatermark(ts, watermark)
+           .groupBy(F.col(key), w.alias("s"))
+           .agg(F.max_by(F.col(value), F.col(ts)).alias(f"last_{value}"), F.count(F.lit(1)).alias("n_events")))
+    back = (lambda c: c.cast("timestamp_ntz")) if ntz else (lambda c: c)
+    return out.select(key, back(F.col("s.start")).alias("session_start"), back(F.col("s.end")).alias("session_end"),
+                      f"last_{value}", "n_events")
 
 
 # --- latest progress per target -------------------------------------------------------

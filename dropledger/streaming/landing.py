@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Fixed schema of Spark's binaryFile source (a stream must be given its schema).
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
 def landing_diff(listing: DataFrame, state: DataFrame, path: str = "path",
                  size: str = "length", mtime: str = "mtime") -> DataFrame:
     """(path, size, mtime, change) with change ∈ new / changed / unchanged."""
@@ -36,7 +40,7 @@ def landing_stream(spark: SparkSession, landing_dir: str, state_dir: str, checkp
 
     Returns the ``StreamingQuery`` (call ``awaitTermination()``).
     """
-    stream = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
               .option("recursiveFileLookup", "true").load(landing_dir)
               .select("path", "length", F.col("modificationTime").alias("mtime")))
 

@@ -41,14 +41,12 @@ def parse_month_key(key) -> Column:
     caller can keep or reject them; ``strict_month_key`` raises instead.
     """
     k = _c(key)
-    ok = k.rlike(MONTH_KEY_PATTERN)
-    y = F.regexp_extract(k, MONTH_KEY_PATTERN, 1)
-    m = F.regexp_extract(k, MONTH_KEY_PATTERN, 2)
-    m_int = F.when(ok, m.cast("int"))
-    valid = ok & m_int.between(1, 12)
+    # A non-matching key extracts '' for both groups, which try_cast turns into NULL.
+    m = F.regexp_extract(k, MONTH_KEY_PATTERN, 2).try_cast("int")
+    valid = F.coalesce(m.between(1, 12), F.lit(False))
     return F.struct(
-        F.when(valid, y.cast("int")).alias("year"),
-        F.when(valid, m_int).alias("month"),
+        F.when(valid, F.regexp_extract(k, MONTH_KEY_PATTERN, 1).try_cast("int")).alias("year"),
+        F.when(valid, m).alias("month"),
     )
 
 

@@ -109,17 +109,17 @@ FROM lines GROUP BY publish_ym, flag""")
 def zip_first_csv(spark: SparkSession, sf: str) -> DataFrame:
     """First CSV member per archive, its uncompressed size and newline-rule row count."""
     z = _zips(spark, sf)
-    firsts = zipcsv.first_csv_members(z.select("path"))
-    staged = zipcsv.stage_members(firsts, shared_scratch(spark, "stage"))
-    return (z.join(firsts.select("path", "member", "uncompressed_size"), "path")
-            .join(staged.select("path", F.greatest(F.col("newline_count") - 1, F.lit(0)).alias("data_rows")), "path")
-            .select("publish_ym", "file_name", "member", "uncompressed_size", "data_rows"))
+    staged = zipcsv.stage_archives(z.select("path"), shared_scratch(spark, "stage"))
+    return (z.join(staged, "path")
+            .select("publish_ym", "file_name", "member", "uncompressed_size",
+                    F.greatest(F.col("newline_count") - 1, F.lit(0)).alias("data_rows")))
 
 
 def _read_all(spark: SparkSession, sf: str, zips: DataFrame) -> DataFrame:
-    merged, _ = zipcsv.read_zip_csvs(spark, zips.select("path"), shared_scratch(spark, "stage"))
-    meta = zips.select(F.col("path").alias("_source"), "publish_ym", "file_name")
-    return merged.join(meta, "_source").drop("_source")
+    meta = zips.select("path", "publish_ym", "file_name")
+    merged, _ = zipcsv.read_zip_csvs(spark, zips.select("path"), shared_scratch(spark, "stage"),
+                                     annotate=meta, source_col=None)
+    return merged
 
 
 @query("zip_csv_read", f"WITH {_ROWS_SQL} SELECT *, 'flag_' || flag || '.zip' AS file_name FROM rows")

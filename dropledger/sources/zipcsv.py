@@ -128,8 +128,8 @@ def first_csv_members(paths: DataFrame) -> DataFrame:
 
 # --- staging: decode with fallback, count, chunk ------------------------------------
 
-STAGE_SCHEMA = ("path string, member string, encoding string, header string, n_fields int, "
-                "newline_count long, uncompressed_size long, has_data boolean, chunks array<string>, error string")
+STAGE_SCHEMA = ("path string, member string, uncompressed_size long, encoding string, header string, "
+                "n_fields int, newline_count long, has_data boolean, chunks array<string>, error string")
 
 
 def _record_end_after(text: str, parity: int, start: int) -> int:
@@ -224,11 +224,14 @@ class _Stager:
             self.fh = None
 
 
-def _stage_one(zf: zipfile.ZipFile, member: str, out_root: str, chunk_bytes: int, encodings: Sequence[str]):
+def _stage_one(zf: zipfile.ZipFile, member: str, stage_dir: str, aid: str, chunk_bytes: int,
+               encodings: Sequence[str]):
     last_err = None
     for enc in encodings:
-        out_dir = os.path.join(out_root, enc.replace("_", "-"))
-        os.makedirs(out_dir, exist_ok=True)
+        out_dir = os.path.join(stage_dir, "_attempts", aid, enc.replace("_", "-"))
+        if os.path.isdir(out_dir):
+            shutil.rmtree(out_dir)  # left by an earlier run of this task
+        os.makedirs(out_dir)
         dec = codecs.getincrementaldecoder(enc)("strict")
         st = _Stager(out_dir, chunk_bytes)
         newlines = size = 0
@@ -245,90 +248,137 @@ def _stage_one(zf: zipfile.ZipFile, member: str, out_root: str, chunk_bytes: int
             continue
         header = (st.header or "").rstrip("\r\n")
         n_fields = len(next(csv.reader([header]))) if header else 0
-        return enc, header, n_fields, newlines, size, st.has_data, st.chunks, None
+        final = os.path.join(stage_dir, "ok", aid)
+        os.makedirs(os.path.dirname(final), exist_ok=True)
+        if os.path.isdir(final):
+            shutil.rmtree(final)  # a retried task publishes its own output again
+        os.rename(out_dir, final)  # atomic publish: readers only glob ok/*
+        chunks = [os.path.join(final, os.path.basename(c)) for c in st.chunks]
+        return enc, header, n_fields, newlines, size, st.has_data, chunks, None
     return None, None, None, None, None, None, None, f"could not decode with {', '.join(encodings)}: {last_err}"
 
 
-def _stage_fn(stage_dir: str, chunk_bytes: int, encodings: Sequence[str]):
+def _first_csv(zf: zipfile.ZipFile):
+    for info in zf.infolist():
+        if info.filename.lower().endswith(".csv") and not info.is_dir():
+            return info
+    return None
+
+
+def _stage_fn(stage_dir: str, chunk_bytes: int, encodings: Sequence[str], pick_member: bool):
+    cols = ["path", "member", "uncompressed_size", "encoding", "header", "n_fields", "newline_count",
+            "has_data", "chunks", "error"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for uri, member in zip(b["path"], b["member"]):
+            members = [None] * len(b) if pick_member else list(b["member"])
+            for uri, member in zip(b["path"], members):
                 aid = hashlib.sha1(uri.encode("utf-8")).hexdigest()[:16]
+                size = None
                 try:
                     with zipfile.ZipFile(local_path(uri)) as zf:
-                        res = _stage_one(zf, member, os.path.join(stage_dir, aid), chunk_bytes, encodings)
+                        info = _first_csv(zf) if pick_member else zf.getinfo(member)
+                        if info is None:
+                            out.append((uri, None, None) + (None,) * 6 + ("no CSV member",))
+                            continue
+                        member, size = info.filename, info.file_size
+                        enc, header, n_fields, newlines, _, has_data, chunks, err = _stage_one(
+                            zf, member, stage_dir, aid, chunk_bytes, encodings)
                 except (OSError, zipfile.BadZipFile, KeyError) as exc:
-                    res = (None,) * 7 + (f"{type(exc).__name__}: {exc}",)
-                out.append((uri, member) + tuple(res))
-            yield pd.DataFrame(out, columns=["path", "member", "encoding", "header", "n_fields", "newline_count",
-                                             "uncompressed_size", "has_data", "chunks", "error"])
+                    out.append((uri, member, size) + (None,) * 6 + (f"{type(exc).__name__}: {exc}",))
+                    continue
+                out.append((uri, member, size, enc, header, n_fields, newlines, has_data, chunks, err))
+            yield pd.DataFrame(out, columns=cols)
     return run
 
 
 def stage_members(firsts: DataFrame, stage_dir: str, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                   encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """Decode each archive's CSV member (cp932 → shift_jis → utf-8, restarting
-    from byte 0 on a decode error) into UTF-8 chunk files; one task per archive.
+    """Stage already chosen members (``path``, ``member``); see :func:`stage_archives`."""
+    todo = firsts.filter(F.col("member").isNotNull()).select("path", "member")
+    return _spread(todo).mapInPandas(_stage_fn(stage_dir, chunk_bytes, encodings, False), STAGE_SCHEMA)
 
-    Also returns the member's newline count (the row-count rule) and size,
-    in the same streaming pass.
+
+def stage_archives(paths: DataFrame, stage_dir: str, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
+                   encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """One streaming pass per archive (one archive per task): pick the first
+    CSV member, decode it (cp932 → shift_jis → utf-8, restarting from byte 0
+    on a decode error) into published UTF-8 chunk files, and count its
+    newline bytes and size on the way.  Returns one summary row per archive.
     """
-    todo = firsts.filter(F.col("member").isNotNull()).select("path", "member")
-    return _spread(todo).mapInPandas(_stage_fn(stage_dir, chunk_bytes, encodings), STAGE_SCHEMA)
+    return _spread(paths.select("path")).mapInPandas(_stage_fn(stage_dir, chunk_bytes, encodings, True),
+                                                     STAGE_SCHEMA)
 
 
-def canonical_header(staged_rows: Sequence, order: Sequence[str]) -> list[str]:
-    """Column names from the first archive (in ``order``) that has data rows.
+def canonical_header(staged: DataFrame) -> list[str]:
+    """Column names from the first archive (by path) that has data rows.
 
-    ``staged_rows`` is the per-archive staging summary (one small row per
-    archive).  Every archive with data must have the same column count.
+    One aggregate over the per-archive staging summary: the first data
+    archive's header, the min/max column count of all data archives and the
+    first error.  Every archive with data must have the same column count.
     """
-    by_path = {r["path"]: r for r in staged_rows}
-    rows = [by_path[p] for p in order if p in by_path]
-    bad = [r for r in rows if r["error"]]
-    if bad:
-        raise ValueError(f"cannot read {bad[0]['path']}: {bad[0]['error']}")
-    non_empty = [r for r in rows if r["has_data"]]
-    if not non_empty:
+    data = F.col("has_data") & F.col("error").isNull()
+    r = staged.agg(
+        F.min_by(F.col("header"), F.when(data, F.col("path"))).alias("header"),
+        F.min(F.when(data, F.col("n_fields"))).alias("lo"), F.max(F.when(data, F.col("n_fields"))).alias("hi"),
+        F.min_by(F.struct("path", "error"), F.when(F.col("error").isNotNull(), F.col("path"))).alias("err"),
+    ).first()
+    if r["err"] is not None:
+        raise ValueError(f"cannot read {r['err']['path']}: {r['err']['error']}")
+    if r["header"] is None:
         raise ValueError("no CSV with data rows to merge")
-    names = next(csv.reader([non_empty[0]["header"]]))
-    for r in non_empty[1:]:
-        if r["n_fields"] != len(names):
-            raise ValueError(f"{r['path']} has {r['n_fields']} columns, expected {len(names)}")
+    names = next(csv.reader([r["header"]]))
+    if r["lo"] != r["hi"]:
+        raise ValueError(f"CSV members differ in column count ({r['lo']} vs {r['hi']} columns)")
     return names
 
 
-def read_staged(spark: SparkSession, staged: DataFrame, order: Sequence[str] | None = None,
-                source_col: str | None = "_source") -> DataFrame:
+def read_staged(spark: SparkSession, staged: DataFrame, stage_dir: str,
+                annotate: DataFrame | None = None, source_col: str | None = "_source") -> DataFrame:
     """Positional union of all staged members as an all-string DataFrame.
 
     Names come from the first non-empty member; each chunk's own header line
-    is skipped (``enforceSchema``), which imposes the names by position.
+    is skipped (``enforceSchema``), which imposes the names by position.  The
+    chunk files are found by a glob over the published folders, so no file
+    list passes through the driver.  Rows are tagged with their archive:
+    ``annotate`` (keyed by ``path``) supplies extra per-archive columns,
+    otherwise the archive path is added as ``source_col``.
     """
-    summary = staged.select("path", "header", "n_fields", "has_data", "chunks", "error").collect()
-    order = list(order) if order is not None else sorted(r["path"] for r in summary)
-    names = canonical_header(summary, order)
-    files = [c for r in summary if r["has_data"] for c in r["chunks"]]
+    names = canonical_header(staged)
     schema = ", ".join(f"`{n}` string" for n in names)
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
           .option("enforceSchema", True).option("mode", "FAILFAST").option("encoding", "UTF-8")
-          .option("quote", "\"").option("escape", "\"")
-          .csv(files))
+          .option("quote", '"').option("escape", '"')
+          .csv(os.path.join(stage_dir, "ok", "*", "part-*.csv")))
+    if annotate is None and not source_col:
+        return df
+    tags = annotate if annotate is not None else staged.select(F.col("path"))
     if source_col:
-        aid = F.regexp_extract(F.input_file_name(), r"/([0-9a-f]{16})/[^/]+/part-\d+\.csv$", 1)
-        ids = staged.select(F.substring(F.sha1(F.encode("path", "UTF-8")), 1, 16).alias("_aid"),
-                            F.col("path").alias(source_col))
-        df = df.withColumn("_aid", aid).join(ids, "_aid").drop("_aid")
-    return df
+        tags = tags.withColumnRenamed("path", source_col)
+        key = source_col
+    else:
+        key = "path"
+    tags = tags.withColumn("_aid", F.substring(F.sha1(F.encode(key, "UTF-8")), 1, 16))
+    if not source_col:
+        tags = tags.drop("path")
+    aid = F.regexp_extract(F.input_file_name(), r"/ok/([0-9a-f]{16})/part-\d+\.csv$", 1)
+    return df.withColumn("_aid", aid).join(tags, "_aid").drop("_aid")
 
 
 def read_zip_csvs(spark: SparkSession, paths: DataFrame, stage_dir: str,
-                  chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(merged rows, per-archive staging summary) for the archives in ``paths``."""
-    firsts = first_csv_members(paths)
-    staged = stage_members(firsts, stage_dir, chunk_bytes).checkpoint()  # files are written once
-    return read_staged(spark, staged, order=None), staged
+                  chunk_bytes: int = DEFAULT_CHUNK_BYTES, annotate: DataFrame | None = None,
+                  source_col: str | None = "_source") -> tuple[DataFrame, DataFrame]:
+    """(merged rows, per-archive staging summary) for the archives in ``paths``.
+
+    The staging summary is written as a table next to the staged files (in
+    the shared folder): that runs the file-writing stage exactly once and
+    cuts the lineage, so later jobs never re-run it.
+    """
+    summary = os.path.join(stage_dir, "_summary")
+    stage_archives(paths, stage_dir, chunk_bytes).write.mode("overwrite").parquet(summary)
+    staged = spark.read.parquet(summary)
+    return read_staged(spark, staged, stage_dir, annotate, source_col), staged
 
 
 # --- sinks ----------------------------------------------------------------------------

@@ -1,9 +1,10 @@
 """Library views: tree nesting and ordering, search, manifests, unions, links.
 
-Group-level facts (a month is visible if any of its files matches, a year if
-any month is) are computed with partial-aggregated ``groupBy`` and joined
-back, never with a window over the group, so a month holding a third of all
-files is not funnelled into one task.
+The library tree is small by construction: a month folder holds at most one
+archive per region plus the merged file, and a year twelve months.  Windows
+over a month or a year are therefore bounded and used where they save a
+recomputation; facts over unbounded groups elsewhere in the engine use
+partial aggregates instead.
 """
 
 from __future__ import annotations
@@ -40,22 +41,37 @@ def flatten_tree(tree: DataFrame, year: str = "year") -> DataFrame:
     return f.select(year, "month", "f.*", "month_file_count", "year_month_count")
 
 
-def tree_order(files: DataFrame, sort: str = "date_desc", year: str = "year", month: str = "month",
-               kind: str = "kind", name: str = "file_name", display: str = "display_name") -> DataFrame:
-    """Library order as (month_rank, file_rank) without a global window.
+def tree_ranks(files: DataFrame, year: str = "year", month: str = "month", kind: str = "kind",
+               name: str = "file_name", display: str = "display_name") -> DataFrame:
+    """Every library order at once, as (month rank, rank inside the month).
 
-    Years always descend; months descend unless ``date_asc``; inside a month
-    the merged file comes first then files by name, except ``name`` which
-    sorts by display name only.  ``month_rank`` ranks the (few) months,
-    ``file_rank`` ranks files inside one month.
+    Years always descend; months descend (``month_rank_desc``) or ascend
+    (``month_rank_asc``, the ``date_asc`` sort); inside a month the merged
+    file comes first then files by name (``file_rank_date``), except the
+    ``name`` sort, which orders by display name only (``file_rank_name``).
+    Month ranks come from a window over the distinct months (a calendar-sized
+    set); file ranks from windows per month (a month holds at most one file
+    per region plus the merged file), both sharing one shuffle.
     """
-    month_dir = F.col(month).asc() if sort == "date_asc" else F.col(month).desc()
-    in_month = [F.col(display).asc()] if sort == "name" else [F.col(kind).asc(), F.col(name).asc()]
     months = files.select(year, month).distinct()
-    mr = months.withColumn("month_rank", F.row_number().over(Window.orderBy(F.col(year).desc(), month_dir)))
-    fr = files.withColumn("file_rank", F.row_number().over(
-        Window.partitionBy(year, month).orderBy(*in_month)))
-    return fr.join(mr, [year, month])
+    months = (months
+              .withColumn("month_rank_desc", F.row_number().over(Window.orderBy(F.col(year).desc(), F.col(month).desc())))
+              .withColumn("month_rank_asc", F.row_number().over(Window.orderBy(F.col(year).desc(), F.col(month).asc()))))
+    per_month = Window.partitionBy(year, month)
+    ranked = (files
+              .withColumn("file_rank_date", F.row_number().over(per_month.orderBy(F.col(kind), F.col(name))))
+              .withColumn("file_rank_name", F.row_number().over(per_month.orderBy(F.col(display)))))
+    return ranked.join(months, [year, month])
+
+
+def tree_order(files: DataFrame, sort: str = "date_desc", **cols) -> DataFrame:
+    """One library order (``date_desc`` default, ``date_asc`` or ``name``) as
+    ``month_rank`` / ``file_rank`` columns; see :func:`tree_ranks`."""
+    r = tree_ranks(files, **cols)
+    mr = "month_rank_asc" if sort == "date_asc" else "month_rank_desc"
+    fr = "file_rank_name" if sort == "name" else "file_rank_date"
+    return (r.withColumn("month_rank", F.col(mr)).withColumn("file_rank", F.col(fr))
+            .drop("month_rank_desc", "month_rank_asc", "file_rank_date", "file_rank_name"))
 
 
 def search_tree(files: DataFrame, needle: str, display: str = "display_name",
@@ -70,11 +86,12 @@ def search_tree(files: DataFrame, needle: str, display: str = "display_name",
                             F.lit(True).alias("year_visible"))
     hit = casefold_contains(F.col(display), F.lit(needle))
     f = files.withColumn("_hit", hit)
-    mv = f.groupBy(year, month).agg(F.bool_or("_hit").alias("month_visible"))
-    yv = mv.groupBy(year).agg(F.bool_or("month_visible").alias("year_visible"))
-    out = f.join(mv, [year, month]).join(yv, [year])
-    return out.select(*files.columns, (F.col("_hit") & F.col("month_visible")).alias("file_visible"),
-                      "month_visible", "year_visible")
+    # Bounded groups (files of one month, months of one year): windows avoid
+    # recomputing the file list for a group-and-join-back.
+    f = f.withColumn("month_visible", F.bool_or("_hit").over(Window.partitionBy(year, month)))
+    f = f.withColumn("year_visible", F.bool_or("month_visible").over(Window.partitionBy(year)))
+    return f.select(*files.columns, (F.col("_hit") & F.col("month_visible")).alias("file_visible"),
+                    "month_visible", "year_visible")
 
 
 def nest_manifest(entries: DataFrame, key: str, header: Sequence[Column], entry_fields: Sequence[str]) -> DataFrame:

@@ -1,10 +1,17 @@
 """Per-key event sequences (previous event, sessions) that survive hot keys.
 
 A plain ``lag(...) OVER (PARTITION BY key ORDER BY ts)`` sends all events of
-a key to one task.  Here each key's timeline is cut into buckets (e.g. days):
-the sequence logic runs per (key, bucket) and the only per-key window runs
-over one summary row per bucket, so a key with a third of all rows is spread
-over as many tasks as it has buckets.
+a key to one task.  Here each key's timeline is cut into buckets that grow
+with time (e.g. days): the sequence logic runs per (key, bucket), and the
+only per-key window runs over one summary row per bucket, so a key with a
+third of all rows is spread over as many tasks as it has buckets.
+
+One pass does everything: a window per (key, bucket) gives the in-bucket
+previous event and running count of session starts; a per-bucket summary
+(computed on the same partitioning, so without another shuffle) gives the
+bucket's first/last time; a small window over each key's buckets carries the
+previous bucket's last time and the number of sessions started before; one
+join puts that back on the events.
 """
 
 from __future__ import annotations
@@ -15,44 +22,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _order(cols: Sequence[str]) -> list[Column]:
-    return [F.col(c) for c in cols]
+def _gap_us(a: Column, b: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", a, b)
 
 
-def with_previous(df: DataFrame, key: str, order: Sequence[str], bucket: Column,
-                  prev: str = "prev_ts") -> DataFrame:
-    """Add the previous event's ``order[0]`` value within the key (NULL for the first)."""
+def _bucketed(df: DataFrame, key: str, order: Sequence[str], bucket: Column,
+              gap_seconds: int | None) -> DataFrame:
     ts = order[0]
+    gap = None if gap_seconds is None else gap_seconds * 1_000_000
     b = df.withColumn("_bucket", bucket)
-    in_bucket = F.lag(F.col(ts)).over(Window.partitionBy(key, "_bucket").orderBy(*_order(order)))
-    b = b.withColumn("_prev_in", in_bucket)
-    last = b.groupBy(key, "_bucket").agg(F.max(ts).alias("_last"))
-    last = last.withColumn("_prev_bucket_last",
-                           F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket"))).drop("_last")
-    out = b.join(last, [key, "_bucket"])
-    return out.withColumn(prev, F.coalesce("_prev_in", "_prev_bucket_last")).drop("_prev_in", "_prev_bucket_last", "_bucket")
+    w = Window.partitionBy(key, "_bucket").orderBy(*[F.col(c) for c in order])
+    b = b.withColumn("_prev_in", F.lag(F.col(ts)).over(w))
+    summary_aggs = [F.min(ts).alias("_first"), F.max(ts).alias("_last")]
+    if gap is not None:
+        inner = F.when(F.col("_prev_in").isNotNull() & (_gap_us(F.col("_prev_in"), F.col(ts)) > gap), 1).otherwise(0)
+        b = b.withColumn("_inner", inner)
+        b = b.withColumn("_inner_run", F.sum("_inner").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        summary_aggs.append(F.sum("_inner").alias("_n_inner"))
+    s = b.groupBy(key, "_bucket").agg(*summary_aggs)
+    wk = Window.partitionBy(key).orderBy("_bucket")
+    s = s.withColumn("_prev_last", F.lag("_last").over(wk))
+    keep = [key, "_bucket", "_prev_last"]
+    if gap is not None:
+        first_start = F.when(F.col("_prev_last").isNull() | (_gap_us(F.col("_prev_last"), F.col("_first")) > gap), 1) \
+            .otherwise(0)
+        s = s.withColumn("_first_start", first_start)
+        s = s.withColumn("_before", F.coalesce(
+            F.sum(F.col("_first_start") + F.col("_n_inner")).over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)))
+        keep += ["_first_start", "_before"]
+    return b.join(s.select(*keep), [key, "_bucket"])
 
 
-def with_session_id(df: DataFrame, key: str, order: Sequence[str], gap_seconds: int, bucket: Column,
-                    session: str = "session_id") -> DataFrame:
-    """Number each key's sessions: a new session starts when the gap to the
-    previous event exceeds ``gap_seconds`` (an event exactly at the gap joins).
+def with_previous(df: DataFrame, key: str, order: Sequence[str], bucket: Column,
+                  prev: str = "prev_ts") -> DataFrame:
+    """Add the previous event's ``order[0]`` value within the key (NULL for the first).
 
-    The id is a per-key running count of session starts: a running sum per
-    (key, bucket) plus the count of starts in the key's earlier buckets.
+    ``bucket`` must not decrease as ``order[0]`` grows (a day of the time stamp).
     """
-    ts = order[0]
-    p = with_previous(df, key, order, bucket, "_prev")
-    gap_us = F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(ts))
-    p = p.withColumn("_start", F.when(F.col("_prev").isNull() | (gap_us > gap_seconds * 1_000_000), 1).otherwise(0))
-    p = p.withColumn("_bucket", bucket)
-    run = F.sum("_start").over(Window.partitionBy(key, "_bucket").orderBy(*_order(order))
-                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    p = p.withColumn("_run", run)
-    per_bucket = p.groupBy(key, "_bucket").agg(F.sum("_start").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")
-                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_bucket = per_bucket.withColumn("_before", before).drop("_n")
-    out = p.join(per_bucket, [key, "_bucket"])
-    return out.withColumn(session, (F.col("_before") + F.col("_run")).cast("long")) \
-        .drop("_prev", "_start", "_bucket", "_run", "_before")
+    out = _bucketed(df, key, order, bucket, None)
+    return out.withColumn(prev, F.coalesce("_prev_in", "_prev_last")).drop("_prev_in", "_prev_last", "_bucket")
+
+
+def with_session_id(df: DataFrame, key: str, order: Sequence[str], gap_seconds: int, bucket: Column,
+                    session: str = "session_id") -> DataFrame:
+    """Number each key's sessions from 1: a new session starts when the gap to
+    the previous event exceeds ``gap_seconds`` (an event exactly at the gap joins)."""
+    out = _bucketed(df, key, order, bucket, gap_seconds)
+    sid = F.col("_before") + F.col("_first_start") + F.col("_inner_run")
+    return out.withColumn(session, sid.cast("long")).drop(
+        "_prev_in", "_prev_last", "_bucket", "_inner", "_inner_run", "_first_start", "_before")

@@ -26,7 +26,7 @@ from dropledger.operators.library import (
     nest_manifest,
     nest_tree,
     search_tree,
-    tree_order,
+    tree_ranks,
     union_by_name,
     union_positional,
 )
@@ -441,15 +441,8 @@ SELECT f.year, f.month, f.file_name,
 FROM files f""")
 def tree_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """The three library orders as (month rank, rank inside the month)."""
-    files = tree_files(spark, sf)
-    d = tree_order(files, "date_desc").select("year", "month", "file_name",
-                                              F.col("month_rank").alias("month_rank_desc"),
-                                              F.col("file_rank").alias("file_rank_date"))
-    a = tree_order(files, "date_asc").select("year", "month", "file_name", F.col("month_rank").alias("month_rank_asc"))
-    n = tree_order(files, "name").select("year", "month", "file_name", F.col("file_rank").alias("file_rank_name"))
-    keys = ["year", "month", "file_name"]
-    return d.join(a, keys).join(n, keys).select("year", "month", "file_name", "month_rank_desc", "month_rank_asc",
-                                                "file_rank_date", "file_rank_name")
+    return tree_ranks(tree_files(spark, sf)).select(
+        "year", "month", "file_name", "month_rank_desc", "month_rank_asc", "file_rank_date", "file_rank_name")
 
 
 # Fixed query parameter: the search text typed by the user.

@@ -49,6 +49,6 @@ def test_listing_never_reads_content(spark, tmp_dir):
     assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in p
 
 
-def test_hot_key_sequence_is_split_by_day(spark):
+def test_hot_key_sequence_is_split_by_bucket(spark):
     p = plan(q(spark, "debounce_last"), "simple")
     assert "Window" in p and "_bucket" in p

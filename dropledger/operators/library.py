@@ -103,9 +103,15 @@ def nest_manifest(entries: DataFrame, key: str, header: Sequence[Column], entry_
                       F.to_json(doc, {"ignoreNullFields": "false"}).alias("manifest_json"))
 
 
-def explode_manifest(docs: DataFrame, json_col: str, schema: str, default_version: str = "0.0.0") -> DataFrame:
-    """Parse manifest JSON and explode its ``files`` (a missing array is empty)."""
-    m = docs.select(F.from_json(F.col(json_col), schema).alias("m"))
+def explode_manifest(docs: DataFrame, json_col: str | None, schema: str | None = None,
+                     default_version: str = "0.0.0", struct_col: str | None = None) -> DataFrame:
+    """Explode manifests' ``files`` (a missing array is empty; a missing
+    ``app_version`` takes the default).  Input is either JSON text
+    (``json_col`` + ``schema``) or an already parsed struct (``struct_col``)."""
+    if struct_col is not None:
+        m = docs.select(F.col(struct_col).alias("m"))
+    else:
+        m = docs.select(F.from_json(F.col(json_col), schema).alias("m"))
     cols = [F.col(f"m.{c}") for c in m.select("m.*").columns if c not in ("files", "app_version")]
     return m.select(*cols, F.coalesce(F.col("m.app_version"), F.lit(default_version)).alias("app_version"),
                     F.posexplode_outer(F.coalesce(F.col("m.files"), F.array())).alias("pos", "f")) \
@@ -113,11 +119,11 @@ def explode_manifest(docs: DataFrame, json_col: str, schema: str, default_versio
 
 
 def manifest_upsert(files_col: str, entry: Column, code_field: str = "target_code") -> Column:
-    """Replace the entry with the same code in place, or append it."""
+    """Replace the first entry with the same code in place, or append the entry."""
     fc = F.col(files_col)
     code = entry[code_field]
-    exists = F.exists(fc, lambda x: x[code_field] == code)
-    return F.when(exists, F.transform(fc, lambda x: F.when(x[code_field] == code, entry).otherwise(x))) \
+    pos = F.array_position(F.transform(fc, lambda x: x[code_field]), code)  # 1-based, 0 if absent
+    return F.when(pos > 0, F.transform(fc, lambda x, i: F.when(i == pos - 1, entry).otherwise(x))) \
         .otherwise(F.concat(fc, F.array(entry)))
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from dropledger.functions.text import usage_label
 from dropledger.operators.changelog import fold_state
 from dropledger.operators.library import (
-    explode_manifest,
     first_links,
     flatten_tree,
     manifest_remove,
@@ -35,6 +34,8 @@ from dropledger.operators.reconcile import evict_stale, memo_lookup, precedence_
 from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
 from dropledger.plans.calendar_plans import publications
 from dropledger.plans.registry import query
+from dropledger.session import shared_scratch
+from dropledger.sources.jsondocs import read_manifests, write_manifests
 
 def _ext():
     return (F.when(F.col("lang") == "en", ".zip").when(F.col("lang") == "fr", ".csv")
@@ -353,9 +354,15 @@ SELECT e.publish_ym, CASE WHEN e.publish_ym LIKE '%\\_1' ESCAPE '\\' THEN '0.0.0
        target_code, display_name, filename, size, target_code = 'nation_7' AS is_lookup_hit
 FROM entries e""")
 def manifest_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """Manifests read back (missing version → default) and exploded; flags the
-    entry a by-code lookup returns."""
-    rows = explode_manifest(_manifests(spark, sf), "manifest_json", MANIFEST_SCHEMA)
+    """Manifests written as ``<month>/_manifest.json`` files, read back (missing
+    version → default) and exploded; flags the entry a by-code lookup returns."""
+    root = shared_scratch(spark, "manifests")
+    written = write_manifests(_manifests(spark, sf), root)
+    # The write's result (one row per month) is itself written, so the files
+    # exist before they are read and the writing stage never re-runs.
+    written.select(F.regexp_replace("path", r"/[^/]+$", "").alias("folder")) \
+        .write.mode("overwrite").parquet(root + "/_written")
+    rows = read_manifests(spark.read.parquet(root + "/_written"))
     first_hit = (rows.filter(F.col("target_code") == "nation_7")
                  .groupBy("publish_ym").agg(F.min("pos").alias("_hit_pos")))
     out = rows.join(first_hit, "publish_ym", "left")

@@ -84,7 +84,7 @@ def test_manifest_upsert_remove(spark):
     e = F.struct(F.lit("tokyo").alias("target_code"), F.lit("東京都").alias("display_name"))
     n = F.struct(F.lit("kyoto").alias("target_code"), F.lit("京都").alias("display_name"))
     r = df.select(lib.manifest_upsert("files", e).alias("a")).first()["a"]
-    assert [x["display_name"] for x in r] == ["東京都", "大阪", "東京都"]
+    assert [x["display_name"] for x in r] == ["東京都", "大阪", "dup"]  # first match only
     r = df.select(lib.manifest_upsert("files", n).alias("a")).first()["a"]
     assert [x["target_code"] for x in r] == ["tokyo", "osaka", "tokyo", "kyoto"]
     r = df.select(lib.manifest_remove("files", F.lit("tokyo")).alias("a")).first()["a"]

@@ -123,7 +123,8 @@ def jst_iso(ts) -> Column:
 
 
 def now_jst_iso() -> Column:
-    return F.concat(F.date_format(F.convert_timezone(F.lit("Asia/Tokyo"), F.current_timestamp()),
+    """Current time as JST ISO-8601 seconds text (source zone: the session's)."""
+    return F.concat(F.date_format(F.convert_timezone(None, F.lit("Asia/Tokyo"), F.current_timestamp()),
                                   "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))
 
 

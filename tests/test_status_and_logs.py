@@ -87,3 +87,23 @@ def test_duplicates_and_orphans(spark):
     pubs = spark.createDataFrame([("2026_3",)], "ym string")
     files = spark.createDataFrame([("2026_3", "a"), ("2026_9", "b")], "ym string, code string")
     assert rows(cl.orphans(files, pubs, ["ym"])) == [("2026_9", "b")]
+
+
+def test_append_log_stamps_and_partitions(spark, tmp_dir):
+    from dropledger.operators.logs import append_log
+    rows_ = spark.createDataFrame([("INFO", "test", "a"), ("ERROR", "test", "b")], "level string, category string, message string")
+    append_log(rows_, tmp_dir + "/log")
+    append_log(rows_.limit(1), tmp_dir + "/log")
+    log = spark.read.parquet(tmp_dir + "/log")
+    assert log.count() == 3
+    r = log.first()
+    assert r["ts"].endswith("+09:00") and len(r["ts"]) == 25 and str(r["day"]) == r["ts"][:10]
+
+
+def test_stats_cache_upsert_replaces_same_key(spark):
+    from dropledger.operators.reconcile import upsert_stats
+    s = "path string, length long, mtime long, row_count long, uncompressed_size long"
+    cache = spark.createDataFrame([("a", 1, 1, 10, 100), ("b", 1, 1, 20, 200)], s)
+    fresh = spark.createDataFrame([("a", 1, 1, 11, 110), ("a", 2, 2, 12, 120)], s)
+    got = sorted(tuple(r) for r in upsert_stats(cache, fresh).collect())
+    assert got == [("a", 1, 1, 11, 110), ("a", 2, 2, 12, 120), ("b", 1, 1, 20, 200)]

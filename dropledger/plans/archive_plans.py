@@ -109,7 +109,7 @@ FROM lines GROUP BY publish_ym, flag""")
 def zip_first_csv(spark: SparkSession, sf: str) -> DataFrame:
     """First CSV member per archive, its uncompressed size and newline-rule row count."""
     z = _zips(spark, sf)
-    staged = zipcsv.stage_archives(z.select("path"), shared_scratch(spark, "stage"))
+    staged = zipcsv.stage_archives(z.select("path", "length"), shared_scratch(spark, "stage"))
     return (z.join(staged, "path")
             .select("publish_ym", "file_name", "member", "uncompressed_size",
                     F.greatest(F.col("newline_count") - 1, F.lit(0)).alias("data_rows")))
@@ -117,7 +117,7 @@ def zip_first_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 def _read_all(spark: SparkSession, sf: str, zips: DataFrame) -> DataFrame:
     meta = zips.select("path", "publish_ym", "file_name")
-    merged, _ = zipcsv.read_zip_csvs(spark, zips.select("path"), shared_scratch(spark, "stage"),
+    merged, _ = zipcsv.read_zip_csvs(spark, zips.select("path", "length"), shared_scratch(spark, "stage"),
                                      annotate=meta, source_col=None)
     return merged
 
@@ -177,7 +177,7 @@ UNION ALL SELECT publish_ym, stem, 'extra.csv', CAST(4 AS BIGINT) FROM arch""")
 def zip_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Extract all members of every archive under ``<root>/<month>/<stem>/`` (replacing)."""
     z = _zips(spark, sf)
-    out = zipcsv.extract_archives(z.select("path"), shared_scratch(spark, "extracted"))
+    out = zipcsv.extract_archives(z.select("path", "length"), shared_scratch(spark, "extracted"))
     return (out.join(z.select("path", "publish_ym", "file_name"), "path")
             .select("publish_ym", F.regexp_replace("file_name", r"\.zip$", "").alias("stem"), "member", "size"))
 

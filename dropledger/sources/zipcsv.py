@@ -29,7 +29,7 @@ from collections.abc import Iterator, Sequence
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dropledger.functions.calendar import parse_month_key
@@ -102,15 +102,35 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "member", "ord", "is_dir", "file_size", "compress_size", "error"])
 
 
-def _spread(paths: DataFrame) -> DataFrame:
-    """One archive per task: the listing is one row per file, so counting it is cheap."""
-    n = max(1, paths.count())
-    return paths.repartition(n, "path")
+TASK_BYTES = 128 << 20
+
+
+def _spread(paths: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Spread archives over tasks by size.
+
+    The number of tasks is the larger of (total bytes / ``task_bytes``) and
+    twice the cluster's default parallelism, capped at one task per archive.
+    Archives are dealt round-robin in descending size order, so an archive
+    bigger than ``task_bytes`` ends up alone in its task while small ones
+    share.  The listing is one row per file, so the window ranking it and the
+    one-row aggregate sizing it are cheap.  Without a ``length`` column every
+    archive gets its own task.
+    """
+    if "length" not in paths.columns:
+        n = max(1, paths.count())
+        return paths.repartition(n, "path")
+    stats = paths.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
+    n_arch, total = stats["n"] or 0, stats["bytes"] or 0
+    par = paths.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(n_arch, max(-(-total // task_bytes), 2 * par)))
+    rank = F.row_number().over(Window.orderBy(F.col("length").desc(), F.col("path"))) - 1
+    return paths.withColumn("_bin", rank % n).repartitionByRange(n, "_bin").drop("_bin")
 
 
 def archive_members(paths: DataFrame) -> DataFrame:
     """Member listing of every archive (archive order ``ord``); unreadable → an error row."""
-    return _spread(paths.select("path")).mapInPandas(_members, MEMBER_SCHEMA)
+    cols = ["path", "length"] if "length" in paths.columns else ["path"]
+    return _spread(paths.select(*cols)).select("path").mapInPandas(_members, MEMBER_SCHEMA)
 
 
 def first_csv_members(paths: DataFrame) -> DataFrame:
@@ -307,8 +327,9 @@ def stage_archives(paths: DataFrame, stage_dir: str, chunk_bytes: int = DEFAULT_
     on a decode error) into published UTF-8 chunk files, and count its
     newline bytes and size on the way.  Returns one summary row per archive.
     """
-    return _spread(paths.select("path")).mapInPandas(_stage_fn(stage_dir, chunk_bytes, encodings, True),
-                                                     STAGE_SCHEMA)
+    cols = ["path", "length"] if "length" in paths.columns else ["path"]
+    return _spread(paths.select(*cols)).select("path").mapInPandas(
+        _stage_fn(stage_dir, chunk_bytes, encodings, True), STAGE_SCHEMA)
 
 
 def canonical_header(staged: DataFrame) -> list[str]:
@@ -448,7 +469,9 @@ def _extract_fn(root: str):
 
 def extract_archives(paths: DataFrame, root: str) -> DataFrame:
     """Extract every member of every archive under ``root/<month>/<stem>/``."""
-    return _spread(paths.select("path")).mapInPandas(_extract_fn(root), "path string, member string, size long")
+    cols = ["path", "length"] if "length" in paths.columns else ["path"]
+    return _spread(paths.select(*cols)).select("path").mapInPandas(
+        _extract_fn(root), "path string, member string, size long")
 
 
 def _bundle_fn(root: str):

@@ -52,7 +52,7 @@ def library_root(spark: SparkSession, sf: str) -> str:
         rows, root, ym=F.col("publish_ym"), label=F.concat(F.lit("flag_"), F.col("flag")),
         member=F.concat(F.lit("data_"), F.col("flag"), F.lit(".csv")),
         encoding=F.when(F.col("flag") == "R", F.lit("utf-8")).otherwise(F.lit("cp932")),
-        columns=_COLUMNS).collect()  # one small row per archive written
+        columns=_COLUMNS).write.format("noop").mode("overwrite").save()  # runs the writer job
     # Decoys the library scan must skip, and one merged CSV it must list first.
     for sub in ("not_a_month", ".hidden/2020_1", "1999_13"):
         os.makedirs(os.path.join(root, sub), exist_ok=True)

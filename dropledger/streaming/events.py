@@ -141,3 +141,22 @@ def throttle_stream_prev(requests: DataFrame, key: str, ts: str, tiebreak: str,
         _throttle_state_fn(0, ts, tiebreak), outputStructType=out_schema,
         stateStructType=f"last {requests.schema[ts].dataType.simpleString()}",
         outputMode="append", timeoutConf="NoTimeout")
+
+
+# --- streaming insert-or-ignore and log append ---------------------------------------------
+
+def insert_or_ignore_stream(rows: DataFrame, keys: list[str], ts: str, watermark: str = "1 day") -> DataFrame:
+    """Streaming insert-or-ignore: the first row of each key wins; keys are
+    remembered until the watermark passes (``dropDuplicatesWithinWatermark``)."""
+    if rows.schema[ts].dataType.simpleString() == "timestamp_ntz":
+        rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))
+    return rows.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def append_log_stream(rows: DataFrame, path: str, checkpoint: str, stamp_col: str = "ts"):
+    """Append a stream of log rows, stamped with the JST time of their micro-batch,
+    to a day-partitioned Parquet table (``availableNow``); returns the query."""
+    from dropledger.functions.text import now_jst_iso
+    stamped = rows.withColumn(stamp_col, now_jst_iso()).withColumn("day", F.substring(stamp_col, 1, 10))
+    return (stamped.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .partitionBy("day").outputMode("append").trigger(availableNow=True).start())

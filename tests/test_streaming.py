@@ -105,3 +105,20 @@ def test_landing_new_by_stream_changed_by_diff(spark, tmp_dir):
                .select("path", "length", F.col("modificationTime").alias("mtime")))
     diff = {r["path"].rsplit("/", 1)[1]: r["change"] for r in landing_diff(listing, s1.drop("v")).collect()}
     assert diff == {"a.zip": "changed", "b.zip": "unchanged", "c.zip": "new"}
+
+
+def test_insert_or_ignore_stream_and_log_append(spark, tmp_dir):
+    src = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("user_id", "event_type", "ts")
+    d = os.path.join(tmp_dir, "assign")
+    src.repartition(3).write.parquet(d)
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(d)
+    got = _run(spark, ev.insert_or_ignore_stream(stream, ["user_id", "event_type"], "ts", "3650 days"),
+               tmp_dir, "append", "dedup")
+    keys = [(r["user_id"], r["event_type"]) for _, b in got for r in b]
+    assert len(keys) == len(set(keys)) == src.select("user_id", "event_type").distinct().count()
+    q = ev.append_log_stream(spark.readStream.schema(src.schema).parquet(d).select(
+        F.col("event_type").alias("level"), F.lit("stream").alias("category"),
+        F.col("user_id").cast("string").alias("message")), tmp_dir + "/log", tmp_dir + "/ckpt-log")
+    q.awaitTermination(300)
+    log = spark.read.parquet(tmp_dir + "/log")
+    assert log.count() == src.count() and log.first()["ts"].endswith("+09:00")

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from dropledger.plans.bindings import t
 from dropledger.plans.registry import query
 from dropledger.session import shared_scratch
-from dropledger.sources import zipcsv
+from dropledger.operators.library import nest_manifest
+from dropledger.sources import jsondocs, zipcsv
+from dropledger.sources.library import scan_library
 
 _COLUMNS = ["orderkey", "linenumber", "quantity", "shipdate", "note"]
 _LIBS: dict[tuple[str, str], str] = {}
@@ -60,10 +62,33 @@ def library_root(spark: SparkSession, sf: str) -> str:
             fh.write(b"not an archive")
     with open(os.path.join(root, "1995_3", zipcsv.MERGED_CSV_NAME), "w", encoding="cp932") as fh:
         fh.write("orderkey\n1\n")
+    # Manifests for the March-ending months (derived from the rows), and one
+    # folder whose manifest is not valid JSON (the library view drops it).
+    jsondocs.write_manifests(_fixture_manifests(rows), root).write.format("noop").mode("overwrite").save()
+    with open(os.path.join(root, BROKEN_MANIFEST_YM, jsondocs.MANIFEST_FILE_NAME), "w") as fh:
+        fh.write("{not json")
     _LIBS[key] = root
     return root
 
 
+BROKEN_MANIFEST_YM = "1996_6"
+
+
+def _fixture_manifests(rows: DataFrame) -> DataFrame:
+    m = rows.filter(F.col("publish_ym").endswith("_3")).groupBy("publish_ym", "flag").agg(F.count(F.lit(1)).alias("n"))
+    entries = m.select(
+        "publish_ym", F.lower("flag").alias("target_code"),
+        F.concat(F.lit("Flag "), F.col("flag"), F.lit(" "), F.col("publish_ym")).alias("display_name"),
+        F.concat(F.lit("flag_"), F.col("flag"), F.lit(".zip")).alias("filename"),
+        F.lit("https://example.invalid/").alias("source_url"), F.col("n").alias("size"),
+        F.lit("m").alias("sha256"), F.lit("2026-05-01T10:00:00+09:00").alias("downloaded_at"))
+    header = [F.concat(F.first("publish_ym"), F.lit("-01")).alias("publish_date"),
+              F.lit("2026-05-01T10:00:00+09:00").alias("downloaded_at"),
+              F.lit("https://example.invalid/d/").alias("source_dir_url"), F.lit("1.0").alias("app_version")]
+    return nest_manifest(entries, "publish_ym", header,
+                         ["target_code", "display_name", "filename", "source_url", "size", "sha256", "downloaded_at"])
+
+
 def _zips(spark: SparkSession, sf: str) -> DataFrame:
     return zipcsv.library_listing(spark, library_root(spark, sf)).filter(F.col("kind") == 1)
 
@@ -191,3 +216,54 @@ def bundle_by_month(spark: SparkSession, sf: str) -> DataFrame:
     lst = zipcsv.library_listing(spark, library_root(spark, sf))
     b = zipcsv.bundle_months(lst, shared_scratch(spark, "bundles"))
     return b.select("publish_ym", "n_members", "members")
+
+
+def _fixture_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    r = archive_rows(spark, sf).filter(F.col("publish_ym").endswith("_9")).select("publish_ym", "flag").distinct()
+    return r.select("publish_ym", F.concat(F.lit("c_"), F.lower("flag")).alias("target_code"),
+                    F.concat(F.lit("FLAG "), F.col("flag")).alias("display_name"),
+                    F.concat(F.lit("old/"), F.col("publish_ym"), F.lit("/flag_"), F.col("flag"), F.lit(".zip")).alias("file_path"),
+                    F.lit("c").alias("sha256"), F.lit(None).cast("string").alias("source_url"),
+                    F.lit(None).cast("string").alias("downloaded_at"), F.lit("ok").alias("status"))
+
+
+def _fixture_publications(spark: SparkSession, sf: str) -> DataFrame:
+    li = t(spark, sf, "lineitem")
+    return li.groupBy(_ym("l_shipdate").alias("publish_ym")).agg(
+        F.when(F.count_if(F.col("l_linestatus") == "O") > 0, F.lit("partial")).otherwise(F.lit("complete")).alias("status"))
+
+
+@query("library_view", f"""
+WITH {_ROWS_SQL},
+pubs AS (SELECT publish_ym, CASE WHEN count_if(flag IS NOT NULL AND note LIKE '%O%') > 0 THEN 'partial' ELSE 'complete' END AS st
+         FROM rows GROUP BY publish_ym),
+files AS (SELECT DISTINCT publish_ym, 'flag_' || flag || '.zip' AS file_name, 1 AS kind, flag FROM rows WHERE publish_ym <> '1996_6'
+          UNION ALL SELECT '1995_3', '統合.csv', 0, NULL),
+v AS (
+  SELECT f.publish_ym, f.file_name, f.kind,
+         CAST(split_part(f.publish_ym, '_', 1) AS INTEGER) AS y, CAST(split_part(f.publish_ym, '_', 2) AS INTEGER) AS m,
+         CASE WHEN kind = 0 THEN '統合CSV' WHEN ends_with(f.publish_ym, '_3') THEN 'Flag ' || flag || ' ' || f.publish_ym
+              WHEN ends_with(f.publish_ym, '_9') THEN 'FLAG ' || flag ELSE 'flag_' || flag END AS display_name,
+         CASE WHEN kind = 0 THEN 'merged' WHEN ends_with(f.publish_ym, '_3') THEN lower(flag)
+              WHEN ends_with(f.publish_ym, '_9') THEN 'c_' || lower(flag) END AS target_code,
+         CASE WHEN kind = 0 THEN NULL WHEN ends_with(f.publish_ym, '_3') THEN 'm'
+              WHEN ends_with(f.publish_ym, '_9') THEN 'c' END AS sha256,
+         CASE WHEN kind = 1 AND ends_with(f.publish_ym, '_9') THEN 'ok' END AS status,
+         CASE WHEN kind = 0 THEN 'merged' WHEN ends_with(f.publish_ym, '_3') THEN 'manifest'
+              WHEN ends_with(f.publish_ym, '_9') THEN 'catalogue' ELSE 'disk' END AS source_kind,
+         p.st
+  FROM files f LEFT JOIN pubs p ON f.publish_ym = p.publish_ym),
+mr AS (SELECT DISTINCT y, m FROM v)
+SELECT publish_ym, file_name, kind, display_name, target_code, sha256, status, source_kind, true AS needs_stats,
+       CAST(y AS VARCHAR) || '年' || CAST(m AS VARCHAR) || '月分 (' || publish_ym || ')'
+         || CASE WHEN st IS NULL THEN '' ELSE ' [' || st || ']' END AS month_label,
+       (SELECT count(*) FROM mr WHERE mr.y > v.y OR (mr.y = v.y AND mr.m > v.m)) + 1 AS month_rank,
+       row_number() OVER (PARTITION BY publish_ym ORDER BY display_name) AS file_rank
+FROM v""")
+def library_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The library view sorted by name: manifest, catalogue or file stem per file,
+    month status labels, and the folder with a broken manifest left out."""
+    v = scan_library(spark, library_root(spark, sf), catalogue=_fixture_catalogue(spark, sf),
+                     publications=_fixture_publications(spark, sf), sort="name")
+    return v.select("publish_ym", "file_name", "kind", "display_name", "target_code", "sha256", "status",
+                    "source_kind", "needs_stats", "month_label", "month_rank", "file_rank")

@@ -333,7 +333,7 @@ _NEST_SQL = ENTRIES_SQL + """, docs AS (
   SELECT publish_ym, count(*) AS n_files,
          to_json(struct_pack(publish_ym := publish_ym, publish_date := first(publish_ym || '/01'),
                  downloaded_at := max(downloaded_at), source_dir_url := 'https://example.invalid/' || publish_ym,
-                 app_version := CASE WHEN publish_ym LIKE '%\\_1' ESCAPE '\\' THEN NULL ELSE '1.0' END,
+                 app_version := CASE WHEN ends_with(publish_ym, '_1') THEN NULL ELSE '1.0' END,
                  files := list(struct_pack(target_code := target_code, display_name := display_name, filename := filename,
                                            source_url := source_url, size := size, sha256 := sha256,
                                            downloaded_at := downloaded_at) ORDER BY target_code, display_name, filename,
@@ -349,7 +349,7 @@ def manifest_nest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("manifest_explode", ENTRIES_SQL + """
-SELECT e.publish_ym, CASE WHEN e.publish_ym LIKE '%\\_1' ESCAPE '\\' THEN '0.0.0' ELSE '1.0' END AS app_version,
+SELECT e.publish_ym, CASE WHEN ends_with(e.publish_ym, '_1') THEN '0.0.0' ELSE '1.0' END AS app_version,
        CAST(row_number() OVER (PARTITION BY e.publish_ym ORDER BY target_code) - 1 AS INTEGER) AS pos,
        target_code, display_name, filename, size, target_code = 'nation_7' AS is_lookup_hit
 FROM entries e""")

@@ -53,3 +53,42 @@ def test_overrides_roundtrip_and_bad_input(spark, tmp_dir):
         fh.write('{"targets": "not a list"}')
     for p in (tmp_dir + "/bad.json", tmp_dir + "/absent.json"):
         assert jd.read_overrides(spark, p).count() == 0
+
+
+def test_scan_library_end_to_end(spark, tmp_dir):
+    import zipfile
+
+    from dropledger.sources.library import scan_library
+    root = tmp_dir + "/lib"
+
+    def z(path, text):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with zipfile.ZipFile(path, "w") as zf:
+            zf.writestr("a.csv", text)
+
+    z(f"{root}/2026_3/tokyo.zip", "h\n1\n")
+    z(f"{root}/2026_3/osaka.zip", "h\n1\n2\n")
+    z(f"{root}/2026_4/nara.zip", "h\n")
+    z(f"{root}/2026_5/kyoto.zip", "h\n")
+    z(f"{root}/2025_12/aomori.zip", "h\n")
+    entry = {"target_code": "tokyo", "display_name": "東京都", "filename": "tokyo.zip", "source_url": "u",
+             "size": 1, "sha256": "h1", "downloaded_at": "t"}
+    with open(f"{root}/2026_3/{jd.MANIFEST_FILE_NAME}", "w", encoding="utf-8") as fh:
+        json.dump(_doc("2026_3", [entry]), fh, ensure_ascii=False)
+    with open(f"{root}/2026_5/{jd.MANIFEST_FILE_NAME}", "w") as fh:
+        fh.write("{broken")
+    cat = spark.createDataFrame([("2026_3", "osaka", "大阪府", "x/osaka.zip", "h2", None, None, "ok"),
+                                 ("2026_3", "osaka2", "大阪", "y/osaka.zip", "h3", None, None, "ok")],
+                                "publish_ym string, target_code string, display_name string, file_path string, "
+                                "sha256 string, source_url string, downloaded_at string, status string")
+    pubs = spark.createDataFrame([("2026_3", "complete")], "publish_ym string, status string")
+    v = scan_library(spark, root, catalogue=cat, publications=pubs, sort="date_asc")
+    got = {(r["publish_ym"], r["file_name"]): r for r in v.collect()}
+    assert ("2026_5", "kyoto.zip") not in got                         # broken manifest: folder dropped
+    assert got[("2026_3", "tokyo.zip")]["display_name"] == "東京都"
+    assert (got[("2026_3", "osaka.zip")]["display_name"], got[("2026_3", "osaka.zip")]["target_code"]) == ("大阪", "osaka2")
+    assert got[("2026_4", "nara.zip")]["display_name"] == "nara" and got[("2026_4", "nara.zip")]["needs_stats"]
+    assert got[("2026_3", "tokyo.zip")]["month_label"] == "2026年3月分 (2026_3) [complete]"
+    order = sorted(got.values(), key=lambda r: (r["month_rank"], r["file_rank"]))
+    assert [(r["publish_ym"], r["file_name"]) for r in order] == [
+        ("2026_3", "osaka.zip"), ("2026_3", "tokyo.zip"), ("2026_4", "nara.zip"), ("2025_12", "aomori.zip")]

@@ -147,3 +147,24 @@ def test_library_listing_and_bundle_and_extract(spark, tmp_dir):
     zc.extract_archives(lst.filter(F.col("kind") == 1), tmp_dir + "/ex").collect()  # replaces, no error
     m, _ = zc.read_zip_csvs(spark, lst.filter(F.col("kind") == 1), tmp_dir + "/stage")
     assert sorted(rows(m, "region", "volume")) == [("kanagawa", "200"), ("tokyo", "100")]
+
+
+def test_file_hashes_and_size_first_reconcile(spark, tmp_dir):
+    import hashlib
+    files = {}
+    for name, data in (("a.zip", b"x" * 5000), ("b.zip", b"y" * 10), ("c.zip", b"z" * 10)):
+        p = os.path.join(tmp_dir, name)
+        with open(p, "wb") as fh:
+            fh.write(data)
+        files[name] = (p, hashlib.sha256(data).hexdigest(), len(data))
+    paths = spark.createDataFrame([("file:" + p, n) for p, _, n in files.values()], "path string, length long")
+    got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in zc.file_hashes(paths, block=1024).collect()}
+    assert got == {k: v[1] for k, v in files.items()}
+    targets = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "target string")
+    recorded = spark.createDataFrame([("a", files["a.zip"][1], 5000), ("b", files["c.zip"][1], 10),
+                                      ("c", files["c.zip"][1], 11), ("d", "h", 1)],
+                                     "target string, sha256 string, size long")
+    landed = spark.createDataFrame([(k[0], "file:" + v[0], v[2]) for k, v in files.items()] + [("e", "file:/nope", 3)],
+                                   "target string, path string, length long")
+    r = dict(rows(zc.reconcile_files(targets, recorded, landed)))
+    assert r == {"a": "skip", "b": "changed", "c": "changed", "d": "missing", "e": "new"}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +71,3 @@ def selection_summary(selected_count: Column, total_count: Column) -> Column:
                   ).otherwise(F.concat(selected_count.cast("string"), F.lit(" / "),
                                        total_count.cast("string"), F.lit(" 地域")))
 
-
-def ordered_codes(df: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    return df.orderBy(*order_cols)

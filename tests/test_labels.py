@@ -68,3 +68,26 @@ def test_export_name(spark):
     df = spark.createDataFrame([("2026_3",)], "ym string")
     got = df.select(tx.export_name("ym", F.lit("csv"), F.lit("2026-05-01 10:11:12").cast("timestamp_ntz"))).first()[0]
     assert got == "export_2026_3_20260501_101112.csv"
+
+
+def test_region_master_lookups(spark):
+    import pytest
+
+    from dropledger.plans.dimension_plans import by_code, by_region
+    from dropledger.plans.bindings import targets
+    from tests.conftest import SF_SMALL
+    m = targets(spark, SF_SMALL)
+    assert m.count() == 25 and sorted(r[0] for r in m.select("target_order").collect()) == list(range(1, 26))
+    assert by_code(m, "nation_3").first()["display_name"] == "NATION_3"
+    with pytest.raises(KeyError):
+        by_code(m, "atlantis")
+    asia = [r["target_order"] for r in by_region(m, "ASIA").collect()]
+    assert asia == sorted(asia) and len(asia) == 5
+
+
+def test_cache_key_and_month_folders(spark):
+    from dropledger.sources.jsondocs import month_folders
+    df = spark.createDataFrame([("/lib/2026_3/a.zip", 10, 99), ("/lib/2026_3/b.zip", 1, 1), ("/lib/2026_4/c.zip", 1, 1)],
+                               "path string, length long, mtime long")
+    assert df.select(tx.cache_key("path", "length", "mtime")).first()[0] == '["/lib/2026_3/a.zip","10","99"]'
+    assert sorted(r[0] for r in month_folders(df).collect()) == ["/lib/2026_3", "/lib/2026_4"]

@@ -72,15 +72,21 @@ def export_name(publish_ym, suffix, stamp_ts, prefix: str = "export") -> Column:
                     F.date_format(_c(stamp_ts), "yyyyMMdd_HHmmss"), F.lit("."), _c(suffix))
 
 
+# Fixed value: usage label when the library root or its volume is unavailable.
+USAGE_UNKNOWN = "— / —（—% 使用）"
+
+
 def usage_label(library_bytes, capacity_bytes) -> Column:
-    """``a GB / b GB（p% 使用）``; percent is 0 for a zero capacity."""
+    """``a GB / b GB（p% 使用）``; percent is 0 for a zero capacity; unknown
+    sizes (NULL: no root, unreadable volume) give the placeholder label."""
     lib, cap = _c(library_bytes), _c(capacity_bytes)
     pct = F.when(cap == 0, F.lit(0).cast("decimal(24,1)")).otherwise(
         F.bround(lib.cast("decimal(20,0)") * F.lit(100).cast("decimal(20,0)") / cap.cast("decimal(20,0)"), 1)
         .cast("decimal(24,1)"))
-    return F.concat(_ratio(lib, GIB, 2).cast("string"), F.lit(" GB / "),
-                    _ratio(cap, GIB, 2).cast("string"), F.lit(" GB（"),
-                    pct.cast("string"), F.lit("% "), F.lit(USAGE_WORD), F.lit("）"))
+    label = F.concat(_ratio(lib, GIB, 2).cast("string"), F.lit(" GB / "),
+                     _ratio(cap, GIB, 2).cast("string"), F.lit(" GB（"),
+                     pct.cast("string"), F.lit("% "), F.lit(USAGE_WORD), F.lit("）"))
+    return F.coalesce(label, F.lit(USAGE_UNKNOWN))
 
 
 def scope_key(publish_ym, target_code, file_name) -> Column:

@@ -43,10 +43,11 @@ def test_month_year_labels(spark):
 
 
 def test_usage_label(spark):
-    df = spark.createDataFrame([(int(2.5 * 1024 ** 3), 100 * 1024 ** 3), (5, 0)], "a long, b long")
+    df = spark.createDataFrame([(int(2.5 * 1024 ** 3), 100 * 1024 ** 3), (5, 0), (None, 7)], "a long, b long")
     got = [r[0] for r in df.select(tx.usage_label("a", "b")).collect()]
     assert got[0] == "2.50 GB / 100.00 GB（2.5% 使用）"
     assert got[1] == "0.00 GB / 0.00 GB（0.0% 使用）"
+    assert got[2] == "— / —（—% 使用）"
 
 
 def test_keys_and_matching(spark):

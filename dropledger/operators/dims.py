@@ -6,31 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_rows(df: DataFrame, max_rows: int, what: str = "dimension") -> list:
-    """Collect a dimension known to be small, failing loudly if it is not.
-
-    Only for tables with a domain bound (the region master has one row per
-    region); never for data that grows with the input.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} exceeds its bound of {max_rows} rows")
-    return rows
-
-
 def explode_dimension(df: DataFrame, dim: DataFrame, alias: str = "_dim",
                       max_rows: int = 1000) -> DataFrame:
     """Pair every row of ``df`` with every row of a bounded dimension.
 
-    The dimension is collected once (size-checked) and attached as a literal
-    array that each row explodes: a local generator, no shuffle, no join.
+    The dimension becomes one array through a scalar subquery (evaluated
+    once, inside the plan; the query fails if the array passes ``max_rows``)
+    and each row explodes it: a local generator, no join, no driver trip.
     """
-    rows = bounded_rows(dim, max_rows, "dimension to pair with")
-    fields = dim.schema
-    structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
-    if not structs:
-        return df.limit(0).select(*df.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-    return df.withColumn(alias, F.explode(F.array(*structs))).select(*df.columns, f"{alias}.*")
+    arr = dim.select(F.collect_list(F.struct(*[F.col(c) for c in dim.columns]))).scalar()
+    guarded = F.when(F.size(arr) > max_rows,
+                     F.raise_error(F.lit(f"dimension exceeds its bound of {max_rows} rows"))).otherwise(arr)
+    return df.withColumn(alias, F.explode(guarded)).select(*df.columns, f"{alias}.*")
 
 
 def apply_overrides(master: DataFrame, overrides: DataFrame, code: str = "code",

@@ -54,10 +54,10 @@ def target_select(spark: SparkSession, sf: str) -> DataFrame:
     master = targets(spark, sf)
     sel = spark.createDataFrame([(c,) for c in SELECTION], "code string")
     chosen = select_targets(master, sel).select("code", "target_order")
-    # Both counts are scalars over the bounded master (one row per region).
-    n, total = chosen.count(), master.count()
-    return chosen.select("code", "target_order",
-                         selection_summary(F.lit(n), F.lit(total)).alias("summary"))
+    # Both counts are scalar subqueries over the bounded master, evaluated in the plan.
+    n = chosen.select(F.count(F.lit(1))).scalar()
+    total = master.select(F.count(F.lit(1))).scalar()
+    return chosen.select("code", "target_order", selection_summary(n, total).alias("summary"))
 
 
 @query("valid_codes", sql_with(TARGETS_SQL) + """

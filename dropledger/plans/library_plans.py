@@ -172,8 +172,8 @@ WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)""")
 def latest_generation(spark: SparkSession, sf: str) -> DataFrame:
     """Accept only results of the current (latest) generation."""
     e = t(spark, sf, "events").select("event_id", "user_id", F.to_date("ts").alias("generation"))
-    current = e.agg(F.max("generation").alias("generation"))  # one row
-    return e.join(F.broadcast(current), "generation").select("event_id", "user_id", "generation")
+    current = e.select(F.max("generation")).scalar()  # scalar subquery: the current generation
+    return e.filter(F.col("generation") == current)
 
 
 _MERGE_FIELDS = ["display_name", "target_code", "sha256", "source_url", "downloaded_at"]

@@ -15,6 +15,7 @@ from dropledger.functions.text import basename, file_label, month_label, stem
 from dropledger.operators.changelog import fold_state
 from dropledger.operators.library import tree_ranks
 from dropledger.operators.reconcile import memo_lookup, precedence_merge
+from dropledger.session import shared_scratch
 from dropledger.sources.jsondocs import MANIFEST_FILE_NAME, MANIFEST_SCHEMA, _read_text_fn
 from dropledger.sources.zipcsv import MERGED_CSV_DISPLAY, library_listing
 
@@ -39,7 +40,12 @@ def scan_library(spark: SparkSession, root: str, catalogue: DataFrame | None = N
     """
     lst = library_listing(spark, root).withColumn("folder", _folder())
     folders = lst.select("folder").distinct()
-    texts = folders.mapInPandas(_read_text_fn(MANIFEST_FILE_NAME), "folder string, text string")
+    # One small row per folder, read by Python tasks once and kept as a table
+    # (it feeds both the folder check and the entries).
+    texts_path = shared_scratch(spark, "manifest-texts")
+    folders.mapInPandas(_read_text_fn(MANIFEST_FILE_NAME), "folder string, text string") \
+        .write.mode("overwrite").parquet(texts_path)
+    texts = spark.read.parquet(texts_path)
     parsed = texts.select("folder", F.from_json("text", MANIFEST_SCHEMA).alias("m"))
     bad = parsed.filter(F.col("m.publish_ym").isNull()).select("folder")
     lst = lst.join(bad, "folder", "left_anti")

@@ -3,8 +3,9 @@
 Work split:
 * listing is ``binaryFile`` metadata only (``content`` is never selected, so
   archives of several GB are not loaded);
-* everything that touches archive bytes runs in ``mapInPandas`` tasks, one
-  archive per task, streaming (never a whole member in memory);
+* everything that touches archive bytes runs in ``mapInPandas`` tasks,
+  streaming (never a whole member in memory), with archives spread over
+  tasks by size (a big archive alone in its task, small ones sharing);
 * staging decodes each CSV member to UTF-8 once and cuts it into
   quote-safe chunk files (header repeated in each), so Spark's JVM CSV
   parser reads them in parallel, with ``multiLine`` correctness;
@@ -322,7 +323,7 @@ def stage_members(firsts: DataFrame, stage_dir: str, chunk_bytes: int = DEFAULT_
 
 def stage_archives(paths: DataFrame, stage_dir: str, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
                    encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """One streaming pass per archive (one archive per task): pick the first
+    """One streaming pass per archive (archives spread by size): pick the first
     CSV member, decode it (cp932 → shift_jis → utf-8, restarting from byte 0
     on a decode error) into published UTF-8 chunk files, and count its
     newline bytes and size on the way.  Returns one summary row per archive.

@@ -162,6 +162,21 @@ def merge_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(dest).select("publish_ym", *_COLUMNS)
 
 
+@query("merge_export", f"WITH {_ROWS_SQL} SELECT {', '.join(_COLUMNS)} FROM rows")
+def merge_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged cp932 CSV of all archives (ordered part files, one header),
+    decoded and parsed back."""
+    stage = shared_scratch(spark, "stage")
+    zips = _zips(spark, sf)
+    stage_summary = stage + "/_summary"
+    zipcsv.stage_archives(zips.select("path", "length"), stage).write.mode("overwrite").parquet(stage_summary)
+    staged = spark.read.parquet(stage_summary)
+    dest = shared_scratch(spark, "export")
+    zipcsv.export_merged_cp932(staged, dest).write.mode("overwrite").parquet(dest + "/_parts")
+    names = zipcsv.canonical_header(staged)
+    return zipcsv.read_cp932_parts(spark.read.parquet(dest + "/_parts"), names).select(*_COLUMNS)
+
+
 # Fixed query parameters: selected targets, export month and file cap.
 SELECTED_FLAGS = ["A", "R"]
 EXPORT_YM, EXPORT_MAX_FILES = "1997_6", 2

@@ -168,3 +168,14 @@ def test_file_hashes_and_size_first_reconcile(spark, tmp_dir):
                                    "target string, path string, length long")
     r = dict(rows(zc.reconcile_files(targets, recorded, landed)))
     assert r == {"a": "skip", "b": "changed", "c": "changed", "d": "missing", "e": "new"}
+
+
+def test_ordered_cp932_export_concatenates_to_one_file(spark, tmp_dir):
+    a = _zip(f"{tmp_dir}/2.zip", [("b.csv", "都道府県,件数\n東京,1\n大阪,2\n".encode("cp932"))])
+    b = _zip(f"{tmp_dir}/1.zip", [("a.csv", "x,y\n北海道,0\n")])
+    c = _zip(f"{tmp_dir}/3.zip", [("c.csv", "p,q\n")])
+    d = _zip(f"{tmp_dir}/4.zip", [("d.csv", 'p,q\n"沖\n縄",9\n')])
+    _, staged = _read(spark, tmp_dir, [a, b, c, d], chunk_bytes=8)
+    parts = zc.export_merged_cp932(staged, tmp_dir + "/exp").collect()
+    data = b"".join(open(r["part"], "rb").read() for r in sorted(parts, key=lambda r: r["part"]))
+    assert data.decode("cp932") == 'x,y\n北海道,0\n東京,1\n大阪,2\n"沖\n縄",9\n'

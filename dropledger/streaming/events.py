@@ -116,7 +116,7 @@ def throttle(requests: DataFrame, key: str, ts: str, tiebreak: str, forced: Colu
     return p.withColumn("run", run).withColumn("reason", reason).drop("_prev", "_done", "_folder")
 
 
-def _throttle_state_fn(interval_us: int, ts: str, tiebreak: str):
+def _throttle_state_fn(ts: str, tiebreak: str):
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         last = state.get[0] if state.exists else None
         frames = [p for p in pdfs]
@@ -138,7 +138,7 @@ def throttle_stream_prev(requests: DataFrame, key: str, ts: str, tiebreak: str,
     the last request time per key across micro-batches and adds ``_prev``;
     the decision itself is the same column expression as in :func:`throttle`."""
     return requests.groupBy(key).applyInPandasWithState(
-        _throttle_state_fn(0, ts, tiebreak), outputStructType=out_schema,
+        _throttle_state_fn(ts, tiebreak), outputStructType=out_schema,
         stateStructType=f"last {requests.schema[ts].dataType.simpleString()}",
         outputMode="append", timeoutConf="NoTimeout")
 

@@ -33,3 +33,41 @@ def keys_with_tag(assignments: DataFrame, chosen_tags: DataFrame, scope: str) ->
     """Scope keys carrying any of the chosen tags (order unspecified)."""
     a = assignments.filter(F.col("scope") == scope)
     return a.join(chosen_tags.select("tag_id"), "tag_id", "left_semi").select("scope_key")
+
+
+def create_tags(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Add tags (name, color) with fresh ids; a name that exists already, or
+    repeats in the batch, is an error (unique names).
+
+    The uniqueness check is one aggregate evaluated before anything is
+    returned; ids continue after the largest existing id, in name order over
+    the new batch (a batch of user-created tags is small).
+    """
+    from pyspark.sql import Window
+    names = existing.select("name").unionAll(new.select("name"))
+    dupes = names.groupBy("name").count().filter(F.col("count") > 1).limit(1).collect()
+    if dupes:
+        raise ValueError(f"tag name already exists: {dupes[0]['name']}")
+    base = existing.select(F.coalesce(F.max("tag_id"), F.lit(0))).scalar()
+    fresh = new.withColumn("tag_id", (base + F.row_number().over(Window.orderBy("name"))).cast("long"))
+    return existing.unionByName(fresh.select(*existing.columns))
+
+
+def coordinated_delete(delete_set: DataFrame, catalogue: DataFrame, bridge: DataFrame, manifest: DataFrame,
+                       ym: str = "publish_ym", code: str = "target_code"):
+    """Delete files from catalogue, tag bridge and manifest together.
+
+    Each store is handled independently (an anti join); a file without a
+    code touches none of them (only the file itself goes).  Returns the three
+    new tables and a (store, removed, remaining) report.
+    """
+    d = delete_set.filter(F.col(code).isNotNull() & (F.col(code) != "")).select(ym, code).distinct()
+    keys = [ym, code]
+    sk = d.select(F.concat(F.col(ym), F.lit("/"), F.col(code)).alias("scope_key"))
+    new_cat = catalogue.join(d, keys, "left_anti")
+    new_bridge = bridge.join(sk, "scope_key", "left_anti")
+    new_manifest = manifest.join(d, keys, "left_anti")
+    report = (split_by_delete_set(catalogue, d, keys, "catalogue")
+              .unionByName(split_by_delete_set(bridge, sk, ["scope_key"], "tag_bridge"))
+              .unionByName(split_by_delete_set(manifest, d, keys, "manifest")))
+    return new_cat, new_bridge, new_manifest, report

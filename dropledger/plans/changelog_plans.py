@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from dropledger.operators.changelog import (
     remove_matching,
     toggle_parity,
 )
-from dropledger.operators.tags import split_by_delete_set
+from dropledger.operators.tags import coordinated_delete
 from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
 from dropledger.plans.calendar_plans import PUBS_SQL, publications
 from dropledger.plans.registry import query
@@ -140,18 +138,12 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     """One delete set applied to catalogue, tag bridge and manifest; counts per store."""
     log = file_log(spark, sf)
     keys = ["publish_ym", "target_code"]
-    dset = (log.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
-            .select(*keys).distinct())
+    dset = log.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")).select(*keys)
     catalogue = fold_state(log, keys=keys, seq=_SEQ, last=["outcome"]).select(*keys)
     scope_key = F.concat(F.col("publish_ym"), F.lit("/"), F.col("target_code"))
     bridge = log.select(F.col("o_orderpriority").alias("tag"), scope_key.alias("scope_key")).distinct()
     manifest = log.filter(F.col("outcome") == "succeeded").select(*keys).distinct()
-    parts = [
-        split_by_delete_set(catalogue, dset, keys, "catalogue"),
-        split_by_delete_set(bridge, dset.select(scope_key.alias("scope_key")), ["scope_key"], "tag_bridge"),
-        split_by_delete_set(manifest, dset, keys, "manifest"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return coordinated_delete(dset, catalogue, bridge, manifest)[3]
 
 
 @query("unique_violations", "SELECT p_name AS name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")

@@ -107,3 +107,26 @@ def test_stats_cache_upsert_replaces_same_key(spark):
     fresh = spark.createDataFrame([("a", 1, 1, 11, 110), ("a", 2, 2, 12, 120)], s)
     got = sorted(tuple(r) for r in upsert_stats(cache, fresh).collect())
     assert got == [("a", 1, 1, 11, 110), ("a", 2, 2, 12, 120), ("b", 1, 1, 20, 200)]
+
+
+def test_create_tags_unique_names(spark):
+    from dropledger.operators.tags import create_tags
+    existing = spark.createDataFrame([(1, "important", "#ff0000")], "tag_id long, name string, color string")
+    new = spark.createDataFrame([("later", None), ("check", "#00ff00")], "name string, color string")
+    got = sorted(rows(create_tags(existing, new), "tag_id", "name"))
+    assert got == [(1, "important"), (2, "check"), (3, "later")]
+    with pytest.raises(ValueError, match="important"):
+        create_tags(existing, spark.createDataFrame([("important", None)], "name string, color string"))
+
+
+def test_coordinated_delete_skips_files_without_code(spark):
+    from dropledger.operators.tags import coordinated_delete
+    S = "publish_ym string, target_code string"
+    cat = spark.createDataFrame([("2026_3", "tokyo"), ("2026_3", "osaka")], S)
+    man = spark.createDataFrame([("2026_3", "tokyo")], S)
+    bridge = spark.createDataFrame([(1, "file", "2026_3/tokyo"), (2, "file", "2026_3/統合.csv")],
+                                   "tag_id int, scope string, scope_key string")
+    dset = spark.createDataFrame([("2026_3", "tokyo"), ("2026_3", None)], S)
+    c, b, m, report = coordinated_delete(dset, cat, bridge, man)
+    assert rows(c) == [("2026_3", "osaka")] and m.count() == 0 and rows(b, "tag_id") == [(2,)]
+    assert sorted(rows(report)) == [("catalogue", 1, 1), ("manifest", 1, 0), ("tag_bridge", 1, 1)]

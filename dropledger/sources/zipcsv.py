@@ -42,6 +42,7 @@ MERGED_CSV_DISPLAY = "統合CSV"
 MONTH_DIR_PATTERN = r"/(\d{4}_\d{1,2})/[^/]+$"
 
 READ_BLOCK = 1 << 20
+MAX_BROADCAST_ARCHIVES = 1_000_000  # per-archive tag rows (~100 bytes each) above this are joined by shuffle
 DEFAULT_CHUNK_BYTES = 128 << 20
 
 
@@ -385,6 +386,10 @@ def read_staged(spark: SparkSession, staged: DataFrame, stage_dir: str,
     if not source_col:
         tags = tags.drop("path")
     aid = F.regexp_extract(F.input_file_name(), r"/ok/([0-9a-f]{16})/part-\d+\.csv$", 1)
+    # One tag row per archive: broadcast it (after checking its size) so the
+    # merged rows themselves are never shuffled for this join.
+    if tags.limit(MAX_BROADCAST_ARCHIVES + 1).count() <= MAX_BROADCAST_ARCHIVES:
+        tags = F.broadcast(tags)
     return df.withColumn("_aid", aid).join(tags, "_aid").drop("_aid")
 
 

@@ -103,7 +103,8 @@ def throttle(requests: DataFrame, key: str, ts: str, tiebreak: str, forced: Colu
     folder complete → no; else run."""
     p = with_previous(requests.withColumn("_folder", folder), key, [ts, tiebreak], hour_bucket(ts), "_prev")
     done = complete_folders.select(F.col("folder").alias("_folder")).distinct().withColumn("_done", F.lit(True))
-    p = p.join(done, "_folder", "left")
+    # Month folders are bounded by the calendar: broadcast them instead of shuffling the requests.
+    p = p.join(F.broadcast(done), "_folder", "left")
     within = F.col("_prev").isNotNull() & (
         F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(ts)) < interval_hours * 3600 * 1_000_000)
     reason = (F.when(forced, F.lit(REASON_FORCED))

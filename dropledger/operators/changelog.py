@@ -52,11 +52,20 @@ def fold_state(log: DataFrame, keys: Sequence[str], seq: str | Sequence[str],
     replaces), ``first`` columns keep the value of the earliest row of the
     key's current life (e.g. ``detected_at`` survives later upserts).  With
     ``op`` set, rows up to the key's last ``delete_value`` are discarded.
+    With ``op`` and only ``last`` columns the fold is one partial aggregate
+    (the latest row, unless it is a tombstone); ``first`` columns or a
+    version count need the key's last tombstone joined back first.
     """
     keys = _names(keys)
+    s = _seq_col(seq)
+    if op is not None and last and not first and not versions:
+        # Only the latest row matters: it is the current state unless it is a
+        # tombstone.  One partial aggregate, no join back to the log.
+        r = log.groupBy(*keys).agg(F.max_by(F.struct(F.col(op).alias("_op"), *[F.col(c) for c in last]), s).alias("_r"))
+        return (r.filter(~(F.col("_r._op") == F.lit(delete_value)) | F.col("_r._op").isNull())
+                .select(*[F.col(k) for k in keys], *[F.col("_r")[c].alias(c) for c in last]))
     if op is not None:
         log = after_last_tombstone(log, keys, seq, op, delete_value)
-    s = _seq_col(seq)
     aggs = []
     if last:
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in last]), s).alias("_last"))

@@ -130,3 +130,13 @@ def test_coordinated_delete_skips_files_without_code(spark):
     c, b, m, report = coordinated_delete(dset, cat, bridge, man)
     assert rows(c) == [("2026_3", "osaka")] and m.count() == 0 and rows(b, "tag_id") == [(2,)]
     assert sorted(rows(report)) == [("catalogue", 1, 1), ("manifest", 1, 0), ("tag_bridge", 1, 1)]
+
+
+def test_tombstone_fold_single_pass_equals_join_path(spark):
+    import random
+    rnd = random.Random(11)
+    data = [(f"k{rnd.randrange(30)}", rnd.randrange(10 ** 6), i, rnd.choice("uuud"), f"v{i}") for i in range(3000)]
+    log = spark.createDataFrame(data, "key string, seq long, id long, op string, v string")
+    fast = {tuple(r) for r in cl.fold_state(log, ["key"], ["seq", "id"], last=["v"], op="op").collect()}
+    slow = {(r[0], r[1]) for r in cl.fold_state(log, ["key"], ["seq", "id"], last=["v"], op="op", versions="n").collect()}
+    assert fast == slow and 0 < len(fast) < 30

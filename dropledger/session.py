@@ -21,7 +21,7 @@ TABLES = (
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "dropledger") -> SparkSession:
+                  app_name: str = "dropledger", extra: dict[str, str] | None = None) -> SparkSession:
     """A local session configured the way the engine expects a cluster to be."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -36,6 +36,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)

@@ -700,3 +700,49 @@ def read_cp932_parts(parts: DataFrame, names: list[str]) -> DataFrame:
     part is decoded (strictly) and parsed in the task that holds it."""
     schema = ", ".join(f"`{n}` string" for n in names) + ", _part int"
     return parts.select("part", "rank").mapInPandas(_read_cp932_fn(list(names)), schema)
+
+
+# --- file statistics for cache misses (row count rule, display size) -----------------------
+
+def _stats_fn(block: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for uri, length in zip(b["path"], b["length"]):
+                p = local_path(uri)
+                suffix = os.path.splitext(p)[1].lower()
+                rows, display = None, int(length)
+                try:
+                    if suffix == ".csv":
+                        with open(p, "rb") as fh:
+                            n = 0
+                            while chunk := fh.read(block):
+                                n += chunk.count(b"\n")
+                        rows = max(0, n - 1)
+                    elif suffix == ".zip":
+                        with zipfile.ZipFile(p) as zf:
+                            info = _first_csv(zf)
+                            if info is not None:
+                                display = info.file_size or display
+                                n = 0
+                                with zf.open(info) as fh:
+                                    while chunk := fh.read(block):
+                                        n += chunk.count(b"\n")
+                                rows = max(0, n - 1)
+                except (OSError, zipfile.BadZipFile):
+                    rows = None
+                out.append((uri, rows, display))
+            yield pd.DataFrame(out, columns=["path", "row_count", "display_size"])
+    return run
+
+
+def compute_file_stats(files: DataFrame, block: int = READ_BLOCK) -> DataFrame:
+    """(path, row_count, display_size) for listed files (``path``, ``length``).
+
+    Row count = newline bytes − 1, floored at 0, for ``.csv`` files and for
+    the first CSV member of a ``.zip``; other suffixes and unreadable files
+    give NULL.  Display size = the member's uncompressed size when non-zero,
+    else the on-disk size.  Streamed in blocks; files spread over tasks by size.
+    """
+    return _spread(files.select("path", "length")).mapInPandas(
+        _stats_fn(block), "path string, row_count long, display_size long")

@@ -92,3 +92,37 @@ def test_scan_library_end_to_end(spark, tmp_dir):
     order = sorted(got.values(), key=lambda r: (r["month_rank"], r["file_rank"]))
     assert [(r["publish_ym"], r["file_name"]) for r in order] == [
         ("2026_3", "osaka.zip"), ("2026_3", "tokyo.zip"), ("2026_4", "nara.zip"), ("2025_12", "aomori.zip")]
+
+
+def test_stats_loop_misses_compute_upsert_hit(spark, tmp_dir):
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from dropledger.operators.reconcile import upsert_stats
+    from dropledger.sources.library import scan_library
+    from dropledger.sources.zipcsv import compute_file_stats
+    root = tmp_dir + "/lib"
+    os.makedirs(root + "/2026_3")
+    with zipfile.ZipFile(root + "/2026_3/r.zip", "w", compression=zipfile.ZIP_DEFLATED) as zf:
+        zf.writestr("readme.txt", "x")
+        zf.writestr("a.csv", "a,b\n" + "1,2\n" * 100)
+    with open(root + "/2026_3/統合.csv", "w") as fh:
+        fh.write("h\n1\n2\n3\n4\n5\n")
+    v = scan_library(spark, root)
+    assert sorted(r["needs_stats"] for r in v.collect()) == [True, True]
+    todo = v.filter("needs_stats").select("path", F.col("display_size").alias("length"))
+    stats = compute_file_stats(todo)
+    got = {r["path"].rsplit("/", 1)[1]: (r["row_count"], r["display_size"]) for r in stats.collect()}
+    assert got == {"r.zip": (100, len("a,b\n" + "1,2\n" * 100)), "統合.csv": (5, 12)}
+    listing = v.select("path", F.col("display_size").alias("length"),
+                       F.lit(None).cast("long").alias("mtime"))
+    mt = spark.read.format("binaryFile").load(root + "/2026_3").select(
+        "path", F.unix_micros("modificationTime").alias("mtime"))
+    fresh = (stats.join(mt, "path").join(listing.drop("mtime"), "path")
+             .select("path", "length", "mtime", "row_count", F.col("display_size").alias("uncompressed_size")))
+    empty = spark.createDataFrame([], "path string, length long, mtime long, row_count long, uncompressed_size long")
+    cache = upsert_stats(empty, fresh)
+    again = {r["file_name"]: (r["needs_stats"], r["row_count"], r["file_label"]) for r in scan_library(spark, root, cache=cache).collect()}
+    assert again["r.zip"][:2] == (False, 100) and again["統合.csv"][:2] == (False, 5)
+    assert again["r.zip"][2].startswith("r  100行")

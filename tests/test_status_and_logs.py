@@ -140,3 +140,24 @@ def test_tombstone_fold_single_pass_equals_join_path(spark):
     fast = {tuple(r) for r in cl.fold_state(log, ["key"], ["seq", "id"], last=["v"], op="op").collect()}
     slow = {(r[0], r[1]) for r in cl.fold_state(log, ["key"], ["seq", "id"], last=["v"], op="op", versions="n").collect()}
     assert fast == slow and 0 < len(fast) < 30
+
+
+def test_event_log_vectors(spark):
+    from dropledger.operators.logs import log_filter
+    log = spark.createDataFrame([(1, "2026-05-01T10:00:00+09:00", "DEBUG", "test", "a"),
+                                 (2, "2026-05-01T10:00:01+09:00", "INFO", "test", "b"),
+                                 (3, "2026-05-01T10:00:02+09:00", "ERROR", "test", "c"),
+                                 (4, "2026-05-01T10:00:03+09:00", "WARN", "other", "d")],
+                                "id long, ts string, level string, category string, message string")
+    assert log_filter(log, level="INFO").count() == 1
+    assert [r["id"] for r in log_filter(log, category="test").collect()] == [3, 2, 1]
+    kept, purged = cl.purge_before(log, "ts", "9999-12-31T00:00:00+09:00")
+    assert purged.count() == 4 and kept.count() == 0
+
+
+def test_check_history_vectors(spark):
+    from dropledger.operators.logs import latest_by, recent
+    checks = spark.createDataFrame([(1, "t1", "no_update"), (2, "t2", "new_found"), (3, "t3", "error")],
+                                   "id long, checked_at string, result string")
+    assert latest_by(checks, "id", ["result"]).first()["result"] == "error"
+    assert [r["result"] for r in recent(checks, [F.col("id").desc()], 2).collect()] == ["error", "new_found"]

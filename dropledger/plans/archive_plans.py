@@ -140,6 +140,23 @@ def zip_first_csv(spark: SparkSession, sf: str) -> DataFrame:
                     F.greatest(F.col("newline_count") - 1, F.lit(0)).alias("data_rows")))
 
 
+@query("archive_stats", f"""
+WITH {_ROWS_SQL},
+lines AS (SELECT publish_ym, flag, {_LINE_SQL} AS line, linenumber FROM rows)
+SELECT publish_ym, 'flag_' || flag || '.zip' AS file_name,
+       CAST(count(*) + count_if(linenumber = '1') AS BIGINT) AS row_count,
+       CAST({_HEADER_BYTES} + sum(CASE WHEN flag = 'R' THEN strlen(line)
+                     ELSE length(line) + length(regexp_replace(line, '[\\x00-\\x7F]', '', 'g')) END) AS BIGINT) AS display_size
+FROM lines GROUP BY publish_ym, flag
+UNION ALL SELECT '1995_3', '統合.csv', CAST(1 AS BIGINT), CAST(11 AS BIGINT)""")
+def archive_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics job over every library file (newline-rule rows; display
+    size = uncompressed member size for archives, on-disk size otherwise)."""
+    lst = zipcsv.library_listing(spark, library_root(spark, sf))
+    stats = zipcsv.compute_file_stats(lst.select("path", "length"))
+    return lst.join(stats, "path").select("publish_ym", "file_name", "row_count", "display_size")
+
+
 def _read_all(spark: SparkSession, sf: str, zips: DataFrame) -> DataFrame:
     meta = zips.select("path", "publish_ym", "file_name")
     merged, _ = zipcsv.read_zip_csvs(spark, zips.select("path", "length"), shared_scratch(spark, "stage"),

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from dropledger.operators.sequence import with_previous, with_session_id
 
@@ -94,14 +95,9 @@ def latest_progress(records: DataFrame, key: str, seq: Column, cols: list[str])
 
 # --- recheck throttle -------------------------------------------------------------------
 
-def throttle(requests: DataFrame, key: str, ts: str, tiebreak: str, forced: Column, auto_enabled: Column,
-             has_root: Column, folder: Column, complete_folders: DataFrame,
-             interval_hours: int = DEFAULT_INTERVAL_HOURS) -> DataFrame:
-    """Batch throttle: every request stamps the clock (skipped ones too), so the
-    interval is measured from the key's previous request.  Decision order:
-    forced → run; auto off → no; no root → no; within interval → no;
-    folder complete → no; else run."""
-    p = with_previous(requests.withColumn("_folder", folder), key, [ts, tiebreak], hour_bucket(ts), "_prev")
+def _decide(p: DataFrame, ts: str, forced: Column, auto_enabled: Column, has_root: Column,
+            complete_folders: DataFrame, interval_hours: int) -> DataFrame:
+    """Decision columns from ``_prev`` (previous request time) and ``_folder``."""
     done = complete_folders.select(F.col("folder").alias("_folder")).distinct().withColumn("_done", F.lit(True))
     # Month folders are bounded by the calendar: broadcast them instead of shuffling the requests.
     p = p.join(F.broadcast(done), "_folder", "left")
@@ -117,6 +113,29 @@ def throttle(requests: DataFrame, key: str, ts: str, tiebreak: str, forced: Colu
     return p.withColumn("run", run).withColumn("reason", reason).drop("_prev", "_done", "_folder")
 
 
+def throttle(requests: DataFrame, key: str, ts: str, tiebreak: str, forced: Column, auto_enabled: Column,
+             has_root: Column, folder: Column, complete_folders: DataFrame,
+             interval_hours: int = DEFAULT_INTERVAL_HOURS) -> DataFrame:
+    """Batch throttle: every request stamps the clock (skipped ones too), so the
+    interval is measured from the key's previous request.  Decision order:
+    forced → run; auto off → no; no root → no; within interval → no;
+    folder complete → no; else run."""
+    p = with_previous(requests.withColumn("_folder", folder), key, [ts, tiebreak], hour_bucket(ts), "_prev")
+    return _decide(p, ts, forced, auto_enabled, has_root, complete_folders, interval_hours)
+
+
+def throttle_stream(requests: DataFrame, key: str, ts: str, tiebreak: str, forced: Column, auto_enabled: Column,
+                    has_root: Column, folder: Column, complete_folders: DataFrame,
+                    interval_hours: int = DEFAULT_INTERVAL_HOURS) -> DataFrame:
+    """Streaming throttle: the per-key clock lives in state
+    (:func:`throttle_stream_prev`); the decision is the batch expression,
+    joined to the (static, bounded) set of complete month folders."""
+    base = requests.withColumn("_folder", folder)
+    schema = StructType(base.schema.fields + [StructField("_prev", base.schema[ts].dataType)])
+    p = throttle_stream_prev(base, key, ts, tiebreak, schema)
+    return _decide(p, ts, forced, auto_enabled, has_root, complete_folders, interval_hours)
+
+
 def _throttle_state_fn(ts: str, tiebreak: str):
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         last = state.get[0] if state.exists else None
@@ -134,7 +153,8 @@ def _throttle_state_fn(ts: str, tiebreak: str):
     return fn
 
 
-def throttle_stream_prev(requests: DataFrame, key: str, ts: str, tiebreak: str, out_schema: str) -> DataFrame:
+def throttle_stream_prev(requests: DataFrame, key: str, ts: str, tiebreak: str,
+                         out_schema: str | StructType) -> DataFrame:
     """Streaming form of the throttle's clock: ``applyInPandasWithState`` keeps
     the last request time per key across micro-batches and adds ``_prev``;
     the decision itself is the same column expression as in :func:`throttle`."""

@@ -122,3 +122,25 @@ def test_insert_or_ignore_stream_and_log_append(spark, tmp_dir):
     q.awaitTermination(300)
     log = spark.read.parquet(tmp_dir + "/log")
     assert log.count() == src.count() and log.first()["ts"].endswith("+09:00")
+
+
+def test_throttle_stream_decisions_match_batch(spark, tmp_dir):
+    base = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    ordered = os.path.join(tmp_dir, "req")
+    bounds = [-1] + base.approxQuantile("event_id", [0.3, 0.6], 0.0) + [10 ** 12]
+    for i in range(3):
+        base.filter((F.col("event_id") > bounds[i]) & (F.col("event_id") <= bounds[i + 1])).coalesce(1) \
+            .write.mode("append").parquet(ordered)
+    complete = spark.createDataFrame([("2023_11",)], "folder string")
+    args = dict(forced=F.col("event_type") == "purchase", auto_enabled=F.col("event_type") != "error",
+                has_root=F.col("event_type") != "signup",
+                folder=F.concat_ws("_", F.year(F.add_months(F.to_date("ts"), -2)).cast("string"),
+                                   F.month(F.add_months(F.to_date("ts"), -2)).cast("string")),
+                complete_folders=complete)
+    stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(ordered)
+    got = _run(spark, ev.throttle_stream(stream, "user_id", "ts", "event_id", **args), tmp_dir, "append", "thr2")
+    streamed = {r["event_id"]: (r["run"], r["reason"]) for _, b in got for r in b}
+    batch = {r["event_id"]: (r["run"], r["reason"])
+             for r in ev.throttle(base, "user_id", "ts", "event_id", **args).collect()}
+    assert streamed == batch
+    assert any("already complete" in v[1] for v in batch.values())

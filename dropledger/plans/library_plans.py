@@ -35,7 +35,8 @@ from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
 from dropledger.plans.calendar_plans import publications
 from dropledger.plans.registry import query
 from dropledger.session import shared_scratch
-from dropledger.sources.jsondocs import read_manifests, write_manifests
+from dropledger.functions.calendar import publication_date, publish_info_from_key
+from dropledger.sources.jsondocs import MANIFEST_SCHEMA, read_manifests, write_manifests
 
 def _ext():
     return (F.when(F.col("lang") == "en", ".zip").when(F.col("lang") == "fr", ".csv")
@@ -287,10 +288,6 @@ def html_links(spark: SparkSession, sf: str) -> DataFrame:
 # --- manifests ----------------------------------------------------------------
 
 _ENTRY_FIELDS = ["target_code", "display_name", "filename", "source_url", "size", "sha256", "downloaded_at"]
-MANIFEST_SCHEMA = ("publish_ym string, publish_date string, downloaded_at string, source_dir_url string, "
-                   "app_version string, files array<struct<target_code:string, display_name:string, "
-                   "filename:string, source_url:string, size:bigint, sha256:string, downloaded_at:string>>")
-
 
 def manifest_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest entries: the latest succeeded file per (month, target)."""
@@ -318,21 +315,30 @@ ENTRIES_SQL = sql_with(FILELOG_SQL) + """, entries AS (
 
 
 def _manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """One manifest per month: publication date (data month + 2, ISO), the
+    month's directory URL, and no app version for January folders (a field
+    the reader must default)."""
     e = manifest_entries(spark, sf)
-    docs = nest_manifest(
-        e.withColumn("_pd", F.concat(F.col("publish_ym"), F.lit("/01"))), "publish_ym",
-        [F.first("_pd").alias("publish_date"), F.max("downloaded_at").alias("downloaded_at"),
-         F.concat(F.lit("https://example.invalid/"), F.first("publish_ym")).alias("source_dir_url"),
-         F.when(F.first("publish_ym").endswith("_1"), F.lit(None).cast("string"))
-         .otherwise(F.lit("1.0")).alias("app_version")],
+    info = publish_info_from_key(F.col("publish_ym"))
+    return nest_manifest(
+        e, "publish_ym",
+        [publication_date(info["publish_year"], info["publish_month"]).alias("publish_date"),
+         F.max("downloaded_at").alias("downloaded_at"),
+         info["dir_url"].alias("source_dir_url"),
+         F.when(F.col("publish_ym").endswith("_1"), F.lit(None).cast("string")).otherwise(F.lit("1.0"))
+         .alias("app_version")],
         _ENTRY_FIELDS)
-    return docs
 
 
 _NEST_SQL = ENTRIES_SQL + """, docs AS (
   SELECT publish_ym, count(*) AS n_files,
-         to_json(struct_pack(publish_ym := publish_ym, publish_date := first(publish_ym || '/01'),
-                 downloaded_at := max(downloaded_at), source_dir_url := 'https://example.invalid/' || publish_ym,
+         to_json(struct_pack(publish_ym := publish_ym,
+                 publish_date := strftime(make_date(CAST(split_part(publish_ym, '_', 1) AS INTEGER),
+                                                    CAST(split_part(publish_ym, '_', 2) AS INTEGER), 1) + INTERVAL 2 MONTH, '%Y-%m-%d'),
+                 downloaded_at := max(downloaded_at),
+                 source_dir_url := 'https://www.jartic.or.jp/d/opendata/'
+                     || strftime(make_date(CAST(split_part(publish_ym, '_', 1) AS INTEGER),
+                                           CAST(split_part(publish_ym, '_', 2) AS INTEGER), 1) + INTERVAL 2 MONTH, '%Y%m') || '010000/',
                  app_version := CASE WHEN ends_with(publish_ym, '_1') THEN NULL ELSE '1.0' END,
                  files := list(struct_pack(target_code := target_code, display_name := display_name, filename := filename,
                                            source_url := source_url, size := size, sha256 := sha256,

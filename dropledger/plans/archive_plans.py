@@ -204,10 +204,10 @@ SELECT publish_ym, {', '.join(_COLUMNS)} FROM rows WHERE flag IN ({', '.join(f"'
 def merge_selected(spark: SparkSession, sf: str) -> DataFrame:
     """Merge only the selected targets' archives of each month (semi join on ``label.zip``)."""
     sel = spark.createDataFrame([(f"flag_{x}.zip",) for x in SELECTED_FLAGS], "file_name string")
-    zips = _zips(spark, sf).join(sel, "file_name", "left_semi")
-    dest = shared_scratch(spark, "merged-selected")
-    zipcsv.write_merged(_read_all(spark, sf, zips).drop("file_name"), dest)
-    return spark.read.parquet(dest).select("publish_ym", *_COLUMNS)
+    lst = zipcsv.library_listing(spark, library_root(spark, sf))
+    merged = zipcsv.merge_selected_archives(spark, lst, sel, shared_scratch(spark, "stage"),
+                                            shared_scratch(spark, "merged-selected"))
+    return merged.select("publish_ym", *_COLUMNS)
 
 
 @query("merge_capped", f"""WITH {_ROWS_SQL}

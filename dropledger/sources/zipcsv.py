@@ -746,3 +746,21 @@ def compute_file_stats(files: DataFrame, block: int = READ_BLOCK) -> DataFrame:
     """
     return _spread(files.select("path", "length")).mapInPandas(
         _stats_fn(block), "path string, row_count long, display_size long")
+
+
+def merge_selected_archives(spark: SparkSession, listing: DataFrame, selected_names: DataFrame,
+                            stage_dir: str, dest: str, partition_by: str = "publish_ym") -> DataFrame | None:
+    """Merge the archives of the selected targets (semi join on file name,
+    e.g. ``<folder_label>.zip``) into the month-partitioned dataset at ``dest``.
+
+    No archive present → ``None`` (skipped, not an error).  Only the months
+    present are replaced (dynamic partition overwrite).  Returns the merged
+    dataset read back.
+    """
+    zips = listing.filter(F.col("kind") == 1).join(selected_names.select("file_name"), "file_name", "left_semi")
+    if zips.limit(1).count() == 0:
+        return None
+    meta = zips.select("path", partition_by)
+    merged, _ = read_zip_csvs(spark, zips.select("path", "length"), stage_dir, annotate=meta, source_col=None)
+    write_merged(merged, dest, partition_by)
+    return spark.read.parquet(dest)

@@ -179,3 +179,15 @@ def test_ordered_cp932_export_concatenates_to_one_file(spark, tmp_dir):
     parts = zc.export_merged_cp932(staged, tmp_dir + "/exp").collect()
     data = b"".join(open(r["part"], "rb").read() for r in sorted(parts, key=lambda r: r["part"]))
     assert data.decode("cp932") == 'x,y\n北海道,0\n東京,1\n大阪,2\n"沖\n縄",9\n'
+
+
+def test_merge_selected_skips_when_nothing_present(spark, tmp_dir):
+    root = tmp_dir + "/lib"
+    _zip(f"{root}/2026_3/tokyo.zip", [("a.csv", "region,volume\ntokyo,100\n")])
+    _zip(f"{root}/2026_3/osaka.zip", [("a.csv", "region,volume\nosaka,5\n")])
+    lst = zc.library_listing(spark, root)
+    none = spark.createDataFrame([("kyoto.zip",)], "file_name string")
+    assert zc.merge_selected_archives(spark, lst, none, tmp_dir + "/s1", tmp_dir + "/m1") is None
+    sel = spark.createDataFrame([("tokyo.zip",)], "file_name string")
+    got = zc.merge_selected_archives(spark, lst, sel, tmp_dir + "/s2", tmp_dir + "/m2")
+    assert rows(got, "region", "volume", "publish_ym") == [("tokyo", "100", "2026_3")]

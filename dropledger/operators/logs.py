@@ -44,3 +44,14 @@ def latest_by(log: DataFrame, seq: str, cols: Sequence[str]) -> DataFrame:
 
 def recent(log: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return log.orderBy(*order).limit(k)
+
+
+# Retention choices (days) offered for the event log.
+RETENTION_DAYS = (30, 90, 3650)
+
+
+def retention_cutoff(days: int) -> Column:
+    """JST ISO text of now − ``days``, comparable with the log's stamps."""
+    then = F.timestamp_add("DAY", F.lit(-days), F.current_timestamp())
+    return F.concat(F.date_format(F.convert_timezone(None, F.lit("Asia/Tokyo"), then), "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.lit("+09:00"))

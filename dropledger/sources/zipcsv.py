@@ -764,3 +764,11 @@ def merge_selected_archives(spark: SparkSession, listing: DataFrame, selected_na
     merged, _ = read_zip_csvs(spark, zips.select("path", "length"), stage_dir, annotate=meta, source_col=None)
     write_merged(merged, dest, partition_by)
     return spark.read.parquet(dest)
+
+
+def bundle_month(listing: DataFrame, publish_ym: str, root: str) -> DataFrame:
+    """The bundle of one month; a month without archives is an error."""
+    month = listing.filter(F.col("publish_ym") == publish_ym)
+    if month.filter(F.col("kind") == 1).limit(1).count() == 0:
+        raise FileNotFoundError(f"no archives for {publish_ym}")
+    return bundle_months(month, root)

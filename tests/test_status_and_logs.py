@@ -161,3 +161,14 @@ def test_check_history_vectors(spark):
                                    "id long, checked_at string, result string")
     assert latest_by(checks, "id", ["result"]).first()["result"] == "error"
     assert [r["result"] for r in recent(checks, [F.col("id").desc()], 2).collect()] == ["error", "new_found"]
+
+
+def test_retention_cutoff_purges_old_rows(spark):
+    import datetime as dt
+    from dropledger.operators.logs import retention_cutoff
+    now = dt.datetime.now(dt.timezone(dt.timedelta(hours=9)))
+    iso = lambda d: d.strftime("%Y-%m-%dT%H:%M:%S+09:00")
+    log = spark.createDataFrame([(1, iso(now - dt.timedelta(days=40))), (2, iso(now - dt.timedelta(days=5)))],
+                                "id long, ts string")
+    kept, purged = cl.purge_before(log, "ts", retention_cutoff(30))
+    assert rows(kept, "id") == [(2,)] and rows(purged, "id") == [(1,)]

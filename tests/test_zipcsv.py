@@ -191,3 +191,12 @@ def test_merge_selected_skips_when_nothing_present(spark, tmp_dir):
     sel = spark.createDataFrame([("tokyo.zip",)], "file_name string")
     got = zc.merge_selected_archives(spark, lst, sel, tmp_dir + "/s2", tmp_dir + "/m2")
     assert rows(got, "region", "volume", "publish_ym") == [("tokyo", "100", "2026_3")]
+
+
+def test_bundle_missing_month_is_an_error(spark, tmp_dir):
+    root = tmp_dir + "/lib"
+    _zip(f"{root}/2026_3/region_a.zip", [("a.csv", "x\n1\n")])
+    lst = zc.library_listing(spark, root)
+    assert zc.bundle_month(lst, "2026_3", tmp_dir + "/b").first()["members"] == "region_a.zip"
+    with pytest.raises(FileNotFoundError):
+        zc.bundle_month(lst, "2026_4", tmp_dir + "/b")

@@ -631,28 +631,27 @@ def reconcile_files(targets: DataFrame, recorded: DataFrame, landed: DataFrame,
 
 # --- ordered cp932 export straight from the staged members ---------------------------------
 
-def _export_fn(dest: str, header_line: str):
+EXPORT_HEADER_NAME = "header.csv"
+
+
+def _export_fn(dest: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for b in batches:
-            for rank, chunks in zip(b["_rank"], b["chunks"]):
-                name = os.path.join(dest, f"part-{int(rank):05d}.csv")
+            for rank, idx, chunk in zip(b["_rank"], b["_idx"], b["chunk"]):
+                name = os.path.join(dest, f"part-{int(rank):05d}-{int(idx):05d}.csv")
                 tmp = name + ".tmp"
-                with open(tmp, "wb") as fh:
-                    if rank == 0:
-                        fh.write(header_line.encode("cp932", errors="strict"))
-                    for chunk in (chunks if chunks is not None else []):
-                        with open(chunk, encoding="utf-8", newline="") as src:
-                            text = src.read(READ_BLOCK)
-                            end = _first_record_end(text)
-                            text = text[end:] if end != -1 else ""  # each chunk repeats the header
-                            while text:
-                                fh.write(text.encode("cp932", errors="strict"))
-                                text = src.read(READ_BLOCK)
+                with open(chunk, encoding="utf-8", newline="") as src, open(tmp, "wb") as fh:
+                    text = src.read(READ_BLOCK)
+                    end = _first_record_end(text)
+                    text = text[end:] if end != -1 else ""  # each chunk repeats the header
+                    while text:
+                        fh.write(text.encode("cp932", errors="strict"))
+                        text = src.read(READ_BLOCK)
                     size = fh.tell()
                 os.replace(tmp, name)
-                out.append((name, int(rank), size))
-        yield pd.DataFrame(out, columns=["part", "rank", "bytes"])
+                out.append((name, int(rank), int(idx), size))
+        yield pd.DataFrame(out, columns=["part", "rank", "chunk", "bytes"])
     return run
 
 
@@ -660,19 +659,22 @@ def export_merged_cp932(staged: DataFrame, dest: str) -> DataFrame:
     """The merged CSV in cp932, in the reference's order: archives by path, rows
     in file order, one header (the canonical names) at the top.
 
-    Each archive becomes ``part-<rank>.csv`` (rank = position by path), written
-    by one task streaming its staged chunks; concatenating the parts in name
-    order gives the single file (cp932 is stateless).  Encoding is strict: an
-    unmappable character fails the job.  Returns (part, rank, bytes).
+    ``header.csv`` holds the header; every staged chunk becomes
+    ``part-<archive rank>-<chunk>.csv``, transcoded by its own task (a large
+    archive is exported in parallel).  ``header.csv`` followed by the parts
+    in name order, concatenated byte-wise, is the single file (cp932 is
+    stateless).  Encoding is strict: an unmappable character fails the job.
+    Returns (part, rank, chunk, bytes).
     """
     names = canonical_header(staged)
-    header_line = _csv_text([names])
     os.makedirs(dest, exist_ok=True)
-    ranked = staged.select("path", "chunks", F.row_number().over(Window.orderBy("path")) - 1).toDF(
-        "path", "chunks", "_rank")  # one row per archive
-    n = max(1, staged.count())
-    return (ranked.repartition(n, "_rank").mapInPandas(_export_fn(dest, header_line),
-                                                       "part string, rank int, bytes long"))
+    with open(os.path.join(dest, EXPORT_HEADER_NAME), "wb") as fh:  # one line, written once
+        fh.write(_csv_text([names]).encode("cp932", errors="strict"))
+    ranked = staged.select("chunks", (F.row_number().over(Window.orderBy("path")) - 1).alias("_rank"))
+    chunks = ranked.select("_rank", F.posexplode("chunks").alias("_idx", "chunk"))
+    n = max(1, chunks.count())
+    return (chunks.repartition(n, "_rank", "_idx")
+            .mapInPandas(_export_fn(dest), "part string, rank int, chunk int, bytes long"))
 
 
 def _read_cp932_fn(names: list[str]):
@@ -680,9 +682,7 @@ def _read_cp932_fn(names: list[str]):
         for b in batches:
             for part, rank in zip(b["part"], b["rank"]):
                 with open(part, encoding="cp932", errors="strict", newline="") as fh:
-                    reader = csv.reader(fh)
-                    if rank == 0:
-                        next(reader, None)  # the single header of the merged file
+                    reader = csv.reader(fh)  # parts hold data rows only; the header is header.csv
                     rows = []
                     for rec in reader:
                         rows.append(rec + [None] * (len(names) - len(rec)) if len(rec) < len(names) else rec[:len(names)])
@@ -695,8 +695,8 @@ def _read_cp932_fn(names: list[str]):
 
 
 def read_cp932_parts(parts: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of an ordered cp932 export (``part``, ``rank``), all strings, with
-    ``_part`` = the part's rank.  Spark cannot decode cp932 itself, so each
+    """Rows of an ordered cp932 export's data parts (``part``, ``rank``), all
+    strings, with ``_part`` = the archive rank.  Spark cannot decode cp932 itself, so each
     part is decoded (strictly) and parsed in the task that holds it."""
     schema = ", ".join(f"`{n}` string" for n in names) + ", _part int"
     return parts.select("part", "rank").mapInPandas(_read_cp932_fn(list(names)), schema)

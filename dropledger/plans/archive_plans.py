@@ -3,8 +3,10 @@
 The archive library is written by a Spark job from ``lineitem`` (one ZIP per
 ship quarter × return flag, cp932 text for flags A/N and UTF-8 for R; each
 archive holds ``readme.txt``, the data CSV and a decoy ``extra.csv``), plus a
-few decoy folders the scan must skip.  It is built once per session and
-data directory, in the shared scratch folder.
+few decoy folders the scan must skip, manifests for the March folders
+(derived from the rows), a broken manifest in one folder, catalogue rows for
+the September folders and month statuses from ``lineitem``.  It is built
+once per session and data directory, in the shared scratch folder.
 """
 
 from __future__ import annotations

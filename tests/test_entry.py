@@ -38,3 +38,26 @@ def test_query_matches_oracle(spark, duck, key):
     assert sorted(sdf.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert _digest(sdf.columns, srows)[0] == _digest(dcols, drows)[0]
+
+
+def test_driver_style_session_from_another_directory(tmp_path):
+    """A fresh interpreter, another working directory, a default session:
+    executor Python workers must still import the package (it is shipped)."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as E
+assert E.entry(spark).count() > 0
+assert E.queries()["archive_stats"](spark, "/root/testdata/sf0.001").count() > 0
+print("DRIVER-OK")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=str(tmp_path), env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "DRIVER-OK" in out.stdout, out.stderr[-2000:]

@@ -52,3 +52,14 @@ def test_listing_never_reads_content(spark, tmp_dir):
 def test_hot_key_sequence_is_split_by_bucket(spark):
     p = plan(q(spark, "debounce_last"), "simple")
     assert "Window" in p and "_bucket" in p
+
+
+def test_delete_aware_latest_fold_has_no_join(spark):
+    from pyspark.sql import functions as F
+
+    from dropledger.operators.changelog import fold_state
+    log = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select(
+        "o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "P", "d").otherwise("u").alias("op"),
+        "o_orderpriority")
+    p = plan(fold_state(log, ["o_custkey"], "o_orderkey", last=["o_orderpriority"], op="op"), "simple")
+    assert "Join" not in p and "partial_max_by" in p

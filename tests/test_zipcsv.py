@@ -202,3 +202,14 @@ def test_bundle_missing_month_is_an_error(spark, tmp_dir):
     assert zc.bundle_month(lst, "2026_3", tmp_dir + "/b").first()["members"] == "region_a.zip"
     with pytest.raises(FileNotFoundError):
         zc.bundle_month(lst, "2026_4", tmp_dir + "/b")
+
+
+def test_staged_read_tags_rows_by_broadcast(spark, tmp_dir):
+    import contextlib
+    import io
+    a = _zip(f"{tmp_dir}/a.zip", [("a.csv", "x\n1\n")])
+    merged, _ = _read(spark, tmp_dir, [a])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        merged.explain("simple")
+    assert "BroadcastHashJoin" in buf.getvalue() and "SortMergeJoin" not in buf.getvalue()

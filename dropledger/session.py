@@ -83,14 +83,14 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in executor Python workers (once per application).
 
     ``mapInPandas`` functions refer to module code, so executors need the
-    package; it is zipped into the shared folder and added with
-    ``addPyFile``, which also works on a cluster.
+    package.  It is zipped on the driver and handed out by the driver's own
+    file server (``addPyFile``), whatever storage the shared folder is on.
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    zpath = os.path.join(shared_scratch(spark, "pyfiles"), "dropledger.zip")
+    zpath = os.path.join(tempfile.mkdtemp(prefix="dropledger-pyfiles-"), "dropledger.zip")
     with zipfile.ZipFile(zpath, "w", compression=zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg):
             for f in files:

@@ -12,7 +12,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("sharding", "secrets", "url_filters", "quality", "mixing")
+MODULES = (
+    "sharding", "secrets", "simhash", "fingerprints", "url_filters", "warc", "quality", "packing", "toxicity", "mixing",
+)
 
 
 def query(key: str, sql: str | None = None):
@@ -29,4 +31,9 @@ def load() -> tuple[dict[str, QueryFn], dict[str, str]]:
     """Import every operator module and the pipeline; return (queries, SQL)."""
     for name in MODULES:
         importlib.import_module(f"dropledger.llm.{name}")
+    import corpus_pipeline
+
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
     return dict(QUERIES), dict(ORACLE)

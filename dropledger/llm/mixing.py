@@ -162,13 +162,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
                  F.col("_mix_slot").alias("slot"), position.alias("position")).alias("_mix"))
 
 
-def mixed_order(docs: DataFrame, rows_per_file: int = 50_000, **how) -> DataFrame:
-    """``docs`` in the mixed order: each partition holds the next ``rows_per_file`` positions, sorted."""
-    mixed = mix_sources(docs, **how)
-    n = docs.count()
-    files = max(1, -(-n // rows_per_file))
+def mixed_order(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` in the mixed order: each partition holds the next run of positions, sorted.
+
+    There are as many partitions as ``spark.sql.shuffle.partitions`` says.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = -(-max(1, docs.count()) // parts)
     return (
-        mixed.repartitionById(files, F.expr(f"cast(_mix.position div {rows_per_file} as int)"))
+        mix_sources(docs, **how)
+        .repartitionById(parts, F.expr(f"cast(_mix.position div {rows} as int)"))
         .sortWithinPartitions("_mix.position").drop("_mix")
     )
 

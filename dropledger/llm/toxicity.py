@@ -31,14 +31,17 @@ from pyspark.sql import functions as F
 
 from dropledger.llm.catalog import query
 from dropledger.llm.common import prepare, read_table, text_or_empty
+from dropledger.llm.simhash import simhash
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 DIM = 8
-WINDOW = 48
+WINDOW = 6
 #: Bounds of the training sample: rows of each label, characters of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 4000, 50_000
-EPOCHS, WHOLE_EPOCHS, RATE = 45, 15, 0.05
+EPOCHS, WHOLE_EPOCHS, RATE = 60, 15, 0.05
+#: Share of the texts that a word must occur in to be learnt from; decay of the embeddings; misspellings of a word.
+LEAST_SHARE, DECAY, SPELLINGS = 0.006, 1e-5, 4
 #: Least score that counts as toxic.
 THRESHOLD = 0.7
 SEED = 9
@@ -52,6 +55,7 @@ class Words:
 
     codes: np.ndarray
     offsets: np.ndarray
+    words: list[bytes]
     grams: np.ndarray
     gram_offsets: np.ndarray
 
@@ -84,7 +88,7 @@ def word_codes(texts: pa.Array) -> Words:
     words = [w.strip(".,;:!?\"'()[]{}").encode() for w in coded.dictionary.to_pylist()]
     grams, gram_offsets = gram_buckets(words)
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64),
-                 grams, gram_offsets)
+                 words, grams, gram_offsets)
 
 
 def _averages(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,9 +99,9 @@ def _averages(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums / np.maximum(n, 1).reshape(-1, *[1] * (values.ndim - 1))
 
 
-def worst_window(scores: np.ndarray, window: int = WINDOW) -> tuple[int, int, float]:
+def worst_window(scores: np.ndarray, window: int | None = None) -> tuple[int, int, float]:
     """(begin, end, mean) of the window with the greatest mean score."""
-    n = len(scores)
+    n, window = len(scores), window or WINDOW
     if n <= window:
         return 0, n, float(scores.mean()) if n else 0.0
     total = np.concatenate(([0.0], np.cumsum(scores)))
@@ -120,44 +124,87 @@ class Model:
         return (self.embedding @ side).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
+    """``word`` with one letter doubled, dropped, swapped with the next or masked."""
+    if len(word) < 3:
+        return word
+    i, mask = int(rng.integers(1, len(word) - 1)), int(rng.integers(5))
+    return (
+        word[:i] + word[i:i + 1] + word[i:],
+        word[:i] + word[i + 1:],
+        word[:i] + word[i + 1:i + 2] + word[i:i + 1] + word[i + 2:],
+        word[:i] + b"*@01x"[mask:mask + 1] + word[i + 1:],
+    )[int(rng.integers(4))]
+
+
+def distinct_texts(texts: list[str], bits: int = 6) -> np.ndarray:
+    """Indices of the texts that aren't near copies (SimHash) of one before."""
+    prints = np.array([simhash(t) for t in texts], np.uint64)
+    kept: list[int] = []
+    for i, p in enumerate(prints):
+        if not kept or int(np.bitwise_count(prints[kept] ^ p).min()) > bits:
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
 def train(texts: list[str], labels: np.ndarray) -> Model:
-    """Fit embeddings and softmax together by Adam on the mean cross-entropy."""
+    """Fit embeddings and softmax together by Adam on the mean cross-entropy.
+
+    One text of each group of near copies counts.  Words of less than a
+    ``LEAST_SHARE`` of the texts count in the averages but aren't learnt from,
+    as they would only serve to learn single texts by heart; embeddings decay
+    for the same reason.  In every epoch part of the words are misspelt, so
+    that the weight of a word spreads over its n-grams.
+    """
     rng = np.random.default_rng(SEED)
-    model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2))
+    model = Model(rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2))
+    own = distinct_texts(texts)
+    texts, labels = [texts[i] for i in own], labels[own]
     if not len(texts):
         return model
     words = word_codes(pa.array(texts, pa.string()))
-    n_docs, n_words = len(texts), len(words.gram_offsets) - 1
-    gram_owner = np.repeat(np.arange(n_words), np.diff(words.gram_offsets))
-    per_gram = 1 / np.maximum(np.diff(words.gram_offsets), 1)
+    doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
+    seen = np.unique(words.codes * len(texts) + doc) // len(texts)
+    known = np.bincount(seen, minlength=len(words.words)) >= max(3, LEAST_SHARE * len(texts))
+    n_words = int(known.sum()) + 1  # 0 is any other word
+    codes = np.where(known, np.cumsum(known), 0)[words.codes]
+    spelt = [w for w, k in zip(words.words, known, strict=True) if k]
+    forms = [b"", *spelt] + [x for _ in range(SPELLINGS) for x in (b"", *[misspelt(w, rng) for w in spelt])]
+    grams, gram_offsets = gram_buckets(forms)
+    gram_owner = np.repeat(np.arange(len(forms)), np.diff(gram_offsets))
+    per_gram = 1 / np.maximum(np.diff(gram_offsets), 1)
+    learnt = np.bincount(grams, minlength=BUCKETS) > 0
+    model.embedding[~learnt] = 0
+    n_docs = len(texts)
     params = [model.embedding, model.softmax, model.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     target = np.eye(2)[labels]
     for epoch in range(EPOCHS):
-        vectors = _averages(model.embedding[words.grams], words.gram_offsets)
+        vectors = _averages(model.embedding[grams], gram_offsets)
+        spelling = rng.integers(-SPELLINGS, SPELLINGS + 1, len(codes)).clip(0)  # about half as they are
+        form = codes + n_words * spelling
         if epoch < WHOLE_EPOCHS:
             begin, end = words.offsets[:-1], words.offsets[1:]
         else:
-            side = (vectors @ (model.softmax[:, 1] - model.softmax[:, 0]))[words.codes]
+            side = (vectors @ (model.softmax[:, 1] - model.softmax[:, 0]))[form]
             worst = [worst_window(side[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
             begin = words.offsets[:-1] + np.array([w[0] for w in worst])
             end = words.offsets[:-1] + np.array([w[1] for w in worst])
         size = end - begin
         owner = np.repeat(np.arange(n_docs), size)
-        used = words.codes[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        used = form[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         weight = (1 / np.maximum(size, 1))[owner]
-        bags = np.zeros((n_docs, DIM))
-        for d in range(DIM):
-            bags[:, d] = np.bincount(owner, weights=vectors[used, d] * weight, minlength=n_docs)
+        bags = np.column_stack([np.bincount(owner, weights=vectors[used, d] * weight, minlength=n_docs) for d in range(DIM)])
         logits = bags @ model.softmax + model.bias
         share = np.exp(logits - logits.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         slope = (share - target) / n_docs
         to_bags = slope @ model.softmax.T
-        grads = [np.zeros_like(model.embedding), bags.T @ slope, slope.sum(axis=0)]
+        grads = [DECAY * model.embedding, bags.T @ slope, slope.sum(axis=0)]
         for d in range(DIM):
-            to_words = np.bincount(used, weights=to_bags[owner, d] * weight, minlength=n_words) * per_gram
-            grads[0][:, d] = np.bincount(words.grams, weights=to_words[gram_owner], minlength=BUCKETS)
+            to_words = np.bincount(used, weights=to_bags[owner, d] * weight, minlength=len(forms)) * per_gram
+            grads[0][:, d] += np.bincount(grams, weights=to_words[gram_owner], minlength=BUCKETS)
+        grads[0][~learnt] = 0
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from dropledger.llm import secrets as S
+
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+RANDOM = "Zk3vQ9xTb7Lm2RpW8sYd4HnC6jFg1KaE5uXo0MiVrBtNqPe"
+TEXTS = [
+    None, "", "plain prose without anything",
+    "a password=b7b8a0c022e6cc4d66 b", 'TOKEN = "abcdefgh" x', "token: short", "password=password=longsecret",
+    "password: token: abcdefghij", "api_key='Zz9/Zz9+Zz9' apikey:12345678",
+    "\U0001f600 AKIAABCDEFGHIJKL AKIASHORT AKIAAKIAAKIAAKIAQ", "x" + "0123456789abcdef" * 3 + "y deadbeef",
+    f"é {RANDOM} end", f"see {RANDOM} and {RANDOM[::-1]}\n{RANDOM}example", "A1B2C3D4E5F6G7H8J9K0L1M2 here",
+    "123e4567-e89b-42d3-a456-426614174000", "ontionthinontionrendathere 12345678901234567890123",
+    f"{'a' * 30}{RANDOM}{'b1' * 40}{RANDOM[::-1]}",
+]
+
+
+def brute(text):
+    text = text or ""
+    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    spans = set(base)
+    for m in re.finditer(S.CANDIDATE, text):
+        if re.search(S.ALLOW, m[0]):
+            continue
+        kind = next((k for k, (pattern, _, _) in S.CLASSES.items() if re.search(pattern, m[0])), None)
+        if kind is None:
+            continue
+        hits = []
+        for i in range(len(m[0]) - S.WINDOW + 1):
+            counts = Counter(m[0][i:i + S.WINDOW]).values()
+            bits = -sum(c / S.WINDOW * math.log2(c / S.WINDOW) for c in counts)
+            if bits >= S.CLASSES[kind][2]:
+                if hits and i <= hits[-1][1]:
+                    hits[-1][1] = i + S.WINDOW
+                else:
+                    hits.append([i, i + S.WINDOW])
+        for a, b in hits:
+            a, b = a + m.start(), b + m.start()
+            if not any(x <= a and b <= y for x, _, y in base):
+                spans.add((a, 3, b))
+    return sorted(spans)
+
+
+def test_spans_equal_brute_force(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r["_spans"]] for r in S.find_secrets(docs).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
+    assert sum(any(k == 3 for _, k, _ in v) for v in got.values()) >= 4
+
+
+def test_long_candidate(spark):
+    text = (RANDOM + "-" + "aaaaaaaaaaaaaaaaaaaaaaaaaaaa") * 60
+    got = S.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["_spans"]
+    assert [tuple(s) for s in got] == brute(text) and len(got) > 50
+
+
+def test_redaction_and_clashing_names(spark):
+    docs = spark.createDataFrame(
+        [(1, "é password=b7b8a0c022e6cc4d66 b", 7), (None, None, 8), (2, "clean", 9), (2, "clean", 9)],
+        "doc_id long, text string, spans int")
+    got = sorted((r.doc_id or 0, r.text or "", r.spans) for r in S.redact_secrets(docs).collect())
+    assert got == [(0, "", 8), (1, "é [SECRET] b", 7), (2, "clean", 9), (2, "clean", 9)]
+    assert S.find_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("spans, joined", [([], ""), ([(0, 0, 26)], "assign:0:26")])
+def test_digest_form(spark, spans, joined):
+    rows = spark.createDataFrame([(spans,)], "_spans array<struct<start:int,kind:int,stop:int>>")
+    from pyspark.sql import functions as F
+    got = rows.select(F.sha2(F.expr(S._written("_spans")), 256).alias("x")).first().x
+    assert got == hashlib.sha256(joined.encode()).hexdigest()

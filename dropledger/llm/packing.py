@@ -4,13 +4,15 @@ Tokens: a document is its token ids and an end id; only one longer than a
 sequence is cut, into whole sequences with the (shorter) rest first.  Whole
 pieces are sequences of their own; the others are packed.
 
-Pieces are dealt by a hash of their row to partitions of some 65,000, a
-bounded task each.  A task packs by best-fit decreasing and computes a lower
-bound of its bins: the greatest over dual-feasible functions, which map
-lengths so that no full sequence maps to more than one.  Bins equal to the
-bound are proven fewest.  Partitions with a gap give the pieces of their bins
-that aren't full to a pool, which is dealt anew to mixed partitions and
-packed again by the same rule, as long as that saves sequences.
+Pieces are dealt in turn, in the order of their lengths, to partitions of some
+65,000, a bounded task each; so all partitions have nearly the same lengths,
+and none is short of small or large pieces.  A task packs by best-fit
+decreasing and computes a lower bound of its bins: the greatest over
+dual-feasible functions, which map lengths so that no full sequence maps to
+more than one.  Bins equal to the bound are proven fewest.  Partitions with a
+gap give the pieces of their loosely filled bins to a pool, which is dealt
+anew to mixed partitions and packed again by the same rule, as long as that
+saves sequences.
 """
 
 from __future__ import annotations
@@ -22,18 +24,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dropledger.llm.catalog import query
-from dropledger.llm.common import materialise, prepare, read_table, text_or_empty
+from dropledger.llm.common import materialise, number_within, prepare, read_table, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that one packing task takes, about.
 PIECES_PER_TASK = 65_536
-#: Exchanges at most.
+#: Exchanges at most, and the fill below which a bin takes part.
 ROUNDS = 4
+LOOSE = 0.97
 #: Documents whose ids are laid out at once in a task, by bytes of text.
 LAYOUT_BYTES = 2 << 20
 
@@ -207,14 +210,21 @@ def _packed(part: pd.DataFrame, capacity: int) -> pd.DataFrame:
     lengths = part["length"].to_numpy()
     bins, offsets, n = best_fit_decreasing(lengths, capacity)
     fill = np.bincount(bins, weights=lengths, minlength=n)
-    return part.assign(bin=bins, offset=offsets, full=fill[bins] == capacity, bins=n, bound=lower_bound(lengths, capacity))
+    return part.assign(bin=bins, offset=offsets, loose=fill[bins] < LOOSE * capacity, bins=n, bound=lower_bound(lengths, capacity))
 
 
 def _pack_round(items: DataFrame, n_items: int, number: int, capacity: int) -> DataFrame:
-    """One best-fit-decreasing pass over ``items`` (_row, length), dealt to partitions by a hash."""
+    """One best-fit-decreasing pass over ``items`` (_row, length), dealt in turn by length."""
     parts = max(1, -(-n_items // PIECES_PER_TASK))
-    schema = "_row long, length long, part long, bin long, offset long, full boolean, bins long, bound long"
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("_row", F.lit(number)), F.lit(parts)).cast("long"))
+    schema = "_row long, length long, part long, bin long, offset long, loose boolean, bins long, bound long"
+    shorter = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)  # a row for each length
+    starts = items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).select(
+        "length", F.coalesce(F.sum("n").over(shorter), F.lit(0)).alias("start"))
+    dealt = (
+        number_within(items, ["length"], ["_row"], "place", 1 + n_items // PIECES_PER_TASK)
+        .join(F.broadcast(starts), "length")
+        .select("_row", "length", F.pmod(F.col("start") + F.col("place"), F.lit(parts)).cast("long").alias("part"))
+    )
     packed = dealt.groupBy("part").applyInPandas(lambda part: _packed(part, capacity), schema)
     return materialise(packed.withColumn("round", F.lit(number)), f"pack-round-{number}")
 
@@ -223,20 +233,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUND
     """(_row, sequence_id, offset, round, part_bins, part_bound) for pieces (_row, length)."""
     items = pieces.where(F.col("length") < capacity).select("_row", "length")
     packed = _pack_round(items, items.count(), 0, capacity)
+    swaps = (F.col("bins") > F.col("bound")) & F.col("loose")
     for number in range(1, rounds + 1):
-        gap = F.col("bins") > F.col("bound")
-        state = packed.agg(
-            F.count_distinct(F.when(gap, F.struct("round", "part"))),
-            F.count(F.when(gap & ~F.col("full"), 1)),
-            F.count_distinct(F.when(gap & ~F.col("full"), F.struct("round", "part", "bin")))).first()
-        parts_with_gap, n_pool, pool_bins = state
+        parts_with_gap, n_pool, pool_bins = packed.agg(
+            F.count_distinct(F.when(swaps, F.struct("round", "part"))),
+            F.count(F.when(swaps, 1)),
+            F.count_distinct(F.when(swaps, F.struct("round", "part", "bin")))).first()
         if parts_with_gap < 2:
             break
-        pool = packed.where(gap & ~F.col("full")).select("_row", "length")
-        again = _pack_round(pool, n_pool, number, capacity)
+        again = _pack_round(packed.where(swaps).select("_row", "length"), n_pool, number, capacity)
         if again.select("part", "bins").distinct().agg(F.sum("bins")).first()[0] >= pool_bins:
             break
-        packed = packed.where(~gap | F.col("full")).unionByName(again)
+        packed = packed.where(~swaps).unionByName(again)
     # Whole pieces are numbered by their row (below 2^56), packed bins by round, partition and bin above that.
     sequence = F.expr("(round + 1) * 72057594037927936 + part * 16777216 + bin")
     whole = pieces.where(F.col("length") == capacity).select(

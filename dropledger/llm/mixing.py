@@ -4,7 +4,8 @@ The rows of a source are cut into blocks.  Time is counted in slots of one
 block, in periods: a source of weight w owns a quota of blocks in each period
 (largest remainders, at least one).  Block j of a source with quota q in a
 period of L slots is released at floor(j L / q) and due at ceil((j + 1) L / q);
-earliest deadline first among the released blocks fills the slots.  For unit
+earliest deadline first among the released blocks (of equal ones the earlier
+release, then source) fills the slots.  For unit
 blocks and quotas that add up to L this meets every deadline, so at any slot a
 source has received its share up to less than one block.
 

@@ -191,32 +191,40 @@ def mcd_estimates(vectors: DataFrame, core: float = CORE, steps: int = STEPS) ->
     return estimates
 
 
-def judge_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                  carry: list[str] | None = None) -> DataFrame:
-    """Statistics, ``_base_failed``, ``_d2`` and ``_kept`` of every row, with the columns ``carry`` (all if None).
-
-    A null text counts as empty and fails the base rule; a null language or
-    source forms a group of its own (with '').  Repeated rows and null ids
-    stay; an empty table gives no rows.  Statistics are computed once, without
-    the texts being shuffled unless they are among ``carry``.
-    """
-    carry = docs.columns if carry is None else carry
+def quality_vectors(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang",
+                    source_col: str = "source") -> DataFrame:
+    """The columns ``carry`` with _lang, _source, the statistics, _base_failed and, if that is false, _v0 …"""
     used = list(dict.fromkeys([*carry, text_col, lang_col, source_col]))
     stats = text_statistics(docs.select(*[F.col(f"`{c}`") for c in used]), text_col)
-    vectors = stats.select(
+    return stats.select(
         *[F.col(f"`{c}`") for c in carry],
         F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("_lang"),
         F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("_source"),
         "_n_words", "_word_chars", "_n_symbols", "_n_lines", "_n_dup_lines", "_n_repeat_words",
         base_failed().alias("_base_failed"),
         *[F.when(~base_failed(), v).alias(f"_v{i}") for i, v in enumerate(_vector())])
-    written = materialise(vectors, "quality-vectors")
-    inner = written.where("NOT _base_failed")
-    estimates = mcd_estimates(inner.select("_lang", "_source", *[f"_v{i}" for i in range(P)]))
+
+
+def judge_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+                  carry: list[str] | None = None) -> DataFrame:
+    """Statistics, ``_base_failed``, ``_d2`` and ``_kept`` of every row, with the columns ``carry`` (all if None).
+
+    A null text counts as empty and fails the base rule; a null language or
+    source forms a group of its own (with '').  Repeated rows and null ids
+    stay; an empty table gives no rows.  The vectors are written once; where
+    the texts are carried, they aren't written along but the statistics
+    computed again for the result, since they cost less than a copy.
+    """
+    carry = docs.columns if carry is None else carry
+    columns = {"text_col": text_col, "lang_col": lang_col, "source_col": source_col}
+    narrow = [c for c in carry if c != text_col]
+    written = materialise(quality_vectors(docs, narrow, **columns), "quality-vectors")
+    estimates = mcd_estimates(written.where("NOT _base_failed").select("_lang", "_source", *[f"_v{i}" for i in range(P)]))
     limit = chi_square_quantile(QUANTILE, P)
     chol = {(i, j): F.col(f"c{i}{j}") for i in range(P) for j in range(i + 1)}
+    vectors = quality_vectors(docs, carry, **columns) if text_col in carry else written
     return (
-        written.join(estimates, ["_lang", "_source"], "left")
+        vectors.join(estimates, ["_lang", "_source"], "left")
         .withColumn("_d2", F.when(~F.col("_base_failed"), _distance([F.col(f"m{i}") for i in range(P)], chol)))
         .withColumn("_kept", F.coalesce(F.col("_d2") <= limit, F.lit(False)))
         .drop("_lang", "_source", *[f"_v{i}" for i in range(P)], *[f"m{i}" for i in range(P)],

@@ -297,19 +297,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row for each component: that with the smallest id.
 
     Of several rows with that id the one with the least fingerprint, then text
-    stays.  The texts are shuffled once, by fingerprint and id.
+    stays.  The texts are shuffled once, by fingerprint and id, and not
+    written in between: their fingerprints are computed again instead.
     """
     prepare(docs.sparkSession)
-    printed = materialise(
-        docs.withColumn("_fp", fingerprint(text_or_empty(F.col(f"`{text_col}`")), width))
-        .withColumn("_key", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), "simhash-docs")
-    prints = printed.select(F.col(f"`{id_col}`").alias("_id"), F.col("_fp").alias("fp"))
+    own = F.col(f"`{id_col}`")
+    printed = docs.withColumn("_fp", fingerprint(text_or_empty(F.col(f"`{text_col}`")), width))
+    prints = materialise(printed.select(own.alias("_id"), F.col("_fp").alias("fp")), "simhash-prints")
     keep = component_roots(prints, "_id").groupBy("root").agg(F.any_value("first").alias("first")).select(
         F.col("first.fp").alias("_fp"), F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("_key"),
         F.col("first.none").alias("_none"))
     again = Window.partitionBy("_fp", "_key", "_none").orderBy(F.col(f"`{text_col}`"))
     return (
-        printed.withColumn("_none", F.col(f"`{id_col}`").isNull())
+        printed.withColumn("_key", F.coalesce(own.cast("string"), F.lit(""))).withColumn("_none", own.isNull())
         .join(keep, ["_fp", "_key", "_none"])
         .withColumn("_again", F.row_number().over(again)).where("_again = 1")
         .select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -136,10 +136,10 @@ FROM lines GROUP BY publish_ym, flag""")
 def zip_first_csv(spark: SparkSession, sf: str) -> DataFrame:
     """First CSV member per archive, its uncompressed size and newline-rule row count."""
     z = _zips(spark, sf)
-    staged = zipcsv.stage_archives(z.select("path", "length"), shared_scratch(spark, "stage"))
-    return (z.join(staged, "path")
-            .select("publish_ym", "file_name", "member", "uncompressed_size",
-                    F.greatest(F.col("newline_count") - 1, F.lit(0)).alias("data_rows")))
+    firsts = zipcsv.first_csv_members(z.select("path", "length"))
+    stats = zipcsv.compute_file_stats(z.select("path", "length"))
+    return (z.join(firsts, "path").join(stats.select("path", "row_count"), "path")
+            .select("publish_ym", "file_name", "member", "uncompressed_size", F.col("row_count").alias("data_rows")))
 
 
 @query("archive_stats", f"""
@@ -185,15 +185,11 @@ def merge_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def merge_export(spark: SparkSession, sf: str) -> DataFrame:
     """The merged cp932 CSV of all archives (ordered part files, one header),
     decoded and parsed back."""
-    stage = shared_scratch(spark, "stage")
-    zips = _zips(spark, sf)
-    stage_summary = stage + "/_summary"
-    zipcsv.stage_archives(zips.select("path", "length"), stage).write.mode("overwrite").parquet(stage_summary)
-    staged = spark.read.parquet(stage_summary)
+    blocks = zipcsv.stage_archives(_zips(spark, sf).select("path", "length"), shared_scratch(spark, "stage"))
     dest = shared_scratch(spark, "export")
-    zipcsv.export_merged_cp932(staged, dest).write.mode("overwrite").parquet(dest + "/_parts")
-    names = zipcsv.canonical_header(staged)
-    return zipcsv.read_cp932_parts(spark.read.parquet(dest + "/_parts"), names).select(*_COLUMNS)
+    zipcsv.export_merged_cp932(blocks, dest).write.mode("overwrite").parquet(dest + "/_parts")
+    names = zipcsv.canonical_header(blocks)
+    return zipcsv.read_cp932_export(spark.read.parquet(dest + "/_parts"), dest, names).select(*_COLUMNS)
 
 
 # Fixed query parameters: selected targets, export month and file cap.

@@ -1,4 +1,4 @@
-"""ZIP-packed CSV drops: listing, member pick, charset-fallback staging, merge.
+"""ZIP-packed CSV drops: listing, member pick, charset fallback, merge.
 
 Work split:
 * listing is ``binaryFile`` metadata only (``content`` is never selected, so
@@ -6,15 +6,11 @@ Work split:
 * everything that touches archive bytes runs in ``mapInPandas`` tasks,
   streaming (never a whole member in memory), with archives spread over
   tasks by size (a big archive alone in its task, small ones sharing);
-* staging decodes each CSV member to UTF-8 once and cuts it into
-  quote-safe chunk files (header repeated in each), so Spark's JVM CSV
-  parser reads them in parallel, with ``multiLine`` correctness;
-* merged output goes through Spark's writers (partitioned Parquet/CSV).
-
-Files are written under the shared folder named by ``spark.checkpoint.dir``
-(see :func:`dropledger.session.shared_scratch`); executors must see that
-folder as a POSIX path.  Every writer task names its files
-deterministically, so a retried task overwrites its own earlier output.
+* a member becomes blocks of whole CSV records, each row with its archive's
+  full path; Spark's own writer commits that table below the shared folder,
+  so lost or doubled task attempts leave nothing behind;
+* records are parsed, checked and written by the JVM (``from_csv``,
+  ``to_csv``, Spark's writers).
 """
 
 from __future__ import annotations
@@ -25,15 +21,16 @@ import hashlib
 import io
 import os
 import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dropledger.functions.calendar import parse_month_key
+from dropledger.sources.storage import open_input, open_store, write_file
 
 # Charset order tried when decoding, names in a month folder.
 ENCODINGS = ("cp932", "shift_jis", "utf-8")
@@ -42,15 +39,19 @@ MERGED_CSV_DISPLAY = "統合CSV"
 MONTH_DIR_PATTERN = r"/(\d{4}_\d{1,2})/[^/]+$"
 
 READ_BLOCK = 1 << 20
-MAX_BROADCAST_ARCHIVES = 1_000_000  # per-archive tag rows (~100 bytes each) above this are joined by shuffle
-DEFAULT_CHUNK_BYTES = 128 << 20
+BLOCK_CHARS = 1 << 20
+#: A record longer than this is an error (most likely a quote that never closes), not a reason to hold the member.
+MAX_RECORD_CHARS = 64 << 20
 
 
 def local_path(uri: str) -> str:
-    """Filesystem path of a ``file:`` URI as listed by Spark (percent-decoded)."""
-    if uri.startswith("file:"):
-        return unquote(urlparse(uri).path)
-    return uri
+    """Path of a local file that Spark listed; another store is an error."""
+    from pyarrow import fs
+
+    store, path = open_store(uri)
+    if not isinstance(store, fs.LocalFileSystem):
+        raise NotImplementedError(f"not a local file: {uri}")
+    return path
 
 
 # --- listing ------------------------------------------------------------------
@@ -96,10 +97,10 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for uri in b["path"]:
             try:
-                with zipfile.ZipFile(local_path(uri)) as zf:
+                with open_input(uri) as fh, zipfile.ZipFile(fh) as zf:
                     for i, info in enumerate(zf.infolist()):
                         out.append((uri, info.filename, i, info.is_dir(), info.file_size, info.compress_size, None))
-            except (OSError, zipfile.BadZipFile) as exc:
+            except (OSError, zipfile.BadZipFile, ValueError) as exc:
                 out.append((uri, None, None, None, None, None, f"{type(exc).__name__}: {exc}"))
         yield pd.DataFrame(out, columns=["path", "member", "ord", "is_dir", "file_size", "compress_size", "error"])
 
@@ -148,136 +149,101 @@ def first_csv_members(paths: DataFrame) -> DataFrame:
                     F.coalesce("error", F.when(F.col("f").isNull(), F.lit("no CSV member"))).alias("error")))
 
 
-# --- staging: decode with fallback, count, chunk ------------------------------------
-
-STAGE_SCHEMA = ("path string, member string, uncompressed_size long, encoding string, header string, "
-                "n_fields int, newline_count long, has_data boolean, chunks array<string>, error string")
-
-
-def _record_end_after(text: str, parity: int, start: int) -> int:
-    """Index just after the first newline at or after ``start`` lying outside
-    quotes (``parity`` = quote parity at the start of ``text``), or -1."""
-    q = parity + text.count('"', 0, start)
-    prev = start
-    pos = text.find("\n", start)
-    while pos != -1:
-        q += text.count('"', prev, pos)
-        if q % 2 == 0:
-            return pos + 1
-        prev = pos
-        pos = text.find("\n", pos + 1)
-    return -1
-
-
-def _first_record_end(text: str) -> int:
-    pos = text.find("\n")
-    while pos != -1:
-        if text.count('"', 0, pos) % 2 == 0:
-            return pos + 1
-        pos = text.find("\n", pos + 1)
-    return -1
-
-
-class _Stager:
-    """Streams one decoded member into UTF-8 chunk files.
-
-    Decoded blocks are appended to the current chunk file as they arrive; a
-    block that would take the file past ``chunk_bytes`` is cut at the first
-    newline outside quotes past the target (tracked by quote parity), and
-    the rest starts a new file that repeats the header.  Nothing beyond one
-    block is held in memory.
-    """
-
-    def __init__(self, out_dir: str, chunk_bytes: int):
-        self.out_dir = out_dir
-        self.chunk_bytes = chunk_bytes
-        self.head_buf = ""
-        self.header: str | None = None
-        self.fh = None
-        self.written = 0
-        self.parity = 0  # quote parity of the current chunk's body
-        self.chunks: list[str] = []
-        self.has_data = False
-
-    def feed(self, text: str, final: bool = False) -> None:
-        if self.header is None:
-            self.head_buf += text
-            end = _first_record_end(self.head_buf)
-            if end == -1 and not final:
-                return
-            end = len(self.head_buf) if end == -1 else end
-            self.header, text, self.head_buf = self.head_buf[:end], self.head_buf[end:], ""
-            if not self.header.endswith("\n"):
-                self.header += "\n"
-        while text:
-            open_ = self.fh is not None
-            room = self.chunk_bytes - (self.written if open_ else 0)
-            if len(text) <= room:
-                self._append(text)
-                break
-            cut = _record_end_after(text, self.parity if open_ else 0, max(room, 0))
-            if cut == -1:
-                self._append(text)  # one long record: the chunk grows past the target
-                break
-            self._append(text[:cut])
-            self._close()
-            text = text[cut:]
-        if final:
-            self._close()
-
-    def _append(self, text: str) -> None:
-        has = bool(text.strip("\r\n"))
-        if self.fh is None:
-            if not has:
-                return  # blank lines between records
-            name = os.path.join(self.out_dir, f"part-{len(self.chunks):05d}.csv")
-            self.fh = open(name, "w", encoding="utf-8", newline="")
-            self.fh.write(self.header)
-            self.chunks.append(name)
-            self.written, self.parity = 0, 0
-        self.fh.write(text)
-        self.written += len(text)
-        self.parity = (self.parity + text.count('"')) % 2
-        self.has_data = self.has_data or has
-
-    def _close(self) -> None:
-        if self.fh is not None:
-            self.fh.close()
-            self.fh = None
-
-
-def _stage_one(zf: zipfile.ZipFile, member: str, stage_dir: str, aid: str, chunk_bytes: int,
-               encodings: Sequence[str]):
-    last_err = None
+# --- blocks of records: decode with fallback, cut at record ends --------------------
+
+BLOCK_SCHEMA = ("path string, member string, uncompressed_size long, encoding string, header string, "
+                "n_fields int, newline_count long, has_data boolean, block long, records array<string>, error string")
+_BLOCK_COLS = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+
+
+def _open_after(line: str, inside: bool) -> bool:
+    """Whether a quoted field is open behind ``line``; a quote opens only at a field's start."""
+    at = 0
+    while True:
+        if inside:
+            at = line.find('"', at)
+            if at < 0:
+                return True
+            if line.startswith('""', at):
+                at += 2
+                continue
+            inside = False
+            at = line.find(",", at)  # what stands behind the closing quote belongs to the field
+            if at < 0:
+                return False
+            at += 1
+        if line.startswith('"', at):
+            inside, at = True, at + 1
+            continue
+        at = line.find(',"', at)
+        if at < 0:
+            return False
+        at += 1
+
+
+class RecordCutter:
+    """Cuts decoded text into CSV records, whatever the pieces it comes in."""
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []  # of a line that isn't complete
+        self.lines: list[str] = []  # of a record with an open quote
+        self.held = 0
+
+    def feed(self, text: str) -> list[str]:
+        first, *lines = text.split("\n")
+        self.parts.append(first)
+        self.held += len(first)
+        if self.held > MAX_RECORD_CHARS:
+            raise ValueError(f"a record of more than {MAX_RECORD_CHARS} characters (a quote that never closes?)")
+        if not lines:
+            return []
+        lines.insert(0, "".join(self.parts))
+        self.parts = [lines.pop()]
+        records = []
+        if not self.lines and '"' not in text and '"' not in lines[0]:
+            records = lines
+        else:
+            for line in lines:
+                if '"' in line or self.lines:
+                    still_open = _open_after(line, bool(self.lines))
+                    self.lines.append(line)
+                    if still_open:
+                        continue
+                    line = "\n".join(self.lines)
+                    self.lines = []
+                records.append(line)
+        self.held = len(self.parts[0]) + sum(map(len, self.lines))
+        return [r for x in records if (r := x.removesuffix("\r"))]
+
+    def end(self) -> list[str]:
+        """The last record, if no line end follows it."""
+        record = "\n".join([*self.lines, "".join(self.parts)]).removesuffix("\r")
+        self.parts, self.lines = [], []
+        return [record] if record else []
+
+
+def _decoded(zf: zipfile.ZipFile, member: str, encoding: str, counts: dict | None = None) -> Iterator[str]:
+    dec = codecs.getincrementaldecoder(encoding)("strict")
+    with zf.open(member) as fh:
+        while block := fh.read(READ_BLOCK):
+            if counts is not None:
+                counts["newlines"] += block.count(b"\n")
+            yield dec.decode(block)
+        yield dec.decode(b"", final=True)
+
+
+def _member_encoding(zf: zipfile.ZipFile, member: str, encodings: Sequence[str]) -> tuple[str, int]:
+    """(first encoding that decodes the whole member, newline bytes); nothing is kept."""
+    last: Exception | None = None
     for enc in encodings:
-        out_dir = os.path.join(stage_dir, "_attempts", aid, enc.replace("_", "-"))
-        if os.path.isdir(out_dir):
-            shutil.rmtree(out_dir)  # left by an earlier run of this task
-        os.makedirs(out_dir)
-        dec = codecs.getincrementaldecoder(enc)("strict")
-        st = _Stager(out_dir, chunk_bytes)
-        newlines = size = 0
+        counts = {"newlines": 0}
         try:
-            with zf.open(member) as fh:
-                while block := fh.read(READ_BLOCK):
-                    newlines += block.count(b"\n")
-                    size += len(block)
-                    st.feed(dec.decode(block))
-                st.feed(dec.decode(b"", final=True), final=True)
+            for _ in _decoded(zf, member, enc, counts):
+                pass
+            return enc, counts["newlines"]
         except UnicodeDecodeError as exc:
-            st._close()
-            last_err = exc  # this attempt's files are never referenced
-            continue
-        header = (st.header or "").rstrip("\r\n")
-        n_fields = len(next(csv.reader([header]))) if header else 0
-        final = os.path.join(stage_dir, "ok", aid)
-        os.makedirs(os.path.dirname(final), exist_ok=True)
-        if os.path.isdir(final):
-            shutil.rmtree(final)  # a retried task publishes its own output again
-        os.rename(out_dir, final)  # atomic publish: readers only glob ok/*
-        chunks = [os.path.join(final, os.path.basename(c)) for c in st.chunks]
-        return enc, header, n_fields, newlines, size, st.has_data, chunks, None
-    return None, None, None, None, None, None, None, f"could not decode with {', '.join(encodings)}: {last_err}"
+            last = exc
+    raise ValueError(f"could not decode with {', '.join(encodings)}: {last}")
 
 
 def _first_csv(zf: zipfile.ZipFile):
@@ -287,125 +253,145 @@ def _first_csv(zf: zipfile.ZipFile):
     return None
 
 
-def _stage_fn(stage_dir: str, chunk_bytes: int, encodings: Sequence[str], pick_member: bool):
-    cols = ["path", "member", "uncompressed_size", "encoding", "header", "n_fields", "newline_count",
-            "has_data", "chunks", "error"]
-
+def _archive_blocks(uri: str, block_chars: int, encodings: Sequence[str]) -> Iterator[tuple]:
+    """The archive's blocks of records, then (block -1) what is known of the whole."""
+    member = size = None
+    try:
+        with open_input(uri) as raw, zipfile.ZipFile(raw) as zf:
+            info = _first_csv(zf)
+            if info is None:
+                yield (uri, None, None, None, None, None, None, False, -1, [], "no CSV member")
+                return
+            member, size = info.filename, info.file_size
+            enc, newlines = _member_encoding(zf, member, encodings)
+            cutter, header, held, chars, number = RecordCutter(), None, [], 0, 0
+            for text in _decoded_then_end(zf, member, enc):
+                records = cutter.end() if text is None else cutter.feed(text)
+                if header is None and records:
+                    header, records = records[0].removeprefix("\ufeff"), records[1:]
+                for r in records:
+                    held.append(r)
+                    chars += len(r)
+                    if chars >= block_chars:
+                        yield (uri, member, None, None, None, None, None, True, number, held, None)
+                        held, chars, number = [], 0, number + 1
+            if held:
+                yield (uri, member, None, None, None, None, None, True, number, held, None)
+                number += 1
+            n_fields = len(next(csv.reader(io.StringIO(header, newline="")))) if header else 0
+            yield (uri, member, size, enc, header or "", n_fields, newlines, number > 0, -1, [], None)
+    except (OSError, zipfile.BadZipFile, ValueError) as exc:
+        yield (uri, member, size, None, None, None, None, False, -1, [], f"{type(exc).__name__}: {exc}")
+
+
+def _decoded_then_end(zf: zipfile.ZipFile, member: str, encoding: str) -> Iterator[str | None]:
+    yield from _decoded(zf, member, encoding)
+    yield None
+
+
+def record_blocks(paths: DataFrame, block_chars: int = BLOCK_CHARS, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """Blocks of whole records of each archive's first CSV member (archives spread by size).
+
+    Two streaming passes over a member: one finds the encoding (cp932, then
+    shift_jis, then utf-8) that decodes all of it, one emits the records
+    behind the header.  The row with block -1 sums up the archive; its
+    ``error`` says why an archive can't be read.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            members = [None] * len(b) if pick_member else list(b["member"])
-            for uri, member in zip(b["path"], members):
-                aid = hashlib.sha1(uri.encode("utf-8")).hexdigest()[:16]
-                size = None
-                try:
-                    with zipfile.ZipFile(local_path(uri)) as zf:
-                        info = _first_csv(zf) if pick_member else zf.getinfo(member)
-                        if info is None:
-                            out.append((uri, None, None) + (None,) * 6 + ("no CSV member",))
-                            continue
-                        member, size = info.filename, info.file_size
-                        enc, header, n_fields, newlines, _, has_data, chunks, err = _stage_one(
-                            zf, member, stage_dir, aid, chunk_bytes, encodings)
-                except (OSError, zipfile.BadZipFile, KeyError) as exc:
-                    out.append((uri, member, size) + (None,) * 6 + (f"{type(exc).__name__}: {exc}",))
-                    continue
-                out.append((uri, member, size, enc, header, n_fields, newlines, has_data, chunks, err))
-            yield pd.DataFrame(out, columns=cols)
-    return run
-
+            for uri in b["path"]:
+                for row in _archive_blocks(uri, block_chars, encodings):
+                    yield pd.DataFrame([row], columns=_BLOCK_COLS)
 
-def stage_members(firsts: DataFrame, stage_dir: str, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
-                  encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """Stage already chosen members (``path``, ``member``); see :func:`stage_archives`."""
-    todo = firsts.filter(F.col("member").isNotNull()).select("path", "member")
-    return _spread(todo).mapInPandas(_stage_fn(stage_dir, chunk_bytes, encodings, False), STAGE_SCHEMA)
+    cols = ["path", "length"] if "length" in paths.columns else ["path"]
+    return _spread(paths.select(*cols)).select("path").mapInPandas(run, BLOCK_SCHEMA)
 
 
-def stage_archives(paths: DataFrame, stage_dir: str, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
+def stage_archives(paths: DataFrame, stage_dir: str, block_chars: int = BLOCK_CHARS,
                    encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """One streaming pass per archive (archives spread by size): pick the first
-    CSV member, decode it (cp932 → shift_jis → utf-8, restarting from byte 0
-    on a decode error) into published UTF-8 chunk files, and count its
-    newline bytes and size on the way.  Returns one summary row per archive.
-    """
-    cols = ["path", "length"] if "length" in paths.columns else ["path"]
-    return _spread(paths.select(*cols)).select("path").mapInPandas(
-        _stage_fn(stage_dir, chunk_bytes, encodings, True), STAGE_SCHEMA)
+    """Write the record blocks below ``stage_dir`` (Spark's writer) and read them back."""
+    where = stage_dir.rstrip("/") + "/blocks"
+    record_blocks(paths, block_chars, encodings).write.mode("overwrite").parquet(where)
+    return paths.sparkSession.read.schema(BLOCK_SCHEMA).parquet(where)
+
+
+def archive_summary(blocks: DataFrame) -> DataFrame:
+    """One row for each archive: member, size, encoding, header, counts, error."""
+    return blocks.filter(F.col("block") == -1).drop("block", "records")
 
 
-def canonical_header(staged: DataFrame) -> list[str]:
+def canonical_header(blocks: DataFrame, strict: bool = True) -> list[str]:
     """Column names from the first archive (by path) that has data rows.
 
-    One aggregate over the per-archive staging summary: the first data
-    archive's header, the min/max column count of all data archives and the
-    first error.  Every archive with data must have the same column count.
+    One aggregate over the per-archive summary.  Every archive with data must
+    have as many columns; unless ``strict`` is off, an archive that can't be
+    read is an error (else it is left out, and ``archive_summary`` names it).
     """
     data = F.col("has_data") & F.col("error").isNull()
-    r = staged.agg(
+    r = archive_summary(blocks).agg(
         F.min_by(F.col("header"), F.when(data, F.col("path"))).alias("header"),
         F.min(F.when(data, F.col("n_fields"))).alias("lo"), F.max(F.when(data, F.col("n_fields"))).alias("hi"),
         F.min_by(F.struct("path", "error"), F.when(F.col("error").isNotNull(), F.col("path"))).alias("err"),
     ).first()
-    if r["err"] is not None:
+    if strict and r["err"] is not None:
         raise ValueError(f"cannot read {r['err']['path']}: {r['err']['error']}")
     if r["header"] is None:
         raise ValueError("no CSV with data rows to merge")
-    names = next(csv.reader([r["header"]]))
+    names = next(csv.reader(io.StringIO(r["header"], newline="")))
     if r["lo"] != r["hi"]:
         raise ValueError(f"CSV members differ in column count ({r['lo']} vs {r['hi']} columns)")
     return names
 
 
-def read_staged(spark: SparkSession, staged: DataFrame, stage_dir: str,
-                annotate: DataFrame | None = None, source_col: str | None = "_source") -> DataFrame:
-    """Positional union of all staged members as an all-string DataFrame.
+_CSV = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+
+
+def _names_ddl(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+
 
-    Names come from the first non-empty member; each chunk's own header line
-    is skipped (``enforceSchema``), which imposes the names by position.  The
-    chunk files are found by a glob over the published folders, so no file
-    list passes through the driver.  Rows are tagged with their archive:
-    ``annotate`` (keyed by ``path``) supplies extra per-archive columns,
-    otherwise the archive path is added as ``source_col``.
+def _data_blocks(blocks: DataFrame, strict: bool) -> DataFrame:
+    """Blocks of the archives that could be read to their end (``strict`` has found no other)."""
+    if strict:
+        return blocks.filter(F.col("block") >= 0)
+    failed = archive_summary(blocks).filter(F.col("error").isNotNull()).select("path")
+    return blocks.filter(F.col("block") >= 0).join(failed, "path", "left_anti")
+
+
+def read_staged(blocks: DataFrame, annotate: DataFrame | None = None, source_col: str | None = "_source",
+                strict: bool = True) -> DataFrame:
+    """Positional union of all members as an all-string DataFrame.
+
+    Names come from the first archive with data; a row with more or fewer
+    fields is an error.  Each block carries its archive's full path, so rows
+    are tagged with the columns of ``annotate`` (keyed by ``path``), else with
+    the path as ``source_col``.
     """
-    names = canonical_header(staged)
-    schema = ", ".join(f"`{n}` string" for n in names)
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("enforceSchema", True).option("mode", "FAILFAST").option("encoding", "UTF-8")
-          .option("quote", '"').option("escape", '"')
-          .csv(os.path.join(stage_dir, "ok", "*", "part-*.csv")))
-    if annotate is None and not source_col:
-        return df
-    tags = annotate if annotate is not None else staged.select(F.col("path"))
-    if source_col:
-        tags = tags.withColumnRenamed("path", source_col)
-        key = source_col
+    names = canonical_header(blocks, strict)
+    data = _data_blocks(blocks, strict)
+    if annotate is not None:
+        data = data.join(annotate.select("path", *[F.col(f"`{c}`").alias(f"_tag_{i}") for i, c in
+                                                   enumerate(c for c in annotate.columns if c != "path")]), "path")
+        tags = [F.col(f"_tag_{i}").alias(c) for i, c in enumerate(c for c in annotate.columns if c != "path")]
     else:
-        key = "path"
-    tags = tags.withColumn("_aid", F.substring(F.sha1(F.encode(key, "UTF-8")), 1, 16))
-    if not source_col:
-        tags = tags.drop("path")
-    aid = F.regexp_extract(F.input_file_name(), r"/ok/([0-9a-f]{16})/part-\d+\.csv$", 1)
-    # One tag row per archive: broadcast it (after checking its size) so the
-    # merged rows themselves are never shuffled for this join.
-    if tags.limit(MAX_BROADCAST_ARCHIVES + 1).count() <= MAX_BROADCAST_ARCHIVES:
-        tags = F.broadcast(tags)
-    return df.withColumn("_aid", aid).join(tags, "_aid").drop("_aid")
+        tags = []
+    if source_col:
+        tags.append(F.col("path").alias(source_col))
+    rows = data.withColumn("_record", F.explode("records")).withColumn(
+        "_r", F.from_csv("_record", F.lit(_names_ddl(names)), _CSV))
+    return rows.select(*[F.col("_r").getField(n).alias(n) for n in names], *tags)
 
 
 def read_zip_csvs(spark: SparkSession, paths: DataFrame, stage_dir: str,
-                  chunk_bytes: int = DEFAULT_CHUNK_BYTES, annotate: DataFrame | None = None,
-                  source_col: str | None = "_source") -> tuple[DataFrame, DataFrame]:
-    """(merged rows, per-archive staging summary) for the archives in ``paths``.
-
-    The staging summary is written as a table next to the staged files (in
-    the shared folder): that runs the file-writing stage exactly once and
-    cuts the lineage, so later jobs never re-run it.
-    """
-    summary = os.path.join(stage_dir, "_summary")
-    stage_archives(paths, stage_dir, chunk_bytes).write.mode("overwrite").parquet(summary)
-    staged = spark.read.parquet(summary)
-    return read_staged(spark, staged, stage_dir, annotate, source_col), staged
+                  block_chars: int = BLOCK_CHARS, annotate: DataFrame | None = None,
+                  source_col: str | None = "_source", strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(merged rows, blocks) for the archives in ``paths``; ``archive_summary(blocks)`` tells each one's status."""
+    blocks = stage_archives(paths, stage_dir, block_chars)
+    if annotate is not None:  # as a table of its own its true size is known, so a small one is broadcast
+        where = stage_dir.rstrip("/") + "/tags"
+        annotate.write.mode("overwrite").parquet(where)
+        annotate = spark.read.schema(annotate.schema).parquet(where)
+    return read_staged(blocks, annotate, source_col, strict), blocks
 
 
 # --- sinks ----------------------------------------------------------------------------
@@ -416,24 +402,6 @@ def write_merged(df: DataFrame, dest: str, partition_by: str = "publish_ym", fmt
      .partitionBy(partition_by).format(fmt).save(dest))
 
 
-def _cp932_fn(dest: str, columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        name = os.path.join(dest, f"part-{pid:05d}.csv")
-        rows = 0
-        with open(name, "wb") as fh:
-            if pid == 0:
-                fh.write(_csv_text([columns]).encode("cp932", errors="strict"))
-            for b in batches:
-                text = _csv_text(b[columns].itertuples(index=False, name=None))
-                fh.write(text.encode("cp932", errors="strict"))
-                rows += len(b)
-            size = fh.tell()
-        yield pd.DataFrame([(name, rows, size)], columns=["part", "rows", "bytes"])
-    return run
-
-
 def _csv_text(rows) -> str:
     buf = io.StringIO()
     w = csv.writer(buf, lineterminator="\n")
@@ -441,18 +409,6 @@ def _csv_text(rows) -> str:
     return buf.getvalue()
 
 
-def export_cp932(df: DataFrame, dest: str) -> DataFrame:
-    """cp932 CSV export as ordered part files (header in part 0 only).
-
-    cp932 is stateless, so the parts concatenated byte-wise in name order
-    form one valid file.  Encoding is strict: an unmappable character fails
-    the job, as the reference's export raises.  Returns (part, rows, bytes).
-    """
-    os.makedirs(dest, exist_ok=True)
-    cols = df.columns
-    return df.mapInPandas(_cp932_fn(dest, cols), "part string, rows long, bytes long")
-
-
 def _extract_fn(root: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -462,13 +418,15 @@ def _extract_fn(root: str):
                 stem_ = os.path.splitext(os.path.basename(p))[0]
                 sub = os.path.basename(os.path.dirname(p))
                 target = os.path.join(root, sub, stem_)
-                if os.path.isdir(target):
-                    shutil.rmtree(target)  # replace an earlier extraction
-                os.makedirs(target, exist_ok=True)
-                with zipfile.ZipFile(p) as zf:
+                own = f"{target}.{uuid.uuid4().hex}.tmp"  # of this attempt alone
+                with open_input(uri) as raw, zipfile.ZipFile(raw) as zf:
                     for info in zf.infolist():
-                        dest = zf.extract(info, target)
+                        dest = zf.extract(info, own)
                         out.append((uri, info.filename, os.path.getsize(dest) if not info.is_dir() else 0))
+                if os.path.isdir(target):
+                    shutil.rmtree(target)  # replace an earlier extraction
+                os.makedirs(own, exist_ok=True)  # an archive without members
+                os.rename(own, target)
             yield pd.DataFrame(out, columns=["path", "member", "size"])
     return run
 
@@ -489,12 +447,14 @@ def _bundle_fn(root: str):
         out = []
         for ym, uris in groups.items():
             dest = os.path.join(root, f"{ym}.zip")
+            own = f"{dest}.{uuid.uuid4().hex}.tmp"  # of this attempt alone
             names = []
-            with zipfile.ZipFile(dest, "w", compression=zipfile.ZIP_STORED) as zf:
+            with zipfile.ZipFile(own, "w", compression=zipfile.ZIP_STORED) as zf:
                 for uri in sorted(uris):
                     p = local_path(uri)
                     zf.write(p, arcname=os.path.basename(p))  # streamed from disk
                     names.append(os.path.basename(p))
+            os.replace(own, dest)
             out.append((ym, dest, len(names), ",".join(names)))
         yield pd.DataFrame(out, columns=["publish_ym", "bundle", "n_members", "members"])
     return run
@@ -529,8 +489,9 @@ class _ArchiveWriter:
         ym, label, mname, enc = key
         os.makedirs(os.path.join(self.root, ym), exist_ok=True)
         self.path = os.path.join(self.root, ym, f"{label}.zip")
+        self.own = f"{self.path}.{uuid.uuid4().hex}.tmp"  # of this attempt alone
         self.key, self.enc, self.rows = key, enc, 0
-        self.zf = zipfile.ZipFile(self.path, "w", compression=zipfile.ZIP_DEFLATED)
+        self.zf = zipfile.ZipFile(self.own, "w", compression=zipfile.ZIP_DEFLATED)
         self.zf.writestr("readme.txt", self.readme)
         self.member = self.zf.open(mname, "w", force_zip64=True)
         self.member.write(_csv_text([self.columns]).encode(enc))
@@ -548,6 +509,7 @@ class _ArchiveWriter:
         self.member.close()
         self.zf.writestr("extra.csv", self.extra_csv)
         self.zf.close()
+        os.replace(self.own, self.path)
         self.done.append((self.path, self.key[0], self.key[1], self.rows))
         self.zf = self.member = None
 
@@ -588,7 +550,7 @@ def _hash_fn(block: int):
             for uri in b["path"]:
                 h, n = hashlib.sha256(), 0
                 try:
-                    with open(local_path(uri), "rb") as fh:
+                    with open_input(uri) as fh:
                         while chunk := fh.read(block):
                             h.update(chunk)
                             n += len(chunk)
@@ -629,123 +591,114 @@ def reconcile_files(targets: DataFrame, recorded: DataFrame, landed: DataFrame,
     return j.select(F.col(key), action.alias("action"))
 
 
-# --- ordered cp932 export straight from the staged members ---------------------------------
+# --- ordered cp932 export ---------------------------------------------------------------
 
 EXPORT_HEADER_NAME = "header.csv"
+EXPORT_SCHEMA = "part string, path string, block long, bytes long"
 
 
 def _export_fn(dest: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
         for b in batches:
-            for rank, idx, chunk in zip(b["_rank"], b["_idx"], b["chunk"]):
-                name = os.path.join(dest, f"part-{int(rank):05d}-{int(idx):05d}.csv")
-                tmp = name + ".tmp"
-                with open(chunk, encoding="utf-8", newline="") as src, open(tmp, "wb") as fh:
-                    text = src.read(READ_BLOCK)
-                    end = _first_record_end(text)
-                    text = text[end:] if end != -1 else ""  # each chunk repeats the header
-                    while text:
-                        fh.write(text.encode("cp932", errors="strict"))
-                        text = src.read(READ_BLOCK)
-                    size = fh.tell()
-                os.replace(tmp, name)
-                out.append((name, int(rank), int(idx), size))
-        yield pd.DataFrame(out, columns=["part", "rank", "chunk", "bytes"])
+            out = []
+            for path, stem, block, text in b[["path", "stem", "block", "text"]].itertuples(index=False):
+                part = f"{dest}/part-{stem}-{int(block):012d}.csv"
+                out.append((part, path, int(block), write_file(part, [text.encode("cp932", errors="strict")])))
+            yield pd.DataFrame(out, columns=["part", "path", "block", "bytes"])
     return run
 
 
-def export_merged_cp932(staged: DataFrame, dest: str) -> DataFrame:
+def export_merged_cp932(blocks: DataFrame, dest: str, strict: bool = True) -> DataFrame:
     """The merged CSV in cp932, in the reference's order: archives by path, rows
     in file order, one header (the canonical names) at the top.
 
-    ``header.csv`` holds the header; every staged chunk becomes
-    ``part-<archive rank>-<chunk>.csv``, transcoded by its own task (a large
-    archive is exported in parallel).  ``header.csv`` followed by the parts
-    in name order, concatenated byte-wise, is the single file (cp932 is
-    stateless).  Encoding is strict: an unmappable character fails the job.
-    Returns (part, rank, chunk, bytes).
+    Records are parsed and written again by the JVM, so each ends with a line
+    end and a ragged one is an error, as in :func:`read_staged`.  Each block is
+    a part of its own, encoded (strictly) by the task that holds it; the
+    returned table (part, path, block, bytes) ordered by path and block,
+    behind ``header.csv``, is the file (cp932 has no state).
+    """
+    names = canonical_header(blocks, strict)
+    write_file(f"{dest}/{EXPORT_HEADER_NAME}", [_csv_text([names]).encode("cp932", errors="strict")])
+    ddl = _names_ddl(names)
+    line = "transform(records, r -> to_csv(from_csv(r, '{}', {o}), {o}))".format(
+        ddl.replace("\\", "\\\\").replace("'", "\\'"), o="map('quote', '\"', 'escape', '\"', 'mode', 'FAILFAST', 'ignoreLeadingWhiteSpace', 'false', "
+        "'ignoreTrailingWhiteSpace', 'false')")
+    texts = _data_blocks(blocks, strict).select(
+        "path", F.sha2("path", 256).alias("stem"), "block", F.concat(F.array_join(F.expr(line), "\n"), F.lit("\n")).alias("text"))
+    return texts.mapInPandas(_export_fn(dest.rstrip("/")), EXPORT_SCHEMA)
+
+
+def export_bytes(parts: DataFrame, dest: str) -> Iterator[bytes]:
+    """The exported file, piece by piece: the header, then the parts in order (names only pass the driver)."""
+    yield open_input(f"{dest}/{EXPORT_HEADER_NAME}").read()
+    for r in parts.select("part").orderBy("path", "block").toLocalIterator():
+        yield open_input(r["part"]).read()
+
+
+def read_cp932_export(parts: DataFrame, dest: str, names: Sequence[str]) -> DataFrame:
+    """Rows of an export, all strings, with ``_path`` and ``_block``.
+
+    Parts are decoded in tasks (Spark can't decode cp932) and cut into
+    records; the JVM parses them.
     """
-    names = canonical_header(staged)
-    os.makedirs(dest, exist_ok=True)
-    with open(os.path.join(dest, EXPORT_HEADER_NAME), "wb") as fh:  # one line, written once
-        fh.write(_csv_text([names]).encode("cp932", errors="strict"))
-    ranked = staged.select("chunks", (F.row_number().over(Window.orderBy("path")) - 1).alias("_rank"))
-    chunks = ranked.select("_rank", F.posexplode("chunks").alias("_idx", "chunk"))
-    n = max(1, chunks.count())
-    return (chunks.repartition(n, "_rank", "_idx")
-            .mapInPandas(_export_fn(dest), "part string, rank int, chunk int, bytes long"))
-
-
-def _read_cp932_fn(names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, rank in zip(b["part"], b["rank"]):
-                with open(part, encoding="cp932", errors="strict", newline="") as fh:
-                    reader = csv.reader(fh)  # parts hold data rows only; the header is header.csv
-                    rows = []
-                    for rec in reader:
-                        rows.append(rec + [None] * (len(names) - len(rec)) if len(rec) < len(names) else rec[:len(names)])
-                        if len(rows) >= 10000:
-                            yield pd.DataFrame(rows, columns=names).assign(_part=int(rank))
-                            rows = []
-                    if rows:
-                        yield pd.DataFrame(rows, columns=names).assign(_part=int(rank))
-    return run
+            for part, path, block in b[["part", "path", "block"]].itertuples(index=False):
+                cutter = RecordCutter()
+                with open_input(part) as fh:
+                    records = cutter.feed(fh.read().decode("cp932", errors="strict")) + cutter.end()
+                yield pd.DataFrame([(path, int(block), records)], columns=["_path", "_block", "records"])
 
-
-def read_cp932_parts(parts: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of an ordered cp932 export's data parts (``part``, ``rank``), all
-    strings, with ``_part`` = the archive rank.  Spark cannot decode cp932 itself, so each
-    part is decoded (strictly) and parsed in the task that holds it."""
-    schema = ", ".join(f"`{n}` string" for n in names) + ", _part int"
-    return parts.select("part", "rank").mapInPandas(_read_cp932_fn(list(names)), schema)
+    records = parts.select("part", "path", "block").mapInPandas(run, "_path string, _block long, records array<string>")
+    parsed = records.withColumn("_record", F.explode("records")).withColumn(
+        "_r", F.from_csv("_record", F.lit(_names_ddl(names)), _CSV))
+    return parsed.select(*[F.col("_r").getField(n).alias(n) for n in names], "_path", "_block")
 
 
 # --- file statistics for cache misses (row count rule, display size) -----------------------
 
 def _stats_fn(block: int):
+    def newlines(fh) -> int:
+        n = 0
+        while chunk := fh.read(block):
+            n += chunk.count(b"\n")
+        return n
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for uri, length in zip(b["path"], b["length"]):
-                p = local_path(uri)
-                suffix = os.path.splitext(p)[1].lower()
-                rows, display = None, int(length)
+                suffix = os.path.splitext(uri)[1].lower()
+                rows, display, error = None, int(length), None
                 try:
                     if suffix == ".csv":
-                        with open(p, "rb") as fh:
-                            n = 0
-                            while chunk := fh.read(block):
-                                n += chunk.count(b"\n")
-                        rows = max(0, n - 1)
+                        with open_input(uri) as fh:
+                            rows = max(0, newlines(fh) - 1)
                     elif suffix == ".zip":
-                        with zipfile.ZipFile(p) as zf:
+                        with open_input(uri) as raw, zipfile.ZipFile(raw) as zf:
                             info = _first_csv(zf)
                             if info is not None:
                                 display = info.file_size or display
-                                n = 0
                                 with zf.open(info) as fh:
-                                    while chunk := fh.read(block):
-                                        n += chunk.count(b"\n")
-                                rows = max(0, n - 1)
-                except (OSError, zipfile.BadZipFile):
-                    rows = None
-                out.append((uri, rows, display))
-            yield pd.DataFrame(out, columns=["path", "row_count", "display_size"])
+                                    rows = max(0, newlines(fh) - 1)
+                except (OSError, zipfile.BadZipFile, ValueError) as exc:
+                    rows, error = None, f"{type(exc).__name__}: {exc}"
+                out.append((uri, rows, display, error))
+            yield pd.DataFrame(out, columns=["path", "row_count", "display_size", "error"])
     return run
 
 
 def compute_file_stats(files: DataFrame, block: int = READ_BLOCK) -> DataFrame:
-    """(path, row_count, display_size) for listed files (``path``, ``length``).
+    """(path, row_count, display_size, error) for listed files (``path``, ``length``).
 
     Row count = newline bytes − 1, floored at 0, for ``.csv`` files and for
     the first CSV member of a ``.zip``; other suffixes and unreadable files
-    give NULL.  Display size = the member's uncompressed size when non-zero,
+    give NULL (``error`` says why).  Display size = the member's uncompressed size when non-zero,
     else the on-disk size.  Streamed in blocks; files spread over tasks by size.
     """
     return _spread(files.select("path", "length")).mapInPandas(
-        _stats_fn(block), "path string, row_count long, display_size long")
+        _stats_fn(block), "path string, row_count long, display_size long, error string")
 
 
 def merge_selected_archives(spark: SparkSession, listing: DataFrame, selected_names: DataFrame,

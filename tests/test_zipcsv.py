@@ -22,9 +22,12 @@ def _paths(spark, paths):
     return spark.createDataFrame([("file:" + p,) for p in paths], "path string")
 
 
-def _read(spark, tmp_dir, paths, chunk_bytes=zc.DEFAULT_CHUNK_BYTES):
-    merged, staged = zc.read_zip_csvs(spark, _paths(spark, paths), os.path.join(tmp_dir, "stage"), chunk_bytes)
-    return merged, staged
+def _read(spark, tmp_dir, paths, block_chars=zc.BLOCK_CHARS, **how):
+    return zc.read_zip_csvs(spark, _paths(spark, paths), os.path.join(tmp_dir, "stage"), block_chars, **how)
+
+
+def _summary(blocks):
+    return zc.archive_summary(blocks)
 
 
 def test_first_csv_member_and_size(spark, tmp_dir):
@@ -65,13 +68,13 @@ def test_cp932_header_and_values(spark, tmp_dir):
     m, staged = _read(spark, tmp_dir, [p])
     assert m.drop("_source").columns == ["都道府県", "件数"]
     assert rows(m, "都道府県", "件数") == [("13", "100")]
-    assert staged.first()["encoding"] == "cp932"
+    assert _summary(staged).first()["encoding"] == "cp932"
 
 
 def test_utf8_source_falls_back(spark, tmp_dir):
     p = _zip(f"{tmp_dir}/u.zip", [("u.csv", "名前,値\n備考,1\n".encode("utf-8"))])
     m, staged = _read(spark, tmp_dir, [p])
-    assert staged.first()["encoding"] == "utf-8"
+    assert _summary(staged).first()["encoding"] == "utf-8"
     assert rows(m, "名前", "値") == [("備考", "1")]
 
 
@@ -79,8 +82,8 @@ def test_row_count_rule(spark, tmp_dir):
     a = _zip(f"{tmp_dir}/a.zip", [("a.csv", "a,b\n1,2\n3,4\n5,6\n")])
     b = _zip(f"{tmp_dir}/b.zip", [("b.csv", "a,b\n1,2\n3,4")])           # last line without newline
     c = _zip(f"{tmp_dir}/c.zip", [("c.csv", 'a,b\n"x\ny",2\n')])          # newline inside quotes
-    st = {r["path"]: r["newline_count"] for r in zc.stage_members(
-        zc.first_csv_members(_paths(spark, [a, b, c])), tmp_dir + "/s").collect()}
+    st = {r["path"]: r["newline_count"] for r in _summary(
+        zc.stage_archives(_paths(spark, [a, b, c]), tmp_dir + "/s")).collect()}
     assert [max(st["file:" + p] - 1, 0) for p in (a, b, c)] == [3, 1, 2]
 
 
@@ -104,25 +107,94 @@ def test_quote_safe_chunking_matches_single_chunk(spark, tmp_dir):
     lines = ["id,note"] + [f'{i},"line {i}\nsecond ""q"", part"' if i % 3 == 0 else f"{i},plain {i}"
                            for i in range(500)]
     p = _zip(f"{tmp_dir}/big.zip", [("big.csv", ("\n".join(lines) + "\n").encode("cp932"))])
-    small, staged = _read(spark, tmp_dir + "/small", [p], chunk_bytes=200)
-    assert len(staged.first()["chunks"]) > 5
+    small, staged = _read(spark, tmp_dir + "/small", [p], block_chars=200)
+    assert staged.filter("block >= 0").count() > 5
     whole, _ = _read(spark, tmp_dir + "/whole", [p])
     assert sorted(rows(small, "id", "note")) == sorted(rows(whole, "id", "note"))
     assert small.count() == 500
 
 
-def test_cp932_export(spark, tmp_dir):
-    df = spark.createDataFrame([("13", "100")], "`都道府県` string, `件数` string")
-    out = zc.export_cp932(df.coalesce(1), tmp_dir + "/exp").collect()
-    data = b"".join(open(r["part"], "rb").read() for r in sorted(out, key=lambda r: r["part"]))
-    text = data.decode("cp932")
-    assert text.startswith("都道府県,件数\n") and "13,100" in text
-
-
 def test_cp932_export_unmappable_fails(spark, tmp_dir):
-    df = spark.createDataFrame([("😀",)], "v string")
+    p = _zip(f"{tmp_dir}/u.zip", [("u.csv", "v\n😀\n".encode())])
+    _, blocks = _read(spark, tmp_dir, [p])
     with pytest.raises(Exception, match="cp932|encode"):
-        zc.export_cp932(df.coalesce(1), tmp_dir + "/bad").collect()
+        zc.export_merged_cp932(blocks, tmp_dir + "/bad").collect()
+
+
+HOSTILE = [
+    ("0.zip", "h1,h2\n", []),                                             # no data
+    ("1.zip", "a,b\n3,4", [("3", "4")]),                                   # no final line end
+    ("2.zip", "a,b\r\n5,6\r\n\r\n7,8\r\n", [("5", "6"), ("7", "8")]),      # CRLF, blank line
+    ("3.zip", 'a,b\n5" pipe,x\n6" pipe,"q ""r"", s"\n', [('5" pipe', "x"), ('6" pipe', 'q "r", s')]),
+    ("4.zip", 'a,b\n"one\ntwo, ""three""\n",9\n"",\n', [('one\ntwo, "three"\n', "9"), (None, None)]),
+    ("5 #%41日本.zip", 'a,b\nx,"y"\n', [("x", "y")]),
+]
+
+
+@pytest.mark.parametrize("block_chars", [1, 20, 100, zc.BLOCK_CHARS])
+def test_hostile_members_read_alike_at_any_block_size(spark, tmp_dir, monkeypatch, block_chars):
+    monkeypatch.setattr(zc, "READ_BLOCK", max(3, min(block_chars, 1 << 20)))
+    paths = [_zip(f"{tmp_dir}/{n}", [("d.csv", text.encode("cp932"))]) for n, text, _ in HOSTILE]
+    merged, blocks = _read(spark, tmp_dir, paths, block_chars)
+    assert merged.columns == ["a", "b", "_source"]
+    got = [(r["a"], r["b"], r["_source"]) for r in merged.collect()]
+    want = [(*v, "file:" + p) for p, (_, _, values) in zip(paths, HOSTILE) for v in values]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    parts = zc.export_merged_cp932(blocks, tmp_dir + "/exp")
+    parts.write.parquet(tmp_dir + "/parts")
+    parts = spark.read.parquet(tmp_dir + "/parts")
+    text = b"".join(zc.export_bytes(parts, tmp_dir + "/exp")).decode("cp932")
+    import csv
+    import io
+    back = list(csv.reader(io.StringIO(text, newline="")))
+    assert back[0] == ["a", "b"]
+    assert back[1:] == [[x or "" for x in v] for p, (_, _, values) in sorted(zip(paths, HOSTILE)) for v in values]
+    again = zc.read_cp932_export(parts, tmp_dir + "/exp", ["a", "b"]).select("a", "b")
+    assert sorted(map(str, rows(again))) == sorted(str(v[:2]) for v in want)
+
+
+@pytest.mark.parametrize("row", ["3,4,5", "3"])
+def test_ragged_rows_fail_on_read_and_export(spark, tmp_dir, row):
+    p = _zip(f"{tmp_dir}/r.zip", [("r.csv", f"a,b\n1,2\n{row}\n")])
+    merged, blocks = _read(spark, tmp_dir, [p])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        merged.collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        zc.export_merged_cp932(blocks, tmp_dir + "/exp").collect()
+
+
+def test_open_quote_is_an_error_not_a_held_member(spark, tmp_dir, monkeypatch):
+    cutter = zc.RecordCutter()
+    monkeypatch.setattr(zc, "MAX_RECORD_CHARS", 1000)
+    with pytest.raises(ValueError, match="more than 1000"):
+        for _ in range(100):
+            cutter.feed('"never closed\n' if not cutter.lines else "more\n" * 10)
+
+
+def test_lenient_merge_leaves_unreadable_archives_out(spark, tmp_dir):
+    a = _zip(f"{tmp_dir}/a.zip", [("a.csv", "x\n1\n")])
+    b = f"{tmp_dir}/b.zip"
+    with open(b, "wb") as fh:
+        fh.write(b"garbage")
+    with pytest.raises(ValueError, match="b.zip"):
+        _read(spark, tmp_dir + "/strict", [a, b])
+    merged, blocks = _read(spark, tmp_dir + "/lenient", [a, b], strict=False)
+    assert rows(merged, "x") == [("1",)]
+    status = {r["path"][-5:]: r["error"] for r in _summary(blocks).collect()}
+    assert status["a.zip"] is None and "BadZipFile" in status["b.zip"]
+
+
+def test_stats_of_odd_names_and_unknown_stores(spark, tmp_dir):
+    odd = [_zip(f"{tmp_dir}/{n}", [("d.csv", "a\n1\n2\n")]) for n in ("c#1.zip", "d%41.zip", "地域 1.zip")]
+    lst = zc.list_files(spark, tmp_dir)
+    got = {r["path"].rsplit("/", 1)[1]: (r["row_count"], r["error"]) for r in zc.compute_file_stats(lst).collect()}
+    assert got == {os.path.basename(p): (2, None) for p in odd}
+    far = spark.createDataFrame([("nosuchstore://host/a.zip", 5)], "path string, length long")
+    with pytest.raises(Exception, match="nosuchstore|scheme|filesystem"):
+        zc.compute_file_stats(far).collect()
+    assert not os.path.exists("nosuchstore:")
+    missing = spark.createDataFrame([(f"file:{tmp_dir}/none.zip", 5)], "path string, length long")
+    assert "FileNotFoundError" in zc.compute_file_stats(missing).first()["error"]
 
 
 def test_library_listing_and_bundle_and_extract(spark, tmp_dir):
@@ -175,11 +247,10 @@ def test_ordered_cp932_export_concatenates_to_one_file(spark, tmp_dir):
     b = _zip(f"{tmp_dir}/1.zip", [("a.csv", "x,y\n北海道,0\n")])
     c = _zip(f"{tmp_dir}/3.zip", [("c.csv", "p,q\n")])
     d = _zip(f"{tmp_dir}/4.zip", [("d.csv", 'p,q\n"沖\n縄",9\n')])
-    _, staged = _read(spark, tmp_dir, [a, b, c, d], chunk_bytes=8)
-    parts = zc.export_merged_cp932(staged, tmp_dir + "/exp").collect()
-    assert len(parts) > 4  # small chunks: parts are cut inside archives
-    files = [os.path.join(tmp_dir, "exp", zc.EXPORT_HEADER_NAME)] + sorted(r["part"] for r in parts)
-    data = b"".join(open(f, "rb").read() for f in files)
+    _, staged = _read(spark, tmp_dir, [a, b, c, d], block_chars=8)
+    parts = zc.export_merged_cp932(staged, tmp_dir + "/exp")
+    assert parts.count() > 4  # small blocks: parts are cut inside archives
+    data = b"".join(zc.export_bytes(parts, tmp_dir + "/exp"))
     assert data.decode("cp932") == 'x,y\n北海道,0\n' + "東京,1\n大阪,2\n" * 10 + '"沖\n縄",9\n'
 
 
@@ -208,7 +279,7 @@ def test_staged_read_tags_rows_by_broadcast(spark, tmp_dir):
     import contextlib
     import io
     a = _zip(f"{tmp_dir}/a.zip", [("a.csv", "x\n1\n")])
-    merged, _ = _read(spark, tmp_dir, [a])
+    merged, _ = _read(spark, tmp_dir, [a], annotate=_paths(spark, [a]).withColumn("tag", F.lit("t")))
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         merged.explain("simple")

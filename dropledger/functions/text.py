@@ -119,7 +119,8 @@ def casefold_contains(haystack, needle) -> Column:
     Spark's ``lower`` is not Python's ``casefold`` (ß, ligatures); Japanese
     names are unaffected.
     """
-    return F.contains(F.lower(_c(haystack)), F.lower(F.trim(_c(needle))))
+    trimmed = F.regexp_replace(_c(needle), r"(?U)^\s+|\s+$", "")  # full-width blanks too
+    return F.contains(F.lower(_c(haystack)), F.lower(trimmed))
 
 
 def jst_iso(ts) -> Column:

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 
 def explode_dimension(df: DataFrame, dim: DataFrame, alias: str = "_dim",
-                      max_rows: int = 1000) -> DataFrame:
-    """Pair every row of ``df`` with every row of a bounded dimension.
+                      max_rows: int | None = None) -> DataFrame:
+    """Pair every row of ``df`` with every row of a dimension.
 
     The dimension becomes one array through a scalar subquery (evaluated
-    once, inside the plan; the query fails if the array passes ``max_rows``)
-    and each row explodes it: a local generator, no join, no driver trip.
+    once, inside the plan) and each row explodes it: a local generator, no
+    join, no driver trip.  A caller that knows a bound may have the query
+    fail beyond it (``max_rows``).
     """
     arr = dim.select(F.collect_list(F.struct(*[F.col(c) for c in dim.columns]))).scalar()
-    guarded = F.when(F.size(arr) > max_rows,
+    guarded = arr if max_rows is None else F.when(F.size(arr) > max_rows,
                      F.raise_error(F.lit(f"dimension exceeds its bound of {max_rows} rows"))).otherwise(arr)
     return df.withColumn(alias, F.explode(guarded)).select(*df.columns, f"{alias}.*")
 
@@ -40,7 +41,9 @@ def select_targets(master: DataFrame, selection: DataFrame | None, code: str = "
     """Empty selection = the whole master; otherwise membership (unknown codes vanish)."""
     if selection is None:
         return master
-    return master.join(selection.select(code), code, "left_semi")
+    chosen = selection.select(code).distinct().withColumn("_chosen", F.lit(True))
+    nothing_chosen = selection.agg(F.count(F.lit(1))).scalar() == 0
+    return master.join(chosen, code, "left").filter(F.col("_chosen") | nothing_chosen).select(*master.columns)
 
 
 def code_validity(codes: DataFrame, master: DataFrame, code: str = "code") -> DataFrame:

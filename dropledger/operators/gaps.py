@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dropledger.functions.calendar import month_key, parse_month_key
+from dropledger.functions.calendar import month_key, strict_month_key
 
 
 def month_spine(spark: SparkSession, start_key: str, end_key: str) -> DataFrame:
     """Every month of the inclusive ``YYYY_M`` range as (publish_ym, data_year, data_month).
 
     Generated from the two parameters (``sequence`` + ``explode``), so its
-    size is bounded by the requested range, not by the data.
+    size is bounded by the requested range, not by the data.  An inverted
+    range is empty; an invalid key is an error.
     """
-    ends = spark.range(1).select(parse_month_key(F.lit(start_key)).alias("s"),
-                                 parse_month_key(F.lit(end_key)).alias("e"))
-    d = ends.select(F.explode(F.sequence(
-        F.make_date("s.year", "s.month", F.lit(1)), F.make_date("e.year", "e.month", F.lit(1)),
-        F.expr("INTERVAL 1 MONTH"))).alias("d"))
+    ends = spark.range(1).select(strict_month_key(F.lit(start_key)).alias("s"),
+                                 strict_month_key(F.lit(end_key)).alias("e"))
+    first, last = (F.make_date(f"{x}.year", f"{x}.month", F.lit(1)) for x in "se")
+    d = ends.select(first.alias("first"), last.alias("last")).select(
+        "last", F.explode(F.sequence("first", F.greatest("first", "last"), F.expr("INTERVAL 1 MONTH"))).alias("d")
+    ).filter(F.col("d") <= F.col("last"))  # an inverted range has no months
     return d.select(month_key(F.year("d"), F.month("d")).alias("publish_ym"),
                     F.year("d").alias("data_year"), F.month("d").alias("data_month"))
 

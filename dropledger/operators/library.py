@@ -84,7 +84,7 @@ def search_tree(files: DataFrame, needle: str, display: str = "display_name",
     if not needle.strip():
         return files.select("*", F.lit(True).alias("file_visible"), F.lit(True).alias("month_visible"),
                             F.lit(True).alias("year_visible"))
-    hit = casefold_contains(F.col(display), F.lit(needle))
+    hit = casefold_contains(F.col(display), F.lit(needle.strip()))
     f = files.withColumn("_hit", hit)
     # Bounded groups (files of one month, months of one year): windows avoid
     # recomputing the file list for a group-and-join-back.
@@ -104,16 +104,18 @@ def nest_manifest(entries: DataFrame, key: str, header: Sequence[Column], entry_
 
 
 def explode_manifest(docs: DataFrame, json_col: str | None, schema: str | None = None,
-                     default_version: str = "0.0.0", struct_col: str | None = None) -> DataFrame:
+                     default_version: str = "0.0.0", struct_col: str | None = None,
+                     carry: Sequence[str] = ()) -> DataFrame:
     """Explode manifests' ``files`` (a missing array is empty; a missing
     ``app_version`` takes the default).  Input is either JSON text
-    (``json_col`` + ``schema``) or an already parsed struct (``struct_col``)."""
+    (``json_col`` + ``schema``) or an already parsed struct (``struct_col``);
+    columns in ``carry`` stay with their document."""
     if struct_col is not None:
-        m = docs.select(F.col(struct_col).alias("m"))
+        m = docs.select(*carry, F.col(struct_col).alias("m"))
     else:
-        m = docs.select(F.from_json(F.col(json_col), schema).alias("m"))
+        m = docs.select(*carry, F.from_json(F.col(json_col), schema).alias("m"))
     cols = [F.col(f"m.{c}") for c in m.select("m.*").columns if c not in ("files", "app_version")]
-    return m.select(*cols, F.coalesce(F.col("m.app_version"), F.lit(default_version)).alias("app_version"),
+    return m.select(*carry, *cols, F.coalesce(F.col("m.app_version"), F.lit(default_version)).alias("app_version"),
                     F.posexplode_outer(F.coalesce(F.col("m.files"), F.array())).alias("pos", "f")) \
         .select("*", "f.*").drop("f")
 
@@ -165,6 +167,10 @@ def union_positional(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+#: An anchor with a quoted href (groups 1 or 2) and its content (3), markup inside included.
+ANCHOR_PATTERN = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a\s*>"""
+
+
 def first_links(pages: DataFrame, html: str, key_pattern: str, page_key: str = "page_id") -> DataFrame:
     """Links whose href carries a key: first occurrence per (page, key) wins.
 
@@ -172,11 +178,11 @@ def first_links(pages: DataFrame, html: str, key_pattern: str, page_key: str = "
     order); the first-wins rule is a partial-aggregated ``min_by``.  Blank
     anchor text falls back to the key.
     """
-    anchor = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+    anchor = ANCHOR_PATTERN
     a = pages.select(page_key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(anchor), 0)).alias("pos", "a"))
     a = a.select(page_key, "pos",
-                 F.regexp_extract("a", anchor, 1).alias("href"),
-                 F.regexp_extract("a", anchor, 2).alias("text"))
+                 F.concat(F.regexp_extract("a", anchor, 1), F.regexp_extract("a", anchor, 2)).alias("href"),
+                 F.regexp_replace(F.regexp_extract("a", anchor, 3), "<[^>]*>", "").alias("text"))
     a = a.withColumn("link_key", F.lower(F.regexp_extract("href", key_pattern, 1))).filter(F.col("link_key") != "")
     first = a.groupBy(page_key, "link_key").agg(F.min_by(F.struct("href", "text"), F.col("pos")).alias("l"),
                                                  F.min("pos").alias("pos"))
@@ -184,27 +190,43 @@ def first_links(pages: DataFrame, html: str, key_pattern: str, page_key: str = "
                         F.coalesce(F.nullif(F.trim(F.col("l.text")), F.lit("")), F.col("link_key")).alias("link_text"))
 
 
-def match_links(targets: DataFrame, links: DataFrame, max_links: int = 10000) -> DataFrame:
+#: Length of the pieces by which names are brought together.
+GRAM = 3
+
+
+def _grams(name: Column) -> Column:
+    """Distinct pieces of ``name`` of 0 to GRAM characters: any name that it contains begins with the longest that fits."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+
+    def pieces(n: int) -> Column:
+        return F.transform(places, lambda i: F.substring(name, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*map(pieces, range(GRAM + 1)))))
+
+
+def _contained(inner: DataFrame, outer: DataFrame, part: str, whole: str) -> DataFrame:
+    """Pairs where ``whole`` contains ``part``: an equi join on the part's first piece, then the exact test."""
+    a = inner.withColumn("_gram", F.substring(part, 1, GRAM))
+    b = outer.withColumn("_gram", F.explode(_grams(F.col(whole))))
+    return a.join(b, "_gram").filter(F.contains(F.col(whole), F.col(part))).drop("_gram")
+
+
+def match_links(targets: DataFrame, links: DataFrame) -> DataFrame:
     """Link each target to a scraped link: exact key first, else containment.
 
     Exact: equal ``filename_key`` (the last link wins on a duplicate key).
     Otherwise the first link (by ``pos``) whose display name contains the
-    target's, or is contained in it.  The link list is size-checked before
-    it is broadcast into the nested-loop containment join, which only sees
-    targets without an exact match.
+    target's, or is contained in it; candidates meet by equi joins on short
+    pieces of the names.  ``pos`` may be a struct, ordered field by field.
     """
-    n_links = links.limit(max_links + 1).count()
-    if n_links > max_links:
-        raise ValueError(f"link list larger than {max_links}; refusing to broadcast it")
     exact = links.groupBy(F.col("filename_key").alias("_k")).agg(
         F.max_by(F.col("filename_key"), F.col("pos")).alias("_exact_key"))
     t = targets.join(exact, targets.filename_key == exact._k, "left").drop("_k")
     unmatched = t.filter(F.col("_exact_key").isNull()).select("code", F.col("display_name").alias("_tname"))
-    lk = F.broadcast(links.select(F.col("display_name").alias("_lname"), F.col("filename_key").alias("_lkey"),
-                                  F.col("pos").alias("_lpos")))
-    cond = F.contains(F.col("_tname"), F.col("_lname")) | F.contains(F.col("_lname"), F.col("_tname"))
-    fuzzy = (unmatched.join(lk, cond, "inner")
-             .groupBy("code").agg(F.min_by(F.col("_lkey"), F.col("_lpos")).alias("_fuzzy_key")))
+    lk = (links.groupBy(F.col("display_name").alias("_lname"))
+          .agg(F.min_by("filename_key", "pos").alias("_lkey"), F.min("pos").alias("_lpos")))
+    pairs = _contained(lk, unmatched, "_lname", "_tname").unionByName(_contained(unmatched, lk, "_tname", "_lname"))
+    fuzzy = (pairs.groupBy("code").agg(F.min_by(F.col("_lkey"), F.col("_lpos")).alias("_fuzzy_key")))
     out = t.join(fuzzy, "code", "left")
     kind = (F.when(F.col("_exact_key").isNotNull(), F.lit("exact"))
             .when(F.col("_fuzzy_key").isNotNull(), F.lit("contains")).otherwise(F.lit("none")))

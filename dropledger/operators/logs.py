@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dropledger.functions.text import now_jst_iso
+from dropledger.operators.changelog import purge_predicate
 
 
 def append_log(rows: DataFrame, path: str, stamp_col: str = "ts", fmt: str = "parquet") -> None:
@@ -20,6 +21,17 @@ def append_log(rows: DataFrame, path: str, stamp_col: str = "ts", fmt: str = "pa
     stamped.write.mode("append").partitionBy("day").format(fmt).save(path)
 
 
+def purge_log(log: DataFrame, dest: str, ts: str, cutoff, fmt: str = "parquet") -> DataFrame:
+    """Write the rows that a purge keeps as the next version of the log, by day; return it read back.
+
+    A new version beside the old one: readers of either see whole rows, and
+    a job that fails midway loses nothing.
+    """
+    kept = log.filter(~purge_predicate(ts, cutoff))
+    kept.withColumn("day", F.substring(ts, 1, 10)).write.partitionBy("day").format(fmt).save(dest)
+    return log.sparkSession.read.format(fmt).load(dest).drop("day")
+
+
 def log_filter(log: DataFrame, level: str | None = None, category: str | None = None,
                order: Sequence[Column] | None = None, limit: int = 1000) -> DataFrame:
     """Optional level and category filters, newest first, capped at ``limit``.

@@ -15,19 +15,19 @@ def hash_reconcile(targets: DataFrame, recorded: DataFrame, landed: DataFrame,
     """Decide per target: skip, or fetch as new / changed / missing.
 
     A target is skipped only if its file has landed, a manifest entry with a
-    non-empty hash exists, and the landed content hashes to it.  The size is
-    compared first, so content of a different size is never hashed.
+    non-empty hash exists, and the landed content has its size and hash.
     ``recorded``: (key, sha256, size); ``landed``: (key, size, content).
     """
     r = recorded.select(F.col(key), F.col("sha256").alias("_rec_hash"), F.col("size").alias("_rec_size"),
                         F.lit(True).alias("_has_rec"))
-    f = landed.select(F.col(key), F.col("size").alias("_size"), F.col(content).alias("_content"),
+    # Hashed where it is read: 64 characters travel, not the content.
+    f = landed.select(F.col(key), F.col("size").alias("_size"), content_hash(content).alias("_hash"),
                       F.lit(True).alias("_has_file"))
     j = targets.select(key).join(r, key, "left").join(f, key, "left")
     action = (F.when(F.col("_has_file").isNull(), F.lit("missing"))
               .when(F.col("_has_rec").isNull() | (F.coalesce(F.col("_rec_hash"), F.lit("")) == ""), F.lit("new"))
               .when((F.col("_rec_size") == F.col("_size"))
-                    & (F.col("_rec_hash") == content_hash("_content")), F.lit("skip"))
+                    & (F.col("_rec_hash") == F.col("_hash")), F.lit("skip"))
               .otherwise(F.lit("changed")))
     return j.select(F.col(key), action.alias("action"))
 
@@ -41,8 +41,10 @@ def memo_lookup(listing: DataFrame, cache: DataFrame, keys: Sequence[str] = ("pa
     uncompressed_size.
     """
     keys = list(keys)
-    c = cache.select(*keys, F.col("row_count").alias("_rc"), F.col("uncompressed_size").alias("_us"),
-                     F.lit(True).alias("_hit"))
+    # One row for each key (of repeated ones the greatest), so that no listed file is multiplied.
+    c = (cache.groupBy(*keys).agg(F.max(F.struct("row_count", "uncompressed_size")).alias("_row"))
+         .select(*keys, F.col("_row.row_count").alias("_rc"), F.col("_row.uncompressed_size").alias("_us"),
+                 F.lit(True).alias("_hit")))
     j = listing.join(c, keys, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return j.select(
@@ -80,7 +82,8 @@ def upsert_stats(cache: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("pat
 
 def update_by_presence(rows: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Replace ``cols`` of rows that have an update (even with NULL values)."""
-    u = updates.select(F.col(key), *[F.col(c).alias(f"_u_{c}") for c in cols], F.lit(True).alias("_upd"))
+    one = updates.groupBy(key).agg(F.max(F.struct(*cols)).alias("_row"))  # of repeated keys the greatest row
+    u = one.select(F.col(key), *[F.col(f"_row.{c}").alias(f"_u_{c}") for c in cols], F.lit(True).alias("_upd"))
     j = rows.join(u, key, "left")
     return j.select(*[F.when(F.col("_upd"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols
                       else F.col(c) for c in rows.columns])

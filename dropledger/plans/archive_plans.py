@@ -214,10 +214,18 @@ WHERE publish_ym = '{EXPORT_YM}' AND 'flag_' || flag || '.zip' IN (
   SELECT DISTINCT 'flag_' || flag || '.zip' AS f FROM rows WHERE publish_ym = '{EXPORT_YM}' ORDER BY f LIMIT {EXPORT_MAX_FILES})""")
 def merge_capped(spark: SparkSession, sf: str) -> DataFrame:
     """Export of one month: its archives by path, capped at ``max_files``, merged."""
-    zips = _zips(spark, sf).filter(F.col("publish_ym") == EXPORT_YM).orderBy("path").limit(EXPORT_MAX_FILES)
+    zips = zipcsv.month_archives(_zips(spark, sf), EXPORT_YM, EXPORT_MAX_FILES).filter("taken")
     return _read_all(spark, sf, zips).select("publish_ym", *_COLUMNS)
 
 
+@query("merge_omitted", f"""WITH {_ROWS_SQL},
+files AS (SELECT DISTINCT publish_ym, 'flag_' || flag || '.zip' AS file_name FROM rows WHERE publish_ym = '{EXPORT_YM}')
+SELECT publish_ym, file_name, row_number() OVER (ORDER BY file_name) <= {EXPORT_MAX_FILES} AS taken FROM files""")
+def merge_omitted(spark: SparkSession, sf: str) -> DataFrame:
+    """What the capped export of a month takes and leaves out."""
+    return zipcsv.month_archives(_zips(spark, sf), EXPORT_YM, EXPORT_MAX_FILES).select("publish_ym", "file_name", "taken")
+
+
 @query("zip_extract", f"""
 WITH {_ROWS_SQL},
 lines AS (SELECT publish_ym, flag, {_LINE_SQL} AS line FROM rows),

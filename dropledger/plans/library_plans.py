@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from dropledger.functions.text import usage_label
 from dropledger.operators.changelog import fold_state
 from dropledger.operators.library import (
+    ANCHOR_PATTERN,
     first_links,
     flatten_tree,
     manifest_remove,
@@ -112,15 +113,16 @@ CACHE_SQL = f"""cache AS (
          l.text
   FROM listing l LEFT JOIN cache c ON l.path = c.path AND l.length = c.length AND l.mtime = c.mtime)
 SELECT doc_id, path, display_size, cache_hit, row_count IS NULL AS needs_stats,
-       CASE WHEN lang = 'es' THEN {_ROWS_SQL} ELSE row_count END AS row_count
+       CASE WHEN row_count IS NULL THEN {_ROWS_SQL} ELSE row_count END AS row_count
 FROM memo""")
 def stats_memo(spark: SparkSession, sf: str) -> DataFrame:
     """Memoised file statistics: hits from the cache, misses flagged for a
-    statistics job, then one batch of fresh results applied by path."""
+    statistics job, then the fresh results of all misses applied by path."""
     li = listing(spark, sf)
     memo = memo_lookup(li.select("doc_id", "path", "length", "mtime", "lang"), stats_cache(spark, sf))
     memo = memo.withColumn("needs_stats", F.col("row_count").isNull())
-    fresh = li.filter(F.col("lang") == "es").select("path", newline_rows("text").alias("row_count"))
+    misses = memo.filter("needs_stats").select("path")
+    fresh = li.select("path", newline_rows("text").alias("row_count")).join(misses, "path", "left_semi")
     out = update_by_presence(memo, fresh, "path", ["row_count"])
     return out.select("doc_id", "path", "display_size", "cache_hit", "needs_stats", "row_count")
 
@@ -189,7 +191,7 @@ man AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.zip' AS file_name, 'label
         FROM labels),
 cat_rows AS (SELECT 'doc_' || CAST(conv_id AS VARCHAR) || '.zip' AS file_name,
                     'conv ' || CAST(conv_id AS VARCHAR) || ' turn ' || CAST(turn AS VARCHAR) AS display_name,
-                    role || '_' || lpad(CAST(turn AS VARCHAR), 3, '0') AS target_code,
+                    role || '_' || lpad(CAST(turn AS VARCHAR), 19, '0') AS target_code,
                     'c' || CAST(conv_id AS VARCHAR) AS sha256, NULL::VARCHAR AS source_url,
                     '2024-01-01T00:00:00+09:00' AS downloaded_at, 'ok' AS status
              FROM conversations),
@@ -225,7 +227,7 @@ def catalog_merge(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("month/x/doc_"), F.col("conv_id").cast("string"), F.lit(".zip")).alias("file_path"),
         F.concat(F.lit("conv "), F.col("conv_id").cast("string"), F.lit(" turn "), F.col("turn").cast("string"))
         .alias("display_name"),
-        F.concat(F.col("role"), F.lit("_"), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("target_code"),
+        F.concat(F.col("role"), F.lit("_"), F.lpad(F.col("turn").cast("string"), 19, "0")).alias("target_code"),
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("sha256"),
         F.lit(None).cast("string").alias("source_url"),
         F.lit("2024-01-01T00:00:00+09:00").alias("downloaded_at"),
@@ -239,14 +241,14 @@ def catalog_merge(spark: SparkSession, sf: str) -> DataFrame:
 @query("fuzzy_key_match", """
 WITH tg AS (SELECT DISTINCT p_name AS code, p_name AS display_name, replace(p_name, ' ', '_') AS filename_key FROM part),
 links AS (
-  SELECT upper(p_name) AS display_name, replace(p_name, ' ', '_') AS filename_key, p_partkey AS pos
+  SELECT upper(p_name) AS display_name, replace(p_name, ' ', '_') AS filename_key, 0 AS kind, p_partkey AS at
   FROM part WHERE p_brand = 'Brand#1' AND p_size > 45
   UNION ALL
-  SELECT w AS display_name, 'w_' || w AS filename_key, 1000000000 + min(p_partkey) AS pos
+  SELECT w AS display_name, 'w_' || w AS filename_key, 1 AS kind, min(p_partkey) AS at
   FROM (SELECT split_part(p_name, ' ', 2) AS w, p_partkey FROM part) GROUP BY w),
-ex AS (SELECT filename_key AS k, arg_max(filename_key, pos) AS ek FROM links GROUP BY filename_key),
+ex AS (SELECT DISTINCT filename_key AS k, filename_key AS ek FROM links),
 t1 AS (SELECT tg.*, ex.ek FROM tg LEFT JOIN ex ON tg.filename_key = ex.k),
-fz AS (SELECT t1.code, arg_min(l.filename_key, l.pos) AS fk FROM t1 JOIN links l
+fz AS (SELECT t1.code, first(l.filename_key ORDER BY l.kind, l.at) AS fk FROM t1 JOIN links l
        ON contains(t1.display_name, l.display_name) OR contains(l.display_name, t1.display_name)
        WHERE t1.ek IS NULL GROUP BY t1.code)
 SELECT t1.code, t1.display_name, coalesce(ek, fk, filename_key) AS filename_key,
@@ -260,10 +262,11 @@ def fuzzy_key_match(spark: SparkSession, sf: str) -> DataFrame:
     exact = (p.filter((F.col("p_brand") == "Brand#1") & (F.col("p_size") > 45))
              .select(F.upper("p_name").alias("display_name"),
                      F.regexp_replace("p_name", " ", "_").alias("filename_key"),
-                     F.col("p_partkey").alias("pos")))
+                     F.struct(F.lit(0).alias("kind"), F.col("p_partkey").alias("at")).alias("pos")))
     words = (p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("w"), "p_partkey")
-             .groupBy("w").agg((F.lit(1000000000) + F.min("p_partkey")).alias("pos"))
-             .select(F.col("w").alias("display_name"), F.concat(F.lit("w_"), F.col("w")).alias("filename_key"), "pos"))
+             .groupBy("w").agg(F.min("p_partkey").alias("at"))
+             .select(F.col("w").alias("display_name"), F.concat(F.lit("w_"), F.col("w")).alias("filename_key"),
+                     F.struct(F.lit(1).alias("kind"), "at").alias("pos")))
     return match_links(tg, exact.unionByName(words))
 
 
@@ -271,11 +274,14 @@ def fuzzy_key_match(spark: SparkSession, sf: str) -> DataFrame:
 PAGE_KEY_PATTERN = r"/([A-Za-z0-9_]+)"
 
 
+_ANCHOR_SQL = ANCHOR_PATTERN.replace("'", "''")
+
+
 @query("html_links", f"""
 WITH a AS (SELECT page_id, unnest(m) AS a, generate_subscripts(m, 1) - 1 AS pos
-           FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 0) AS m FROM pages)),
-b AS (SELECT page_id, pos, regexp_extract(a, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS href,
-             regexp_extract(a, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS text FROM a),
+           FROM (SELECT page_id, regexp_extract_all(html, '{_ANCHOR_SQL}', 0) AS m FROM pages)),
+b AS (SELECT page_id, pos, regexp_extract(a, '{_ANCHOR_SQL}', 1) || regexp_extract(a, '{_ANCHOR_SQL}', 2) AS href,
+             regexp_replace(regexp_extract(a, '{_ANCHOR_SQL}', 3), '<[^>]*>', '', 'g') AS text FROM a),
 c AS (SELECT *, lower(regexp_extract(href, '{PAGE_KEY_PATTERN}', 1)) AS link_key FROM b)
 SELECT page_id, link_key, min(pos) AS pos, arg_min(href, pos) AS url,
        coalesce(nullif(trim(arg_min(text, pos)), ''), link_key) AS link_text
@@ -482,9 +488,10 @@ _U_COLS = ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"]
 def union_by_name_q(spark: SparkSession, sf: str) -> DataFrame:
     """Lineitem split by return flag with shuffled column orders, unioned by name."""
     li = t(spark, sf, "lineitem").select(*_U_COLS)
+    other = ~F.coalesce(F.col("l_returnflag").isin("A", "N"), F.lit(False))
     parts = [li.filter(F.col("l_returnflag") == "A").select(*_U_COLS),
              li.filter(F.col("l_returnflag") == "N").select(*reversed(_U_COLS)),
-             li.filter(F.col("l_returnflag") == "R").select(*_U_COLS[2:], *_U_COLS[:2])]
+             li.filter(other).select(*_U_COLS[2:], *_U_COLS[:2])]
     return union_by_name(parts)
 
 
@@ -497,5 +504,5 @@ def union_positional_q(spark: SparkSession, sf: str) -> DataFrame:
     parts = [empty,
              li.filter(F.col("l_returnflag") == "A").toDF("a", "b", "c", "d"),
              li.filter(F.col("l_returnflag") == "N").toDF("w", "x", "y", "z"),
-             li.filter(F.col("l_returnflag") == "R")]
+             li.filter(~F.coalesce(F.col("l_returnflag").isin("A", "N"), F.lit(False)))]
     return union_positional(parts)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from dropledger.functions.text import jst_iso
 from dropledger.operators.changelog import purge_predicate
-from dropledger.operators.logs import latest_by, log_filter, recent
+from dropledger.operators.logs import append_log, latest_by, log_filter, purge_log, recent
 from dropledger.plans.bindings import t
 from dropledger.plans.registry import query
+from dropledger.session import shared_scratch
 
 # Fixed mapping: event type → check result.
 RESULT_OF_EVENT = {"purchase": "new_found", "error": "error", "view": "no_update",
@@ -38,9 +39,13 @@ _LOG_SQL = """WITH log AS (
 
 @query("log_append", _LOG_SQL + "SELECT id, ts, level, category, message FROM log")
 def log_append(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows appended to the event log, stamped as JST ISO text (the write is
-    ``df.write.mode("append")``; see ``operators.logs.append_log``)."""
-    return event_log(spark, sf).drop("day")
+    """Events appended to a log table in two batches and read back, without the stamp of the append."""
+    path = shared_scratch(spark, "log") + "/table"
+    rows = event_log(spark, sf).drop("day")
+    early = F.coalesce(F.col("id") % 2 == 0, F.lit(False))
+    append_log(rows.filter(early), path, stamp_col="appended_at")
+    append_log(rows.filter(~early), path, stamp_col="appended_at")
+    return spark.read.parquet(path).select("id", "ts", "level", "category", "message")
 
 
 # Fixed query parameters: level filter (no category filter) and row limit.
@@ -71,6 +76,14 @@ def log_purge(spark: SparkSession, sf: str) -> DataFrame:
     return event_log(spark, sf).agg(F.count_if(purged).alias("purged"), F.count_if(~purged).alias("kept"))
 
 
+@query("log_purge_rows", _LOG_SQL + f"""
+SELECT id, ts, level, category, message FROM log WHERE NOT (ts < '{PURGE_CUTOFF}') OR ts IS NULL""")
+def log_purge_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The log's next version after a purge, read back."""
+    dest = shared_scratch(spark, "log") + "/purged"
+    return purge_log(event_log(spark, sf).drop("day"), dest, "ts", PURGE_CUTOFF)
+
+
 def check_history(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events")
     res = None

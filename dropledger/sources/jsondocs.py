@@ -52,8 +52,7 @@ def read_manifests(folders: DataFrame, default_version: str = "0.0.0") -> DataFr
     texts = folders.select("folder").mapInPandas(_read_text_fn(MANIFEST_FILE_NAME), "folder string, text string")
     parsed = texts.select("folder", F.from_json("text", MANIFEST_SCHEMA).alias("m"))
     ok = parsed.filter(F.col("m.publish_ym").isNotNull())
-    return explode_manifest(ok, None, default_version=default_version, struct_col="m") \
-        .join(ok.select(F.col("m.publish_ym").alias("publish_ym"), "folder"), "publish_ym")
+    return explode_manifest(ok, None, default_version=default_version, struct_col="m", carry=["folder"])
 
 
 def month_folders(listing: DataFrame) -> DataFrame:

@@ -719,6 +719,19 @@ def merge_selected_archives(spark: SparkSession, listing: DataFrame, selected_na
     return spark.read.parquet(dest)
 
 
+def month_archives(listing: DataFrame, publish_ym: str, max_files: int | None = None) -> DataFrame:
+    """The month's archives with ``taken``: the first ``max_files`` by path, all if there is no limit.
+
+    Rows with ``taken`` false are what an export with that limit leaves out.
+    A month lists one archive for each region.
+    """
+    month = listing.filter((F.col("kind") == 1) & (F.col("publish_ym") == publish_ym))
+    if max_files is None:
+        return month.withColumn("taken", F.lit(True))
+    first = month.orderBy("path").limit(max_files).select("path", F.lit(True).alias("taken"))
+    return month.join(first, "path", "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+
+
 def bundle_month(listing: DataFrame, publish_ym: str, root: str) -> DataFrame:
     """The bundle of one month; a month without archives is an error."""
     month = listing.filter(F.col("publish_ym") == publish_ym)

@@ -9,6 +9,7 @@ is accepted.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
@@ -33,10 +34,33 @@ def fold_landing(state: DataFrame, diff: DataFrame, path: str = "path") -> DataF
     return state.join(moved.select(path), path, "left_anti").unionByName(moved.select(*state.columns))
 
 
+STATE_SCHEMA = "path string, length long, mtime timestamp"
+
+
+def landing_state(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame:
+    """Latest (length, mtime) of every path over the state's versions (those below ``before``).
+
+    A version holds only what changed.  No state folder yet means no rows; any
+    other failure to read it is raised, never taken for an empty state.
+    """
+    try:
+        versions = spark.read.schema(STATE_SCHEMA + ", v long").parquet(state_dir)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STATE_SCHEMA)
+    if before is not None:
+        versions = versions.filter(F.col("v") < before)  # a repeated batch doesn't see its own version
+    return versions.groupBy("path").agg(F.max_by(F.struct("length", "mtime"), "v").alias("_last")).select(
+        "path", "_last.length", "_last.mtime")
+
+
 def landing_stream(spark: SparkSession, landing_dir: str, state_dir: str, checkpoint_dir: str,
                    glob: str = "*.zip"):
     """Start an ``availableNow`` stream over the landing folder; each micro-batch
-    is diffed against the latest state version and written as a new version.
+    is diffed against the state, and what is new or changed becomes a version
+    of it.  Files that change in place are found by diffing a listing
+    (:func:`landing_diff`), since a file stream never emits a path twice.
 
     Returns the ``StreamingQuery`` (call ``awaitTermination()``).
     """
@@ -45,13 +69,9 @@ def landing_stream(spark: SparkSession, landing_dir: str, state_dir: str, checkp
               .select("path", "length", F.col("modificationTime").alias("mtime")))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        version_dir = f"{state_dir}/v={batch_id:08d}"
-        try:
-            prev = batch.sparkSession.read.parquet(state_dir)
-            prev = prev.filter(F.col("v") == prev.agg(F.max("v")).first()[0]).drop("v")
-        except Exception:  # noqa: BLE001 - no state yet
-            prev = batch.sparkSession.createDataFrame([], "path string, length long, mtime timestamp")
-        fold_landing(prev, landing_diff(batch, prev)).write.mode("overwrite").parquet(version_dir)
+        state = landing_state(batch.sparkSession, state_dir, before=batch_id)
+        moved = landing_diff(batch, state).filter(F.col("change") != "unchanged").drop("change")
+        moved.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())

@@ -126,3 +126,17 @@ def test_stats_loop_misses_compute_upsert_hit(spark, tmp_dir):
     again = {r["file_name"]: (r["needs_stats"], r["row_count"], r["file_label"]) for r in scan_library(spark, root, cache=cache).collect()}
     assert again["r.zip"][:2] == (False, 100) and again["統合.csv"][:2] == (False, 5)
     assert again["r.zip"][2].startswith("r  100行")
+
+
+def test_two_folders_with_one_header_month_stay_apart(spark, tmp_dir):
+    import json
+    import os
+
+    from dropledger.sources.jsondocs import MANIFEST_FILE_NAME, read_manifests
+    for name, code in (("2026_3", "a"), ("copy of 2026_3", "b")):
+        os.makedirs(f"{tmp_dir}/{name}")
+        with open(f"{tmp_dir}/{name}/{MANIFEST_FILE_NAME}", "w", encoding="utf-8") as fh:
+            json.dump({"publish_ym": "2026_3", "files": [{"target_code": code, "filename": f"{code}.zip"}]}, fh)
+    folders = spark.createDataFrame([(f"file:{tmp_dir}/2026_3",), (f"file:{tmp_dir}/copy of 2026_3",)], "folder string")
+    got = sorted((r["folder"].rsplit("/", 1)[1], r["target_code"]) for r in read_manifests(folders).collect())
+    assert got == [("2026_3", "a"), ("copy of 2026_3", "b")]

@@ -125,3 +125,29 @@ def test_unions(spark):
         lib.union_by_name([b, c])
     with pytest.raises(ValueError):
         lib.union_by_name([])
+
+
+def test_anchors_with_markup_quotes_and_case(spark):
+    html = ("<A class=x HREF='https://x/typeB_tokyo.zip'><b>東京</b>都</A><a\nhref = \"https://x/typeB_osaka.zip\" >大\n阪</a >"
+            '<a href="https://x/typeB_nara.zip"><img src="n.png"></a><abbr href="https://x/typeB_no.zip">no</abbr>'
+            '<a data-href="https://x/typeB_no.zip">no</a>')
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    r = {x["link_key"]: (x["url"], x["link_text"]) for x in lib.first_links(pages, "html", r"typeB_([A-Za-z0-9_]+)\.zip").collect()}
+    assert r == {"tokyo": ("https://x/typeB_tokyo.zip", "東京都"), "osaka": ("https://x/typeB_osaka.zip", "大\n阪"),
+                 "nara": ("https://x/typeB_nara.zip", "nara")}
+
+
+def test_match_links_has_no_cap_and_takes_short_names(spark):
+    targets = spark.createDataFrame([("t1", "大阪府北部", "k1"), ("t2", "ab", "k2"), ("t3", "zz", "k3"), ("t4", "link 10900", "k4")],
+                                    "code string, display_name string, filename_key string")
+    links = spark.range(11000).selectExpr("concat('link ', id) as display_name", "concat('l', id) as filename_key", "id as pos")
+    more = spark.createDataFrame([("府", "short", 20000), ("xxabyy", "around", 20001)], links.schema)
+    r = {x["code"]: (x["filename_key"], x["match_kind"]) for x in lib.match_links(targets, links.union(more)).collect()}
+    assert r == {"t1": ("short", "contains"), "t2": ("around", "contains"), "t3": ("k3", "none"),
+                 "t4": ("l1", "contains")}  # "link 1" is in "link 10900" and comes first
+
+
+def test_search_strips_full_width_blanks(spark):
+    files = spark.createDataFrame([("東京都", 2026, 3), ("大阪", 2026, 3)], "display_name string, year int, month int")
+    r = {x["display_name"]: x["file_visible"] for x in lib.search_tree(files, "　東京 ").collect()}
+    assert r == {"東京都": True, "大阪": False}

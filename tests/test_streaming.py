@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dropledger.operators.sequence import with_previous
 from dropledger.streaming import events as ev
-from dropledger.streaming.landing import landing_diff, landing_stream
+from dropledger.streaming.landing import landing_diff, landing_state, landing_stream
 from tests.conftest import SF_SMALL
 
 
@@ -98,8 +98,7 @@ def test_landing_new_by_stream_changed_by_diff(spark, tmp_dir):
     _zip(f"{land}/c.zip", "x\n1\n")                       # new, dropped by hand
     _zip(f"{land}/a.zip", "x\n1\n2\n3\n4\n5\n6\n")          # changed in place
     landing_stream(spark, land, state, ckpt).awaitTermination(300)
-    s = spark.read.parquet(state)
-    latest = s.filter(F.col("v") == s.agg(F.max("v")).first()[0]).drop("v")
+    latest = landing_state(spark, state)
     assert sorted(r[0].rsplit("/", 1)[1] for r in latest.select("path").collect()) == ["a.zip", "b.zip", "c.zip"]
     listing = (spark.read.format("binaryFile").load(land)
                .select("path", "length", F.col("modificationTime").alias("mtime")))

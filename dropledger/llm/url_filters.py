@@ -31,7 +31,9 @@ from dropledger.llm.common import materialise, read_table, text_or_empty
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Probes of one suffix that one sweep takes, about.
-PROBES_PER_SWEEP = 20_000
+PROBES_PER_SWEEP = 2_000
+#: Rules up to which tables with a row for each host suffix are broadcast; beyond that the joins shuffle.
+BROADCAST_RULES = 100_000
 
 #: The contract's rules.
 RULES = (
@@ -71,7 +73,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
             _suffix(F.col("labels"), F.size("labels")).alias("suffix"),
             "path", "verdict", F.concat("host", "path").alias("rule"))
     )
-    deepest = rules.agg(F.max("depth")).first()[0] or 0
+    deepest, n_rules = rules.agg(F.max("depth"), F.count(F.lit(1))).first()
+
+    def by_suffix(table: DataFrame) -> DataFrame:
+        """A table of at most a row for each rule: broadcast while there are few rules."""
+        return F.broadcast(table) if n_rules <= BROADCAST_RULES else table
+
     host, path = host_and_path(F.col(url_col))
     places = materialise(
         pages.where(F.col(url_col).isNotNull()).select(host.alias("host"), path.alias("path")).distinct(),
@@ -80,14 +87,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     suffixes = rules.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_rules"))
     probes = (
         places.withColumn("labels", labels)
-        .withColumn("depth", F.explode(F.sequence(F.lit(0), F.least(F.size("labels"), F.lit(deepest)))))
+        .withColumn("depth", F.explode(F.sequence(F.lit(0), F.least(F.size("labels"), F.lit(deepest or 0)))))
         .where("depth > 0")
         .select("host", "path", _suffix(F.col("labels"), F.col("depth")).alias("suffix"))
-        .join(suffixes, "suffix")
+        .join(by_suffix(suffixes), "suffix")
     )
     sweeps = probes.groupBy("suffix").agg(
         (1 + F.floor(F.count(F.lit(1)) / PROBES_PER_SWEEP)).cast("int").alias("n_sweeps"))
-    probes = probes.join(sweeps, "suffix").select(
+    probes = probes.join(by_suffix(sweeps), "suffix").select(
         "suffix", F.pmod(F.xxhash64("host", "path"), F.col("n_sweeps")).cast("int").alias("sweep"),
         F.encode("path", "UTF-8").alias("key"), F.lit(1).alias("kind"), F.lit(0).alias("step"), "host", "path",
         F.lit(None).cast("struct<rule:string,verdict:string,depth:int,path:string>").alias("opened"))

@@ -34,6 +34,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one packing task takes, about.
 PIECES_PER_TASK = 65_536
+#: Rows that one numbering task takes, about.
+ROWS_PER_BUCKET = 10_000
 #: Exchanges at most, and the fill below which a bin takes part.
 ROUNDS = 4
 LOOSE = 0.97
@@ -221,7 +223,7 @@ def _pack_round(items: DataFrame, n_items: int, number: int, capacity: int) -> D
     starts = items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).select(
         "length", F.coalesce(F.sum("n").over(shorter), F.lit(0)).alias("start"))
     dealt = (
-        number_within(items, ["length"], ["_row"], "place", 1 + n_items // PIECES_PER_TASK)
+        number_within(items, ["length"], ["_row"], "place", 1 + n_items // ROWS_PER_BUCKET)
         .join(F.broadcast(starts), "length")
         .select("_row", "length", F.pmod(F.col("start") + F.col("place"), F.lit(parts)).cast("long").alias("part"))
     )

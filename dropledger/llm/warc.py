@@ -277,7 +277,22 @@ def read_archives(archives: DataFrame) -> DataFrame:
                  "payload_digest string, refers_to string")
 
 
-@query("op6_warc")
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, list_transform(range(0, 160), lambda i:
+                ((strpos('0123456789abcdef', substr(hex, i // 4 + 1, 1)) - 1) >> (3 - i % 4)) & 1) AS bits,
+             min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + 16 * bits[5 * k + 1] + 8 * bits[5 * k + 2] + 4 * bits[5 * k + 3] + 2 * bits[5 * k + 4]
+              + bits[5 * k + 5] AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
+@query("op6_warc", SQL)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages to seekable archives in the shared folder and read them back."""
     pages = read_table(spark, sf_dir, "pages")

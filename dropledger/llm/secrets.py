@@ -174,7 +174,69 @@ def _written(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(get({names}, x.kind), ':', x.start, ':', x.stop)), ',')"
 
 
-@query("op2_secret_scans")
+def _sql_located(table: str, kind: str, pattern: str) -> str:
+    """DuckDB: ``table`` has a row (doc_id, start, stop, hit) for each match of ``pattern``."""
+    return f"""{table} AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{
+      'start': CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+                    + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT),
+      'hit': hits[i]}})) AS m, '{kind}' AS kind
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern.replace("'", "''")}', 0) AS hits,
+               string_split_regex(text, '{pattern.replace("'", "''")}') AS gaps FROM docs))"""
+
+
+#: RE2 folds some non-ASCII letters under (?i), so the cases stand in sets here.
+_SQL_ASSIGN = ("(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in (
+    "password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS doc_id, doc_id AS id, coalesce(text, '') AS text FROM documents),
+{_sql_located("assign_hits", "assign", _SQL_ASSIGN)},
+{_sql_located("access_hits", "access", ACCESS)},
+{_sql_located("hex_hits", "hex", HEX)},
+{_sql_located("candidates", "entropy", CANDIDATE)},
+base AS (
+  SELECT doc_id, m.start AS start, m.start + length(m.hit) AS stop, kind, 0 AS rank FROM assign_hits
+  WHERE length(regexp_extract(m.hit, '{_SQL_ASSIGN.replace("'", "''")}', 2)) >= 8
+  UNION ALL SELECT doc_id, m.start, m.start + length(m.hit), kind, 1 FROM access_hits
+  UNION ALL SELECT doc_id, m.start, m.start + length(m.hit), kind, 2 FROM hex_hits),
+classed AS (
+  SELECT doc_id, m.start AS start, m.hit AS hit,
+         CASE WHEN NOT regexp_matches(m.hit, '[0-9]') THEN NULL
+              WHEN regexp_full_match(m.hit, '[0-9a-fA-F]+') AND regexp_matches(m.hit, '[a-fA-F]') THEN {class_limits()["hex"]}
+              WHEN regexp_full_match(m.hit, '[A-Z0-9]+') AND regexp_matches(m.hit, '[A-Z]') THEN {class_limits()["upper"]}
+              WHEN regexp_matches(m.hit, '[A-Z]') AND regexp_matches(m.hit, '[a-z]') THEN {class_limits()["mixed"]} END AS most
+  FROM candidates WHERE NOT regexp_matches(m.hit, '{ALLOW}')),
+hot AS (
+  SELECT doc_id, start, list_filter(range(0, length(hit) - {WINDOW} + 1), lambda i:
+    list_sum(list_transform(list_distinct(string_split(substr(hit, i + 1, {WINDOW}), '')), lambda c:
+      CAST(round(1e6 * ({WINDOW} - length(replace(substr(hit, i + 1, {WINDOW}), c, '')))
+                 * log2({WINDOW} - length(replace(substr(hit, i + 1, {WINDOW}), c, '')))) AS BIGINT))) <= most) AS wins
+  FROM classed WHERE most IS NOT NULL),
+runs AS (
+  SELECT doc_id, start, list_filter(wins, lambda x, i: i = 1 OR x > wins[i - 1] + {WINDOW}) AS begins,
+         list_filter(wins, lambda x, i: i = len(wins) OR wins[i + 1] > x + {WINDOW}) AS finals
+  FROM hot WHERE len(wins) > 0),
+fresh AS (
+  SELECT doc_id, start + unnest(begins) AS start, start + unnest(finals) + {WINDOW} AS stop FROM runs),
+spans AS (
+  SELECT doc_id, start, stop, kind, rank FROM base
+  UNION ALL SELECT doc_id, start, stop, 'entropy', 3 FROM fresh f
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.start <= f.start AND f.stop <= b.stop)),
+told AS (
+  SELECT doc_id, count_if(rank = 0) AS n_assign, count_if(rank = 1) AS n_access, count_if(rank = 2) AS n_hex,
+         count_if(rank = 3) AS n_entropy,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base
+  FROM spans GROUP BY doc_id)
+SELECT d.id AS doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, CAST(coalesce(n_entropy, 0) AS BIGINT) AS n_entropy
+FROM docs d LEFT JOIN told t ON d.doc_id = t.doc_id
+"""
+
+
+@query("op2_secret_scans", SQL)
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents: counts, digest of the base spans, all spans."""
     found = find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -79,3 +79,15 @@ def test_digest_form(spark, spans, joined):
     from pyspark.sql import functions as F
     got = rows.select(F.sha2(F.expr(S._written("_spans")), 256).alias("x")).first().x
     assert got == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_sql_equals_the_operator(spark, tmp_dir):
+    import duckdb
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t is not None], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(tmp_dir + "/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_dir}/documents.parquet/*.parquet')")
+    got = S.op2_secret_scans(spark, tmp_dir)
+    want = con.execute(S.SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())

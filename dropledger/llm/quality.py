@@ -108,9 +108,9 @@ def _vector() -> list[Column]:
     words = F.col("_n_words").cast("double")
     values = (
         F.log(F.col("_word_chars") / words),
-        F.log1p(F.col("_n_symbols") / words),
-        F.log1p(F.col("_n_dup_lines") / F.col("_n_lines")),
-        F.log1p(F.col("_n_repeat_words") / words),
+        F.log(1 + F.col("_n_symbols") / words),
+        F.log(1 + F.col("_n_dup_lines") / F.col("_n_lines")),
+        F.log(1 + F.col("_n_repeat_words") / words),
     )
     return [F.round(1000 * v).cast("long") for v in values]
 
@@ -177,7 +177,7 @@ def mcd_estimates(vectors: DataFrame, core: float = CORE, steps: int = STEPS) ->
         names = [f"s{i}" for i in range(P)] + [f"s{i}{j}" for i in range(P) for j in range(i + 1)]
         bins = (
             _judged(vectors, estimates.join(origin, keys))
-            .withColumn("bin", F.floor(BINS * F.log1p("_d2")))
+            .withColumn("bin", F.floor(BINS * F.log(1 + F.col("_d2"))))
             .groupBy(*keys, *[f"o{i}" for i in range(P)], "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
         )
         nearer = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -232,11 +232,83 @@ def judge_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     )
 
 
-@query("op7_quality_rules")
+# ---------------------------------------------------------------- SQL
+
+def _sql_distance(vectors: str, estimates: str) -> str:
+    """DuckDB: ``vectors`` joined to ``estimates``, with d2."""
+    z = []
+    for i in range(P):
+        rest = f"v{i} - m{i}" + "".join(f" - c{i}{j} * z{j}" for j in range(i))
+        z.append(f"({rest}) / c{i}{i} AS z{i}")
+    square = " + ".join(f"z{i} * z{i}" for i in range(P))
+    return f"SELECT *, {', '.join(z)}, {square} AS d2 FROM {vectors} JOIN {estimates} USING (lang, source)"
+
+
+def _sql() -> str:
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    names = [f"s{i}" for i in range(P)] + [f"s{i}{j}" for i, j in pairs]
+    sums = [f"sum(v{i} - o{i}) AS s{i}" for i in range(P)]
+    sums += [f"sum((v{i} - o{i}) * (v{j} - o{j})) AS s{i}{j}" for i, j in pairs]
+    limit, factor = chi_square_quantile(QUANTILE, P), consistency(CORE)
+    ctes = [r"""docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text,
+  coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+parts AS (SELECT n, doc_id, lang, source, text,
+  list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+windows AS (SELECT n, unnest(range(1, len(words) - 1)) AS i,
+  unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) AS w FROM parts),
+repeats AS (SELECT n, i FROM windows QUALIFY count(*) OVER (PARTITION BY n, w) > 1),
+covered AS (SELECT n, sum(c) AS n_repeat_words FROM (
+  SELECT n, least(3, coalesce(lead(i) OVER (PARTITION BY n ORDER BY i) - i, 3)) AS c FROM repeats) GROUP BY n),
+stats AS (SELECT p.n, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM parts p LEFT JOIN covered c ON p.n = c.n),
+rated AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats),
+vectors AS (SELECT n, lang, source, CAST(round(1000 * ln(word_chars / n_words)) AS BIGINT) AS v0,
+  CAST(round(1000 * ln(1 + n_symbols / n_words)) AS BIGINT) AS v1,
+  CAST(round(1000 * ln(1 + n_dup_lines / n_lines)) AS BIGINT) AS v2,
+  CAST(round(1000 * ln(1 + n_repeat_words / n_words)) AS BIGINT) AS v3 FROM rated WHERE NOT base_failed)"""]
+    ctes.append("origin AS (SELECT lang, source, " + ", ".join(f"quantile_disc(v{i}, 0.5) AS o{i}" for i in range(P))
+                + " FROM vectors GROUP BY lang, source)")
+    flat = ", ".join([f"CAST(o{i} AS DOUBLE) AS m{i}" for i in range(P)]
+                     + [f"{float(FLOORS[i]) if i == j else 0.0}::DOUBLE AS c{i}{j}" for i, j in pairs])
+    ctes.append(f"est0 AS (SELECT lang, source, {flat} FROM origin)")
+    origins = ", ".join(f"o{i}" for i in range(P))
+    for k in range(STEPS):
+        ctes.append(f"far{k} AS ({_sql_distance('vectors', f'est{k}')})")
+        ctes.append(f"bins{k} AS (SELECT lang, source, {origins}, CAST(floor({BINS} * ln(1 + d2)) AS BIGINT) AS bin, "
+                    f"count(*) AS cnt, {', '.join(sums)} FROM far{k} JOIN origin USING (lang, source) "
+                    f"GROUP BY lang, source, {origins}, bin)")
+        ctes.append(f"core{k} AS (SELECT lang, source, {origins}, CAST(sum(cnt) AS DOUBLE) AS cnt, "
+                    + ", ".join(f"sum({c}) AS {c}" for c in names) + " FROM (SELECT *, "
+                    "coalesce(sum(cnt) OVER (PARTITION BY lang, source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, "
+                    f"sum(cnt) OVER (PARTITION BY lang, source) AS whole FROM bins{k}) WHERE before < {CORE} * whole "
+                    f"GROUP BY lang, source, {origins})")
+        out = [f"CAST(s{i} AS DOUBLE) / cnt AS a{i}" for i in range(P)]
+        out += [f"(CAST(s{i}{j} AS DOUBLE) / cnt - a{i} * a{j}) * {factor!r}::DOUBLE + {float(FLOORS[i] ** 2) if i == j else 0.0} AS k{i}{j}"
+                for i, j in pairs]
+        for j in range(P):
+            out.append(f"sqrt(k{j}{j}" + "".join(f" - c{j}{x} * c{j}{x}" for x in range(j)) + f") AS c{j}{j}")
+            out += [f"(k{i}{j}" + "".join(f" - c{i}{x} * c{j}{x}" for x in range(j)) + f") / c{j}{j} AS c{i}{j}"
+                    for i in range(j + 1, P)]
+        out += [f"o{i} + a{i} AS m{i}" for i in range(P)]
+        ctes.append(f"full{k} AS (SELECT lang, source, {', '.join(out)} FROM core{k})")
+        keep = ", ".join([f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in pairs])
+        ctes.append(f"est{k + 1} AS (SELECT lang, source, {keep} FROM full{k})")
+    ctes.append(f"final AS ({_sql_distance('vectors', f'est{STEPS}')})")
+    return ("WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(d2, 3) AS distance,
+       coalesce(d2 <= {limit!r}::DOUBLE, false) AS kept
+FROM rated LEFT JOIN (SELECT n, d2 FROM final) f USING (n)""")
+
+
+@query("op7_quality_rules", _sql())
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the robust outlier verdict for all documents."""
     judged = judge_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
                            carry=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return judged.select(
-        "doc_id", *[F.col(f"_{c}").alias(c) for c in names], F.col("_d2").alias("distance"), F.col("_kept").alias("kept"))
+        "doc_id", *[F.col(f"_{c}").alias(c) for c in names], F.round("_d2", 3).alias("distance"), F.col("_kept").alias("kept"))

@@ -245,6 +245,24 @@ def zip_extract(spark: SparkSession, sf: str) -> DataFrame:
             .select("publish_ym", F.regexp_replace("file_name", r"\.zip$", "").alias("stem"), "member", "size"))
 
 
+@query("directory_size", f"""
+WITH {_ROWS_SQL},
+lines AS (SELECT publish_ym, flag, {_LINE_SQL} AS line FROM rows),
+data AS (SELECT publish_ym, flag,
+                CAST({_HEADER_BYTES} + sum(CASE WHEN flag = 'R' THEN strlen(line)
+                     ELSE length(line) + length(regexp_replace(line, '[\\x00-\\x7F]', '', 'g')) END) AS BIGINT) AS size
+         FROM lines GROUP BY ALL)
+SELECT coalesce(publish_ym, '*') AS folder, CAST(3 * count(*) AS BIGINT) AS files,
+       CAST(sum(size + 7 + 4) AS BIGINT) AS bytes FROM data GROUP BY ROLLUP (publish_ym)""")
+def directory_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes on disk of the extracted archives, per month folder and in total, from a listing."""
+    root = shared_scratch(spark, "extracted")
+    out = zipcsv.extract_archives(_zips(spark, sf).select("path", "length"), root)
+    out.write.format("noop").mode("overwrite").save()  # runs the extraction
+    month = F.nullif(F.regexp_extract("path", r"/(\d{4}_\d{1,2})/[^/]+/[^/]+$", 1), F.lit(""))
+    return zipcsv.directory_sizes(zipcsv.list_files(spark, root), month)
+
+
 @query("bundle_by_month", f"""
 WITH {_ROWS_SQL}, f AS (SELECT DISTINCT publish_ym, 'flag_' || flag || '.zip' AS file_name FROM rows)
 SELECT publish_ym, CAST(count(*) AS INTEGER) AS n_members, string_agg(file_name, ',' ORDER BY file_name) AS members

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dropledger.operators import versions
 from dropledger.operators.changelog import (
     duplicate_keys,
     fold_state,
@@ -17,6 +18,7 @@ from dropledger.operators.tags import coordinated_delete
 from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
 from dropledger.plans.calendar_plans import PUBS_SQL, publications
 from dropledger.plans.registry import query
+from dropledger.session import shared_scratch
 
 _SEQ = ["o_orderdate", "o_orderkey"]
 _SEQ_SQL = "(o_orderdate, o_orderkey)"
@@ -41,6 +43,28 @@ def upsert_last(spark: SparkSession, sf: str) -> DataFrame:
                       versions="versions")
 
 
+@query("state_compact", sql_with(FILELOG_SQL) + f"""
+SELECT publish_ym, target_code, o_orderdate, o_orderkey, display_name, o_orderpriority FROM (
+  SELECT publish_ym, target_code, max(o_orderdate) AS o_orderdate, arg_max(o_orderkey, {_SEQ_SQL}) AS o_orderkey,
+         arg_max(display_name, {_SEQ_SQL}) AS display_name, arg_max(o_orderpriority, {_SEQ_SQL}) AS o_orderpriority,
+         arg_max(o_orderstatus, {_SEQ_SQL}) AS st
+  FROM filelog GROUP BY publish_ym, target_code)
+WHERE st <> 'P'""")
+def state_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of file changes (a failed download deletes), appended and compacted one after the other."""
+    log = file_log(spark, sf).select(
+        "publish_ym", "target_code", "o_orderdate", "o_orderkey", "display_name", "o_orderpriority",
+        F.when(F.col("o_orderstatus") == "P", F.lit("d")).otherwise(F.lit("u")).alias("op"))
+    root = shared_scratch(spark, "catalogue")
+    state = versions.read_version(spark, root + "/state", 0, log.schema)
+    for batch in (1, 2, 3):  # batches arrive in any order of their rows
+        part = F.pmod(F.col("o_orderkey"), F.lit(3)) == batch % 3
+        versions.append_changes(log.filter(part), root + "/log", batch)
+        changes = versions.read_changes(spark, root + "/log", log.schema, batch - 1, batch)
+        state = versions.compact(state, changes, root + "/state", batch, ["publish_ym", "target_code"], _SEQ)
+    return versions.current(state)
+
+
 @query("delete_tombstone", sql_with(FILELOG_SQL) + f"""
 , tomb AS (SELECT publish_ym, target_code, max({_SEQ_SQL}) AS lt FROM filelog WHERE o_orderstatus = 'P' GROUP BY ALL)
 , life AS (SELECT f.* FROM filelog f LEFT JOIN tomb t USING (publish_ym, target_code)

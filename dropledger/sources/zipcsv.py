@@ -86,6 +86,13 @@ def library_listing(spark: SparkSession, root: str) -> DataFrame:
                     "file_name", "kind", "length", "modificationTime"))
 
 
+def directory_sizes(files: DataFrame, folder: Column) -> DataFrame:
+    """(folder, files, bytes) for each folder of a listing and, with folder ``*``, in total; no files, no rows."""
+    named = files.select(folder.alias("folder"), "length").filter(F.col("folder").isNotNull())
+    return named.rollup("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).select(
+        F.coalesce("folder", F.lit("*")).alias("folder"), "files", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
 # --- archive members ------------------------------------------------------------
 
 MEMBER_SCHEMA = ("path string, member string, ord int, is_dir boolean, file_size long, "

@@ -62,3 +62,29 @@ def test_dimension_bound_is_the_callers(spark):
     with pytest.raises(Exception, match="bound of 1000"):
         dims.explode_dimension(df, dim, max_rows=1000).collect()
     assert dims.explode_dimension(df, dim.filter(F.lit(False))).count() == 0
+
+
+def test_compaction_in_any_batch_order(spark, tmp_dir):
+    from dropledger.operators import versions
+    rows_ = [("a", 1, "x", "u"), ("a", 3, None, "d"), ("a", 2, "y", "u"), ("b", 1, "p", "u"), ("b", 2, "q", "u"), ("c", 1, None, "d")]
+    schema = "k string, seq int, value string, op string"
+    for name, order in (("one", [0, 1, 2, 3, 4, 5]), ("two", [1, 4, 5, 0, 2, 3])):
+        state = versions.read_version(spark, f"{tmp_dir}/{name}/state", 0, schema)
+        for batch in (1, 2, 3):
+            part = [rows_[i] for i in order[2 * batch - 2:2 * batch]]
+            versions.append_changes(spark.createDataFrame(part, schema), f"{tmp_dir}/{name}/log", batch)
+            changes = versions.read_changes(spark, f"{tmp_dir}/{name}/log", state.schema, batch - 1, batch)
+            assert changes.count() == 2
+            state = versions.compact(state, changes, f"{tmp_dir}/{name}/state", batch, ["k"], ["seq"])
+        assert rows(versions.current(state)) == [("b", 2, "q")]
+        assert versions.read_version(spark, f"{tmp_dir}/{name}/state", 1, schema).count() <= 2
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, f"{tmp_dir}/none", 4, schema)
+
+
+def test_directory_sizes(spark):
+    from dropledger.sources.zipcsv import directory_sizes
+    files = spark.createDataFrame([("m1", 5), ("m1", 7), ("m2", 1), (None, 100)], "folder string, length long")
+    got = sorted(rows(directory_sizes(files, F.col("folder"))))
+    assert got == [("*", 3, 13), ("m1", 2, 12), ("m2", 1, 1)]
+    assert rows(directory_sizes(files.limit(0), F.col("folder"))) == []

@@ -40,6 +40,8 @@ WINDOW = 6
 #: Bounds of the training sample: rows of each label, characters of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 4000, 50_000
 EPOCHS, WHOLE_EPOCHS, RATE = 60, 15, 0.05
+#: Texts that training lays out at once.
+DOCS_AT_ONCE = 500
 #: Share of the texts that a word must occur in to be learnt from; decay of the embeddings; misspellings of a word.
 LEAST_SHARE, DECAY, SPELLINGS = 0.006, 1e-5, 4
 #: Least score that counts as toxic.
@@ -56,8 +58,6 @@ class Words:
     codes: np.ndarray
     offsets: np.ndarray
     words: list[bytes]
-    grams: np.ndarray
-    gram_offsets: np.ndarray
 
 
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +86,7 @@ def word_codes(texts: pa.Array) -> Words:
     lists = pc.split_pattern_regex(pc.utf8_trim(lower, " \t\n\x0b\x0c\r"), r"[ \t\n\x0b\x0c\r]+")
     coded = lists.flatten().dictionary_encode()
     words = [w.strip(".,;:!?\"'()[]{}").encode() for w in coded.dictionary.to_pylist()]
-    grams, gram_offsets = gram_buckets(words)
-    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64),
-                 words, grams, gram_offsets)
+    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), lists.offsets.to_numpy().astype(np.int64), words)
 
 
 def _averages(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -163,11 +161,13 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     if not len(texts):
         return model
     words = word_codes(pa.array(texts, pa.string()))
-    doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
-    seen = np.unique(words.codes * len(texts) + doc) // len(texts)
-    known = np.bincount(seen, minlength=len(words.words)) >= max(3, LEAST_SHARE * len(texts))
+    n_docs = len(texts)
+    seen = np.zeros(len(words.words), np.int64)
+    for lo, hi in zip(words.offsets[:-1], words.offsets[1:], strict=True):
+        seen[np.unique(words.codes[lo:hi])] += 1
+    known = seen >= max(3, LEAST_SHARE * n_docs)
     n_words = int(known.sum()) + 1  # 0 is any other word
-    codes = np.where(known, np.cumsum(known), 0)[words.codes]
+    codes = np.where(known, np.cumsum(known), 0).astype(np.int32)[words.codes]
     spelt = [w for w, k in zip(words.words, known, strict=True) if k]
     forms = [b"", *spelt] + [x for _ in range(SPELLINGS) for x in (b"", *[misspelt(w, rng) for w in spelt])]
     grams, gram_offsets = gram_buckets(forms)
@@ -175,35 +175,40 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     per_gram = 1 / np.maximum(np.diff(gram_offsets), 1)
     learnt = np.bincount(grams, minlength=BUCKETS) > 0
     model.embedding[~learnt] = 0
-    n_docs = len(texts)
     params = [model.embedding, model.softmax, model.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     target = np.eye(2)[labels]
     for epoch in range(EPOCHS):
         vectors = _averages(model.embedding[grams], gram_offsets)
-        spelling = rng.integers(-SPELLINGS, SPELLINGS + 1, len(codes)).clip(0)  # about half as they are
-        form = codes + n_words * spelling
-        if epoch < WHOLE_EPOCHS:
-            begin, end = words.offsets[:-1], words.offsets[1:]
-        else:
-            side = (vectors @ (model.softmax[:, 1] - model.softmax[:, 0]))[form]
-            worst = [worst_window(side[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
-            begin = words.offsets[:-1] + np.array([w[0] for w in worst])
-            end = words.offsets[:-1] + np.array([w[1] for w in worst])
-        size = end - begin
-        owner = np.repeat(np.arange(n_docs), size)
-        used = form[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        weight = (1 / np.maximum(size, 1))[owner]
-        bags = np.column_stack([np.bincount(owner, weights=vectors[used, d] * weight, minlength=n_docs) for d in range(DIM)])
-        logits = bags @ model.softmax + model.bias
-        share = np.exp(logits - logits.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-        slope = (share - target) / n_docs
-        to_bags = slope @ model.softmax.T
-        grads = [DECAY * model.embedding, bags.T @ slope, slope.sum(axis=0)]
+        side = vectors @ (model.softmax[:, 1] - model.softmax[:, 0])
+        to_forms = np.zeros((len(forms), DIM))
+        grads = [DECAY * model.embedding, np.zeros_like(model.softmax), np.zeros(2)]
+        for first in range(0, n_docs, DOCS_AT_ONCE):
+            ends = words.offsets[first:first + DOCS_AT_ONCE + 1]
+            part, ends = codes[ends[0]:ends[-1]], ends - ends[0]
+            spelling = rng.integers(-SPELLINGS, SPELLINGS + 1, len(part)).clip(0)  # about half as they are
+            form = part + n_words * spelling
+            begin, end = ends[:-1], ends[1:]
+            if epoch >= WHOLE_EPOCHS:
+                worst = np.array([worst_window(side[form[a:b]])[:2] for a, b in zip(begin, end, strict=True)])
+                begin, end = begin + worst[:, 0], begin + worst[:, 1]
+            size = end - begin
+            owner = np.repeat(np.arange(len(size)), size)
+            used = form[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            weight = (1 / np.maximum(size, 1))[owner]
+            bags = np.column_stack([np.bincount(owner, weights=vectors[used, d] * weight, minlength=len(size))
+                                    for d in range(DIM)])
+            logits = bags @ model.softmax + model.bias
+            share = np.exp(logits - logits.max(axis=1, keepdims=True))
+            share /= share.sum(axis=1, keepdims=True)
+            slope = (share - target[first:first + DOCS_AT_ONCE]) / n_docs
+            grads[1] += bags.T @ slope
+            grads[2] += slope.sum(axis=0)
+            to_bags = slope @ model.softmax.T
+            for d in range(DIM):
+                to_forms[:, d] += np.bincount(used, weights=to_bags[owner, d] * weight, minlength=len(forms))
         for d in range(DIM):
-            to_words = np.bincount(used, weights=to_bags[owner, d] * weight, minlength=len(forms)) * per_gram
-            grads[0][:, d] += np.bincount(grams, weights=to_words[gram_owner], minlength=BUCKETS)
+            grads[0][:, d] += np.bincount(grams, weights=(to_forms[:, d] * per_gram)[gram_owner], minlength=BUCKETS)
         grads[0][~learnt] = 0
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)
@@ -216,7 +221,8 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 def score_texts(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     """Share of the toxic class in the worst window of each text."""
     words = word_codes(texts)
-    by_word = _averages(weights[words.grams].astype(np.float64), words.gram_offsets)[words.codes]
+    grams, gram_offsets = gram_buckets(words.words)
+    by_word = _averages(weights[grams].astype(np.float64), gram_offsets)[words.codes]
     logits = np.array([worst_window(by_word[a:b])[2] for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)])
     return 1 / (1 + np.exp(-np.clip(logits + bias, -500, 500)))
 
@@ -240,17 +246,27 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     chosen = usable.where(place < share)
     texts = docs.select(F.col(id_col), text_or_empty(F.col(f"`{text_col}`")).alias("_text")).where(
         F.length("_text") <= SAMPLE_CHARS)
-    return texts.join(chosen, id_col).select(F.col(id_col).alias("_id"), "_text", "_label")
+    return texts.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("_id"), "_text", "_label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> tuple[np.ndarray, float]:
+    """(weight of each bucket, bias) learnt from the bounded sample, in one task; only these reach the driver."""
+    prepare(docs.sparkSession)
 
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_id", "_text"], ignore_index=True)
+        weights, bias = train(rows["_text"].tolist(), rows["_label"].to_numpy(np.int64)).folded()
+        return pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
 
-def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
-    """A model from the bounded sample, trained in the driver process."""
-    rows = sorted(training_sample(docs, labels, **columns).collect(), key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+    sample = training_sample(docs, labels, **columns)
+    learnt = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(learn, "weights binary, bias double").collect()
+    if not learnt:
+        return np.zeros(BUCKETS, np.float32), 0.0
+    return np.frombuffer(learnt[0].weights, np.float32), learnt[0].bias
 
 
-def toxicity_score(text: Column, model: Model) -> Column:
-    weights, bias = model.folded()
+def toxicity_score(text: Column, learnt: tuple[np.ndarray, float]) -> Column:
+    weights, bias = learnt
 
     def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
@@ -261,21 +277,21 @@ def toxicity_score(text: Column, model: Model) -> Column:
     return F.pandas_udf(batches, "double")(text)
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, learnt: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) of every row.
 
     A null or empty text scores as the softmax's bias alone.  Repeated rows
-    and null ids stay; other columns aren't read.  Without any label the
-    untrained model still scores every row.
+    and null ids stay; other columns aren't read.  Without any label every
+    row scores 0.5.
     """
     prepare(docs.sparkSession)
-    return docs.select(id_col, toxicity_score(text_or_empty(F.col(f"`{text_col}`")), model).alias("score"))
+    return docs.select(id_col, toxicity_score(text_or_empty(F.col(f"`{text_col}`")), learnt).alias("score"))
 
 
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels that aren't held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return score_documents(docs, model).select(
+    learnt = fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return score_documents(docs, learnt).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

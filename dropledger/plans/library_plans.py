@@ -85,15 +85,16 @@ def file_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def stats_cache(spark: SparkSession, sf: str) -> DataFrame:
     lab = t(spark, sf, "labels")
-    li = listing(spark, sf)
+    # Counted and measured where the text is read; only that is joined.
+    li = listing(spark, sf).select("doc_id", "path", "length", "mtime", newline_rows("text").alias("row_count"),
+                                   F.octet_length("text").cast("long").alias("bytes"))
     j = li.join(lab, "doc_id")
     return j.select(
         "path",
         (F.col("length") + F.col("toxic")).alias("length"),
         "mtime",
-        newline_rows("text").alias("row_count"),
-        F.when(F.col("quality") == 1, F.octet_length("text").cast("long")).otherwise(F.lit(0).cast("long"))
-        .alias("uncompressed_size"),
+        "row_count",
+        F.when(F.col("quality") == 1, F.col("bytes")).otherwise(F.lit(0).cast("long")).alias("uncompressed_size"),
         "quality", "toxic")
 
 

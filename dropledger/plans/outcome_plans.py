@@ -171,12 +171,13 @@ def _landed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _recorded(spark: SparkSession, sf: str) -> DataFrame:
     lab = t(spark, sf, "labels")
-    d = t(spark, sf, "documents").select("doc_id", "text")
-    content = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.upper("text"))
+    # Hashed and measured where the text is read; only that is joined.
+    d = t(spark, sf, "documents").select("doc_id", *[
+        F.struct(content_hash(c).alias("sha256"), F.octet_length(c).cast("long").alias("size")).alias(name)
+        for name, c in (("as_is", F.col("text")), ("upper", F.upper("text")))])
     return lab.join(d, "doc_id").select(
-        F.col("doc_id").alias("target"),
-        content_hash(content).alias("sha256"),
-        F.octet_length(content).cast("long").alias("size"))
+        F.col("doc_id").alias("target"), F.when(F.col("quality") == 1, F.col("as_is")).otherwise(F.col("upper")).alias("r")
+    ).select("target", "r.*")
 
 
 @query("hash_reconcile", """

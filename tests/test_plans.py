@@ -40,8 +40,19 @@ def test_bounded_dimension_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan(q(spark, "region_lookup"))
 
 
-def test_containment_fallback_is_broadcast_nested_loop(spark):
-    assert "BroadcastNestedLoopJoin" in plan(q(spark, "fuzzy_key_match"))
+def test_containment_fallback_is_an_equi_join(spark):
+    p = plan(q(spark, "fuzzy_key_match"))
+    assert "NestedLoop" not in p and "Cartesian" not in p
+
+
+def test_content_is_hashed_before_it_is_joined(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key in ("hash_reconcile", "stats_memo"):
+            exchanges = plan(q(spark, key)).split("Exchange\n")[1:]
+            assert exchanges and not any("text#" in x.split("\n\n")[0] for x in exchanges)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_listing_never_reads_content(spark, tmp_dir):

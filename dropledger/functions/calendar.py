@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 MONTH_KEY_PATTERN = r"^(\d{4})_(\d{1,2})$"
 PUBLISH_LAG_MONTHS = 2
 DATA_BASE_URL = "https://www.jartic.or.jp"
-DATA_DIR_TEMPLATE = DATA_BASE_URL + "/d/opendata/{compact}/"
+DATA_ROOT_URL = DATA_BASE_URL + "/d/opendata/"
+DATA_DIR_TEMPLATE = DATA_ROOT_URL + "{compact}/"
 ZIP_NAME_TEMPLATE = "typeB_{key}.zip"
 DOC_FILE_NAME = "typeB_danmen.pdf"
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dropledger.functions.calendar import (
+    DATA_ROOT_URL,
     compact_publish_key,
     doc_url,
     month_key,
@@ -69,7 +70,7 @@ def month_shift(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("y", "m", "delta", s["year"].alias("shifted_year"), s["month"].alias("shifted_month"))
 
 
-_BASE = "https://www.jartic.or.jp/d/opendata/"
+_BASE = DATA_ROOT_URL
 
 
 @query("publish_info", f"""

@@ -36,7 +36,7 @@ from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
 from dropledger.plans.calendar_plans import publications
 from dropledger.plans.registry import query
 from dropledger.session import shared_scratch
-from dropledger.functions.calendar import publication_date, publish_info_from_key
+from dropledger.functions.calendar import DATA_ROOT_URL, publication_date, publish_info_from_key
 from dropledger.sources.jsondocs import MANIFEST_SCHEMA, read_manifests, write_manifests
 
 def _ext():
@@ -343,7 +343,7 @@ _NEST_SQL = ENTRIES_SQL + """, docs AS (
                  publish_date := strftime(make_date(CAST(split_part(publish_ym, '_', 1) AS INTEGER),
                                                     CAST(split_part(publish_ym, '_', 2) AS INTEGER), 1) + INTERVAL 2 MONTH, '%Y-%m-%d'),
                  downloaded_at := max(downloaded_at),
-                 source_dir_url := 'https://www.jartic.or.jp/d/opendata/'
+                 source_dir_url := '""" + DATA_ROOT_URL + """'
                      || strftime(make_date(CAST(split_part(publish_ym, '_', 1) AS INTEGER),
                                            CAST(split_part(publish_ym, '_', 2) AS INTEGER), 1) + INTERVAL 2 MONTH, '%Y%m') || '010000/',
                  app_version := CASE WHEN ends_with(publish_ym, '_1') THEN NULL ELSE '1.0' END,

@@ -99,8 +99,7 @@ def _decide(p: DataFrame, ts: str, forced: Column, auto_enabled: Column, has_roo
             complete_folders: DataFrame, interval_hours: int) -> DataFrame:
     """Decision columns from ``_prev`` (previous request time) and ``_folder``."""
     done = complete_folders.select(F.col("folder").alias("_folder")).distinct().withColumn("_done", F.lit(True))
-    # Month folders are bounded by the calendar: broadcast them instead of shuffling the requests.
-    p = p.join(F.broadcast(done), "_folder", "left")
+    p = p.join(done, "_folder", "left")  # the caller's table: whether it is small is for Spark to measure
     within = F.col("_prev").isNotNull() & (
         F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(ts)) < interval_hours * 3600 * 1_000_000)
     reason = (F.when(forced, F.lit(REASON_FORCED))

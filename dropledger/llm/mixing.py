@@ -1,19 +1,28 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source are cut into blocks.  Time is counted in slots of one
-block, in periods: a source of weight w owns a quota of blocks in each period
-(largest remainders, at least one).  Block j of a source with quota q in a
-period of L slots is released at floor(j L / q) and due at ceil((j + 1) L / q);
-earliest deadline first among the released blocks (of equal ones the earlier
-release, then source) fills the slots.  For unit
-blocks and quotas that add up to L this meets every deadline, so at any slot a
-source has received its share up to less than one block.
-
-Nothing is dropped: a source that runs out leaves its slots to the others, and
-the period gets shorter.  Quotas are the same in every period but those in
-which a source ends, so there are at most 2 S + 1 different periods for S
-sources.  Only these are scheduled (one row each, by array functions); the
-slot of any block follows by arithmetic, whatever the number of rows.
+The rows of a source are cut into blocks; time is counted in slots of one
+block.  Each source is served by its weight over the weights of the sources
+that aren't through yet, so shares change only when a source ends.  In this
+ideal flow, source p with integer weight w has received j blocks when each
+source s with n blocks has received min(n, s.w j / w): at the time that these
+add up to.  Block j is released at the floor of its begin and due at the
+ceiling of its end; earliest deadline first among the released blocks (of
+equal ones the earlier release, then source) fills the slots.  For unit blocks
+and a flow of one block a slot this meets every deadline, so at any slot a
+source has received its target up to less than one block, however many slots
+and sources there are.
+
+Nothing is dropped: a source that runs out leaves its slots to the others.
+Windows are exact in integers.  The schedule of all blocks is made by array
+functions in tasks of ``SLOTS_PER_JOB`` slots, each of which begins where the
+one before stopped: they run one after another, in time that grows with
+blocks times sources.
+
+With ``period``, quotas of whole blocks per period (largest remainders, at
+least one) take the place of the weights.  Quotas are the same in every period
+but those in which a source ends, so there are at most 2 S + 1 different
+periods for S sources.  Only these are scheduled (one row each); the slot of
+any block follows by arithmetic.
 """
 
 from __future__ import annotations
@@ -27,6 +36,11 @@ from dropledger.llm.common import materialise, number_within, read_table
 ROWS_PER_BUCKET = 10_000
 #: Rows of the schedule up to which it is broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Slots that one task schedules, and slots whose blocks are listed at once.
+SLOTS_PER_JOB = 1 << 18
+SLOTS_PER_LIST = 256
+#: Release of the block after a source's last one.
+NEVER = 1 << 62
 
 #: Earliest deadline first over one period: ``q`` holds the quotas, ``len`` their sum.
 _EDF = """
@@ -47,14 +61,46 @@ aggregate(
 """
 
 
-def source_quotas(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None,
-                  temperature: float = 0.5, period: int = 200, block_rows: int = 4) -> DataFrame:
-    """A row for each source: (source_key, idx, n_rows, n_blocks, weight, quota).
+def _edge(i: str, j: str, up: str) -> str:
+    """SQL: when source ``i`` of ``s`` has received ``j`` blocks in the ideal flow, rounded up by ``up``."""
+    w = f"s[{i}].w"
+    return f"""
+      aggregate(s, named_struct('done', 0L, 'active', 0L),
+        (e, x) -> if(x.n * {w} <= x.w * ({j}), named_struct('done', e.done + x.n, 'active', e.active),
+                     named_struct('done', e.done, 'active', e.active + x.w)),
+        e -> e.done + (e.active * ({j}) + {up}) div {w})"""
 
-    Weights are the given ones (a source without one gets 0 and so the least
-    quota), or the source's row count to the power ``temperature``.  A null
-    source is the source ''.
-    """
+
+def _window(i: str, j: str) -> str:
+    """SQL: block ``j`` of source ``i`` as (due, free, i, j)."""
+    return f"""
+      if({j} < s[{i}].n,
+         named_struct('due', {_edge(i, f"{j} + 1", f"s[{i}].w - 1")}, 'free', {_edge(i, j, "0L")}, 'i', {i}, 'j', {j}),
+         named_struct('due', {NEVER}L, 'free', {NEVER}L, 'i', {i}, 'j', {j}))"""
+
+
+#: Earliest deadline first from slot ``at`` to ``upto``: ``next`` holds the next block of each source.
+_EDF_FROM = f"""
+aggregate(
+  sequence(at, greatest(at, upto - 1), {SLOTS_PER_LIST}L),
+  named_struct('next', next, 'lists', cast(array() as array<array<struct<due:bigint,free:bigint,i:int,j:bigint>>>)),
+  (acc, low) -> aggregate(
+    array(aggregate(
+      sequence(low, least(low + {SLOTS_PER_LIST}L, upto) - 1),
+      named_struct('next', acc.next, 'picks', cast(array() as array<struct<due:bigint,free:bigint,i:int,j:bigint>>)),
+      (a, t) -> aggregate(
+        array(array_min(filter(a.next, z -> z.free <= t))),
+        a,
+        (b, p) -> named_struct(
+          'next', transform(b.next, z -> if(z.i = p.i, {_window("z.i", "z.j + 1")}, z)),
+          'picks', concat(b.picks, array(p)))))),
+    acc,
+    (a, x) -> named_struct('next', x.next, 'lists', concat(a.lists, array(x.picks)))))
+"""
+
+
+def _source_counts(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float) -> DataFrame:
+    """A row for each source: (source_key, n_rows, weight)."""
     counts = docs.groupBy(F.coalesce(source_col, F.lit("")).alias("source_key")).agg(
         F.count(F.lit(1)).alias("n_rows"))
     if weights:
@@ -62,11 +108,68 @@ def source_quotas(docs: DataFrame, source_col: str = "source", weights: dict[str
         weight = F.coalesce(table[F.col("source_key")].cast("double"), F.lit(0.0))
     else:
         weight = F.pow("n_rows", F.lit(float(temperature)))
+    return counts.withColumn("weight", weight)
+
+
+def source_weights(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None,
+                   temperature: float = 0.5, block_rows: int = 4) -> DataFrame:
+    """A row for each source: (source_key, idx, n_rows, n_blocks, weight, w).
+
+    ``weight`` is the target share and ``w`` the same as an integer, as fine as
+    products with block counts in 64 bits allow.  Weights are the given ones (a
+    source without one gets 0 and is served when the others are through), or
+    the source's row count to the power ``temperature``.  A null source is the
+    source ''.
+    """
+    every = Window.partitionBy(F.lit(0))
+    total = F.sum("weight").over(every)
+    return (
+        _source_counts(docs, source_col, weights, temperature)
+        .withColumn("n_blocks", F.ceil(F.col("n_rows") / block_rows).cast("long"))
+        .withColumn("share", F.when(total > 0, F.col("weight") / total).otherwise(1 / F.count(F.lit(1)).over(every)))
+        .withColumn("unit", F.least(F.lit(1 << 52), F.expr(f"{1 << 61}L div sum(n_blocks) over (partition by 0)")))
+        .select("source_key", (F.row_number().over(every.orderBy("source_key")) - 1).alias("idx"), "n_rows", "n_blocks",
+                F.col("share").alias("weight"),
+                F.greatest(F.lit(1), F.round(F.col("share") * F.col("unit"))).cast("long").alias("w"))
+    )
+
+
+def block_schedule(sources: DataFrame, slots_per_job: int = SLOTS_PER_JOB) -> DataFrame:
+    """The slot of every block of ``source_weights``: (idx, block, release, deadline, slot)."""
+    plan = sources.agg(F.sort_array(F.collect_list(
+        F.struct("idx", F.col("n_blocks").alias("n"), "w"))).alias("s"))
+    n_blocks = sources.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
+    state = plan.withColumn("next", F.expr(f"transform(s, x -> {_window('x.idx', '0L')})"))
+    parts = []
+    for at in range(0, max(1, n_blocks), slots_per_job):
+        upto = min(at + slots_per_job, n_blocks)
+        made = state.select("s", F.lit(at).cast("long").alias("at"), F.lit(upto).cast("long").alias("upto"), "next").where(
+            "at < upto").select("s", "at", F.expr(_EDF_FROM).alias("out"))
+        made = materialise(made.select("s", "at", "out.next", "out.lists"), "mix-slots")
+        parts.append(made.select("at", F.posexplode("lists").alias("list", "picks")))
+        state = made
+    lists = parts[0]
+    for part in parts[1:]:
+        lists = lists.unionByName(part)
+    picks = lists.select("at", "list", F.posexplode("picks").alias("place", "p"))
+    return materialise(picks.select(
+        F.col("p.i").alias("idx"), F.col("p.j").alias("block"), F.col("p.free").alias("release"), F.col("p.due").alias("deadline"),
+        (F.col("at") + F.col("list") * F.lit(SLOTS_PER_LIST) + F.col("place")).cast("long").alias("slot")), "mix-schedule")
+
+
+def source_quotas(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None,
+                  temperature: float = 0.5, period: int = 200, block_rows: int = 4) -> DataFrame:
+    """A row for each source: (source_key, idx, n_rows, n_blocks, weight, quota).
+
+    Weights are the given ones (a source without one gets 0 and so the least
+    quota), or the source's row count to the power ``temperature``.  A null
+    source is the source ''.
+    """
     every = Window.partitionBy(F.lit(0))
     spare = F.greatest(F.lit(period) - F.count(F.lit(1)).over(every), F.lit(0))
     total = F.sum("weight").over(every)
     return (
-        counts.withColumn("weight", weight)
+        _source_counts(docs, source_col, weights, temperature)
         .withColumn("share", F.when(total > 0, F.col("weight") / total).otherwise(F.lit(0.0)) * spare)
         .withColumn("left", F.when(total > 0, spare).otherwise(F.lit(0)) - F.sum(F.floor("share")).over(every))
         .withColumn("place", F.row_number().over(every.orderBy((F.floor("share") - F.col("share")), "source_key")))
@@ -103,17 +206,30 @@ def period_schedules(quotas: DataFrame) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5,
-                period: int = 200, block_rows: int = 4, id_col: str = "doc_id",
-                source_col: str = "source") -> DataFrame:
-    """``docs`` with ``_mix``: struct (block, quota, release, deadline, slot, position).
+def _by_weight(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, block_rows: int):
+    """As ``_by_quota``, from the weights themselves."""
+    table = materialise(source_weights(docs, source_col, weights, temperature, block_rows), "mix-weights")
+    schedule = block_schedule(table).select(
+        "idx", F.col("block").alias("_mix_block"), F.col("release").alias("_mix_release"),
+        F.col("deadline").alias("_mix_deadline"), F.col("slot").alias("_mix_slot"))
+    n_rows, n_sources = table.agg(F.sum("n_rows"), F.count(F.lit(1))).first()
 
-    ``position`` numbers all rows from 0 in the mixed order.  Within a source
-    the order is by a hash of the id.  All rows and columns stay (a null or
-    repeated id, a null source and empty texts need no care); an empty table
-    gives no rows.  Column names that begin with ``_mix`` are reserved.
-    ``docs`` is read twice; pass a table, not a long computation.
-    """
+    def placed(blocks: DataFrame) -> DataFrame:
+        return blocks.join(schedule, ["idx", "_mix_block"])
+
+    # The last block of a source may be short: what it lacks moves all later rows up.
+    last = placed(table.withColumn("_mix_block", F.col("n_blocks") - 1))
+    lacks = F.struct(F.col("_mix_slot").alias("slot"), (F.col("n_blocks") * block_rows - F.col("n_rows")).alias("lack"))
+    sources = materialise(
+        last.withColumn("_mix_lacks", F.collect_list(lacks).over(Window.partitionBy(F.lit(0))))
+        .select(F.col("source_key").alias("_mix_source"), "idx", F.col("weight").alias("_mix_weight"), "_mix_lacks"),
+        "mix-sources")
+    return sources, n_rows, n_sources, placed
+
+
+def _by_quota(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, period: int,
+              block_rows: int):
+    """Sources by ``_mix_source``, numbers of rows and sources, and the function that adds the slot to rows with a block."""
     quotas = materialise(source_quotas(docs, source_col, weights, temperature, period, block_rows), "mix-quotas")
     schedule = materialise(period_schedules(quotas), "mix-schedule")
     n_rows, n_sources = quotas.agg(F.sum("n_rows"), F.count(F.lit(1))).first()
@@ -146,6 +262,27 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
         .join(quotas.select("source_key", "idx"), "source_key")
         .select(F.col("source_key").alias("_mix_source"), F.col("idx"), "_mix_quota", "_mix_lacks", "_mix_starts"),
         "mix-sources")
+    return sources, n_rows, n_sources, placed
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5,
+                period: int | None = None, block_rows: int = 4, id_col: str = "doc_id",
+                source_col: str = "source") -> DataFrame:
+    """``docs`` with ``_mix``: struct (block, weight, release, deadline, slot, position).
+
+    With ``period`` the schedule follows quotas per period, and ``quota`` takes
+    the place of ``weight``.  ``position`` numbers all rows from 0 in the mixed order.  Within a source
+    the order is by a hash of the id.  All rows and columns stay (a null or
+    repeated id, a null source and empty texts need no care); an empty table
+    gives no rows.  Column names that begin with ``_mix`` are reserved.
+    ``docs`` is read twice; pass a table, not a long computation.
+    """
+    if period is None:
+        sources, n_rows, n_sources, placed = _by_weight(docs, source_col, weights, temperature, block_rows)
+        share = F.col("_mix_weight").alias("weight")
+    else:
+        sources, n_rows, n_sources, placed = _by_quota(docs, source_col, weights, temperature, period, block_rows)
+        share = F.col("_mix_quota").alias("quota")
     keyed = docs.withColumn("_mix_source", F.coalesce(source_col, F.lit(""))).withColumn("_mix_id", F.col(id_col))
     numbered = number_within(keyed, ["_mix_source"], ["_mix_id"], "_mix_row", 1 + (n_rows or 0) // ROWS_PER_BUCKET)
     own = docs.columns
@@ -158,7 +295,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
         " - aggregate(_mix_lacks, 0L, (a, x) -> a + if(x.slot < _mix_slot, x.lack, 0L))")
     return mixed.select(
         *[F.col(f"_mix_doc.`{c}`").alias(c) for c in own],
-        F.struct(F.col("_mix_block").alias("block"), F.col("_mix_quota").alias("quota"),
+        F.struct(F.col("_mix_block").alias("block"), share,
                  F.col("_mix_release").alias("release"), F.col("_mix_deadline").alias("deadline"),
                  F.col("_mix_slot").alias("slot"), position.alias("position")).alias("_mix"))
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 
@@ -77,3 +78,61 @@ def test_order_and_empty_table(spark):
     laid = [r.doc_id for r in M.mixed_order(df).collect()]
     assert [mixed[i] for i in laid] == sorted(mixed.values()) and M.mixed_order(df).columns == df.columns
     assert M.mixed_order(df.limit(0)).count() == 0 and M.mix_sources(df.limit(0)).count() == 0
+
+
+def ideal_flow(blocks, weights, t):
+    """Blocks that each source has received by ``t`` if it is served by weight until it ends."""
+    low, high = Fraction(0), max(Fraction(n) / w for n, w in zip(blocks, weights, strict=True))
+    for v in sorted({Fraction(n) / w for n, w in zip(blocks, weights, strict=True)}):
+        if sum(min(n, w * v) for n, w in zip(blocks, weights, strict=True)) <= t:
+            low = v
+        else:
+            high = v
+            break
+    at_low = sum(min(n, w * low) for n, w in zip(blocks, weights, strict=True))
+    active = sum(w for n, w in zip(blocks, weights, strict=True) if w * low < n)
+    v = min(high, low + Fraction(t - at_low) / active) if active else low
+    return [min(Fraction(n), w * v) for n, w in zip(blocks, weights, strict=True)]
+
+
+def deviations(spark, sizes, weights, block_rows=1):
+    """Blocks received less the target by target weights, at every slot."""
+    df = spark.createDataFrame([(1000 * k + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)],
+                               "doc_id long, source string")
+    got = M.mix_sources(df, weights=weights, block_rows=block_rows).select("source", "doc_id", "_mix.*").collect()
+    assert sorted(r.position for r in got) == list(range(sum(sizes.values())))
+    slots = {r.slot: r.source for r in got}
+    names = list(sizes)
+    blocks = [-(-n // block_rows) for n in sizes.values()]
+    assert sorted(slots) == list(range(sum(blocks))) and all(r.release <= r.slot < r.deadline for r in got)
+    exact = [Fraction(weights[s]) for s in names]
+    given, worst = Counter(), 0
+    for t in range(sum(blocks)):
+        given[slots[t]] += 1
+        flow = ideal_flow(blocks, exact, t + 1)
+        worst = max([worst, *(abs(given[s] - x) for s, x in zip(names, flow, strict=True))])
+    return worst
+
+
+def test_deviation_from_target_weights_with_few_sources(spark):
+    sizes = {"a": 700, "b": 333, "c": 500, "d": 2}
+    assert deviations(spark, sizes, {"a": 5.03, "b": 3, "c": 1.7, "d": 0.001}) < 1.001
+    assert deviations(spark, {"a": 7, "b": 90}, {"a": 0.5, "b": 0.5}, block_rows=4) < 1.001
+
+
+def test_deviation_from_target_weights_with_more_than_200_sources(spark):
+    sizes = {f"s{i:03}": 3 for i in range(230)} | {"big": 600}
+    assert deviations(spark, sizes, dict.fromkeys(sizes, 1.0) | {"big": 230.0}) < 1.001
+
+
+def test_schedule_goes_on_in_the_next_job(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 7 % 3]) for i in range(1500)], "doc_id long, source string")
+    table = M.materialise(M.source_weights(df, block_rows=1), "test-weights")
+    whole = {tuple(r) for r in M.block_schedule(table).collect()}
+    assert len(whole) == 1500 and whole == {tuple(r) for r in M.block_schedule(table, slots_per_job=600).collect()}
+
+
+def test_source_without_weight_comes_last(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "doc_id long, source string")
+    last = M.mix_sources(df, weights={"a": 2, "b": 1}, block_rows=1).orderBy("_mix.position").select("source").collect()[-19:]
+    assert {r.source for r in last} == {"c"}

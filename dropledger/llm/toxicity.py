@@ -42,8 +42,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 4000, 50_000
 EPOCHS, WHOLE_EPOCHS, RATE = 60, 15, 0.05
 #: Texts that training lays out at once.
 DOCS_AT_ONCE = 500
-#: Share of the texts that a word must occur in to be learnt from; decay of the embeddings; misspellings of a word.
-LEAST_SHARE, DECAY, SPELLINGS = 0.006, 1e-5, 4
+#: Texts that a word must occur in to be learnt from; decay of the embeddings; misspellings of a word.
+LEAST_TEXTS, DECAY, SPELLINGS = 3, 1e-5, 4
 #: Least score that counts as toxic.
 THRESHOLD = 0.7
 SEED = 9
@@ -85,8 +85,10 @@ def word_codes(texts: pa.Array) -> Words:
     lower = pc.utf8_lower(texts)
     lists = pc.split_pattern_regex(pc.utf8_trim(lower, " \t\n\x0b\x0c\r"), r"[ \t\n\x0b\x0c\r]+")
     coded = lists.flatten().dictionary_encode()
-    words = [w.strip(".,;:!?\"'()[]{}").encode() for w in coded.dictionary.to_pylist()]
-    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), lists.offsets.to_numpy().astype(np.int64), words)
+    number: dict[str, int] = {}
+    bare = [number.setdefault(w.strip(".,;:!?\"'()[]{}"), len(number)) for w in coded.dictionary.to_pylist()]
+    codes = np.array(bare, np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
+    return Words(codes, lists.offsets.to_numpy().astype(np.int64), [w.encode() for w in number])
 
 
 def _averages(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -148,10 +150,10 @@ def distinct_texts(texts: list[str], bits: int = 6) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """Fit embeddings and softmax together by Adam on the mean cross-entropy.
 
-    One text of each group of near copies counts.  Words of less than a
-    ``LEAST_SHARE`` of the texts count in the averages but aren't learnt from,
-    as they would only serve to learn single texts by heart; embeddings decay
-    for the same reason.  In every epoch part of the words are misspelt, so
+    One text of each group of near copies counts.  Words of less than
+    ``LEAST_TEXTS`` texts count in the averages but aren't learnt from, as they
+    would only serve to learn single texts by heart; embeddings decay for the
+    same reason.  In every epoch part of the words are misspelt, so
     that the weight of a word spreads over its n-grams.
     """
     rng = np.random.default_rng(SEED)
@@ -165,7 +167,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     seen = np.zeros(len(words.words), np.int64)
     for lo, hi in zip(words.offsets[:-1], words.offsets[1:], strict=True):
         seen[np.unique(words.codes[lo:hi])] += 1
-    known = seen >= max(3, LEAST_SHARE * n_docs)
+    known = seen >= LEAST_TEXTS
     n_words = int(known.sum()) + 1  # 0 is any other word
     codes = np.where(known, np.cumsum(known), 0).astype(np.int32)[words.codes]
     spelt = [w for w, k in zip(words.words, known, strict=True) if k]

@@ -89,3 +89,31 @@ def test_documents(spark):
     assert by_id[901] == by_id[None]
     none = X.fit(docs.limit(0), marks.limit(0))
     assert X.score_documents(docs.limit(0), none).count() == 0 and X.score_documents(docs, none).count() == len(rows)
+
+
+def long_tail(n, seed, n_bad=120):
+    """Texts of which a third are toxic by two of ``n_bad`` rare words, with and without punctuation."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    bad = ["".join(rng.choice("bcdfghkmpvwz") + rng.choice("aeiou") for _ in range(3)) for _ in range(n_bad)]
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        words = [rng.choice(vocab) + rng.choice(("", "", "", ",", ".")) for _ in range(rng.randrange(20, 80))]
+        if i % 3 == 0:
+            for k in (0, 7):
+                words.insert(rng.randrange(len(words)), bad[(i // 3 + k) % n_bad] + rng.choice(("", ",", ".")))
+        texts.append(" ".join(words))
+    return texts, np.array([int(i % 3 == 0) for i in range(n)])
+
+
+def test_held_out_recall_with_many_rare_toxic_words():
+    model = X.train(*long_tail(1500, 1))
+    texts, labels = long_tail(900, 2)
+    found = X.score_texts(pa.array(texts), *model.folded()) >= X.THRESHOLD
+    assert found[labels == 1].mean() > 0.95 and found[labels == 0].mean() < 0.02
+
+
+def test_words_are_counted_without_punctuation():
+    words = X.word_codes(pa.array(["word Word, (word)", "other word."]))
+    assert words.words == [b"word", b"other"] and words.codes.tolist() == [0, 0, 0, 1, 0]

@@ -42,6 +42,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 4000, 50_000
 EPOCHS, WHOLE_EPOCHS, RATE = 60, 15, 0.05
 #: Texts that training lays out at once.
 DOCS_AT_ONCE = 500
+#: Words whose n-grams are laid out at once in training.
+FORMS_AT_ONCE = 20_000
 #: Texts that a word must occur in to be learnt from; decay of the embeddings; misspellings of a word.
 LEAST_TEXTS, DECAY, SPELLINGS = 3, 1e-5, 4
 #: Least score that counts as toxic.
@@ -124,6 +126,42 @@ class Model:
         return (self.embedding @ side).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+class Forms:
+    """N-grams of all spellings that training knows; what it lays out of them at once is bounded."""
+
+    def __init__(self, forms: list[bytes]) -> None:
+        parts = [gram_buckets(forms[i:i + FORMS_AT_ONCE]) for i in range(0, len(forms), FORMS_AT_ONCE)]
+        self.grams = np.concatenate([g.astype(np.uint16) for g, _ in parts])  # BUCKETS is 2^16
+        self.sizes = np.concatenate([np.diff(o) for _, o in parts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _parts(self, forms: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for i in range(0, len(forms), FORMS_AT_ONCE):
+            part = slice(i, i + FORMS_AT_ONCE)
+            sizes = self.sizes[forms[part]]
+            at = np.repeat(self.starts[forms[part]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            yield part, sizes, self.grams[at]
+
+    def means(self, values: np.ndarray, forms: np.ndarray) -> np.ndarray:
+        """Mean of the buckets' ``values`` over the n-grams of each of ``forms``."""
+        out = np.zeros((len(forms), *values.shape[1:]))
+        for part, sizes, grams in self._parts(forms):
+            some = sizes > 0
+            if some.any():
+                sums = np.add.reduceat(values[grams], (np.cumsum(sizes) - sizes)[some], axis=0)
+                out[part][some] = sums / sizes[some].reshape(-1, *[1] * (values.ndim - 1))
+        return out
+
+    def spread(self, values: np.ndarray, forms: np.ndarray) -> np.ndarray:
+        """Sums by bucket of the ``values`` of ``forms``, each dealt evenly to its n-grams."""
+        out = np.zeros((BUCKETS, values.shape[1]))
+        for part, sizes, grams in self._parts(forms):
+            dealt = values[part] / np.maximum(sizes, 1)[:, None]
+            for d in range(values.shape[1]):
+                out[:, d] += np.bincount(grams, weights=np.repeat(dealt[:, d], sizes), minlength=BUCKETS)
+        return out
+
+
 def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
     """``word`` with one letter doubled, dropped, swapped with the next or masked."""
     if len(word) < 3:
@@ -172,17 +210,17 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     codes = np.where(known, np.cumsum(known), 0).astype(np.int32)[words.codes]
     spelt = [w for w, k in zip(words.words, known, strict=True) if k]
     forms = [b"", *spelt] + [x for _ in range(SPELLINGS) for x in (b"", *[misspelt(w, rng) for w in spelt])]
-    grams, gram_offsets = gram_buckets(forms)
-    gram_owner = np.repeat(np.arange(len(forms)), np.diff(gram_offsets))
-    per_gram = 1 / np.maximum(np.diff(gram_offsets), 1)
-    learnt = np.bincount(grams, minlength=BUCKETS) > 0
+    table, every = Forms(forms), np.arange(len(forms))
+    learnt = np.bincount(table.grams, minlength=BUCKETS) > 0
     model.embedding[~learnt] = 0
     params = [model.embedding, model.softmax, model.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     target = np.eye(2)[labels]
     for epoch in range(EPOCHS):
-        vectors = _averages(model.embedding[grams], gram_offsets)
-        side = vectors @ (model.softmax[:, 1] - model.softmax[:, 0])
+        if epoch < WHOLE_EPOCHS:
+            vectors = table.means(model.embedding, every)
+        else:
+            vectors, side = None, table.means(model.embedding @ (model.softmax[:, 1] - model.softmax[:, 0]), every)
         to_forms = np.zeros((len(forms), DIM))
         grads = [DECAY * model.embedding, np.zeros_like(model.softmax), np.zeros(2)]
         for first in range(0, n_docs, DOCS_AT_ONCE):
@@ -197,8 +235,10 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             size = end - begin
             owner = np.repeat(np.arange(len(size)), size)
             used = form[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            own_forms, used = np.unique(used, return_inverse=True)
+            bag_vectors = table.means(model.embedding, own_forms) if vectors is None else vectors[own_forms]
             weight = (1 / np.maximum(size, 1))[owner]
-            bags = np.column_stack([np.bincount(owner, weights=vectors[used, d] * weight, minlength=len(size))
+            bags = np.column_stack([np.bincount(owner, weights=bag_vectors[used, d] * weight, minlength=len(size))
                                     for d in range(DIM)])
             logits = bags @ model.softmax + model.bias
             share = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -208,9 +248,9 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             grads[2] += slope.sum(axis=0)
             to_bags = slope @ model.softmax.T
             for d in range(DIM):
-                to_forms[:, d] += np.bincount(used, weights=to_bags[owner, d] * weight, minlength=len(forms))
-        for d in range(DIM):
-            grads[0][:, d] += np.bincount(grams, weights=(to_forms[:, d] * per_gram)[gram_owner], minlength=BUCKETS)
+                to_forms[own_forms, d] += np.bincount(used, weights=to_bags[owner, d] * weight, minlength=len(own_forms))
+        touched = np.flatnonzero(to_forms.any(axis=1))
+        grads[0] += table.spread(to_forms[touched], touched)
         grads[0][~learnt] = 0
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)

@@ -37,6 +37,7 @@ aggregated before the shuffle); nothing is dropped.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ LEAST = 200
 #: Bytes of a gram; a power of two.
 GRAM = 32
 #: Different contexts of one gram that one task sorts.
-MOST_CONTEXTS = 50_000
+MOST_CONTEXTS = 10_000
 #: Contexts whose suffix array is built at once (whole grams).
 BATCH_CONTEXTS = 4_000
 #: Bytes of text hashed at once, and grams whose places fit 16 bits.
@@ -79,16 +80,13 @@ def lyndon_suffix_array(symbols: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     _, ranks, counts = np.unique(symbols, return_inverse=True, return_counts=True)
     ranks, starts = ranks.ravel(), np.concatenate(([1], 1 + np.cumsum(counts)[:-1]))
-    order = [n, *np.argsort(ranks, kind="stable").tolist()]
-    group = [*starts[ranks].tolist(), 0]  # where a suffix's group begins; suffix n is the end of the sequence
-    size = [0] * (n + 2)
-    size[0] = 1
-    for start, count in zip(starts.tolist(), counts.tolist(), strict=True):
-        size[start] = count
-    place = [0] * (n + 1)
-    for at, suffix in enumerate(order):
-        place[suffix] = at
-    before = [-1] * (n + 1)
+    sorted_by_first = np.concatenate(([n], np.argsort(ranks, kind="stable")))
+    places, sizes = np.empty(n + 1, np.int64), np.zeros(n + 2, np.int64)
+    places[sorted_by_first] = np.arange(n + 1)
+    sizes[0], sizes[starts] = 1, counts
+    order, place, size = _numbers(sorted_by_first), _numbers(places), _numbers(sizes)
+    group = _numbers(np.append(starts[ranks], 0))  # where a suffix's group begins; suffix n is the end of the sequence
+    before = _numbers(np.full(n + 1, -1))
     end = n + 1
     while end > 0:
         start = group[order[end - 1]]
@@ -107,7 +105,7 @@ def lyndon_suffix_array(symbols: np.ndarray) -> np.ndarray:
             _move_up([p for p in by_count[times] if size[group[p]] > 1], group, size, order, place)
         end = start
 
-    result, placed, free = [n] * (n + 1), bytearray(n + 1), list(range(n + 2))
+    result, placed, free = _numbers(np.full(n + 1, n)), bytearray(n + 1), _numbers(np.arange(n + 2))
     for at in range(n + 1):
         suffix = result[at] - 1
         while suffix >= 0 and not placed[suffix]:
@@ -116,10 +114,15 @@ def lyndon_suffix_array(symbols: np.ndarray) -> np.ndarray:
             free[own] += 1
             placed[suffix] = 1
             suffix = before[suffix]
-    return np.array(result[1:], np.int64)
+    return np.frombuffer(result, np.int64)[1:]
 
 
-def _move_up(moved: list[int], group: list[int], size: list[int], order: list[int], place: list[int]) -> None:
+def _numbers(values: np.ndarray) -> array:
+    """8 bytes a number, and quicker to index from Python than numpy."""
+    return array("q", values.astype(np.int64).tobytes())
+
+
+def _move_up(moved: list[int], group: array, size: array, order: array, place: array) -> None:
     """Make those of ``moved`` that share a group a group of their own, behind the rest of it."""
     for p in moved:
         size[group[p]] -= 1
@@ -365,10 +368,8 @@ def covered_parts(bucket: np.ndarray, left: list[bytes], right: list[bytes], lea
     before, behind = np.zeros(n, np.int64), np.zeros(n, np.int64)
     left_paths, left_depths = _trie_paths(bucket, left)
     right_paths, right_depths = _trie_paths(bucket, right)
-    symbols: list[int] = []
-    lengths: list[int] = []
-    rows: list[int] = []
-    offsets: list[int] = []  # bytes from the anchor to where the suffix begins, negative before it; above 0: not looked at
+    symbols, lengths, rows = array("q"), array("q"), array("q")
+    offsets = array("q")  # bytes from the anchor to where the suffix begins, negative before it; above 0: not looked at
     for i in range(n):
         to_left, to_right = left_depths[i], right_depths[i]
         if not to_right or to_right[-1] + (to_left[-1] if to_left else 0) < least:
@@ -389,8 +390,8 @@ def covered_parts(bucket: np.ndarray, left: list[bytes], right: list[bytes], lea
         rows.extend([i] * (len(to_left) + len(to_right) + 1))
     if not rows:
         return before, behind
-    text, length = np.array(symbols, np.int64), np.array(lengths, np.int64)
-    row, offset = np.array(rows, np.int64), np.array(offsets, np.int64)
+    text, length, row, offset = (np.array(x, np.int64) for x in (symbols, lengths, rows, offsets))
+    del left_paths, left_depths, right_paths, right_depths, symbols, lengths, rows, offsets
     ends = np.flatnonzero(text == 0)
     text[ends] = text.min() - 1 - np.arange(len(ends))
     order = lyndon_suffix_array(text)

@@ -226,17 +226,20 @@ def anchor_rows(docs: DataFrame, least: int) -> DataFrame:
 
 # ---------------------------------------------------------------- marks
 
-MARKS = ("gram long, context long, doc binary, anchor int, first int, last int, twice boolean, mixed boolean, "
-         "lead boolean, part int, open_gram boolean, open_context boolean, times long, low long, high long")
+MARKS = ("gram long, context long, doc binary, anchor int, first int, last int, covered boolean, wanted boolean, "
+         "lead boolean, mixed boolean, open boolean, part int, times long, low long, high long")
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of a range of sorted anchor rows (a bounded number: ranges are even).
 
-    ``twice``: the context is there again; ``mixed``: the gram has another
-    context; ``lead``: the first row of its context.  ``open_*``: the group may
-    go on in another range.  The first and last group of a range also give a
-    row without ``doc`` for the table of the borders.
+    ``covered``: the context is there again; ``wanted``: the first row of a
+    context (its lead) whose gram has others.  The first and last groups of a
+    range may go on in other ranges.  What that leaves open is a few rows a
+    range (``open``: whether a context of one row has more, and whether a lead
+    is the only one of its gram or not the first); they get ``lead`` and
+    ``mixed`` as far as the range knows.  The first and last context also give
+    a row without ``doc`` for the table of the borders.
     """
     from pyspark import TaskContext
 
@@ -247,35 +250,34 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = whole.num_rows
     gram, context = whole.column("gram").to_numpy(), whole.column("context").to_numpy()
     new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-    new_context = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
-    gram_at, context_at = np.flatnonzero(new_gram), np.flatnonzero(new_context)
-    of_gram, of_context = np.cumsum(new_gram) - 1, np.cumsum(new_context) - 1
+    lead = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
+    gram_at, context_at = np.flatnonzero(new_gram), np.flatnonzero(lead)
+    of_gram, of_context = np.cumsum(new_gram) - 1, np.cumsum(lead) - 1
     gram_end = np.concatenate((gram_at[1:], [n]))
     times = np.diff(np.concatenate((context_at, [n])))
     low, high = context[gram_at], context[gram_end - 1]
     twice, mixed = (times > 1)[of_context], (low != high)[of_gram]
     open_gram = (of_gram == 0) | (of_gram == of_gram[-1])
     open_context = (of_context == 0) | (of_context == of_context[-1])
+    unsettled = (open_context & ~twice) | (lead & ((open_gram & ~mixed) | open_context))
     part = TaskContext.get().partitionId()
-    keep = np.flatnonzero(twice | mixed | open_gram)
-    flags = [pa.array(x) for x in (twice[keep], mixed[keep], new_context[keep])]
-    empty = [pa.nulls(len(keep), pa.int64())] * 3
+    names = [c.split()[0] for c in MARKS.split(", ")]
+
+    keep = np.flatnonzero(twice | (mixed & lead) | unsettled)
+    flags = (twice, mixed & lead, lead, mixed, unsettled)
     yield pa.RecordBatch.from_arrays(
-        [*(whole.column(c).take(pa.array(keep)).combine_chunks() for c in ("gram", "context", "doc", "anchor", "first", "last")), *flags,
-         pa.array(np.full(len(keep), part, np.int32)), pa.array(open_gram[keep]), pa.array(open_context[keep]), *empty],
-        names=[c.split()[0] for c in MARKS.split(", ")])
+        [*(whole.column(c).take(pa.array(keep)).combine_chunks() for c in names[:6]), *(pa.array(x[keep]) for x in flags),
+         pa.array(np.full(len(keep), part, np.int32)), *[pa.nulls(len(keep), pa.int64())] * 3], names=names)
     edge = sorted({0, len(context_at) - 1})
     at = context_at[edge]
-    none = [pa.nulls(len(at), t) for t in (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())]
+    none = [pa.nulls(len(at), t) for t in (pa.binary(), *[pa.int32()] * 3, *[pa.bool_()] * 5)]
     yield pa.RecordBatch.from_arrays(
         [pa.array(gram[at]), pa.array(context[at]), *none, pa.array(np.full(len(at), part, np.int32)),
-         pa.array(np.ones(len(at), bool)), pa.array(np.ones(len(at), bool)), pa.array(times[edge]),
-         pa.array(low[of_gram[at]]), pa.array(high[of_gram[at]])],
-        names=[c.split()[0] for c in MARKS.split(", ")])
+         pa.array(times[edge]), pa.array(low[of_gram[at]]), pa.array(high[of_gram[at]])], names=names)
 
 
 def marked_contexts(docs: DataFrame, least: int) -> DataFrame:
-    """(gram, context, doc, anchor, first, last, covered, wanted) of the contexts whose gram occurs twice.
+    """(gram, doc, anchor, first, last, covered, wanted) of the contexts whose bytes are covered or must be looked at.
 
     ``covered``: the context occurs twice; ``wanted``: it is the lead of a
     context whose gram has others.
@@ -286,20 +288,15 @@ def marked_contexts(docs: DataFrame, least: int) -> DataFrame:
     borders = marks.where("doc is null")  # two rows for each range at most
     grams = borders.groupBy("gram").agg((F.min("low") != F.max("high")).alias("_mixed"))
     contexts = borders.groupBy("gram", "context").agg((F.sum("times") > 1).alias("_twice"), F.min("part").alias("_part"))
+    first = F.col("_part").isNull() | (F.col("part") == F.col("_part"))
     settled = (
-        marks.where("doc is not null and open_gram")
+        marks.where("doc is not null and open")
         .join(F.broadcast(grams), "gram").join(F.broadcast(contexts), ["gram", "context"], "left")
-        .withColumn("mixed", F.col("mixed") | F.col("_mixed"))
-        .withColumn("twice", F.col("twice") | F.coalesce("_twice", F.lit(False)))
-        .withColumn("lead", F.col("lead") & (~F.col("open_context") | (F.col("part") == F.col("_part"))))
-    )
-    own = ["gram", "context", "doc", "anchor", "first", "last", "twice", "mixed", "lead"]
-    return (
-        marks.where("doc is not null and not open_gram").select(own).unionByName(settled.select(own))
-        .select("gram", "context", "doc", "anchor", "first", "last", F.col("twice").alias("covered"),
-                (F.col("mixed") & F.col("lead")).alias("wanted"))
-        .where("covered or wanted")
+        .withColumn("covered", F.col("covered") | F.coalesce("_twice", F.lit(False)))
+        .withColumn("wanted", F.col("lead") & first & (F.col("mixed") | F.col("_mixed")))
     )
+    own = ["gram", "doc", "anchor", "first", "last", "covered", "wanted"]
+    return marks.where("doc is not null and not open").select(own).unionByName(settled.select(own)).where("covered or wanted")
 
 
 # ---------------------------------------------------------------- contexts to intervals
@@ -480,14 +477,18 @@ def repeated_intervals(docs: DataFrame, least: int = LEAST, most_contexts: int =
     ``docs`` holds the texts as ``_text``, none null.
     """
     marks = materialise(marked_contexts(docs, least), "suffix-contexts")
-    hot = marks.where("wanted").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(f"n > {int(most_contexts)}").select(
-        "gram", F.lit(True).alias("hot"))
-    wanted = F.when(F.col("wanted"), F.struct(
-        "gram", F.coalesce("hot", F.lit(False)).alias("hot"), "anchor", "first", (F.col("last") + least).alias("to")))
+    to = (F.col("last") + least).alias("to")
+    hot = marks.where("wanted").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(f"n > {int(most_contexts)}")
+    hot = materialise(hot.select("gram", F.lit(True).alias("hot")), "suffix-hot")
+    wanted = marks.where("wanted").join(hot, "gram", "left").select(
+        "doc", F.struct("gram", F.coalesce("hot", F.lit(False)).alias("hot"), "anchor", "first", to).alias("wanted"),
+        F.lit(None).cast("struct<lo:int,hi:int>").alias("covered"))
+    covered = marks.where("covered").select(
+        "doc", F.lit(None).cast(wanted.schema["wanted"].dataType).alias("wanted"),
+        F.struct(F.col("first").alias("lo"), to.alias("hi")).alias("covered"))
     # Copies of a text give the same marks: sets, aggregated before the shuffle, hold a text's anchors once.
-    by_doc = marks.join(hot, "gram", "left").groupBy("doc").agg(
-        F.collect_set(wanted).alias("wanted"),
-        F.collect_set(F.when(F.col("covered"), F.struct(F.col("first").alias("lo"), (F.col("last") + least).alias("hi")))).alias("covered"))
+    by_doc = wanted.unionByName(covered).groupBy("doc").agg(
+        F.collect_set("wanted").alias("wanted"), F.collect_set("covered").alias("covered"))
     texts = docs.select(F.unhex(F.md5("_text")).alias("doc"), F.col("_text").alias("text")).groupBy("doc").agg(
         F.first("text").alias("text"))
     texts = materialise(texts.join(by_doc, "doc"), "suffix-texts")

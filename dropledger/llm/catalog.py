@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 
 MODULES = (
     "sharding", "secrets", "simhash", "fingerprints", "url_filters", "warc", "quality", "packing", "toxicity", "mixing",
-    "suffixes", "runs",
+    "suffixes", "runs", "tries",
 )
 
 

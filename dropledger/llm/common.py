@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dropledger.session import ensure_checkpoint_dir, prepare, read_table
 
-__all__ = ["materialise", "number_within", "prepare", "read_table", "scratch_uri", "text_or_empty"]
+__all__ = ["materialise", "number_within", "prepare", "read_table", "scratch_uri", "stored_order", "text_or_empty"]
 
 #: The six ASCII white-space characters that separate words.
 BLANKS = " \t\n\x0b\f\r"
@@ -36,6 +37,22 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def stored_order(table: DataFrame) -> Column | None:
+    """The order in which the rows of a written Parquet table lie in its files; None for any other frame.
+
+    Writers number their files, and lengths come first, so that file 100000
+    follows file 99999.
+    """
+    order = F.concat_ws(
+        "/", F.lpad(F.length("_metadata.file_name").cast("string"), 4, "0"), "_metadata.file_name",
+        F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+    try:
+        table.select(order)
+    except AnalysisException:
+        return None
+    return order
+
+
 def number_within(rows: DataFrame, by: list[str], order: list[str], out: str, buckets: int) -> DataFrame:
     """Add ``out``: 0, 1, 2 … without gaps within each ``by`` group.
 

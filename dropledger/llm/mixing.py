@@ -12,53 +12,50 @@ and a flow of one block a slot this meets every deadline, so at any slot a
 source has received its target up to less than one block, however many slots
 and sources there are.
 
+The slots are cut into stretches, at most ``STRETCHES`` of them, that are
+scheduled side by side.  A chain of small steps, one a stretch, says how many
+blocks each source has at every cut: those that are due, and of those under
+way at the cut (one a source at most) as many as slots are left, the earliest
+deadline first, if the slots since their release hold them too (the free slots
+of a stretch are counted side by side before).  By Hall's condition a schedule
+within all windows goes through these counts, so earliest deadline first finds
+one in each stretch by itself, with windows cut at its ends.  The chain grows
+with stretches times the square of the sources and not with the rows; a
+stretch is one task.
+
 Nothing is dropped: a source that runs out leaves its slots to the others.
-Windows are exact in integers.  The schedule of all blocks is made by array
-functions in tasks of ``SLOTS_PER_JOB`` slots, each of which begins where the
-one before stopped: they run one after another, in time that grows with
-blocks times sources.
-
-With ``period``, quotas of whole blocks per period (largest remainders, at
-least one) take the place of the weights.  Quotas are the same in every period
-but those in which a source ends, so there are at most 2 S + 1 different
-periods for S sources.  Only these are scheduled (one row each); the slot of
-any block follows by arithmetic.
+Windows are exact in integers.
+
+The order within a source is by a hash of the whole row.  Hash buckets are
+counted and cut into blocks without moving a text; a row then goes once to its
+bucket, where its number, block and position follow, and for the laid out
+table once more to its place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from dropledger.llm.catalog import query
-from dropledger.llm.common import materialise, number_within, read_table
+from dropledger.llm.common import materialise, read_table
 
 ROWS_PER_BUCKET = 10_000
-#: Rows of the schedule up to which it is broadcast; beyond that the join shuffles.
-BROADCAST_ROWS = 200_000
-#: Slots that one task schedules, and slots whose blocks are listed at once.
-SLOTS_PER_JOB = 1 << 18
+#: Slots that one task schedules, and the most stretches; beyond their product stretches get longer.
+SLOTS_PER_STRETCH = 1 << 14
+STRETCHES = 4096
+#: Slots whose blocks are listed at once.
 SLOTS_PER_LIST = 256
-#: Release of the block after a source's last one.
+#: Release of the block after a source's last one in a stretch.
 NEVER = 1 << 62
 
-#: Earliest deadline first over one period: ``q`` holds the quotas, ``len`` their sum.
-_EDF = """
-aggregate(
-  sequence(0L, len - 1),
-  named_struct('given', transform(q, x -> 0L), 'picks', cast(array() as array<int>)),
-  (acc, t) -> aggregate(
-    array(array_min(filter(
-      zip_with(zip_with(q, acc.given, (x, g) -> named_struct('x', x, 'g', g)), ids, (y, i) ->
-        named_struct('due', if(y.g < y.x, ((y.g + 1) * len + y.x - 1) div y.x, null),
-                     'free', if(y.g < y.x, (y.g * len) div y.x, null), 'i', i)),
-      z -> z.free <= t))),
-    acc,
-    (a, p) -> named_struct(
-      'given', transform(a.given, (g, i) -> g + if(i = p.i, 1L, 0L)),
-      'picks', concat(a.picks, array(p.i)))),
-  acc -> acc.picks)
-"""
+_PICK = "struct<due:bigint,free:bigint,i:int,j:bigint,at:bigint>"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _edge(i: str, j: str, up: str) -> str:
@@ -66,36 +63,83 @@ def _edge(i: str, j: str, up: str) -> str:
     w = f"s[{i}].w"
     return f"""
       aggregate(s, named_struct('done', 0L, 'active', 0L),
-        (e, x) -> if(x.n * {w} <= x.w * ({j}), named_struct('done', e.done + x.n, 'active', e.active),
-                     named_struct('done', e.done, 'active', e.active + x.w)),
-        e -> e.done + (e.active * ({j}) + {up}) div {w})"""
+        (e_, x_) -> if(x_.n * {w} <= x_.w * ({j}), named_struct('done', e_.done + x_.n, 'active', e_.active),
+                       named_struct('done', e_.done, 'active', e_.active + x_.w)),
+        e_ -> e_.done + (e_.active * ({j}) + {up}) div {w})"""
+
+
+def _begin(i: str, j: str) -> str:
+    return _edge(i, j, "0L")
+
+
+def _end(i: str, j: str) -> str:
+    return _edge(i, f"{j} + 1", f"s[{i}].w - 1")
+
+
+def _flow(t: str) -> str:
+    """SQL: for each source its whole blocks at time ``t`` in the ideal flow, and whether a part of one comes on top."""
+    over = f"""aggregate(s, named_struct('done', 0L, 'active', 0L),
+      (e, x) -> if(x.fin <= {t}, named_struct('done', e.done + x.n, 'active', e.active),
+                   named_struct('done', e.done, 'active', e.active + x.w)))"""
+    return _let("o", over, f"""transform(s, x -> if(x.fin <= {t}, named_struct('full', x.n, 'part', false),
+      named_struct('full', (x.w * ({t} - o.done)) div o.active, 'part', (x.w * ({t} - o.done)) % o.active > 0)))""")
+
+
+#: Of the stretch from ``t0`` to ``t1``: whole blocks of each source at its end, the blocks under way there, and, for
+#: each release r of these after ``t0``, the fewest slots that the blocks due by ``t1`` leave free from any slot on
+#: that lies behind the release before, up to r.
+_STRETCH = _let("f", _flow("t1"), _let("c", f"""array_sort(filter(transform(f, (y, i) -> if(y.part,
+    named_struct('due', {_end("i", "y.full")}, 'i', i, 'free', {_begin("i", "y.full")}), null)), z -> z is not null))""", _let(
+    "d", "array_sort(array_distinct(filter(transform(c, z -> z.free), r -> r > t0)))",
+    f"""named_struct('full', transform(f, y -> y.full), 'under_way', c, 'room', transform(d, (r, b) -> named_struct('at', r, 'room',
+      array_min(transform(sequence(if(b = 0, t0, d[b - 1]) + 1, r), q -> (t1 - q) - {_let(
+        "g", _flow("q"), "aggregate(zip_with(f, g, (y, z) -> greatest(0L, y.full - z.full - if(z.part, 1L, 0L))), 0L, (e, v) -> e + v)")})))))""")))
+
+#: The blocks of each source at all cuts, from the array ``stretches`` in order.
+_CUTS = f"""
+aggregate(stretches,
+  named_struct('a', transform(s, x -> 0L), 'cuts', array(transform(s, x -> 0L))),
+  (acc, h) -> {_let("k", "zip_with(acc.a, h.full, (x, y) -> greatest(x, y))", _let(
+      "p", """aggregate(filter(h.under_way, z -> acc.a[z.i] <= h.full[z.i]),
+        named_struct('left', h.t1 - aggregate(k, 0L, (e, v) -> e + v), 'room', h.room, 'picked', cast(array() as array<int>)),
+        (g, z) -> if(g.left > 0 and forall(g.room, x -> x.at > z.free or x.room > 0),
+          named_struct('left', g.left - 1, 'room', transform(g.room, x -> if(x.at <= z.free, named_struct('at', x.at, 'room', x.room - 1), x)),
+                       'picked', concat(g.picked, array(z.i))), g), g -> g.picked)""",
+      _let("n", "transform(k, (x, i) -> x + if(array_contains(p, i), 1L, 0L))",
+           "named_struct('a', n, 'cuts', concat(acc.cuts, array(n)))")))},
+  acc -> acc.cuts)
+"""
 
 
 def _window(i: str, j: str) -> str:
-    """SQL: block ``j`` of source ``i`` as (due, free, i, j)."""
+    """SQL: block ``j`` of source ``i`` as (due, free, i, j, at) in the stretch up to ``upto``, where sources have ``last``."""
     return f"""
-      if({j} < s[{i}].n,
-         named_struct('due', {_edge(i, f"{j} + 1", f"s[{i}].w - 1")}, 'free', {_edge(i, j, "0L")}, 'i', {i}, 'j', {j}),
-         named_struct('due', {NEVER}L, 'free', {NEVER}L, 'i', {i}, 'j', {j}))"""
+      if({j} < last[{i}],
+         named_struct('due', least(upto, {_end(i, j)}), 'free', {_begin(i, j)}, 'i', {i}, 'j', {j}, 'at', 0L),
+         named_struct('due', {NEVER}L, 'free', {NEVER}L, 'i', {i}, 'j', {j}, 'at', 0L))"""
 
 
-#: Earliest deadline first from slot ``at`` to ``upto``: ``next`` holds the next block of each source.
-_EDF_FROM = f"""
+#: Earliest deadline first from slot ``low0`` to ``upto``: ``next`` holds the next block of each source, ``at`` a block's first row.
+_EDF = f"""
 aggregate(
-  sequence(at, greatest(at, upto - 1), {SLOTS_PER_LIST}L),
-  named_struct('next', next, 'lists', cast(array() as array<array<struct<due:bigint,free:bigint,i:int,j:bigint>>>)),
+  sequence(low0, greatest(low0, upto - 1), {SLOTS_PER_LIST}L),
+  named_struct('next', transform(first, (x, i) -> {_window("i", "x")}),
+               'rows', low0 * block_rows - aggregate(zip_with(s, first, (x, y) -> if(x.n = y, x.lack, 0L)), 0L, (e, x) -> e + x),
+               'lists', cast(array() as array<array<{_PICK}>>)),
   (acc, low) -> aggregate(
     array(aggregate(
       sequence(low, least(low + {SLOTS_PER_LIST}L, upto) - 1),
-      named_struct('next', acc.next, 'picks', cast(array() as array<struct<due:bigint,free:bigint,i:int,j:bigint>>)),
+      named_struct('next', acc.next, 'rows', acc.rows, 'picks', cast(array() as array<{_PICK}>)),
       (a, t) -> aggregate(
         array(array_min(filter(a.next, z -> z.free <= t))),
         a,
         (b, p) -> named_struct(
           'next', transform(b.next, z -> if(z.i = p.i, {_window("z.i", "z.j + 1")}, z)),
-          'picks', concat(b.picks, array(p)))))),
+          'rows', b.rows + block_rows - if(p.j + 1 = s[p.i].n, s[p.i].lack, 0L),
+          'picks', concat(b.picks, array(named_struct('due', {_end("p.i", "p.j")}, 'free', p.free, 'i', p.i, 'j', p.j, 'at', b.rows))))))),
     acc,
-    (a, x) -> named_struct('next', x.next, 'lists', concat(a.lists, array(x.picks)))))
+    (a, x) -> named_struct('next', x.next, 'rows', x.rows, 'lists', concat(a.lists, array(x.picks)))),
+  acc -> acc.lists)
 """
 
 
@@ -134,170 +178,77 @@ def source_weights(docs: DataFrame, source_col: str = "source", weights: dict[st
     )
 
 
-def block_schedule(sources: DataFrame, slots_per_job: int = SLOTS_PER_JOB) -> DataFrame:
-    """The slot of every block of ``source_weights``: (idx, block, release, deadline, slot)."""
-    plan = sources.agg(F.sort_array(F.collect_list(
-        F.struct("idx", F.col("n_blocks").alias("n"), "w"))).alias("s"))
-    n_blocks = sources.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
-    state = plan.withColumn("next", F.expr(f"transform(s, x -> {_window('x.idx', '0L')})"))
-    parts = []
-    for at in range(0, max(1, n_blocks), slots_per_job):
-        upto = min(at + slots_per_job, n_blocks)
-        made = state.select("s", F.lit(at).cast("long").alias("at"), F.lit(upto).cast("long").alias("upto"), "next").where(
-            "at < upto").select("s", "at", F.expr(_EDF_FROM).alias("out"))
-        made = materialise(made.select("s", "at", "out.next", "out.lists"), "mix-slots")
-        parts.append(made.select("at", F.posexplode("lists").alias("list", "picks")))
-        state = made
-    lists = parts[0]
-    for part in parts[1:]:
-        lists = lists.unionByName(part)
-    picks = lists.select("at", "list", F.posexplode("picks").alias("place", "p"))
-    return materialise(picks.select(
-        F.col("p.i").alias("idx"), F.col("p.j").alias("block"), F.col("p.free").alias("release"), F.col("p.due").alias("deadline"),
-        (F.col("at") + F.col("list") * F.lit(SLOTS_PER_LIST) + F.col("place")).cast("long").alias("slot")), "mix-schedule")
-
+def block_schedule(sources: DataFrame, block_rows: int, slots_per_stretch: int = SLOTS_PER_STRETCH,
+                   stretches: int = STRETCHES) -> DataFrame:
+    """The slot of every block of ``source_weights``: (idx, block, release, deadline, slot, first_row).
 
-def source_quotas(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None,
-                  temperature: float = 0.5, period: int = 200, block_rows: int = 4) -> DataFrame:
-    """A row for each source: (source_key, idx, n_rows, n_blocks, weight, quota).
-
-    Weights are the given ones (a source without one gets 0 and so the least
-    quota), or the source's row count to the power ``temperature``.  A null
-    source is the source ''.
+    ``first_row`` is the place of the block's first row among all rows.
     """
-    every = Window.partitionBy(F.lit(0))
-    spare = F.greatest(F.lit(period) - F.count(F.lit(1)).over(every), F.lit(0))
-    total = F.sum("weight").over(every)
-    return (
-        _source_counts(docs, source_col, weights, temperature)
-        .withColumn("share", F.when(total > 0, F.col("weight") / total).otherwise(F.lit(0.0)) * spare)
-        .withColumn("left", F.when(total > 0, spare).otherwise(F.lit(0)) - F.sum(F.floor("share")).over(every))
-        .withColumn("place", F.row_number().over(every.orderBy((F.floor("share") - F.col("share")), "source_key")))
-        .withColumn("quota", (1 + F.floor("share") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long"))
-        .withColumn("idx", F.row_number().over(every.orderBy("source_key")) - 1)
-        .select("source_key", "idx", "n_rows",
-                F.ceil(F.col("n_rows") / block_rows).cast("long").alias("n_blocks"), "weight", "quota")
-    )
-
-
-def period_schedules(quotas: DataFrame) -> DataFrame:
-    """Slots of each different period: a row for each of its blocks.
-
-    (first_period, first_slot, len, idx, j, quota_now, slot_in): the schedule
-    holds from ``first_period`` up to the next one.
-    """
-    plan = quotas.agg(F.sort_array(F.collect_list(F.struct("idx", "n_blocks", "quota"))).alias("s"))
-    periods = (
-        plan.withColumn("first_period", F.explode(F.expr(
-            "array_distinct(flatten(transform(s, x -> array(0L, x.n_blocks div x.quota, x.n_blocks div x.quota + 1))))")))
-        .withColumn("q", F.expr("transform(s, x -> greatest(0L, least(x.quota, x.n_blocks - first_period * x.quota)))"))
-        .withColumn("ids", F.expr("transform(s, x -> x.idx)"))
-        .withColumn("len", F.expr("aggregate(q, 0L, (a, x) -> a + x)"))
-        .where("len > 0")
-        .withColumn("first_slot", F.expr("aggregate(s, 0L, (a, x) -> a + least(x.n_blocks, first_period * x.quota))"))
-    )
-    turn = Window.partitionBy("first_period", "idx").orderBy("slot_in")
-    return (
-        periods.repartition(F.col("first_period")).withColumn("picks", F.expr(_EDF))
-        .select("first_period", "first_slot", "len", "q", F.posexplode("picks").alias("slot_in", "idx"))
-        .withColumn("j", F.row_number().over(turn).cast("long") - 1)
-        .select("first_period", "first_slot", "len", "idx", "j", F.expr("q[idx]").alias("quota_now"),
-                F.col("slot_in").cast("long"))
-    )
-
-
-def _by_weight(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, block_rows: int):
-    """As ``_by_quota``, from the weights themselves."""
-    table = materialise(source_weights(docs, source_col, weights, temperature, block_rows), "mix-weights")
-    schedule = block_schedule(table).select(
-        "idx", F.col("block").alias("_mix_block"), F.col("release").alias("_mix_release"),
-        F.col("deadline").alias("_mix_deadline"), F.col("slot").alias("_mix_slot"))
-    n_rows, n_sources = table.agg(F.sum("n_rows"), F.count(F.lit(1))).first()
-
-    def placed(blocks: DataFrame) -> DataFrame:
-        return blocks.join(schedule, ["idx", "_mix_block"])
-
-    # The last block of a source may be short: what it lacks moves all later rows up.
-    last = placed(table.withColumn("_mix_block", F.col("n_blocks") - 1))
-    lacks = F.struct(F.col("_mix_slot").alias("slot"), (F.col("n_blocks") * block_rows - F.col("n_rows")).alias("lack"))
-    sources = materialise(
-        last.withColumn("_mix_lacks", F.collect_list(lacks).over(Window.partitionBy(F.lit(0))))
-        .select(F.col("source_key").alias("_mix_source"), "idx", F.col("weight").alias("_mix_weight"), "_mix_lacks"),
-        "mix-sources")
-    return sources, n_rows, n_sources, placed
-
-
-def _by_quota(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, period: int,
-              block_rows: int):
-    """Sources by ``_mix_source``, numbers of rows and sources, and the function that adds the slot to rows with a block."""
-    quotas = materialise(source_quotas(docs, source_col, weights, temperature, period, block_rows), "mix-quotas")
-    schedule = materialise(period_schedules(quotas), "mix-schedule")
-    n_rows, n_sources = quotas.agg(F.sum("n_rows"), F.count(F.lit(1))).first()
-    starts = schedule.groupBy().agg(F.sort_array(F.collect_set("first_period")).alias("starts")).first()
-    starts = F.array(*[F.lit(x).cast("long") for x in (starts.starts if starts else [])])
-
-    def placed(blocks: DataFrame) -> DataFrame:
-        """Adds the slot to rows with idx, quota and block."""
-        rows = (
-            blocks.withColumn("_mix_period", F.expr("_mix_block div _mix_quota"))
-            .withColumn("j", F.expr("_mix_block % _mix_quota"))
-            .withColumn("first_period", F.array_max(F.filter(F.col("_mix_starts"), lambda b: b <= F.col("_mix_period"))))
-        )
-        table = F.broadcast(schedule) if n_sources * (2 * n_sources + 1) * period <= BROADCAST_ROWS * 10 else schedule
-        base = F.col("first_slot") + (F.col("_mix_period") - F.col("first_period")) * F.col("len")
-        return (
-            rows.join(table, ["first_period", "idx", "j"])
-            .withColumn("_mix_release", base + F.expr("(j * len) div quota_now"))
-            .withColumn("_mix_deadline", base + F.expr("((j + 1) * len + quota_now - 1) div quota_now"))
-            .withColumn("_mix_slot", base + F.col("slot_in"))
-            .drop("first_slot", "len", "slot_in", "quota_now", "first_period", "idx", "j", "_mix_period")
-        )
-
-    # The last block of a source may be short: what it lacks moves all later rows up.
-    last = placed(quotas.select("source_key", "idx", (F.col("n_blocks") - 1).alias("_mix_block"), "n_rows", "n_blocks",
-                                F.col("quota").alias("_mix_quota"), starts.alias("_mix_starts")))
-    lacks = F.struct(F.col("_mix_slot").alias("slot"), (F.col("n_blocks") * block_rows - F.col("n_rows")).alias("lack"))
-    sources = materialise(
-        last.withColumn("_mix_lacks", F.collect_list(lacks).over(Window.partitionBy(F.lit(0))))
-        .join(quotas.select("source_key", "idx"), "source_key")
-        .select(F.col("source_key").alias("_mix_source"), F.col("idx"), "_mix_quota", "_mix_lacks", "_mix_starts"),
-        "mix-sources")
-    return sources, n_rows, n_sources, placed
+    total = sources.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
+    per = max(slots_per_stretch, -(-total // stretches))
+    plan = materialise(sources.agg(
+        F.sort_array(F.collect_list(F.struct(
+            "idx", F.col("n_blocks").alias("n"), "w", (F.col("n_blocks") * block_rows - F.col("n_rows")).alias("lack")))).alias("s"),
+        F.coalesce(F.sum("n_blocks"), F.lit(0)).cast("long").alias("total")), "mix-sources")
+    fin = _edge("x.idx", "x.n", "s[x.idx].w - 1")  # when the source has received all of its blocks
+    plan = materialise(plan.withColumn("s", F.expr(
+        f"transform(s, x -> named_struct('idx', x.idx, 'n', x.n, 'w', x.w, 'lack', x.lack, 'fin', {fin}))")), "mix-sources")
+    parts = max(1, min(-(-total // per), 10_000))
+    ends = plan.where("total > 0").select("s", "total", F.explode(F.expr(f"sequence(0L, total - 1, {per}L)")).alias("t0")).select(
+        "s", "t0", F.expr(f"least(t0 + {per}L, total)").alias("t1")).repartition(parts, "t0")
+    stretches = materialise(ends.select("s", "t0", "t1", F.expr(_STRETCH).alias("h")), "mix-stretches")
+    chain = materialise(
+        stretches.agg(
+            F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("t1", "t0", "h.full", "h.under_way", "h.room"))).alias("stretches"))
+        .where("size(stretches) > 0").select("s", "stretches", F.expr(_CUTS).alias("cuts")), "mix-cuts")
+    cuts = chain.select("s", "cuts", F.posexplode("stretches").alias("i", "h")).select(
+        "s", F.col("h.t0").alias("low0"), F.col("h.t1").alias("upto"), F.expr("cuts[i]").alias("first"), F.expr("cuts[i + 1]").alias("last"))
+    lists = cuts.repartition(parts, "low0").withColumn("block_rows", F.lit(block_rows).cast("long")).select(
+        "low0", F.posexplode(F.expr(_EDF)).alias("list", "picks"))
+    return materialise(lists.select("low0", "list", F.posexplode("picks").alias("place", "p")).select(
+        F.col("p.i").alias("idx"), F.col("p.j").alias("block"), F.col("p.free").alias("release"), F.col("p.due").alias("deadline"),
+        (F.col("low0") + F.col("list") * F.lit(SLOTS_PER_LIST) + F.col("place")).cast("long").alias("slot"),
+        F.col("p.at").alias("first_row")), "mix-schedule")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5,
-                period: int | None = None, block_rows: int = 4, id_col: str = "doc_id",
-                source_col: str = "source") -> DataFrame:
+                block_rows: int = 4, source_col: str = "source") -> DataFrame:
     """``docs`` with ``_mix``: struct (block, weight, release, deadline, slot, position).
 
-    With ``period`` the schedule follows quotas per period, and ``quota`` takes
-    the place of ``weight``.  ``position`` numbers all rows from 0 in the mixed order.  Within a source
-    the order is by a hash of the id.  All rows and columns stay (a null or
-    repeated id, a null source and empty texts need no care); an empty table
-    gives no rows.  Column names that begin with ``_mix`` are reserved.
-    ``docs`` is read twice; pass a table, not a long computation.
+    ``position`` numbers all rows from 0 in the mixed order.  Within a source
+    the order is by a hash of the row, so a null or repeated id needs no care;
+    a null source is the source ''.  All rows and columns stay, whatever their
+    names (but for a column ``_mix``, which is replaced); an empty table gives
+    no rows.  Rows alike in all columns go to one task.  ``docs`` is read
+    three times; pass a table, not a long computation.
     """
-    if period is None:
-        sources, n_rows, n_sources, placed = _by_weight(docs, source_col, weights, temperature, block_rows)
-        share = F.col("_mix_weight").alias("weight")
-    else:
-        sources, n_rows, n_sources, placed = _by_quota(docs, source_col, weights, temperature, period, block_rows)
-        share = F.col("_mix_quota").alias("quota")
-    keyed = docs.withColumn("_mix_source", F.coalesce(source_col, F.lit(""))).withColumn("_mix_id", F.col(id_col))
-    numbered = number_within(keyed, ["_mix_source"], ["_mix_id"], "_mix_row", 1 + (n_rows or 0) // ROWS_PER_BUCKET)
-    own = docs.columns
-    packed = numbered.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_mix_doc"), "_mix_source", "_mix_row",
-        F.floor(F.col("_mix_row") / block_rows).alias("_mix_block"))
-    mixed = placed(packed.join(F.broadcast(sources) if n_sources <= 1000 else sources, "_mix_source"))
-    position = F.expr(
-        f"_mix_slot * {block_rows} + _mix_row % {block_rows}"
-        " - aggregate(_mix_lacks, 0L, (a, x) -> a + if(x.slot < _mix_slot, x.lack, 0L))")
-    return mixed.select(
-        *[F.col(f"_mix_doc.`{c}`").alias(c) for c in own],
-        F.struct(F.col("_mix_block").alias("block"), share,
-                 F.col("_mix_release").alias("release"), F.col("_mix_deadline").alias("deadline"),
-                 F.col("_mix_slot").alias("slot"), position.alias("position")).alias("_mix"))
+    own = [c for c in docs.columns if c != "_mix"]
+    hashed = [F.col(f"`{c}`") for c in own if not isinstance(docs.schema[c].dataType, MapType | VariantType)]
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"),
+        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("key"), F.xxhash64(*hashed).alias("h"))
+    table = materialise(source_weights(docs, source_col, weights, temperature, block_rows), "mix-weights")
+    n_rows, n_sources = table.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = 1 + n_rows // ROWS_PER_BUCKET
+    keyed = keyed.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    named = table.select(F.col("source_key").alias("key"), "idx", "weight")
+    starts = starts.join(F.broadcast(named) if n_sources <= 10_000 else named, "key")
+    first, last = F.expr(f"start div {block_rows}"), F.expr(f"(start + n - 1) div {block_rows}")
+    # A row for each block of a bucket; a bucket's blocks are some thousand.
+    blocks = starts.select("key", "bucket", "start", "idx", "weight", F.explode(F.sequence(first, last)).alias("block"))
+    places = materialise(
+        blocks.join(block_schedule(table, block_rows), ["idx", "block"]).groupBy("key", "bucket", "start", "weight").agg(
+            F.sort_array(F.collect_list(F.struct("block", "release", "deadline", "slot", "first_row"))).alias("blocks")), "mix-places")
+    rank = F.row_number().over(Window.partitionBy("key", "bucket").orderBy("h"))
+    at = F.expr(f"blocks[cast((start + r - 1) div {block_rows} - start div {block_rows} as int)]")
+    placed = keyed.withColumn("r", rank).join(places, ["key", "bucket"]).withColumn("at", at)
+    return placed.select(
+        *[F.col("own").getField(c).alias(c) for c in own],
+        F.struct(F.col("at.block").alias("block"), "weight", F.col("at.release").alias("release"), F.col("at.deadline").alias("deadline"),
+                 F.col("at.slot").alias("slot"), F.expr(f"at.first_row + (start + r - 1) % {block_rows}").alias("position")).alias("_mix"))
 
 
 def mixed_order(docs: DataFrame, **how) -> DataFrame:
@@ -308,10 +259,10 @@ def mixed_order(docs: DataFrame, **how) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = -(-max(1, docs.count()) // parts)
+    mixed = mix_sources(docs, **how)
     return (
-        mix_sources(docs, **how)
-        .repartitionById(parts, F.expr(f"cast(_mix.position div {rows} as int)"))
-        .sortWithinPartitions("_mix.position").drop("_mix")
+        mixed.repartitionById(parts, F.expr(f"cast(_mix.position div {rows} as int)"))
+        .sortWithinPartitions("_mix.position").select([F.col(f"`{c}`") for c in mixed.columns if c != "_mix"])
     )
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dropledger.llm.catalog import query
@@ -128,10 +128,15 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
-                 capacity: int = CAPACITY) -> DataFrame:
-    """(_row, id_col, piece, start, length, ids_crc32) of every piece; ``_row`` numbers the pieces uniquely."""
-    narrow = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(F.col(f"`{text_col}`")).alias("_text"))
+                 capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
+    """(_row, id_col, piece, start, length, ids_crc32) of every piece; ``_row`` numbers the pieces uniquely.
+
+    With ``order``, a string for each document, the pieces have it as ``_order``.
+    """
+    narrow = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(F.col(f"`{text_col}`")).alias("_text"),
+                         *([] if order is None else [order.alias("_order")]))
     id_type = narrow.schema["_id"].dataType.simpleString()
+    more, more_type = ([], "") if order is None else (["_order"], ", _order string")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,12 +160,13 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, id_col: str =
             docs_, number, start, length, crc = (np.array(c, np.int64) for c in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(len(docs_))), batch.column("_id").take(pa.array(docs_)),
-                 pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)],
-                names=["_row", "_id", "piece", "start", "length", "ids_crc32"])
+                 pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc),
+                 *(batch.column(c).take(pa.array(docs_)) for c in more)],
+                names=["_row", "_id", "piece", "start", "length", "ids_crc32", *more])
             row += len(docs_)
 
     return narrow.mapInArrow(
-        pieces, f"_row long, _id {id_type}, piece int, start long, length long, ids_crc32 long"
+        pieces, f"_row long, _id {id_type}, piece int, start long, length long, ids_crc32 long{more_type}"
     ).withColumnRenamed("_id", id_col)
 
 
@@ -216,7 +222,7 @@ def _packed(part: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def _pack_round(items: DataFrame, n_items: int, number: int, capacity: int) -> DataFrame:
-    """One best-fit-decreasing pass over ``items`` (_row, length), dealt in turn by length."""
+    """One best-fit-decreasing pass over ``items`` (_row, length), dealt in turn by length, or by ``_order`` if they have it."""
     parts = max(1, -(-n_items // PIECES_PER_TASK))
     schema = "_row long, length long, part long, bin long, offset long, loose boolean, bins long, bound long"
     shorter = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)  # a row for each length
@@ -227,13 +233,19 @@ def _pack_round(items: DataFrame, n_items: int, number: int, capacity: int) -> D
         .join(F.broadcast(starts), "length")
         .select("_row", "length", F.pmod(F.col("start") + F.col("place"), F.lit(parts)).cast("long").alias("part"))
     )
+    if "_order" in items.columns:
+        dealt = items.repartitionByRange(parts, "_order").select("_row", "length", F.spark_partition_id().cast("long").alias("part"))
     packed = dealt.groupBy("part").applyInPandas(lambda part: _packed(part, capacity), schema)
     return materialise(packed.withColumn("round", F.lit(number)), f"pack-round-{number}")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """(_row, sequence_id, offset, round, part_bins, part_bound) for pieces (_row, length)."""
-    items = pieces.where(F.col("length") < capacity).select("_row", "length")
+    """(_row, sequence_id, offset, round, part_bins, part_bound) for pieces (_row, length).
+
+    Pieces with ``_order`` are packed in runs of it, so that a sequence has
+    pieces from one run (but for the few bins that are exchanged).
+    """
+    items = pieces.where(F.col("length") < capacity).select(*[c for c in ("_row", "length", "_order") if c in pieces.columns])
     packed = _pack_round(items, items.count(), 0, capacity)
     swaps = (F.col("bins") > F.col("bound")) & F.col("loose")
     for number in range(1, rounds + 1):
@@ -259,9 +271,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUND
 
 
 def pack_documents(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None,
-                   id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+                   order: Column | None = None) -> DataFrame:
     """A row for each piece of each document with its place in a sequence.
 
+    With ``order``, a string column of ``docs``, documents are packed in runs
+    of it and sequence ids follow the least ``order`` of their pieces.
+
     A null text counts as empty, and an empty document is its end id alone.
     Repeated rows and null ids stay, each with pieces of its own; other
     columns aren't read; an empty table gives no rows.
@@ -272,8 +288,18 @@ def pack_documents(docs: DataFrame, json_path: str | None = None, ranks_path: st
 
         json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
         ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = materialise(token_pieces(docs, json_path, ranks_path, id_col, text_col, capacity), "pack-pieces")
-    return pieces.join(pack_pieces(pieces, capacity), "_row").drop("_row")
+    pieces = materialise(token_pieces(docs, json_path, ranks_path, id_col, text_col, capacity, order), "pack-pieces")
+    packed = pieces.join(pack_pieces(pieces, capacity), "_row").drop("_row")
+    return packed if order is None else _in_order(materialise(packed, "pack-placed"))
+
+
+def _in_order(packed: DataFrame) -> DataFrame:
+    """``sequence_id`` anew, rising with the least (_order, piece) of a sequence."""
+    least = packed.groupBy("sequence_id").agg(F.min(F.struct("_order", "piece")).alias("least"))
+    numbers = materialise(
+        least.repartitionByRange("least").sortWithinPartitions("least")
+        .select("sequence_id", F.monotonically_increasing_id().alias("_number")), "pack-numbers")
+    return packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("_number")).drop("_number", "_order")
 
 
 @query("op8_best_fit_packing")

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -9,67 +8,10 @@ import pytest
 from dropledger.llm import mixing as M
 
 
-def brute_schedule(counts, quotas, block_rows):
-    """Slots of all blocks by simulating every period: [(source, block, release, deadline)] in slot order."""
-    blocks = {s: math.ceil(n / block_rows) for s, n in counts.items()}
-    out, period = [], 0
-    while any(blocks[s] > period * quotas[s] for s in counts):
-        now = {s: max(0, min(quotas[s], blocks[s] - period * quotas[s])) for s in sorted(counts)}
-        length, given, base = sum(now.values()), Counter(), len(out)
-        for t in range(length):
-            ready = [(-(-(given[s] + 1) * length // q), given[s] * length // q, s) for s, q in now.items()
-                     if given[s] < q and given[s] * length // q <= t]
-            due, _, s = min(ready)
-            assert t < due
-            out.append((s, period * quotas[s] + given[s], base + given[s] * length // now[s], base + due))
-            given[s] += 1
-        period += 1
-    return out
-
-
-def check(spark, sizes, **how):
-    docs = [(i, s) for s, n in sizes.items() for i in range(1000 * len(s or ""), 1000 * len(s or "") + n)]
-    df = spark.createDataFrame([(i, s, "x") for i, s in docs], "doc_id long, source string, slot string")
-    quotas = {r.source_key: r.quota for r in M.source_quotas(df, **how).collect()}
-    got = [(r.source or "", r.doc_id, *r["_mix"]) for r in M.mix_sources(df, **how).collect()]
-    block_rows = how["block_rows"]
-    counts = Counter(s or "" for _, s in docs)
-    want = brute_schedule(counts, quotas, block_rows)
-    assert Counter((s, i) for s, i, *_ in got) == Counter((s or "", i) for i, s in docs)
-    by_slot = defaultdict(set)
-    for s, _, block, quota, release, deadline, slot, _ in got:
-        assert quota == quotas[s]
-        by_slot[slot].add((s, block, release, deadline))
-    assert [by_slot[k] for k in range(len(want))] == [{w} for w in want] and len(by_slot) == len(want)
-    got.sort(key=lambda r: r[-1])
-    assert [r[-1] for r in got] == list(range(len(docs)))
-    assert [r[6] for r in got] == sorted(r[6] for r in got)
-    return quotas, want
-
-
-def test_slots_equal_simulation_and_deviate_by_less_than_a_block(spark):
-    check(spark, {"a": 400, "bb": 100, "ccc": 37, "dddd": 1, None: 5}, block_rows=3, period=20)
-    whole = {"a": 400, "bb": 400, "ccc": 400}
-    quotas, want = check(spark, whole, block_rows=2, period=30, weights={"a": 5, "bb": 3, "ccc": 1.7})
-    length, given = sum(quotas.values()), Counter()
-    for t, (s, *_) in enumerate(want[:2 * length], 1):
-        given[s] += 1
-        assert all(abs(given[x] - t * q / length) < 1 for x, q in quotas.items())
-
-
-@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 7, "bb": 7}, {None: 3, "a": 90}])
-def test_small_tables(spark, sizes):
-    check(spark, sizes, block_rows=4, period=10)
-
-
-def test_more_sources_than_slots(spark):
-    check(spark, {"s" * n: n for n in range(1, 15)}, block_rows=2, period=5)
-
-
-def test_quotas(spark):
-    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)], "doc_id long, source string")
-    quotas = {r.source_key: r.quota for r in M.source_quotas(df, weights={"a": 2, "b": 1}, period=10).collect()}
-    assert quotas == {"a": 6, "b": 3, "c": 1} and sum(quotas.values()) == 10
+@pytest.fixture(autouse=True)
+def short_stretches(monkeypatch):
+    """Cuts every 37 slots, so that stretches meet in all tests."""
+    monkeypatch.setattr(M.block_schedule, "__defaults__", (37, M.STRETCHES))
 
 
 def test_order_and_empty_table(spark):
@@ -125,11 +67,36 @@ def test_deviation_from_target_weights_with_more_than_200_sources(spark):
     assert deviations(spark, sizes, dict.fromkeys(sizes, 1.0) | {"big": 230.0}) < 1.001
 
 
-def test_schedule_goes_on_in_the_next_job(spark):
-    df = spark.createDataFrame([(i, "abc"[i % 7 % 3]) for i in range(1500)], "doc_id long, source string")
-    table = M.materialise(M.source_weights(df, block_rows=1), "test-weights")
-    whole = {tuple(r) for r in M.block_schedule(table).collect()}
-    assert len(whole) == 1500 and whole == {tuple(r) for r in M.block_schedule(table, slots_per_job=600).collect()}
+def test_one_stretch_or_many_meet_all_windows(spark):
+    """The counts at the cuts differ from those of one stretch now and then, the windows never."""
+    df = spark.createDataFrame([(i, "abcde"[i % 11 % 5]) for i in range(1500)], "doc_id long, source string")
+    table = M.materialise(M.source_weights(df, weights={"a": 5.1, "b": 3, "c": 1.7, "d": 0.3, "e": 0.01}, block_rows=1), "test-weights")
+    windows = None
+    for per, most in ((10_000, 10), (600, 10), (50, 4096), (1, 25), (7, 4096)):
+        got = M.block_schedule(table, 1, per, most).collect()
+        assert sorted(r.slot for r in got) == list(range(1500)) and all(r.release <= r.slot < r.deadline for r in got)
+        assert all(r.first_row == r.slot for r in got)
+        assert windows in (None, windows := sorted((r.idx, r.block, r.release, r.deadline) for r in got))
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 7, "b": 7}, {"a": 3, "b": 90}, {"s" * n: n for n in range(1, 15)}])
+def test_small_tables(spark, sizes):
+    assert deviations(spark, sizes, dict.fromkeys(sizes, 1.0) | {"a": 2.5}, block_rows=3) < 1.001
+
+
+def test_names_that_the_operator_uses(spark):
+    names = ("own", "key", "h", "bucket", "_bucket", "_rank", "r", "at", "start", "blocks", "idx", "weight", "_mix_slot", "a.b")
+    rows = [(i, f"s{i % 3}", *[f"{c} of {i}" for c in names]) for i in range(60)]
+    rows += [(None, None, *["null"] * len(names))] * 3
+    df = spark.createDataFrame(rows, ["doc_id", "source", *names])
+    for out in (M.mix_sources(df).drop("_mix"), M.mixed_order(df)):
+        assert out.columns == df.columns
+        assert Counter(map(tuple, out.collect())) == Counter(rows)
+
+
+def test_repeated_ids_are_dealt_by_their_rows(spark):
+    df = spark.createDataFrame([(7 if i % 2 else None, "s", f"text {i}") for i in range(500)], "doc_id long, source string, text string")
+    assert sorted(r.position for r in M.mix_sources(df).select("_mix.position").collect()) == list(range(500))
 
 
 def test_source_without_weight_comes_last(spark):

@@ -93,6 +93,18 @@ def test_stages_equal_brute_force(spark, tmp_dir):
         pieces.update((i, p, s, n, zlib.crc32(ids[s:s + n].tobytes())) for p, (s, n) in enumerate(packing.cut(len(ids))))
     rows = seen[4].collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == pieces
+    # Sequences follow the mixed order: their first documents are those of a rising place.
+    laid = [(r.doc_id, r.text) for f in sorted(os.listdir(f"{tmp_dir}/source_mixing")) if f.endswith(".parquet")
+            for r in spark.read.parquet(f"{tmp_dir}/source_mixing/{f}").collect()]
+    place = {}
+    for k, (i, _) in enumerate(laid):
+        place.setdefault(i, k)
+    firsts = defaultdict(list)
+    for r in rows:
+        if Counter(i for i, _ in laid)[r.doc_id] == 1:
+            firsts[r.sequence_id].append(place[r.doc_id])
+    order = [min(firsts[q]) for q in sorted(firsts)]
+    assert len(order) > 20 and order == sorted(order)
     whole = corpus_pipeline.run(spark, tmp_dir)
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows)
 
@@ -105,9 +117,26 @@ def test_stages_take_an_empty_table(spark, tmp_dir):
         assert table.count() == 0
 
 
+def test_source_shares_follow_the_targets_along_the_sequences(spark, tmp_dir, monkeypatch):
+    """Packing runs of few pieces: any first part of the sequences has the shares of the mixed order, not of the table."""
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 60)
+    docs = [(i, f"w{i} " * 120, "en", "big" if i < 900 else "small", 0) for i in range(1000)]
+    spark.createDataFrame(docs, SCHEMA).repartition(3).write.parquet(f"{tmp_dir}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_dir}/documents.parquet")
+    shares = []
+    for stage in (corpus_pipeline.source_mixing, lambda spark, docs, sf_dir: docs):
+        out = f"{tmp_dir}/mixed{len(shares)}"
+        stage(spark, table, tmp_dir).write.parquet(out)
+        rows = corpus_pipeline.best_fit_packing(spark, spark.read.parquet(out), tmp_dir).collect()
+        begun = sorted(rows, key=lambda r: r.sequence_id)[:len(rows) * 3 // 10]
+        shares.append(sum(r.doc_id >= 900 for r in begun) / len(begun))
+    # Weights are the roots of 900 and 100: a quarter, until the small source ends with 400 of 1000 documents.
+    assert 0.22 < shares[0] < 0.28 and shares[1] < 0.2
+
+
 def test_all_queries_are_registered():
     queries, sql = catalog.load()
-    assert sorted(int(k[2:].split("_")[0]) for k in queries if k.startswith("op")) == list(range(1, 11)) and "pipeline" in queries
+    assert sorted(int(k[2:].split("_")[0]) for k in queries if k.startswith("op")) == list(range(1, 14)) and "pipeline" in queries
     assert {"op2_secret_scans", "op5_url_filters", "op6_warc", "op7_quality_rules"} <= set(sql) <= set(queries)
 
 

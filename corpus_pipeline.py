@@ -7,7 +7,8 @@ before kept.  The first four return the columns of documents:
 2. near-duplicates: of each component the document with the smallest id stays;
 3. secret scans: each secret in a text becomes ``[SECRET]``; documents stay;
 4. source mixing: rows are laid out in the mixed order; documents stay;
-5. packing: the pieces of all documents with their place in a sequence.
+5. packing: the pieces of all documents with their place in a sequence;
+   documents are packed in runs of the mixed order, and sequences numbered by it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dropledger.llm.common import materialise, read_table
+from dropledger.llm.common import materialise, read_table, stored_order
 from dropledger.llm.mixing import mixed_order
 from dropledger.llm.packing import pack_documents
 from dropledger.llm.quality import judge_quality
@@ -45,8 +46,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
-    return pack_documents(docs)
+    """Pieces of all documents, packed into sequences that follow the order in which the documents are stored."""
+    return pack_documents(docs, order=stored_order(docs))
 
 
 STAGES = [

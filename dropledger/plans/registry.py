@@ -31,6 +31,7 @@ def query(key: str, sql: str | None):
 def load_all() -> None:
     """Import every plan module so that their queries register."""
     from dropledger.plans import (  # noqa: F401
+        cache_plans,
         archive_plans,
         calendar_plans,
         catalog_plans,

@@ -78,6 +78,18 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, for Spark's writers (in any store)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and safe from lost executors."""
+    path = shared_uri(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

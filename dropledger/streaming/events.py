@@ -28,26 +28,15 @@ DEFAULT_INTERVAL_HOURS = 24
 
 # --- debounce (last value of each burst) ------------------------------------------
 
-def hour_bucket(ts: str) -> Column:
-    """Default bucket for per-key sequences: the hour of the event.
-
-    A key holding a third of a year's events at 100 TB still splits into
-    ~8,760 buckets of a few GB each, and the per-key window over bucket
-    summaries stays at one row per hour.
-    """
-    return F.date_trunc("hour", F.col(ts))
-
-
 def debounce(events: DataFrame, key: str, ts: str, value: str, gap_seconds: int,
-             tiebreak: str | None = None, bucket: Column | None = None) -> DataFrame:
+             tiebreak: str | None = None) -> DataFrame:
     """Batch debounce: per key, bursts separated by more than the gap; emit the last value.
 
     Output: key, session_start, session_end (= last event + gap, as Spark's
     ``session_window``), last value, event count.
     """
     order = [ts] + ([tiebreak] if tiebreak else [])
-    b = bucket if bucket is not None else hour_bucket(ts)
-    s = with_session_id(events, key, order, gap_seconds, b)
+    s = with_session_id(events, key, order, gap_seconds)
     seq = F.struct(*[F.col(c) for c in order])
     g = s.groupBy(key, "session_id").agg(
         F.min(ts).alias("session_start"), F.max(ts).alias("_last_ts"),
@@ -120,7 +109,7 @@ def throttle(requests: DataFrame, key: str, ts: str, tiebreak: str, forced: Colu
     interval is measured from the key's previous request.  Decision order:
     forced → run; auto off → no; no root → no; within interval → no;
     folder complete → no; else run."""
-    p = with_previous(requests.withColumn("_folder", folder), key, [ts, tiebreak], hour_bucket(ts), "_prev")
+    p = with_previous(requests.withColumn("_folder", folder), key, [ts, tiebreak], "_before").withColumnRenamed("_before", "_prev")
     return _decide(p, ts, forced, auto_enabled, has_root, complete_folders, interval_hours)
 
 

@@ -60,9 +60,11 @@ def test_listing_never_reads_content(spark, tmp_dir):
     assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in p
 
 
-def test_hot_key_sequence_is_split_by_bucket(spark):
+def test_hot_key_sequence_has_no_window_over_a_key(spark):
+    """Sequences are written by range; what follows is a partial aggregate by session, and windows over a row for each range."""
     p = plan(q(spark, "debounce_last"), "simple")
-    assert "Window" in p and "_bucket" in p
+    assert "partial_max_by" in p and "BroadcastHashJoin" in p
+    assert "windowspecdefinition(user_id" not in p and "windowspecdefinition(_part" in p
 
 
 def test_delete_aware_latest_fold_has_no_join(spark):

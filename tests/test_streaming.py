@@ -78,7 +78,7 @@ def test_throttle_clock_carries_across_batches(spark, tmp_dir):
     got = _run(spark, ev.throttle_stream_prev(stream, "user_id", "ts", "event_id", schema), tmp_dir, "append", "thr")
     assert len(got) >= 2
     streamed = {r["event_id"]: r["_prev"] for _, b in got for r in b}
-    batch = with_previous(base, "user_id", ["ts", "event_id"], F.to_date("ts"), "_prev")
+    batch = with_previous(base, "user_id", ["ts", "event_id"], "_before").withColumnRenamed("_before", "_prev")
     assert streamed == {r["event_id"]: r["_prev"] for r in batch.collect()}
 
 

@@ -32,6 +32,7 @@ def load_all() -> None:
     """Import every plan module so that their queries register."""
     from dropledger.plans import (  # noqa: F401
         cache_plans,
+        compare_plans,
         archive_plans,
         calendar_plans,
         catalog_plans,

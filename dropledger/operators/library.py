@@ -190,25 +190,43 @@ def first_links(pages: DataFrame, html: str, key_pattern: str, page_key: str = "
                         F.coalesce(F.nullif(F.trim(F.col("l.text")), F.lit("")), F.col("link_key")).alias("link_text"))
 
 
-#: Length of the pieces by which names are brought together.
-GRAM = 3
+#: Lengths of the pieces by which names are brought together; a name shorter than SHORT is its own piece.
+PIECES = (0, 1, 2, 3, 6, 12, 24)
+SHORT = 3
 
 
-def _grams(name: Column) -> Column:
-    """Distinct pieces of ``name`` of 0 to GRAM characters: any name that it contains begins with the longest that fits."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+def _pieces(name: Column, lengths: tuple[int, ...]) -> Column:
+    """Distinct pieces of ``name`` of the given lengths."""
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(name) - n + 1)
+        return F.when(F.length(name) >= n, F.transform(places, lambda i: F.substring(name, i, F.lit(n)))).otherwise(
+            F.expr("cast(array() as array<string>)"))
 
-    def pieces(n: int) -> Column:
-        return F.transform(places, lambda i: F.substring(name, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
 
-    return F.array_distinct(F.flatten(F.array(*map(pieces, range(GRAM + 1)))))
+
+def candidates(inner: DataFrame, outer: DataFrame, part: str, whole: str) -> DataFrame:
+    """Pairs of rows of which ``whole`` holds the rarest piece of ``part``.
+
+    A name contains another only if it has all of its pieces.  How many names
+    of ``outer`` have a piece is counted first, and each part goes by the
+    piece that the fewest have (a part with a piece that none has goes
+    nowhere); so a beginning that all names share brings nothing together.
+    """
+    held = outer.withColumn("_piece", F.explode(_pieces(F.col(whole), PIECES)))
+    counts = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length(part) < SHORT, F.array(part)).otherwise(_pieces(F.col(part), tuple(n for n in PIECES if n >= SHORT)))
+    rarity = F.struct(F.coalesce("_n", F.lit(0)), -F.length("_piece"), F.col("_piece"))
+    rarest = (
+        inner.select(part).distinct().withColumn("_piece", F.explode(own)).join(counts, "_piece", "left")
+        .groupBy(part).agg(F.min(rarity).alias("_r")).where("_r.col1 > 0").select(part, F.col("_r._piece").alias("_piece"))
+    )
+    return inner.join(rarest, part).join(held, "_piece").drop("_piece")
 
 
 def _contained(inner: DataFrame, outer: DataFrame, part: str, whole: str) -> DataFrame:
-    """Pairs where ``whole`` contains ``part``: an equi join on the part's first piece, then the exact test."""
-    a = inner.withColumn("_gram", F.substring(part, 1, GRAM))
-    b = outer.withColumn("_gram", F.explode(_grams(F.col(whole))))
-    return a.join(b, "_gram").filter(F.contains(F.col(whole), F.col(part))).drop("_gram")
+    """Pairs where ``whole`` contains ``part``."""
+    return candidates(inner, outer, part, whole).filter(F.contains(F.col(whole), F.col(part)))
 
 
 def match_links(targets: DataFrame, links: DataFrame) -> DataFrame:
@@ -216,8 +234,8 @@ def match_links(targets: DataFrame, links: DataFrame) -> DataFrame:
 
     Exact: equal ``filename_key`` (the last link wins on a duplicate key).
     Otherwise the first link (by ``pos``) whose display name contains the
-    target's, or is contained in it; candidates meet by equi joins on short
-    pieces of the names.  ``pos`` may be a struct, ordered field by field.
+    target's, or is contained in it; candidates meet by equi joins on the
+    rarest piece of the contained name.  ``pos`` may be a struct, ordered field by field.
     """
     exact = links.groupBy(F.col("filename_key").alias("_k")).agg(
         F.max_by(F.col("filename_key"), F.col("pos")).alias("_exact_key"))

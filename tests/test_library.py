@@ -151,3 +151,13 @@ def test_search_strips_full_width_blanks(spark):
     files = spark.createDataFrame([("東京都", 2026, 3), ("大阪", 2026, 3)], "display_name string, year int, month int")
     r = {x["display_name"]: x["file_visible"] for x in lib.search_tree(files, "　東京 ").collect()}
     assert r == {"東京都": True, "大阪": False}
+
+
+def test_a_common_beginning_brings_no_names_together(spark):
+    """20,000 names with one beginning: candidates stay within a few times the matches."""
+    names = [f"prefecture traffic count station {i:06d}" for i in range(20_000)]
+    inner = spark.createDataFrame([(n,) for n in names[::4]], "part string").repartition(4)
+    outer = spark.createDataFrame([(f"{n} east",) for n in names], "whole string").repartition(4)
+    pairs = lib.candidates(inner, outer, "part", "whole")
+    matches = pairs.filter(F.contains("whole", "part")).count()
+    assert matches == 5_000 and pairs.count() <= 5 * matches

@@ -301,18 +301,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     written in between: their fingerprints are computed again instead.
     """
     prepare(docs.sparkSession)
-    own = F.col(f"`{id_col}`")
-    printed = docs.withColumn("_fp", fingerprint(text_or_empty(F.col(f"`{text_col}`")), width))
-    prints = materialise(printed.select(own.alias("_id"), F.col("_fp").alias("fp")), "simhash-prints")
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    printed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), own.alias("_id"),
+        fingerprint(text_or_empty(text), width).alias("_fp"), F.coalesce(own.cast("string"), F.lit("")).alias("_key"),
+        own.isNull().alias("_none"))
+    prints = materialise(printed.select("_id", F.col("_fp").alias("fp")), "simhash-prints")
     keep = component_roots(prints, "_id").groupBy("root").agg(F.any_value("first").alias("first")).select(
         F.col("first.fp").alias("_fp"), F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("_key"),
         F.col("first.none").alias("_none"))
-    again = Window.partitionBy("_fp", "_key", "_none").orderBy(F.col(f"`{text_col}`"))
+    again = Window.partitionBy("_fp", "_key", "_none").orderBy(F.col("_own").getField(text_col))
     return (
-        printed.withColumn("_key", F.coalesce(own.cast("string"), F.lit(""))).withColumn("_none", own.isNull())
-        .join(keep, ["_fp", "_key", "_none"])
+        printed.drop("_id").join(keep, ["_fp", "_key", "_none"])
         .withColumn("_again", F.row_number().over(again)).where("_again = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*[F.col("_own").getField(c).alias(c) for c in docs.columns])
     )
 
 

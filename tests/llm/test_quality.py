@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from dropledger.llm import quality as Q
 
@@ -23,25 +24,45 @@ def brute_statistics(text):
             len(lines) - len(set(lines)), len(covered))
 
 
+def core_moments(x, weights):
+    mean = (weights[:, None] * x).sum(axis=0) / weights.sum()
+    d = x - mean
+    return mean, (weights[:, None, None] * d[:, :, None] * d[:, None, :]).sum(axis=0) / weights.sum()
+
+
+def brute_estimate(rows, steps=Q.STEPS):
+    """(mean, covariance, determinants of each start) by the same steps in numpy."""
+    x, floors, factor = np.array(rows, float), np.diag(np.array(Q.FLOORS, float) ** 2), Q.consistency(Q.CORE)
+    n, half = len(x), (len(x) + Q.P + 1) // 2
+    middle = lambda v: np.array([sorted(c)[(n - 1) // 2] for c in v.T])
+    origin = middle(x)
+    whole = core_moments(x, np.ones(n))
+    found, falls = [], []
+    for mean, cov in ((origin, floors), (origin, floors + np.diag((Q.SPREAD * middle(abs(x - origin))) ** 2)), (whole[0], whole[1] + floors)):
+        dets = [np.inf]
+        for _ in range(steps):
+            d = x - mean
+            bins = np.floor(Q.BINS * np.log1p(np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d)))
+            weights = np.array([np.clip((half - (bins < b).sum()) / (bins == b).sum(), 0, 1) for b in bins])
+            m, c = core_moments(x, weights)
+            c = c * factor + floors
+            if not np.linalg.det(c) < dets[-1] * (1 - Q.GAIN):
+                break
+            mean, cov = m, c
+            dets.append(np.linalg.det(c))
+        found.append((dets[-1], len(found), mean, cov))
+        falls.append(dets)
+    _, _, mean, cov = min(found, key=lambda f: f[:2])
+    return mean, cov, falls
+
+
 def brute_kept(groups):
-    """Verdict of each vector by the same estimate in numpy; groups: key -> array of rows."""
+    """Verdict of each vector; groups: key -> rows."""
     out = {}
-    limit, factor = Q.chi_square_quantile(Q.QUANTILE, Q.P), Q.consistency(Q.CORE)
     for key, rows in groups.items():
-        x = np.array(rows, float)
-        origin = np.array([sorted(c)[(len(c) - 1) // 2] for c in x.T])
-        mean, cov = origin, np.diag(np.array(Q.FLOORS, float) ** 2)
-
-        def distance(mean, cov, x=x):
-            d = x - mean
-            return np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d)
-        for _ in range(Q.STEPS):
-            bins = np.floor(Q.BINS * np.log1p(distance(mean, cov)))
-            before = np.array([(bins < b).sum() for b in bins])
-            core = x[before < Q.CORE * len(x)]
-            mean = core.mean(axis=0)
-            cov = np.cov(core.T, bias=True).reshape(Q.P, Q.P) * factor + np.diag(np.array(Q.FLOORS, float) ** 2)
-        out[key] = distance(mean, cov) <= limit
+        mean, cov, _ = brute_estimate(rows)
+        d = np.array(rows, float) - mean
+        out[key] = np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d) <= Q.chi_square_quantile(Q.QUANTILE, Q.P)
     return out
 
 
@@ -96,6 +117,60 @@ def test_verdicts_equal_brute_force(spark):
     assert {r.doc_id for r in got if not r._kept and not r._base_failed} == junk & long_enough
 
 
+def judged_vectors(spark, rows):
+    """Which of the vectors (as thousandths) of one group are kept."""
+    df = spark.createDataFrame([("en", "s", *map(int, r)) for r in rows], "_lang string, _source string, _v0 long, _v1 long, _v2 long, _v3 long")
+    est = Q.mcd_estimates(df).first()
+    mean = np.array([est[f"m{i}"] for i in range(Q.P)])
+    low = np.array([[est[f"c{i}{j}"] if j <= i else 0.0 for j in range(Q.P)] for i in range(Q.P)])
+    z = np.linalg.solve(low, (np.array(rows, float) - mean).T)
+    return (z ** 2).sum(axis=0) <= Q.chi_square_quantile(Q.QUANTILE, Q.P)
+
+
+def clean_rows(rng, n):
+    return np.column_stack([rng.normal(1600, 60, n), np.abs(rng.normal(0, 25, n)), np.zeros(n), np.zeros(n)]).round()
+
+
+@pytest.mark.parametrize("share", [0.2, 0.34, 0.45])
+@pytest.mark.parametrize("junk", [(2100, 900, 0, 0), (1600, 0, 0, 380), (1250, 300, 200, 0)])
+def test_copies_of_one_junk_text_are_rejected(spark, share, junk):
+    rng = np.random.default_rng(int(100 * share))
+    good, bad = clean_rows(rng, int(1000 * (1 - share))), np.tile(junk, (int(1000 * share), 1))
+    kept = judged_vectors(spark, np.vstack([good, bad]))
+    assert not kept[len(good):].any() and kept[:len(good)].mean() > 0.99
+
+
+@pytest.mark.parametrize("junk", [(2000, 0, 0, 0), (1600, 500, 0, 0), (1600, 0, 405, 0), (1600, 0, 0, 375)])
+def test_each_statistic_rejects_alone(spark, junk):
+    """Word length, symbols, half of the lines repeated, 50 of 110 words repeated: all others as usual."""
+    good = clean_rows(np.random.default_rng(1), 300)
+    kept = judged_vectors(spark, np.vstack([good, [junk]]))
+    assert not kept[-1] and kept[:-1].mean() > 0.99
+
+
+def test_determinants_fall_and_settle():
+    rng = np.random.default_rng(5)
+    for share in (0, 0.3, 0.45):
+        rows = np.vstack([clean_rows(rng, int(400 * (1 - share))), np.tile((2000, 700, 300, 300), (int(400 * share), 1))])
+        _, _, falls = brute_estimate(rows, 50)
+        assert all(a > b for dets in falls for a, b in zip(dets, dets[1:], strict=False))
+        assert max(map(len, falls)) <= Q.STEPS  # all starts end before the steps do
+
+
+NAMES = ("m0", "c00", "_w", "_t", "_own", "_text", "_lang", "n", "start", "det", "_v0", "a.b")
+
+
+def test_any_column_name_is_kept(spark):
+    docs = make_docs(60)
+    rows = [(*d, *[f"{c} {k}" for c in NAMES]) for k, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *NAMES])
+    judged = Q.judge_quality(df).collect()
+    assert Counter(tuple(r)[:len(df.columns)] for r in judged) == Counter(rows)
+    kept = Q.keep_good(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(tuple(r)[:len(df.columns)] for r in judged if r["_kept"])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert Q.judge_quality(docs).count() == 0

@@ -104,3 +104,11 @@ def test_documents(spark):
     kept = H.drop_near_duplicates(docs).collect()
     assert len(kept) == len(set(roots)) and {r.doc_id for r in kept} == {c for _, c in want}
     assert H.near_duplicates(docs.limit(0)).count() == 0 and H.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_any_column_name_is_kept(spark):
+    names = ("_key", "_none", "_fp", "_again", "_own", "_id", "fp", "root", "first")
+    rows = [(i, f"one two three four five {i // 2 * 2}", *[f"{c} {i}" for c in names]) for i in range(8)]
+    out = H.drop_near_duplicates(spark.createDataFrame(rows, ["doc_id", "text", *names]))
+    assert out.columns == ["doc_id", "text", *names]
+    assert sorted(map(tuple, out.collect())) == [r for r in rows if r[0] % 2 == 0]

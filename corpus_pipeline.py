@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from dropledger.llm.common import materialise, read_table, stored_order
 from dropledger.llm.mixing import mixed_order
 from dropledger.llm.packing import pack_documents
-from dropledger.llm.quality import judge_quality
+from dropledger.llm.quality import keep_good
 from dropledger.llm.secrets import redact_secrets
 from dropledger.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outliers of their language and source."""
-    return judge_quality(docs).where("_kept").select(docs.columns)
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

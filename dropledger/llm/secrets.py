@@ -2,15 +2,22 @@
 
 Base kinds are regular expressions over the whole text (leftmost,
 non-overlapping, failing matches dropped).  The method adds ``entropy`` spans:
-a candidate is a run of 20 or more token characters; its character class (hex,
-upper-case and digits, or mixed base 64) sets the alphabet and the least
-entropy.  A window of 20 characters slides over the candidate; the counts of
-the alphabet's characters and the sum of c log2 c are carried along, each step
-adding the entering and taking off the leaving character.  The sum is held in
-whole millionths of a bit, so results don't depend on rounding.  Hit windows
-that touch are merged into one span.  Candidates that the allow-list fits, and
-spans that a base span already covers, are not reported.  Runs of letters
-alone (prose) or digits alone have no class.
+a candidate is a run of 20 or more token characters with a digit.  A window of
+20 characters slides over it; the counts of its characters, those of capitals,
+small letters, digits, separators and hex letters, and the sum of c log2 c are
+carried along, each step adding the entering and taking off the leaving
+character.  The counts give each window a class of its own (hex; capitals and
+digits, with separators or not; small letters and at least three digits;
+letters of both cases and digits), and the class the least entropy, so a token
+behind a prefix or a path is judged by itself.  The sum is held in whole
+millionths of a bit, so results don't depend on rounding.  Hit windows that
+touch are merged into one span; spans that a base span already covers are not
+reported.  Windows of letters alone (prose), digits alone, or small letters
+and digits with separators (slugs) have no class.
+
+Allow-list: a part of a candidate between separators that holds one of the
+words of ``ALLOW`` is an example, and no window that touches it counts; the
+rest of the candidate is judged as ever.  UUIDs aren't candidates.
 
 Positions are code points, end exclusive: the pieces between matches
 (``split``) and the matches (``regexp_extract_all``) add up to them.
@@ -19,6 +26,7 @@ Positions are code points, end exclusive: the pieces between matches
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,16 +43,23 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Character class: (pattern of the whole candidate, alphabet, least bits per character in a window).
+#: The token characters: capitals, small letters, digits, separators.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Class of a window: (condition on its numbers of capitals u, small letters l, digits d, separators s and hex letters h,
+#: least bits per character).  The first that holds counts.
 CLASSES = {
-    "hex": (r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 2.9),
-    "upper": (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.45),
-    "mixed": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).+$",
-              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.65),
+    "hex": ("s = 0 and d > 0 and h > 0 and u + l = h", 2.9),
+    "mixed": ("d > 0 and l > 0 and u > 0", 3.65),
+    "upper": ("d > 0 and u > 0 and l = 0 and s = 0", 3.45),
+    "upper_apart": ("d > 0 and u > 0 and l = 0", 3.6),
+    "lower": ("d >= 3 and l > 0 and u = 0 and s = 0", 3.6),
 }
-#: Candidates that look random but aren't secret: examples, running alphabets, UUIDs.
-ALLOW = (r"(?i)example|sample|dummy|changeme|placeholder|xxxx|0123456789|abcdefghij"
-         r"|^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$")
+#: What looks random but isn't secret: parts of a candidate with one of these words, and UUIDs.
+ALLOW = "(?i)example|sample|dummy|changeme|placeholder|xxxx|0123456789|abcdefghij"
+UUID = "(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"
+SEPARATOR = "[+/_-]"
+#: Matches whose places are added up in one list; the lists are joined once, so many matches take no copies of copies.
+LIST = 256
 
 _SPANS = "array<struct<start:int,stop:int,hit:string>>"
 
@@ -55,16 +70,23 @@ def _quoted(s: str) -> str:
 
 def _located(matches: str, pattern: str) -> str:
     """SQL: (start, stop, hit) of the matches of ``pattern`` in column ``_t``; ``matches`` names their strings."""
+    pairs = f"""zip_with(split(_t, {_quoted(pattern)}, -1), {matches},
+                 (gap, hit) -> named_struct('gap', char_length(gap), 'hit', coalesce(hit, '')))"""
     return f"""
-      if(size({matches}) = 0, cast(array() as {_SPANS}), aggregate(
-        zip_with(split(_t, {_quoted(pattern)}, -1), {matches},
-                 (gap, hit) -> named_struct('gap', char_length(gap), 'hit', coalesce(hit, ''))),
-        named_struct('at', 0, 'found', cast(array() as {_SPANS})),
-        (acc, x) -> named_struct(
-          'at', acc.at + x.gap + char_length(x.hit),
-          'found', if(x.hit = '', acc.found, concat(acc.found, array(named_struct(
-              'start', acc.at + x.gap, 'stop', acc.at + x.gap + char_length(x.hit), 'hit', x.hit))))),
-        acc -> acc.found))"""
+      if(size({matches}) = 0, cast(array() as {_SPANS}), element_at(transform(array({pairs}), p -> flatten(aggregate(
+        sequence(1, size(p), {LIST}),
+        named_struct('at', 0, 'lists', cast(array() as array<{_SPANS}>)),
+        (done, low) -> aggregate(
+          array(aggregate(
+            slice(p, low, {LIST}),
+            named_struct('at', done.at, 'found', cast(array() as {_SPANS})),
+            (acc, x) -> named_struct(
+              'at', acc.at + x.gap + char_length(x.hit),
+              'found', if(x.hit = '', acc.found, concat(acc.found, array(named_struct(
+                  'start', acc.at + x.gap, 'stop', acc.at + x.gap + char_length(x.hit), 'hit', x.hit))))))),
+          done,
+          (d, part) -> named_struct('at', part.at, 'lists', concat(d.lists, array(part.found)))),
+        done -> done.lists))), 1))"""
 
 
 def _grain(count: int) -> int:
@@ -74,43 +96,55 @@ def _grain(count: int) -> int:
 
 def class_limits(window: int = WINDOW) -> dict[str, int]:
     """Greatest sum of c log2 c (millionths) that still has the class's least entropy."""
-    return {k: math.floor(1e6 * window * (math.log2(window) - bits)) for k, (_, _, bits) in CLASSES.items()}
+    return {k: math.floor(1e6 * window * (math.log2(window) - bits)) for k, (_, bits) in CLASSES.items()}
 
 
-def _windows(candidate: str) -> str:
+def _windows(candidate: str, allow: str) -> str:
     """SQL: merged hit windows of one candidate (a struct like those of ``_located``) as (start, stop)."""
-    whens = " ".join(
-        f"when {candidate}.hit rlike {_quoted(pattern)} then named_struct('alphabet', {_quoted(letters)}, "
-        f"'most', {class_limits()[k]})"
-        for k, (pattern, letters, _) in CLASSES.items())
     grains = f"array({', '.join(str(_grain(c)) for c in range(WINDOW + 1))})"  # by count
+    whens = " ".join(f"when {cond} then {class_limits()[k]}" for k, (cond, _) in CLASSES.items())
+    for name in "ulsdh":  # the conditions stand on the carried numbers
+        whens = re.sub(rf"\b{name}\b", f"n.{name}", whens)
+    examples = f"""aggregate(split({candidate}.hit, '{SEPARATOR}', -1),
+        named_struct('at', 0, 'off', cast(array() as array<struct<start:int,stop:int>>)),
+        (e, x) -> named_struct('at', e.at + char_length(x) + 1, 'off', if(x rlike {_quoted(allow)},
+          concat(e.off, array(named_struct('start', e.at, 'stop', e.at + char_length(x)))), e.off)),
+        e -> e.off)"""
 
     def grain(count: str) -> str:
         return f"get({grains}, {count})"
 
+    def step(low: int, high: int) -> str:
+        return f"if(x.enters between {low} and {high}, 1, 0) - if(x.leaves between {low} and {high}, 1, 0)"
+
+    numbers = ("named_struct('u', acc.n.u + {}, 'l', acc.n.l + {}, 'd', acc.n.d + {}, 's', acc.n.s + {}, 'h', acc.n.h + {} + {})").format(
+        step(1, 26), step(27, 52), step(53, 62), step(63, 66), step(1, 6), step(27, 32))
     # aggregate(array(x), a, (a, v) -> ...) binds v to x, which would be computed at each use else.
     return f"""
-      flatten(transform(filter(array(case {whens} end), k -> k is not null), k ->
-        flatten(transform(array(transform(split({candidate}.hit, ''), x -> instr(k.alphabet, x))), codes ->
+      flatten(transform(array({examples}), off ->
+        flatten(transform(array(transform(split({candidate}.hit, ''), x -> instr('{ALPHABET}', x))), codes ->
           aggregate(
             zip_with(codes, concat(array_repeat(0, {WINDOW}), slice(codes, 1, size(codes) - {WINDOW})),
                      (enters, leaves) -> named_struct('enters', enters, 'leaves', leaves)),
-            named_struct('counts', array_repeat(0, char_length(k.alphabet)), 'total', 0, 'at', 0,
+            named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'total', 0, 'at', 0,
+                         'n', named_struct('u', 0, 'l', 0, 'd', 0, 's', 0, 'h', 0),
                          'start', -1, 'stop', -1, 'spans', cast(array() as array<struct<start:int,stop:int>>)),
             (acc, x) -> aggregate(
-              array(if(x.enters = x.leaves, acc.total, acc.total
+              array(named_struct('n', {numbers}, 'total', if(x.enters = x.leaves, acc.total, acc.total
                 + {grain("get(acc.counts, x.enters - 1) + 1")} - {grain("get(acc.counts, x.enters - 1)")}
                 + if(x.leaves = 0, 0,
-                     {grain("get(acc.counts, x.leaves - 1) - 1")} - {grain("get(acc.counts, x.leaves - 1)")}))),
+                     {grain("get(acc.counts, x.leaves - 1) - 1")} - {grain("get(acc.counts, x.leaves - 1)")})))),
               acc,
-              (a, total) -> aggregate(
-                array(a.at + 1 >= {WINDOW} and total <= k.most),
+              (a, v) -> aggregate(
+                array(a.at + 1 >= {WINDOW} and v.total <= element_at(transform(array(v.n), n -> case {whens} else -1 end), 1)
+                      and not exists(off, o -> o.start <= a.at and o.stop > a.at + 1 - {WINDOW})),
                 a,
                 (b, hot) -> named_struct(
                   'counts', if(x.enters = x.leaves, b.counts, transform(
-                     b.counts, (n, i) -> n + if(i + 1 = x.enters, 1, 0) - if(i + 1 = x.leaves, 1, 0))),
-                  'total', total,
+                     b.counts, (c, i) -> c + if(i + 1 = x.enters, 1, 0) - if(i + 1 = x.leaves, 1, 0))),
+                  'total', v.total,
                   'at', b.at + 1,
+                  'n', v.n,
                   'start', if(hot and (b.start < 0 or b.at + 1 - {WINDOW} > b.stop), b.at + 1 - {WINDOW}, b.start),
                   'stop', if(hot, b.at + 1, b.stop),
                   'spans', if(hot and b.start >= 0 and b.at + 1 - {WINDOW} > b.stop,
@@ -123,14 +157,15 @@ def _windows(candidate: str) -> str:
 def find_secrets(docs: DataFrame, text_col: str = "text", allow: str = ALLOW) -> DataFrame:
     """``docs`` with ``_spans``: array of (start, kind's rank, stop), sorted.
 
-    A null text counts as empty and has no spans.  All rows and columns stay;
-    names that begin with an underscore are reserved.
+    A null text counts as empty and has no spans.  All rows and columns stay,
+    whatever their names (a column ``_spans`` is replaced).
     """
     def kind(name: str, rank: int) -> str:
         return f"transform({name}, x -> named_struct('start', x.start, 'kind', {rank}, 'stop', x.stop))"
 
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    matched = docs.select(*own, text_or_empty(F.col(f"`{text_col}`")).alias("_t")).select(
+    names = [c for c in docs.columns if c != "_spans"]
+    own = ["_own"]
+    matched = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_own"), text_or_empty(F.col(f"`{text_col}`")).alias("_t")).select(
         *own, "_t",
         F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(0)).alias("_assign"),
         F.regexp_extract_all("_t", F.lit(ACCESS), F.lit(0)).alias("_access"),
@@ -142,13 +177,15 @@ def find_secrets(docs: DataFrame, text_col: str = "text", allow: str = ALLOW) ->
                  lambda x: F.length(F.regexp_extract(x.hit, ASSIGN, 2)) >= 8).alias("_assign"),
         F.expr(_located("_access", ACCESS)).alias("_access"),
         F.expr(_located("_hex", HEX)).alias("_hex"),
-        F.filter(F.expr(_located("_cand", CANDIDATE)), lambda x: ~x.hit.rlike(allow)).alias("_cand"))
+        F.filter(F.expr(_located("_cand", CANDIDATE)), lambda x: x.hit.rlike("[0-9]") & ~x.hit.rlike(UUID)).alias("_cand"))
     based = located.select(
         *own, F.expr(f"sort_array(concat({kind('_assign', 0)}, {kind('_access', 1)}, {kind('_hex', 2)}))").alias("_base"),
-        F.expr(f"flatten(transform(_cand, c -> {_windows('c')}))").alias("_hot"))
+        F.expr(f"flatten(transform(_cand, c -> {_windows('c', allow)}))").alias("_hot"))
     fresh = ("transform(filter(_hot, x -> not exists(_base, b -> b.start <= x.start and x.stop <= b.stop)), "
              "x -> named_struct('start', x.start, 'kind', 3, 'stop', x.stop))")
-    return based.select(*own, F.expr(f"if(size(_hot) = 0, _base, sort_array(concat(_base, {fresh})))").alias("_spans"))
+    return based.select(
+        *[F.col("_own").getField(c).alias(c) for c in names],
+        F.expr(f"if(size(_hot) = 0, _base, sort_array(concat(_base, {fresh})))").alias("_spans"))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", allow: str = ALLOW) -> DataFrame:
@@ -200,19 +237,28 @@ base AS (
   WHERE length(regexp_extract(m.hit, '{_SQL_ASSIGN.replace("'", "''")}', 2)) >= 8
   UNION ALL SELECT doc_id, m.start, m.start + length(m.hit), kind, 1 FROM access_hits
   UNION ALL SELECT doc_id, m.start, m.start + length(m.hit), kind, 2 FROM hex_hits),
+marked AS (
+  SELECT doc_id, m.start AS start, m.hit AS hit, string_split_regex(m.hit, '{SEPARATOR}') AS parts FROM candidates
+  WHERE regexp_matches(m.hit, '[0-9]') AND NOT regexp_matches(m.hit, '{UUID}')),
+allowed AS (
+  SELECT doc_id, start, hit, list_filter(list_transform(range(1, len(parts) + 1), lambda i: {{
+      'lo': CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda p: length(p))), 0) + i - 1 AS BIGINT), 'part': parts[i]}}),
+      lambda o: regexp_matches(o.part, '{ALLOW}')) AS off FROM marked),
+windows AS (
+  SELECT doc_id, start, i, off, substr(hit, i + 1, {WINDOW}) AS w
+  FROM (SELECT doc_id, start, hit, off, unnest(range(0, length(hit) - {WINDOW} + 1)) AS i FROM allowed)),
+counted AS (
+  SELECT doc_id, start, i, w, off, length(regexp_replace(w, '[^A-Z]', '', 'g')) AS u, length(regexp_replace(w, '[^a-z]', '', 'g')) AS l,
+         length(regexp_replace(w, '[^0-9]', '', 'g')) AS d, length(regexp_replace(w, '[A-Za-z0-9]', '', 'g')) AS s,
+         length(regexp_replace(w, '[^a-fA-F]', '', 'g')) AS h FROM windows),
 classed AS (
-  SELECT doc_id, m.start AS start, m.hit AS hit,
-         CASE WHEN NOT regexp_matches(m.hit, '[0-9]') THEN NULL
-              WHEN regexp_full_match(m.hit, '[0-9a-fA-F]+') AND regexp_matches(m.hit, '[a-fA-F]') THEN {class_limits()["hex"]}
-              WHEN regexp_full_match(m.hit, '[A-Z0-9]+') AND regexp_matches(m.hit, '[A-Z]') THEN {class_limits()["upper"]}
-              WHEN regexp_matches(m.hit, '[A-Z]') AND regexp_matches(m.hit, '[a-z]') THEN {class_limits()["mixed"]} END AS most
-  FROM candidates WHERE NOT regexp_matches(m.hit, '{ALLOW}')),
+  SELECT *, CASE {" ".join(f"WHEN {cond} THEN {class_limits()[k]}" for k, (cond, _) in CLASSES.items())} ELSE -1 END AS most FROM counted),
 hot AS (
-  SELECT doc_id, start, list_filter(range(0, length(hit) - {WINDOW} + 1), lambda i:
-    list_sum(list_transform(list_distinct(string_split(substr(hit, i + 1, {WINDOW}), '')), lambda c:
-      CAST(round(1e6 * ({WINDOW} - length(replace(substr(hit, i + 1, {WINDOW}), c, '')))
-                 * log2({WINDOW} - length(replace(substr(hit, i + 1, {WINDOW}), c, '')))) AS BIGINT))) <= most) AS wins
-  FROM classed WHERE most IS NOT NULL),
+  SELECT doc_id, start, list(CAST(i AS BIGINT) ORDER BY i) AS wins FROM classed
+  WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda c:
+      CAST(round(1e6 * ({WINDOW} - length(replace(w, c, ''))) * log2({WINDOW} - length(replace(w, c, '')))) AS BIGINT))) <= most
+    AND len(list_filter(off, lambda o: o.lo < i + {WINDOW} AND o.lo + length(o.part) > i)) = 0
+  GROUP BY doc_id, start),
 runs AS (
   SELECT doc_id, start, list_filter(wins, lambda x, i: i = 1 OR x > wins[i - 1] + {WINDOW}) AS begins,
          list_filter(wins, lambda x, i: i = len(wins) OR wins[i + 1] > x + {WINDOW}) AS finals

@@ -39,7 +39,8 @@ ROWS_PER_BUCKET = 10_000
 #: Exchanges at most, and the fill below which a bin takes part.
 ROUNDS = 4
 LOOSE = 0.97
-#: Documents whose ids are laid out at once in a task, by bytes of text.
+#: Documents encoded together in a task, and those whose ids are laid out at once, by bytes of text.
+ENCODE_BYTES = 4 << 20
 LAYOUT_BYTES = 2 << 20
 
 #: White space other than a single blank or line end between words, and the end mark: such texts are encoded whole.
@@ -64,9 +65,8 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(json_path)
+        self.json_path, self.tokenizer = json_path, None
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.words = tiktoken.Encoding(
@@ -75,6 +75,14 @@ class Encoder:
         for token, rank in ranks.items():
             self.width[rank] = len(token)
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text by the tokenizer itself, which is loaded when the first such text comes."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.json_path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ends) of consecutive texts: flat ids with END_ID behind each text, and where each text ends."""
         odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
@@ -111,8 +119,7 @@ class Encoder:
                 begins = np.concatenate(([0], ends[:-1]))
                 for i, strange in enumerate(flags):
                     if strange:
-                        whole = self.whole.encode(texts[at + i].as_py(), add_special_tokens=False).ids
-                        parts.append(np.asarray([*whole, END_ID], np.uint32))
+                        parts.append(np.asarray([*self.whole(texts[at + i].as_py()), END_ID], np.uint32))
                     else:
                         parts.append(flat[begins[k]:ends[k]])
                         k += 1
@@ -127,6 +134,14 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with some ENCODE_BYTES of text each (at least a row)."""
+    sizes = pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // ENCODE_BYTES
+    for at in np.unique(part, return_index=True)[1].tolist():
+        yield batch.slice(at, int((part == part[at]).sum()))
+
+
 def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
                  capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
     """(_row, id_col, piece, start, length, ids_crc32) of every piece; ``_row`` numbers the pieces uniquely.
@@ -142,9 +157,7 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, id_col: str =
         from pyspark import TaskContext
 
         encoder, row = None, TaskContext.get().partitionId() << 33
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _slices(whole)):
             encoder = encoder or Encoder(json_path, ranks_path)
             texts = batch.column("_text")
             texts = texts.cast(pa.string()) if texts.type != pa.string() else texts

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dropledger.functions.text import now_jst_iso
 from dropledger.operators.library import explode_manifest
 from dropledger.sources.zipcsv import local_path
 
@@ -90,7 +91,7 @@ def write_manifests(docs: DataFrame, root: str) -> DataFrame:
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Override entries (code, filename_key, pos) from an override document.
 
-    Absent, unreadable or invalid documents, and a ``targets`` value that is
+    Absent or invalid documents, and a ``targets`` value that is
     not a list, give no overrides (the master stays unchanged); entries
     lacking either field are ignored.  ``pos`` is the entry's position, so
     the last entry for a code wins in :func:`dims.apply_overrides`.
@@ -99,7 +100,9 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     try:
         docs = (spark.read.schema(OVERRIDES_SCHEMA + ", _corrupt_record string").option("multiLine", True)
                 .option("mode", "PERMISSIVE").json(path))
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty
     ok = docs.filter(F.col("_corrupt_record").isNull() & F.col("targets").isNotNull())
     e = ok.select(F.posexplode("targets").alias("pos", "t"))
@@ -108,7 +111,7 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_overrides(targets: DataFrame, path: str) -> None:
-    """One override document (version, scraped_at = now, targets[code, filename_key]).
+    """One override document (version, scraped_at = now in JST, targets[code, filename_key]).
 
     The region master is bounded, so the document is built by one aggregate
     and written as a single part file.
@@ -116,7 +119,7 @@ def write_overrides(targets: DataFrame, path: str) -> None:
     doc = targets.agg(F.sort_array(F.collect_list(F.struct(F.col("target_order"), F.col("code"),
                                                            F.col("filename_key")))).alias("t"))
     doc = doc.select(F.lit(1).cast("bigint").alias("version"),
-                     F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("scraped_at"),
+                     now_jst_iso().alias("scraped_at"),
                      F.transform("t", lambda x: F.struct(x["code"].alias("code"),
                                                          x["filename_key"].alias("filename_key"))).alias("targets"))
     doc.coalesce(1).write.mode("overwrite").json(path)

@@ -220,7 +220,7 @@ class RecordCutter:
                     self.lines = []
                 records.append(line)
         self.held = len(self.parts[0]) + sum(map(len, self.lines))
-        return [r for x in records if (r := x.removesuffix("\r"))]
+        return [x.removesuffix("\r") for x in records]
 
     def end(self) -> list[str]:
         """The last record, if no line end follows it."""
@@ -271,12 +271,15 @@ def _archive_blocks(uri: str, block_chars: int, encodings: Sequence[str]) -> Ite
                 return
             member, size = info.filename, info.file_size
             enc, newlines = _member_encoding(zf, member, encodings)
-            cutter, header, held, chars, number = RecordCutter(), None, [], 0, 0
+            cutter, header, held, chars, number, n_fields = RecordCutter(), None, [], 0, 0, 0
             for text in _decoded_then_end(zf, member, enc):
-                records = cutter.end() if text is None else cutter.feed(text)
-                if header is None and records:
-                    header, records = records[0].removeprefix("\ufeff"), records[1:]
+                records = iter(cutter.end() if text is None else cutter.feed(text))
+                if header is None and (header := next((r for r in records if r), None)) is not None:
+                    header = header.removeprefix("\ufeff")
+                    n_fields = len(next(csv.reader(io.StringIO(header, newline=""))))
                 for r in records:
+                    if not r and n_fields != 1:  # a blank line; in a table of one column it is a record without a value
+                        continue
                     held.append(r)
                     chars += len(r)
                     if chars >= block_chars:
@@ -285,7 +288,6 @@ def _archive_blocks(uri: str, block_chars: int, encodings: Sequence[str]) -> Ite
             if held:
                 yield (uri, member, None, None, None, None, None, True, number, held, None)
                 number += 1
-            n_fields = len(next(csv.reader(io.StringIO(header, newline="")))) if header else 0
             yield (uri, member, size, enc, header or "", n_fields, newlines, number > 0, -1, [], None)
     except (OSError, zipfile.BadZipFile, ValueError) as exc:
         yield (uri, member, size, None, None, None, None, False, -1, [], f"{type(exc).__name__}: {exc}")
@@ -301,7 +303,8 @@ def record_blocks(paths: DataFrame, block_chars: int = BLOCK_CHARS, encodings: S
 
     Two streaming passes over a member: one finds the encoding (cp932, then
     shift_jis, then utf-8) that decodes all of it, one emits the records
-    behind the header.  The row with block -1 sums up the archive; its
+    behind the header.  Blank lines are no records, but for members of one
+    column, where they are records whose value is NULL.  The row with block -1 sums up the archive; its
     ``error`` says why an archive can't be read.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,6 +368,11 @@ def _data_blocks(blocks: DataFrame, strict: bool) -> DataFrame:
     return blocks.filter(F.col("block") >= 0).join(failed, "path", "left_anti")
 
 
+def _parsed(record: str, names: Sequence[str]) -> Column:
+    """The record's fields; a blank record (of one column) has none, so its field is NULL."""
+    return F.when(F.col(record) != "", F.from_csv(record, F.lit(_names_ddl(names)), _CSV))
+
+
 def read_staged(blocks: DataFrame, annotate: DataFrame | None = None, source_col: str | None = "_source",
                 strict: bool = True) -> DataFrame:
     """Positional union of all members as an all-string DataFrame.
@@ -385,7 +393,7 @@ def read_staged(blocks: DataFrame, annotate: DataFrame | None = None, source_col
     if source_col:
         tags.append(F.col("path").alias(source_col))
     rows = data.withColumn("_record", F.explode("records")).withColumn(
-        "_r", F.from_csv("_record", F.lit(_names_ddl(names)), _CSV))
+        "_r", _parsed("_record", names))
     return rows.select(*[F.col("_r").getField(n).alias(n) for n in names], *tags)
 
 
@@ -628,7 +636,7 @@ def export_merged_cp932(blocks: DataFrame, dest: str, strict: bool = True) -> Da
     names = canonical_header(blocks, strict)
     write_file(f"{dest}/{EXPORT_HEADER_NAME}", [_csv_text([names]).encode("cp932", errors="strict")])
     ddl = _names_ddl(names)
-    line = "transform(records, r -> to_csv(from_csv(r, '{}', {o}), {o}))".format(
+    line = "transform(records, r -> if(r = '', r, to_csv(from_csv(r, '{}', {o}), {o})))".format(
         ddl.replace("\\", "\\\\").replace("'", "\\'"), o="map('quote', '\"', 'escape', '\"', 'mode', 'FAILFAST', 'ignoreLeadingWhiteSpace', 'false', "
         "'ignoreTrailingWhiteSpace', 'false')")
     texts = _data_blocks(blocks, strict).select(
@@ -659,7 +667,7 @@ def read_cp932_export(parts: DataFrame, dest: str, names: Sequence[str]) -> Data
 
     records = parts.select("part", "path", "block").mapInPandas(run, "_path string, _block long, records array<string>")
     parsed = records.withColumn("_record", F.explode("records")).withColumn(
-        "_r", F.from_csv("_record", F.lit(_names_ddl(names)), _CSV))
+        "_r", _parsed("_record", names))
     return parsed.select(*[F.col("_r").getField(n).alias(n) for n in names], "_path", "_block")
 
 

@@ -284,3 +284,12 @@ def test_staged_read_tags_rows_by_broadcast(spark, tmp_dir):
     with contextlib.redirect_stdout(buf):
         merged.explain("simple")
     assert "BroadcastHashJoin" in buf.getvalue() and "SortMergeJoin" not in buf.getvalue()
+
+
+@pytest.mark.parametrize("block_chars", [1, 1 << 20])
+def test_blank_records_of_one_column_are_kept(spark, tmp_dir, block_chars):
+    """A blank line is a record without a value where the header has one field, and no record elsewhere."""
+    one = _zip(f"{tmp_dir}/one.zip", [("d.csv", "\na\n1\n\n2\n\n")])
+    two = _zip(f"{tmp_dir}/two.zip", [("d.csv", "a,b\n1,2\n\n3,4\n\n")])
+    assert sorted(rows(_read(spark, f"{tmp_dir}/x", [one], block_chars)[0], "a"), key=str) == [("1",), ("2",), (None,), (None,)]
+    assert sorted(rows(_read(spark, f"{tmp_dir}/y", [two], block_chars)[0], "a", "b")) == [("1", "2"), ("3", "4")]

@@ -115,9 +115,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Rows that go to a Python task at once.  Texts are long: Spark's default of 10,000 holds some 100 MB a task on both sides.
+ARROW_ROWS = 2_000
+
+
 def prepare(spark: SparkSession) -> str:
-    """Everything a query needs from the session: the shared folder and the shipped package."""
+    """Everything a query needs from the session: the shared folder, small batches for Python (unless set) and the shipped package."""
     path = ensure_checkpoint_dir(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     ship_package(spark)
     return path
 

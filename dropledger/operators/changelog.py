@@ -9,7 +9,7 @@ No window functions are used for "last wins" rules for exactly that reason.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ def after_last_tombstone(log: DataFrame, keys: Sequence[str], seq: str | Sequenc
 def fold_state(log: DataFrame, keys: Sequence[str], seq: str | Sequence[str],
                last: Sequence[str] = (), first: Sequence[str] = (),
                op: str | None = None, delete_value: str = "d",
-               versions: str | None = None) -> DataFrame:
+               versions: str | None = None, also: Mapping[str, Column] | None = None) -> DataFrame:
     """Current state of a change log.
 
     ``last`` columns take the value of the latest row per key (upsert
@@ -54,7 +54,9 @@ def fold_state(log: DataFrame, keys: Sequence[str], seq: str | Sequence[str],
     ``op`` set, rows up to the key's last ``delete_value`` are discarded.
     With ``op`` and only ``last`` columns the fold is one partial aggregate
     (the latest row, unless it is a tombstone); ``first`` columns or a
-    version count need the key's last tombstone joined back first.
+    version count need the key's last tombstone joined back first, so the log
+    is read twice: write it first if it isn't a plain scan.  ``also`` names
+    further aggregates of the same pass (without ``op`` only).
     """
     keys = _names(keys)
     s = _seq_col(seq)
@@ -65,6 +67,8 @@ def fold_state(log: DataFrame, keys: Sequence[str], seq: str | Sequence[str],
         return (r.filter(~(F.col("_r._op") == F.lit(delete_value)) | F.col("_r._op").isNull())
                 .select(*[F.col(k) for k in keys], *[F.col("_r")[c].alias(c) for c in last]))
     if op is not None:
+        if also:
+            raise ValueError("further aggregates need a fold without deletes")
         log = after_last_tombstone(log, keys, seq, op, delete_value)
     aggs = []
     if last:
@@ -73,6 +77,7 @@ def fold_state(log: DataFrame, keys: Sequence[str], seq: str | Sequence[str],
         aggs.append(F.min_by(F.struct(*[F.col(c) for c in first]), s).alias("_first"))
     if versions:
         aggs.append(F.count(F.lit(1)).alias(versions))
+    aggs += [c.alias(name) for name, c in (also or {}).items()]
     if not aggs:
         aggs.append(F.count(F.lit(1)).alias("_n"))
     out = log.groupBy(*keys).agg(*aggs)
@@ -81,7 +86,13 @@ def fold_state(log: DataFrame, keys: Sequence[str], seq: str | Sequence[str],
     cols += [F.col("_first")[c].alias(c) for c in first]
     if versions:
         cols.append(F.col(versions))
-    return out.select(*cols)
+    return out.select(*cols, *[F.col(name) for name in (also or {})])
+
+
+def retract(log: DataFrame, keys: Sequence[str], withdrawn: Column) -> DataFrame:
+    """Insert-or-ignore, then withdrawal, in one pass: keys of which no row is ``withdrawn`` (NULL counts as no)."""
+    return (log.groupBy(*keys).agg(F.bool_or(F.coalesce(withdrawn, F.lit(False))).alias("_out"))
+            .where(~F.col("_out")).select(*keys))
 
 
 def insert_or_ignore(log: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dropledger.operators.sequence import numbered
+
 
 def split_by_delete_set(table: DataFrame, delete_set: DataFrame, keys: Sequence[str],
                         store: str) -> DataFrame:
@@ -37,20 +40,64 @@ def keys_with_tag(assignments: DataFrame, chosen_tags: DataFrame, scope: str) ->
 
 def create_tags(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Add tags (name, color) with fresh ids; a name that exists already, or
-    repeats in the batch, is an error (unique names).
+    repeats in the batch, is an error (unique names; nulls count as equal).
 
-    The uniqueness check is one aggregate evaluated before anything is
-    returned; ids continue after the largest existing id, in name order over
-    the new batch (a batch of user-created tags is small).
+    Names meet in one aggregate, and a name that is not unique raises in the
+    plan.  Ids continue after the largest existing id in name order, counted
+    by range (:func:`sequence.numbered`), so the batch may have any size.
+    Nothing is returned before the names have been checked.
+    """
+    was = existing.agg(F.max("tag_id")).first()[0] or 0
+    both = new.select("name", F.struct(*new.columns).alias("_new")).unionByName(
+        existing.select("name", F.lit(None).alias("_new")))
+    met = both.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.max("_new").alias("_new"))
+    repeated = F.raise_error(F.concat(F.lit("tag name already exists: "), F.coalesce(F.col("name"), F.lit("NULL"))))
+    checked = met.select(F.when(F.col("_n") > 1, repeated.cast(existing.schema["name"].dataType)).otherwise(F.col("name")).alias("name"), "_new")
+    try:
+        fresh = numbered(checked.where("_new is not null").select("name", *[F.col("_new")[c].alias(c) for c in new.columns if c != "name"]),
+                         ["name"], "tag_id")
+    except SparkRuntimeException as exc:
+        if exc.getCondition() != "USER_RAISED_EXCEPTION":
+            raise
+        raise ValueError(exc.getMessageParameters()["errorMessage"]) from exc
+    return existing.unionByName(fresh.withColumn("tag_id", F.col("tag_id") + F.lit(was).cast("long")).select(*existing.columns))
+
+
+def cascade_fold(log: DataFrame, keys: Sequence[str], doomed: Column, stores: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
+    """Coordinated delete where all stores are folds of one change log, in one pass over it.
+
+    ``stores`` maps a store's name to (whether a row puts its key there, the
+    item it adds there or None for the key alone).  Returns (keys…, store,
+    item, removed): each entry once, ``removed`` if any row of its key is
+    ``doomed``.  A key with a null or empty part has no code: no store of it
+    is touched.  A key's items are distinct values of a dimension (tags), so
+    its row stays small.  Null conditions count as no; null items are no entries.
     """
-    from pyspark.sql import Window
-    names = existing.select("name").unionAll(new.select("name"))
-    dupes = names.groupBy("name").count().filter(F.col("count") > 1).limit(1).collect()
-    if dupes:
-        raise ValueError(f"tag name already exists: {dupes[0]['name']}")
-    base = existing.select(F.coalesce(F.max("tag_id"), F.lit(0))).scalar()
-    fresh = new.withColumn("tag_id", (base + F.row_number().over(Window.orderBy("name"))).cast("long"))
-    return existing.unionByName(fresh.select(*existing.columns))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    aggs = [F.bool_or(yes(doomed)).alias("_doomed")]
+    for i, (inside, item) in enumerate(stores.values()):
+        aggs.append((F.bool_or(yes(inside)) if item is None else F.collect_set(F.when(yes(inside), item))).alias(f"_in{i}"))
+    entry = lambda name: lambda item: F.struct(F.lit(name).alias("store"), item.cast("string").alias("item"))
+    lists = []
+    for i, (name, (_, item)) in enumerate(stores.items()):
+        if item is None:
+            lists.append(F.when(F.col(f"_in{i}"), F.array(entry(name)(F.lit(None)))).otherwise(F.array().cast("array<struct<store:string,item:string>>")))
+        else:
+            lists.append(F.transform(f"_in{i}", entry(name)))
+    coded = F.lit(True)
+    for k in keys:
+        coded = coded & yes(F.col(k).cast("string") != "")
+    folded = log.groupBy(*keys).agg(*aggs).select(*keys, (F.col("_doomed") & coded).alias("removed"), F.explode(F.concat(*lists)).alias("_e"))
+    return folded.select(*keys, "_e.store", "_e.item", "removed")
+
+
+def cascade_report(entries: DataFrame, stores: Sequence[str]) -> DataFrame:
+    """(store, removed, remaining) of :func:`cascade_fold`'s entries, a row for each store even if it is empty."""
+    one = F.col("store")
+    counts = entries.agg(*[f.alias(f"{k}{i}") for i, s in enumerate(stores) for k, f in (
+        ("_r", F.count_if((one == s) & F.col("removed"))), ("_k", F.count_if((one == s) & ~F.col("removed"))))])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(s).alias("store"), F.col(f"_r{i}").alias("removed"), F.col(f"_k{i}").alias("remaining"))
+                                            for i, s in enumerate(stores)])))
 
 
 def coordinated_delete(delete_set: DataFrame, catalogue: DataFrame, bridge: DataFrame, manifest: DataFrame,

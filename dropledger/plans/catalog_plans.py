@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dropledger.functions.text import export_name, file_label, format_bytes, month_label, scope_key, year_label
 from dropledger.operators.changelog import fold_state
 from dropledger.operators.gaps import month_spine
-from dropledger.operators.tags import keys_with_tag, tags_for
+from dropledger.operators.tags import create_tags, keys_with_tag, tags_for
 from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
 from dropledger.plans.calendar_plans import PUBS_SQL, publications
 from dropledger.plans.registry import query
@@ -106,6 +106,18 @@ def tags_sorted(spark: SparkSession, sf: str) -> DataFrame:
     return tg.withColumn("pos", F.row_number().over(Window.orderBy("name"))).orderBy("pos")
 
 
+@query("tag_create", sql_with(TAGS_SQL) + """
+, fresh AS (SELECT p_name || ' / ' || p_type AS name, '#' || lpad(CAST(max(p_size) AS VARCHAR), 6, '0') AS color FROM part GROUP BY 1)
+SELECT tag_id, name, CAST(NULL AS VARCHAR) AS color FROM tags
+UNION ALL SELECT (SELECT max(tag_id) FROM tags) + row_number() OVER (ORDER BY name), name, color FROM fresh""")
+def tag_create(spark: SparkSession, sf: str) -> DataFrame:
+    """The tags after a batch of new ones, one for each pair of part name and type (names must be unique)."""
+    old = tags(spark, sf).select("tag_id", "name", F.lit(None).cast("string").alias("color"))
+    fresh = t(spark, sf, "part").groupBy(F.concat("p_name", F.lit(" / "), "p_type").alias("name")).agg(
+        F.concat(F.lit("#"), F.lpad(F.max("p_size").cast("string"), 6, "0")).alias("color"))
+    return create_tags(old, fresh)
+
+
 # Fixed query parameters: the scope key and tag looked up.
 SCOPE, SCOPE_KEY, TAG_NAME = "type", "ECONOMY", "Brand#3"
 
@@ -170,21 +182,18 @@ FROM files f LEFT JOIN tagged g ON g.scope_key = f.publish_ym || '/' || f.target
 def file_detail(spark: SparkSession, sf: str) -> DataFrame:
     """Detail record per file: NULLs shown as ``—``, sizes in units, tags joined by ``, ``.
 
-    A file's tags are few (one per priority), so collecting them per file is bounded.
+    Latest row and tags come from one pass; a file's tags are few (one per
+    priority), so collecting them per file is bounded.
     """
-    log = file_log(spark, sf)
-    sk = F.concat(F.col("publish_ym"), F.lit("/"), F.col("target_code"))
-    tagged = (log.filter(F.col("outcome") != "failed")
-              .groupBy(sk.alias("scope_key"))
-              .agg(F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ", ").alias("tags")))
-    f = files(spark, sf).withColumn("scope_key", sk)
+    f = fold_state(file_log(spark, sf), keys=["publish_ym", "target_code"], seq=_SEQ, last=["display_name", "o_orderkey", "outcome"],
+                   also={"tags": F.sort_array(F.collect_set(F.when(F.col("outcome") != "failed", F.col("o_orderpriority"))))})
     dash = F.lit("—")
-    return f.join(tagged, "scope_key", "left").select(
+    return f.select(
         "publish_ym", "target_code", "display_name",
         F.coalesce(F.nullif(F.col("target_code"), F.lit("nation_0")), dash).alias("code_text"),
         format_bytes(_file_size(F.col("o_orderkey"))).alias("size_text"),
         F.coalesce(F.when(F.col("outcome") != "failed", F.col("outcome")), dash).alias("status_text"),
-        F.coalesce(F.col("tags"), dash).alias("tags"))
+        F.when(F.size("tags") > 0, F.array_join("tags", ", ")).otherwise(dash).alias("tags"))
 
 
 @query("scalar_labels", f"""

@@ -12,13 +12,14 @@ from dropledger.operators.changelog import (
     insert_or_ignore,
     orphans,
     remove_matching,
+    retract,
     toggle_parity,
 )
-from dropledger.operators.tags import coordinated_delete
+from dropledger.operators.tags import cascade_fold, cascade_report
 from dropledger.plans.bindings import FILELOG_SQL, file_log, sql_with, t
 from dropledger.plans.calendar_plans import PUBS_SQL, publications
 from dropledger.plans.registry import query
-from dropledger.session import shared_scratch
+from dropledger.session import shared_scratch, written
 
 _SEQ = ["o_orderdate", "o_orderkey"]
 _SEQ_SQL = "(o_orderdate, o_orderkey)"
@@ -75,9 +76,9 @@ SELECT publish_ym, target_code, arg_max(o_orderkey, {_SEQ_SQL}) AS o_orderkey,
 FROM life GROUP BY ALL""")
 def delete_tombstone(spark: SparkSession, sf: str) -> DataFrame:
     """Failed downloads delete the file record; a later upsert starts a new life."""
-    log = (file_log(spark, sf)
-           .withColumn("op", F.when(F.col("o_orderstatus") == "P", F.lit("d")).otherwise(F.lit("u")))
-           .withColumn("first_orderkey", F.col("o_orderkey")))
+    log = written(file_log(spark, sf).select(  # joined once, read twice
+        "publish_ym", "target_code", *_SEQ, "o_orderpriority", F.col("o_orderkey").alias("first_orderkey"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("d")).otherwise(F.lit("u")).alias("op")), "file-log")
     return fold_state(log, keys=["publish_ym", "target_code"], seq=_SEQ,
                       last=["o_orderkey", "o_orderpriority"], first=["first_orderkey"],
                       op="op", versions="versions")
@@ -111,10 +112,8 @@ SELECT DISTINCT tag, scope, scope_key FROM assign a
 WHERE NOT EXISTS (SELECT 1 FROM assign r WHERE r.l_returnflag = 'R' AND r.l_quantity >= 49 AND r.tag = a.tag
                   AND r.scope = a.scope AND r.scope_key = a.scope_key)""")
 def unassign(spark: SparkSession, sf: str) -> DataFrame:
-    """Assignments hit by a large returned item are withdrawn (anti join on the triple)."""
-    a = tag_assignments(spark, sf)
-    removals = insert_or_ignore(a.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)), _TRIPLE)
-    return remove_matching(insert_or_ignore(a, _TRIPLE), removals, _TRIPLE)
+    """Assignments hit by a large returned item are withdrawn (one pass over the log)."""
+    return retract(tag_assignments(spark, sf), _TRIPLE, (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49))
 
 
 @query("toggle_parity", sql_with(ASSIGN_SQL) + """
@@ -157,17 +156,35 @@ SELECT 'manifest', count_if(d.publish_ym IS NOT NULL), count_if(d.publish_ym IS
 FROM manifest m LEFT JOIN dset d USING (publish_ym, target_code)"""
 
 
+_STORES = ["catalogue", "tag_bridge", "manifest"]
+
+
+def _cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry of the three stores, marked if the delete set (failed urgent downloads) takes it."""
+    return cascade_fold(
+        file_log(spark, sf), ["publish_ym", "target_code"],
+        doomed=(F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"),
+        stores={"catalogue": (F.lit(True), None), "tag_bridge": (F.lit(True), F.col("o_orderpriority")),
+                "manifest": (F.col("outcome") == "succeeded", None)})
+
+
 @query("cascade_delete", _CASCADE_SQL)
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     """One delete set applied to catalogue, tag bridge and manifest; counts per store."""
-    log = file_log(spark, sf)
-    keys = ["publish_ym", "target_code"]
-    dset = log.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")).select(*keys)
-    catalogue = fold_state(log, keys=keys, seq=_SEQ, last=["outcome"]).select(*keys)
-    scope_key = F.concat(F.col("publish_ym"), F.lit("/"), F.col("target_code"))
-    bridge = log.select(F.col("o_orderpriority").alias("tag"), scope_key.alias("scope_key")).distinct()
-    manifest = log.filter(F.col("outcome") == "succeeded").select(*keys).distinct()
-    return coordinated_delete(dset, catalogue, bridge, manifest)[3]
+    return cascade_report(_cascade(spark, sf), _STORES)
+
+
+@query("cascade_survivors", sql_with(FILELOG_SQL) + """
+, dset AS (SELECT DISTINCT publish_ym, target_code FROM filelog
+           WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
+, entries AS (
+  SELECT DISTINCT 'catalogue' AS store, publish_ym, target_code, CAST(NULL AS VARCHAR) AS item FROM filelog
+  UNION ALL SELECT DISTINCT 'tag_bridge', publish_ym, target_code, o_orderpriority FROM filelog
+  UNION ALL SELECT DISTINCT 'manifest', publish_ym, target_code, NULL FROM filelog WHERE outcome = 'succeeded')
+SELECT * FROM entries ANTI JOIN dset USING (publish_ym, target_code)""")
+def cascade_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    """The three stores after the coordinated delete: every entry that is left, in one pass over the log."""
+    return _cascade(spark, sf).where(~F.col("removed")).select("store", "publish_ym", "target_code", "item")
 
 
 @query("unique_violations", "SELECT p_name AS name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")

@@ -76,3 +76,10 @@ def test_delete_aware_latest_fold_has_no_join(spark):
         "o_orderpriority")
     p = plan(fold_state(log, ["o_custkey"], "o_orderkey", last=["o_orderpriority"], op="op"), "simple")
     assert "Join" not in p and "partial_max_by" in p
+
+
+def test_mutations_read_their_log_once(spark):
+    """The change log of files is three tables joined, that of tags two; one aggregate pass over it needs no further scan."""
+    for key, scans in (("cascade_delete", 3), ("cascade_survivors", 3), ("file_detail", 3), ("delete_tombstone", 2), ("unassign", 2)):
+        p = plan(q(spark, key), "simple")
+        assert p.count("FileScan") <= scans, key

@@ -132,6 +132,58 @@ def test_coordinated_delete_skips_files_without_code(spark):
     assert sorted(rows(report)) == [("catalogue", 1, 1), ("manifest", 1, 0), ("tag_bridge", 1, 1)]
 
 
+def test_create_tags_any_batch(spark):
+    """Ids go on in name order over ranges; a name that repeats in the batch, or is null twice, is an error; an empty batch adds nothing."""
+    from dropledger.operators.tags import create_tags
+    S = "tag_id long, name string, color string"
+    none = spark.createDataFrame([], S)
+    new = spark.createDataFrame([(f"n{i:04d}", None if i % 2 else "#1") for i in range(500)][::-1], "name string, color string").repartition(7)
+    got = rows(create_tags(none, new), "tag_id", "name", "color")
+    assert sorted(got) == [(i + 1, f"n{i:04d}", None if i % 2 else "#1") for i in range(500)]
+    old = spark.createDataFrame([(41, "x", None)], S)
+    assert rows(create_tags(old, new.limit(0))) == [(41, "x", None)]
+    for bad in ([("a", "1"), ("a", "2")], [(None, "1"), (None, "2")]):
+        with pytest.raises(ValueError, match="already exists"):
+            create_tags(old, spark.createDataFrame(bad, "name string, color string"))
+
+
+def test_cascade_fold_equals_the_stores_anti_joins(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from dropledger.operators.tags import cascade_fold, cascade_report, coordinated_delete
+    rnd = random.Random(5)
+    data = [(rnd.choice(["2026_3", "2026_4", None]), rnd.choice(["tokyo", "osaka", "kyoto", "", None]), rnd.choice(["x", "y", None]),
+             rnd.choice([True, False, None]), rnd.random() < .05 or None) for _ in range(300)]
+    log = spark.createDataFrame(data, "publish_ym string, target_code string, tag string, ok boolean, gone boolean")
+    keys = ["publish_ym", "target_code"]
+    marked = cascade_fold(log, keys, F.col("gone"), {
+        "catalogue": (F.lit(True), None), "tag_bridge": (F.lit(True), F.col("tag")), "manifest": (F.col("ok"), None)})
+    got = {(r["store"], r["publish_ym"], r["target_code"], r["item"]) for r in marked.where("not removed").collect()}
+    doomed = {(r[0], r[1]) for r in data if r[4] and r[0] and r[1]}
+    every = {("catalogue", r[0], r[1], None) for r in data} | {("manifest", r[0], r[1], None) for r in data if r[3]}
+    every |= {("tag_bridge", r[0], r[1], r[2]) for r in data if r[2]}
+    assert got == {e for e in every if (e[1], e[2]) not in doomed} and doomed
+    stores = ["catalogue", "tag_bridge", "manifest"]
+    report = {r[0]: (r[1], r[2]) for r in rows(cascade_report(marked, stores))}
+    assert sum(report["catalogue"]) == len({e for e in every if e[0] == "catalogue"}) and report["catalogue"][0] == len(doomed)
+    log = log.dropna(subset=keys)
+    parts = coordinated_delete(log.where("gone"), log.select(*keys).distinct(),
+                               log.where("tag is not null").select(F.concat_ws("/", *keys).alias("scope_key"), "tag").distinct(),
+                               log.where("ok").select(*keys).distinct())
+    again = cascade_fold(log, keys, F.col("gone"), {
+        "catalogue": (F.lit(True), None), "tag_bridge": (F.lit(True), F.col("tag")), "manifest": (F.col("ok"), None)})
+    assert sorted(rows(parts[3])) == sorted(rows(cascade_report(again, stores)))
+    assert rows(cascade_report(again.limit(0), stores)) == [(s, 0, 0) for s in stores]
+
+
+def test_retract_is_one_pass(spark):
+    from pyspark.sql import functions as F
+    log = spark.createDataFrame([("a", 1), ("a", None), ("b", 9), ("b", 1), ("c", None), (None, 2)], "k string, q int")
+    assert sorted(rows(cl.retract(log, ["k"], F.col("q") >= 9)), key=str) == [("a",), ("c",), (None,)]
+
+
 def test_tombstone_fold_single_pass_equals_join_path(spark):
     import random
     rnd = random.Random(11)

@@ -37,6 +37,31 @@ def apply_overrides(master: DataFrame, overrides: DataFrame, code: str = "code",
                     F.col("_override").isNotNull().alias("overridden"))
 
 
+def checked_master(master: DataFrame, code: str = "code", order: str = "target_order") -> DataFrame:
+    """The region master, raising in the plan unless codes are unique and the orders are 1 to n, each once.
+
+    Two aggregates over the bounded master and a scalar subquery for n, read
+    with the rows: no job of its own.  Nulls break both rules.
+    """
+    m = master.select(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(code)).alias("codes"), F.count_distinct(F.col(order)).alias("orders"),
+                      F.min(order).alias("lo"), F.max(order).alias("hi"))
+    fault = (F.when(F.col("codes") != F.col("n"), F.lit("region master: a code is missing or repeated"))
+             .when((F.col("orders") != F.col("n")) | (F.col("lo") != 1) | (F.col("hi") != F.col("n")),
+                   F.lit("region master: orders are not 1 to n")))
+    found = m.select(fault.alias("fault")).scalar()
+    kept = F.when(found.isNotNull(), F.raise_error(found).cast(master.schema[code].dataType)).otherwise(F.col(code))
+    return master.select(*[kept.alias(c) if c == code else F.col(c) for c in master.columns])
+
+
+def by_codes(master: DataFrame, wanted: DataFrame, code: str = "code") -> DataFrame:
+    """The master's row for each wanted row, with the wanted rows' other columns; an unknown or null code raises in the plan."""
+    known = master.withColumn("_known", F.lit(True))
+    j = wanted.join(known, code, "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown target code: "), F.coalesce(F.col(code), F.lit("NULL"))))
+    checked = F.when(F.col("_known").isNull(), unknown.cast(master.schema[code].dataType)).otherwise(F.col(code))
+    return j.select(checked.alias(code), *[c for c in j.columns if c not in (code, "_known")])
+
+
 def select_targets(master: DataFrame, selection: DataFrame | None, code: str = "code") -> DataFrame:
     """Empty selection = the whole master; otherwise membership (unknown codes vanish)."""
     if selection is None:

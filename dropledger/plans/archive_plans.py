@@ -323,3 +323,26 @@ def library_view(spark: SparkSession, sf: str) -> DataFrame:
                      publications=_fixture_publications(spark, sf), sort="name")
     return v.select("publish_ym", "file_name", "kind", "display_name", "target_code", "sha256", "status",
                     "source_kind", "needs_stats", "month_label", "month_rank", "file_rank")
+
+
+# What the record of an archive says: its true hash (A, R of odd years), a hash of other bytes (N of even years),
+# another size (N of odd years), no hash (R of even years).
+@query("landed_reconcile", f"""
+WITH {_ROWS_SQL},
+archives AS (SELECT DISTINCT publish_ym, flag, CAST(split_part(publish_ym, '_', 1) AS INTEGER) % 2 AS odd FROM rows)
+SELECT publish_ym || '/flag_' || flag AS target,
+       CASE WHEN flag = 'R' AND odd = 0 THEN 'new' WHEN flag = 'A' OR flag = 'R' THEN 'skip' ELSE 'changed' END AS action
+FROM archives
+UNION ALL SELECT DISTINCT publish_ym || '/flag_none', 'missing' FROM archives""")
+def landed_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Skip or fetch for each archive of the library, from its record and the landed file's bytes (hashed only where sizes agree)."""
+    stem = F.regexp_replace("file_name", "[.]zip$", "")
+    landed = _zips(spark, sf).select(F.concat_ws("/", "publish_ym", stem).alias("target"), "path", "length", "data_year", stem.alias("stem"))
+    truth = zipcsv.file_hashes(landed).select("path", "sha256")
+    other = F.sha2("sha256", 256)
+    none = (F.col("stem") == "flag_R") & (F.col("data_year") % 2 == 0)
+    sha = F.when(none, F.lit(None)).when((F.col("stem") == "flag_N") & (F.col("data_year") % 2 == 0), other).otherwise(F.col("sha256"))
+    size = F.col("length") + F.when((F.col("stem") == "flag_N") & (F.col("data_year") % 2 == 1), 1).otherwise(0)
+    recorded = landed.join(truth, "path").select("target", sha.alias("sha256"), size.alias("size"))
+    absent = landed.select(F.regexp_replace("target", "/flag_.*$", "/flag_none").alias("target")).distinct()
+    return zipcsv.reconcile_files(landed.select("target").unionByName(absent), recorded, landed)

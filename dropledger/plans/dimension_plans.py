@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dropledger.operators.dims import apply_overrides, code_validity, select_targets, selection_summary
+from dropledger.operators.dims import apply_overrides, by_codes, checked_master, code_validity, select_targets, selection_summary
 from dropledger.plans.bindings import TARGETS_SQL, sql_with, t, targets
 from dropledger.plans.registry import query
+from dropledger.session import shared_uri
+from dropledger.sources.jsondocs import read_overrides, write_overrides
 
 
 @query("region_lookup", sql_with(TARGETS_SQL) + """
@@ -90,3 +92,21 @@ FROM targets t LEFT JOIN o ON t.code = o.code""")
 def override_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier-named filename keys override the master; last supplier per code wins."""
     return apply_overrides(targets(spark, sf), _overrides(spark, sf))
+
+
+@query("master_roundtrip", sql_with(TARGETS_SQL) + """
+, o AS (SELECT 'nation_' || CAST(s_nationkey + 10 AS VARCHAR) AS code, arg_max(lower(s_name) || '_custom', s_suppkey) AS okey
+        FROM supplier GROUP BY 1)
+, used AS (SELECT 'nation_' || CAST(c_nationkey AS VARCHAR) AS code, count(*) AS n_customers FROM customer GROUP BY 1)
+SELECT code, n_customers, display_name, folder_label, region, coalesce(okey, filename_key) AS filename_key, target_order
+FROM used JOIN targets USING (code) LEFT JOIN o USING (code)""")
+def master_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Overridden keys saved as a document and loaded over the master again; the rows of all customers' codes, each of which must be known."""
+    master = checked_master(targets(spark, sf))
+    where = shared_uri(spark, "overrides")
+    write_overrides(apply_overrides(master, _overrides(spark, sf)), where)
+    loaded = apply_overrides(master, read_overrides(spark, where)).drop("overridden")
+    c = t(spark, sf, "customer")
+    used = c.groupBy(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("code")).agg(
+        F.count(F.lit(1)).alias("n_customers"))
+    return by_codes(loaded, used)

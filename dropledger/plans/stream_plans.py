@@ -10,8 +10,9 @@ from dropledger.plans.bindings import sql_with, t
 from dropledger.plans.calendar_plans import PUBS_SQL, publications
 from dropledger.plans.library_plans import LISTING_SQL, listing
 from dropledger.plans.registry import query
+from dropledger.session import shared_uri
 from dropledger.streaming.events import debounce, latest_progress, throttle
-from dropledger.streaming.landing import landing_diff
+from dropledger.streaming.landing import change_log, landing_diff, refresh_changes
 
 # Fixed query parameter: the debounce gap (events of a user closer than this form one burst).
 GAP_SECONDS = 4 * 3600
@@ -99,3 +100,25 @@ def landing_increment(spark: SparkSession, sf: str) -> DataFrame:
     return landing_diff(li.select("path", "length", "mtime"), state)
 
 
+
+
+@query("landing_changes", sql_with(LISTING_SQL) + """
+, before AS (
+  SELECT CASE WHEN toxic = 1 THEN replace(path, '/doc_', '/old_') ELSE path END AS path, length, mtime - quality AS mtime
+  FROM listing JOIN labels USING (doc_id))
+SELECT 1 AS v, path, length, mtime, 'new' AS change FROM before
+UNION ALL
+SELECT 2, coalesce(l.path, b.path), coalesce(l.length, b.length), coalesce(l.mtime, b.mtime),
+       CASE WHEN b.path IS NULL THEN 'new' WHEN l.path IS NULL THEN 'deleted' ELSE 'changed' END
+FROM listing l FULL JOIN before b ON l.path = b.path
+WHERE b.path IS NULL OR l.path IS NULL OR l.length <> b.length OR l.mtime <> b.mtime""")
+def landing_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The change log after two refreshes of a landing folder: files new, changed and deleted, by refresh."""
+    now = listing(spark, sf).select("doc_id", "path", "length", "mtime")
+    before = now.join(t(spark, sf, "labels"), "doc_id").select(
+        F.when(F.col("toxic") == 1, F.regexp_replace("path", "/doc_", "/old_")).otherwise(F.col("path")).alias("path"),
+        "length", (F.col("mtime") - F.col("quality")).alias("mtime"))
+    log = shared_uri(spark, "landing-log")
+    for version, files in ((1, before), (2, now), (2, before)):  # a refresh repeated by mistake adds nothing
+        refresh_changes(files, log, version)
+    return change_log(spark, log).select(F.col("v").cast("int").alias("v"), "path", "length", "mtime", "change")

@@ -88,3 +88,35 @@ def test_directory_sizes(spark):
     got = sorted(rows(directory_sizes(files, F.col("folder"))))
     assert got == [("*", 3, 13), ("m1", 2, 12), ("m2", 1, 1)]
     assert rows(directory_sizes(files.limit(0), F.col("folder"))) == []
+
+
+def test_master_is_checked_in_the_plan(spark):
+    from pyspark.errors import SparkRuntimeException
+
+    from dropledger.operators.dims import by_codes, checked_master
+    S = "code string, filename_key string, target_order int"
+    good = spark.createDataFrame([("b", "kb", 2), ("a", "ka", 1)], S)
+    assert sorted(tuple(r) for r in checked_master(good).collect()) == [("a", "ka", 1), ("b", "kb", 2)]
+    assert checked_master(good.limit(0)).count() == 0
+    for bad, why in (([("a", "k", 1), ("a", "k", 2)], "code"), ([(None, "k", 1)], "code"),
+                     ([("a", "k", 1), ("b", "k", 3)], "orders"), ([("a", "k", 1), ("b", "k", 1)], "orders"), ([("a", "k", 0)], "orders")):
+        with pytest.raises(SparkRuntimeException, match=why):
+            checked_master(spark.createDataFrame(bad, S)).collect()
+    wanted = spark.createDataFrame([("a", 1), ("a", 2)], "code string, n int")
+    assert sorted(tuple(r) for r in by_codes(good, wanted).collect()) == [("a", 1, "ka", 1), ("a", 2, "ka", 1)]
+    for code in ("z", None):
+        with pytest.raises(SparkRuntimeException, match="unknown target code: " + (code or "NULL")):
+            by_codes(good, spark.createDataFrame([(code, 1)], "code string, n int")).collect()
+
+
+def test_overrides_roundtrip_changes_one_key(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from dropledger.operators.dims import apply_overrides
+    from dropledger.sources.jsondocs import read_overrides, write_overrides
+    master = spark.createDataFrame([("tokyo", "tokyo", 1), ("osaka", "osaka", 2)], "code string, filename_key string, target_order int")
+    where = tmp_dir + "/targets.json"
+    load = lambda: sorted(tuple(r) for r in apply_overrides(master, read_overrides(spark, where)).drop("overridden").collect())
+    assert load() == sorted(tuple(r) for r in master.collect())
+    write_overrides(master.withColumn("filename_key", F.when(F.col("code") == "tokyo", "tokyo_custom").otherwise(F.col("filename_key"))), where)
+    assert load() == [("osaka", "osaka", 2), ("tokyo", "tokyo_custom", 1)]

@@ -143,3 +143,46 @@ def test_throttle_stream_decisions_match_batch(spark, tmp_dir):
              for r in ev.throttle(base, "user_id", "ts", "event_id", **args).collect()}
     assert streamed == batch
     assert any("already complete" in v[1] for v in batch.values())
+
+
+def test_changes_stream_shows_new_changed_and_deleted_files_over_a_restart(spark, tmp_dir):
+    from dropledger.streaming.landing import change_log, changes_stream, folder_listing, known_files, refresh_changes
+    land, log, ckpt, sink = (os.path.join(tmp_dir, x) for x in ("landing", "log", "ckpt", "sink"))
+    os.makedirs(land + "/2026_3")
+
+    def drain():
+        (changes_stream(spark, log).writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start().awaitTermination(300))
+        return sorted((r["v"], r["path"].rsplit("/", 1)[1], r["change"]) for r in spark.read.parquet(sink).collect())
+
+    for n in ("a", "b", "c"):
+        _zip(f"{land}/2026_3/{n}.zip", "x\n1\n")
+    refresh_changes(folder_listing(spark, land), log, 1)
+    first = [(1, f"{n}.zip", "new") for n in ("a", "b", "c")]
+    assert drain() == first
+    _zip(f"{land}/2026_3/a.zip", "x\n1\n2\n3\n4\n5\n6\n")  # changed in place
+    os.remove(f"{land}/2026_3/b.zip")
+    _zip(f"{land}/d.zip", "x\n1\n")
+    refresh_changes(folder_listing(spark, land), log, 2)
+    second = [(2, "a.zip", "changed"), (2, "b.zip", "deleted"), (2, "d.zip", "new")]
+    assert drain() == first + second
+    refresh_changes(folder_listing(spark, land), log, 2)  # repeated: nothing is written, nothing is shown again
+    refresh_changes(folder_listing(spark, land), log, 3)  # nothing differs
+    assert drain() == first + second
+    assert sorted(r[0].rsplit("/", 1)[1] for r in known_files(change_log(spark, log)).select("path").collect()) == ["a.zip", "c.zip", "d.zip"]
+    _zip(f"{land}/2026_3/b.zip", "x\n9\n")  # a deleted path that comes back is new
+    refresh_changes(folder_listing(spark, land), log, 4)
+    assert drain() == first + second + [(4, "b.zip", "new")]
+
+
+def test_refresh_after_an_attempt_that_failed_before_its_commit(spark, tmp_dir):
+    from dropledger.streaming.landing import CHANGE_SCHEMA, change_log, refresh_changes
+    log = tmp_dir + "/log"
+    S = "path string, length long, mtime long"
+    refresh_changes(spark.createDataFrame([("a", 1, 1), ("a", 2, 2), (None, 1, 1)], S), log, 1)
+    assert [tuple(r) for r in change_log(spark, log).collect()] == [("a", 2, 2, "new", 1)]
+    spark.createDataFrame([("stray", 1, 1, "new")], CHANGE_SCHEMA).write.parquet(log + "/v=2")
+    os.remove(log + "/v=2/_SUCCESS")
+    refresh_changes(spark.createDataFrame([("a", None, 2)], S), log, 2)
+    got = sorted((tuple(r) for r in change_log(spark, log).collect()), key=lambda r: r[4])
+    assert got == [("a", 2, 2, "new", 1), ("a", None, 2, "changed", 2)]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from dropledger.functions.text import usage_label
 from dropledger.operators.changelog import fold_state
+from dropledger.operators import anchors
 from dropledger.operators.library import (
     ANCHOR_PATTERN,
     first_links,
@@ -292,6 +293,52 @@ def html_links(spark: SparkSession, sf: str) -> DataFrame:
     return first_links(t(spark, sf, "pages"), "html", PAGE_KEY_PATTERN)
 
 
+# Fixed query parameter: a link's key is the first word of its path.
+LINK_KEY_PATTERN = r"://[^/]+/([A-Za-z0-9_]+)"
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _decoded_sql(x: str) -> str:
+    """``anchors.decode_entities`` for numeric entities in decimal and the named ones."""
+    out = (f"array_to_string(list_transform(regexp_extract_all({x}, '{_quoted(anchors.ENTITY_OR_TEXT)}'), lambda p: CASE "
+           "WHEN regexp_matches(p, '^&#[0-9]') THEN chr(CAST(regexp_extract(p, '[0-9]+') AS INTEGER)) "
+           "WHEN regexp_matches(p, '^&#[xX]') THEN chr(CAST('0x' || regexp_extract(p, '[xX]([0-9a-fA-F]+)', 1) AS INTEGER)) ELSE p END), '')")
+    for name, value in anchors.ENTITIES.items():
+        out = f"replace({out}, '&{name};', '{_quoted(value)}')"
+    return out
+
+
+# The pages' addresses have no dot parts, so SQL resolves without removing them.
+@query("page_links", f"""
+WITH plain AS (SELECT page_id, url AS base, regexp_replace(regexp_replace(html, '{anchors.CONTROLS}', '', 'g'),
+                      '{_quoted(anchors.markup_pattern(""))}', '\\1', 'g') AS h FROM pages),
+marked AS (SELECT page_id, base, regexp_replace(regexp_replace(h, '{_quoted(anchors.open_pattern(""))}', chr(1) || '\\1' || chr(2), 'g'),
+                  '{anchors.CLOSE_PATTERN}', chr(3), 'g') AS h FROM plain),
+a AS (SELECT page_id, base, unnest(regexp_extract_all(h, '{anchors.ANCHOR}', 1)) AS attrs,
+             unnest(regexp_extract_all(h, '{anchors.ANCHOR}', 2)) AS content,
+             unnest(range(len(regexp_extract_all(h, '{anchors.ANCHOR}', 1)))) AS pos FROM marked),
+t AS (SELECT *, list_filter(regexp_extract_all(attrs, '{_quoted(anchors.ATTRIBUTE)}'), lambda x: regexp_matches(x, '{anchors.HREF}'))[1] AS token FROM a),
+h AS (SELECT *, trim({_decoded_sql(f"regexp_replace(regexp_replace(token, '{anchors.HREF}', ''), '{_quoted(anchors.QUOTED)}', chr(92) || '1' || chr(92) || '2')")}) AS href,
+             regexp_extract(base, '{anchors.ORIGIN}') AS origin, regexp_extract(base, '{anchors.ORIGIN}([^?#]*)', 1) AS path,
+             regexp_replace(base, '#.*$', '') AS page
+      FROM t WHERE token IS NOT NULL),
+u AS (SELECT page_id, pos, trim(regexp_replace({_decoded_sql('content')}, '\\s+', ' ', 'g')) AS text,
+             CASE WHEN href = '' THEN page WHEN regexp_matches(href, '{anchors.ABSOLUTE}') THEN href
+                  WHEN starts_with(href, '//') THEN regexp_extract(base, '{anchors.ABSOLUTE}') || href
+                  WHEN starts_with(href, '/') THEN origin || href WHEN starts_with(href, '?') THEN origin || path || href
+                  WHEN starts_with(href, '#') THEN page || href
+                  ELSE origin || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || href END AS url FROM h),
+k AS (SELECT *, lower(regexp_extract(url, '{LINK_KEY_PATTERN}', 1)) AS link_key FROM u)
+SELECT page_id, link_key, CAST(min(pos) AS INTEGER) AS pos, arg_min(url, pos) AS url, coalesce(nullif(arg_min(text, pos), ''), link_key) AS link_text
+FROM k WHERE link_key <> '' GROUP BY page_id, link_key""")
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyed links of every page as its document shows them, resolved against its address; the first per (page, key) wins."""
+    return anchors.document_links(t(spark, sf, "pages"), "html", LINK_KEY_PATTERN, url="url")
+
+
 # --- manifests ----------------------------------------------------------------
 
 _ENTRY_FIELDS = ["target_code", "display_name", "filename", "source_url", "size", "sha256", "downloaded_at"]

@@ -21,7 +21,7 @@ from dropledger.plans.registry import query
 from dropledger.session import shared_scratch
 from dropledger.operators.library import nest_manifest
 from dropledger.sources import jsondocs, zipcsv
-from dropledger.sources.library import scan_library
+from dropledger.sources.library import scan_library, scan_library_cached
 
 _COLUMNS = ["orderkey", "linenumber", "quantity", "shipdate", "note"]
 _LIBS: dict[tuple[str, str], str] = {}
@@ -56,7 +56,7 @@ def library_root(spark: SparkSession, sf: str) -> str:
         rows, root, ym=F.col("publish_ym"), label=F.concat(F.lit("flag_"), F.col("flag")),
         member=F.concat(F.lit("data_"), F.col("flag"), F.lit(".csv")),
         encoding=F.when(F.col("flag") == "R", F.lit("utf-8")).otherwise(F.lit("cp932")),
-        columns=_COLUMNS).write.format("noop").mode("overwrite").save()  # runs the writer job
+        columns=_COLUMNS, order=_COLUMNS).write.format("noop").mode("overwrite").save()  # runs the writer job
     # Decoys the library scan must skip, and one merged CSV it must list first.
     for sub in ("not_a_month", ".hidden/2020_1", "1999_13"):
         os.makedirs(os.path.join(root, sub), exist_ok=True)
@@ -346,3 +346,35 @@ def landed_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     recorded = landed.join(truth, "path").select("target", sha.alias("sha256"), size.alias("size"))
     absent = landed.select(F.regexp_replace("target", "/flag_.*$", "/flag_none").alias("target")).distinct()
     return zipcsv.reconcile_files(landed.select("target").unionByName(absent), recorded, landed)
+
+
+# Fixed query parameter: records shown of each archive.
+HEAD_RECORDS = 20
+
+
+@query("csv_head", f"""
+WITH {_ROWS_SQL},
+n AS (SELECT *, row_number() OVER (PARTITION BY publish_ym, flag ORDER BY {', '.join(_COLUMNS)}) - 1 AS pos FROM rows)
+SELECT publish_ym, 'flag_' || flag || '.zip' AS file_name, 'data_' || flag || '.csv' AS member,
+       CASE WHEN flag = 'R' THEN 'utf-8' ELSE 'cp932' END AS encoding, CAST(pos AS INTEGER) AS pos, {', '.join(_COLUMNS)}
+FROM n WHERE pos < {HEAD_RECORDS}""")
+def csv_head(spark: SparkSession, sf: str) -> DataFrame:
+    """The first records of every archive's CSV, as a preview shows them; only the heads are inflated."""
+    z = _zips(spark, sf)
+    heads = zipcsv.csv_head(z.select("path"), HEAD_RECORDS).join(z.select("path", "publish_ym", "file_name"), "path")
+    r = heads.select("publish_ym", "file_name", "member", "encoding", F.posexplode("records").alias("pos", "_f"))
+    return r.select("publish_ym", "file_name", "member", "encoding", "pos", *[F.get("_f", F.lit(i)).alias(c) for i, c in enumerate(_COLUMNS)])
+
+
+@query("library_view_stats", f"""
+WITH {_ROWS_SQL},
+files AS (SELECT publish_ym, 'flag_' || flag || '.zip' AS file_name, count(*) + count_if(linenumber = '1') AS row_count
+          FROM rows WHERE publish_ym <> '{BROKEN_MANIFEST_YM}' GROUP BY publish_ym, flag
+          UNION ALL SELECT '1995_3', '統合.csv', 1)
+SELECT publish_ym, file_name, CAST(row_count AS BIGINT) AS row_count, false AS needs_stats FROM files""")
+def library_view_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The library view with each file's row count, on a statistics table kept beside the library: a further call opens no archive."""
+    root = library_root(spark, sf)
+    v = scan_library_cached(spark, root, root.rstrip("/") + "-statistics", catalogue=_fixture_catalogue(spark, sf),
+                            publications=_fixture_publications(spark, sf), sort="name")
+    return v.select("publish_ym", "file_name", "row_count", "needs_stats")

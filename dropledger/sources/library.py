@@ -15,9 +15,10 @@ from dropledger.functions.text import basename, file_label, month_label, stem
 from dropledger.operators.changelog import fold_state
 from dropledger.operators.library import tree_ranks
 from dropledger.operators.reconcile import memo_lookup, precedence_merge
-from dropledger.session import shared_scratch
+from dropledger.operators.statcache import read_entries, scan
+from dropledger.session import shared_scratch, written
 from dropledger.sources.jsondocs import MANIFEST_FILE_NAME, MANIFEST_SCHEMA, _read_text_fn
-from dropledger.sources.zipcsv import MERGED_CSV_DISPLAY, library_listing
+from dropledger.sources.zipcsv import MERGED_CSV_DISPLAY, compute_file_stats, library_listing
 
 # Fixed value: target code shown for the merged CSV.
 MERGED_CODE = "merged"
@@ -30,15 +31,16 @@ def _folder(path_col: str = "path"):
 
 def scan_library(spark: SparkSession, root: str, catalogue: DataFrame | None = None,
                  publications: DataFrame | None = None, cache: DataFrame | None = None,
-                 sort: str = "date_desc") -> DataFrame:
+                 sort: str = "date_desc", listing: DataFrame | None = None) -> DataFrame:
     """Library rows with display fields, statistics, status, order and labels.
 
     ``catalogue``: (publish_ym, target_code, display_name, file_path, sha256,
     source_url, downloaded_at, status); ``publications``: (publish_ym,
     status); ``cache``: (path, length, mtime, row_count, uncompressed_size).
     All optional.  ``sort``: ``date_desc`` | ``date_asc`` | ``name``.
+    ``listing`` is what ``library_listing`` gave, if the caller has it already.
     """
-    lst = library_listing(spark, root).withColumn("folder", _folder())
+    lst = (library_listing(spark, root) if listing is None else listing).withColumn("folder", _folder())
     folders = lst.select("folder").distinct()
     # One small row per folder, read by Python tasks once and kept as a table
     # (it feeds both the folder check and the entries).
@@ -99,3 +101,16 @@ def scan_library(spark: SparkSession, root: str, catalogue: DataFrame | None = N
         F.col(mr).alias("month_rank"), F.col(fr).alias("file_rank"),
         file_label(F.col("display_name"), F.col("display_size"), F.col("row_count")).alias("file_label"),
         month_label(F.col("year"), F.col("month"), F.col("publish_ym"), F.col("publication_status")).alias("month_label"))
+
+
+def scan_library_cached(spark: SparkSession, root: str, cache_root: str, **how) -> DataFrame:
+    """:func:`scan_library` on the statistics table at ``cache_root``, which it brings up to date first.
+
+    The folder tree is listed once.  Files without an entry for their size and
+    time are measured and added, entries of files that have gone are dropped,
+    and a scan in which nothing changed opens no archive.
+    """
+    lst = written(library_listing(spark, root), "listing")
+    files = lst.select("path", "length", F.unix_micros("modificationTime").alias("mtime"))
+    scan(files, cache_root, lambda misses: compute_file_stats(misses).withColumnRenamed("display_size", "uncompressed_size"))
+    return scan_library(spark, root, cache=read_entries(spark, cache_root), listing=lst, **how)

@@ -19,6 +19,7 @@ import codecs
 import csv
 import hashlib
 import io
+import itertools
 import os
 import shutil
 import uuid
@@ -317,6 +318,77 @@ def record_blocks(paths: DataFrame, block_chars: int = BLOCK_CHARS, encodings: S
     return _spread(paths.select(*cols)).select("path").mapInPandas(run, BLOCK_SCHEMA)
 
 
+HEAD_SCHEMA = ("path string, member string, encoding string, header array<string>, records array<array<string>>, "
+               "inflated long, error string")
+HEAD_BLOCK = 16 * 1024
+
+
+def _first_records(blocks: Iterator[bytes], encoding: str, n: int) -> tuple[str | None, list[str]]:
+    """The header and the first ``n`` records behind it; no block is asked for beyond those that hold them."""
+    dec, cutter = codecs.getincrementaldecoder(encoding)("strict"), RecordCutter()
+    header, records, n_fields = None, [], 0
+    for block in itertools.chain(blocks, [None]):
+        cut = cutter.feed(dec.decode(block or b"", final=block is None))
+        if block is None:
+            cut += cutter.end()
+        for r in cut:
+            if header is None:
+                if r:
+                    header = r.removeprefix("\ufeff")
+                    n_fields = len(next(csv.reader(io.StringIO(header, newline=""))))
+            elif (r or n_fields == 1) and len(records) < n:
+                records.append(r)
+        if header is not None and len(records) >= n:
+            break
+    return header, records
+
+
+def _archive_head(uri: str, n: int, encodings: Sequence[str]) -> tuple:
+    member, seen = None, []
+    try:
+        with open_input(uri) as raw, zipfile.ZipFile(raw) as zf:
+            info = _first_csv(zf)
+            if info is None:
+                return (uri, None, None, None, [], 0, "no CSV member")
+            member = info.filename
+            with zf.open(info) as fh:
+                def blocks() -> Iterator[bytes]:
+                    yield from tuple(seen)
+                    while block := fh.read(HEAD_BLOCK):
+                        seen.append(block)
+                        yield block
+
+                for enc in encodings:
+                    try:
+                        header, records = _first_records(blocks(), enc, n)
+                        break
+                    except UnicodeDecodeError as exc:
+                        last = exc
+                else:
+                    raise ValueError(f"could not decode with {', '.join(encodings)}: {last}")
+            fields = [next(csv.reader(io.StringIO(r, newline="")), []) for r in ([header] if header else []) + records]
+            return (uri, member, enc, fields[0] if fields else [], fields[1:], sum(map(len, seen)), None)
+    except (OSError, zipfile.BadZipFile, ValueError) as exc:
+        return (uri, member, None, None, [], sum(map(len, seen)), f"{type(exc).__name__}: {exc}")
+
+
+def csv_head(paths: DataFrame, n: int, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """Preview of archives: header and first ``n`` records (as fields) of the first CSV member, a row for each archive.
+
+    A member is inflated block by block until the records are there, so an
+    archive costs its head, whatever its size (``inflated`` says how many
+    bytes).  The encoding is the first that decodes what was read; later bytes
+    may tell otherwise (:func:`record_blocks` reads all of them).  Blank lines
+    count as in :func:`record_blocks`; what can't be read has an ``error``.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for uri in b["path"]:
+                yield pd.DataFrame([_archive_head(uri, n, encodings)], columns=[c.split()[0] for c in HEAD_SCHEMA.split(", ")])
+
+    return _spread(paths.select("path")).select("path").mapInPandas(run, HEAD_SCHEMA)
+
+
 def stage_archives(paths: DataFrame, stage_dir: str, block_chars: int = BLOCK_CHARS,
                    encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """Write the record blocks below ``stage_dir`` (Spark's writer) and read them back."""
@@ -542,16 +614,17 @@ def _archive_fn(root: str, columns: list[str], readme: str, extra_csv: str):
 
 def write_archives(df: DataFrame, root: str, ym: Column, label: Column, member: Column,
                    encoding: Column, columns: Sequence[str],
-                   readme: str = "readme\n", extra_csv: str = "x\n1\n") -> DataFrame:
+                   readme: str = "readme\n", extra_csv: str = "x\n1\n", order: Sequence[str] = ()) -> DataFrame:
     """Write one ZIP per (month, label): ``readme.txt``, the CSV member, ``extra.csv``.
 
     Rows are hash-partitioned on the archive key and streamed into the member
-    in Arrow batches (bounded memory); returns (path, publish_ym, label, rows).
+    in Arrow batches (bounded memory), in ``order`` if columns are given;
+    returns (path, publish_ym, label, rows).
     """
     keyed = df.select(ym.alias("_ym"), label.alias("_label"), member.alias("_member"),
                       encoding.alias("_encoding"), *columns)
     n = max(1, keyed.select("_ym", "_label").distinct().count())
-    return (keyed.repartition(n, "_ym", "_label").sortWithinPartitions("_ym", "_label")
+    return (keyed.repartition(n, "_ym", "_label").sortWithinPartitions("_ym", "_label", *order)
             .mapInPandas(_archive_fn(root, list(columns), readme, extra_csv),
                          "path string, publish_ym string, label string, rows long"))
 

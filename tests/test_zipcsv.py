@@ -293,3 +293,52 @@ def test_blank_records_of_one_column_are_kept(spark, tmp_dir, block_chars):
     two = _zip(f"{tmp_dir}/two.zip", [("d.csv", "a,b\n1,2\n\n3,4\n\n")])
     assert sorted(rows(_read(spark, f"{tmp_dir}/x", [one], block_chars)[0], "a"), key=str) == [("1",), ("2",), (None,), (None,)]
     assert sorted(rows(_read(spark, f"{tmp_dir}/y", [two], block_chars)[0], "a", "b")) == [("1", "2"), ("3", "4")]
+
+
+def test_csv_head_reads_the_heads_only(spark, tmp_dir):
+    import random
+    rnd = random.Random(3)
+    body = "".join(f"{i},{rnd.random()}\n" for i in range(300_000))  # several MB that hardly compress
+    big = _zip(f"{tmp_dir}/big.zip", [("readme.txt", "r"), ("b.CSV", "\ufeff" + 'a,b\n\n"1\n2","x""y"\n' + body)])
+    sjis = _zip(f"{tmp_dir}/sjis.zip", [("a.csv", "県,数\n東京,1\n".encode("cp932"))])
+    utf = _zip(f"{tmp_dir}/utf.zip", [("a.csv", "県,数\r\n区分 x,1".encode())])
+    one = _zip(f"{tmp_dir}/one.zip", [("a.csv", "k\n1\n\n2\n")])
+    none, empty = _zip(f"{tmp_dir}/none.zip", [("a.txt", "x")]), _zip(f"{tmp_dir}/empty.zip", [("a.csv", "")])
+    with open(f"{tmp_dir}/broken.zip", "w") as fh:
+        fh.write("no archive")
+    names = ["big", "sjis", "utf", "one", "none", "empty", "broken"]
+    paths = spark.createDataFrame([(f"file:{tmp_dir}/{n}.zip",) for n in names], "path string")
+    got = {r["path"].rsplit("/", 1)[1][:-4]: r for r in zc.csv_head(paths, 3).collect()}
+    assert got["big"]["header"] == ["a", "b"] and got["big"]["records"][0] == ["1\n2", 'x"y'] and len(got["big"]["records"]) == 3
+    assert got["big"]["inflated"] == zc.HEAD_BLOCK < len(body) / 100
+    assert (got["sjis"]["encoding"], got["sjis"]["records"]) == ("cp932", [["東京", "1"]])
+    assert (got["utf"]["encoding"], got["utf"]["header"], got["utf"]["records"]) == ("utf-8", ["県", "数"], [["区分 x", "1"]])
+    assert got["one"]["records"] == [["1"], [], ["2"]]
+    assert got["none"]["error"] == "no CSV member" and "BadZipFile" in got["broken"]["error"]
+    assert got["empty"]["error"] is None and got["empty"]["header"] == [] and got["empty"]["records"] == []
+    assert all(r["records"] == [] and r["header"] for r in zc.csv_head(paths, 0).where("size(header) > 0").collect())
+    assert zc.csv_head(paths.limit(0), 3).count() == 0
+
+
+def test_library_view_on_kept_statistics(spark, tmp_dir):
+    """The second scan finds every file's statistics; a file that changed is measured again, one that went is forgotten."""
+    from dropledger.operators.statcache import read_entries
+    from dropledger.sources.library import scan_library_cached
+    root, kept = tmp_dir + "/lib", tmp_dir + "/stats"
+    os.makedirs(root + "/2026_3")
+    _zip(f"{root}/2026_3/a.zip", [("a.csv", "x\n1\n2\n")])
+    _zip(f"{root}/2026_3/b.zip", [("b.csv", "x\n1\n")])
+
+    def view():
+        v = scan_library_cached(spark, root, kept)
+        return sorted(rows(v, "file_name", "row_count", "needs_stats"))
+
+    assert view() == [("a.zip", 2, False), ("b.zip", 1, False)]
+    stamp = os.stat(f"{root}/2026_3/a.zip")
+    with open(f"{root}/2026_3/a.zip", "r+b") as fh:  # spoilt, but of the same size and time: it isn't opened again
+        fh.write(b"XXXX")
+    os.utime(f"{root}/2026_3/a.zip", ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    os.remove(f"{root}/2026_3/b.zip")
+    _zip(f"{root}/2026_3/c.zip", [("c.csv", "x\n1\n2\n3\n")])
+    assert view() == [("a.zip", 2, False), ("c.zip", 3, False)]
+    assert sorted(r[0].rsplit("/", 1)[1] for r in rows(read_entries(spark, kept), "path")) == ["a.zip", "c.zip"]

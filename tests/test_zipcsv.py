@@ -342,3 +342,30 @@ def test_library_view_on_kept_statistics(spark, tmp_dir):
     _zip(f"{root}/2026_3/c.zip", [("c.csv", "x\n1\n2\n3\n")])
     assert view() == [("a.zip", 2, False), ("c.zip", 3, False)]
     assert sorted(r[0].rsplit("/", 1)[1] for r in rows(read_entries(spark, kept), "path")) == ["a.zip", "c.zip"]
+
+
+@pytest.mark.parametrize("cols", [["a", "b"], ["a"]])
+def test_archives_are_written_from_lines_made_by_the_jvm(spark, tmp_dir, cols):
+    """Python gets finished lines only; they are those of ``csv.writer``, and rows of an archive without a name stay out."""
+    import contextlib
+    import io
+    fields = ["plain", "", None, "a,b", 'q "x"', '"', "l\nm", "c\rd", " s ", "#x", "県,数", "'", "\\", "a\tb"]
+    data = [(ym, lab, f"{i:02d}" if len(cols) == 2 else f, f) for ym in ("2026_3", "2026_6") for lab in ("p", "q") for i, f in enumerate(fields)]
+    df = spark.createDataFrame([*data, (None, "p", "x", "y"), ("2026_3", None, "x", "y")], "ym string, label string, a string, b string")
+    root = f"{tmp_dir}/lib"
+    enc = F.when(F.col("label") == "p", F.lit("cp932")).otherwise(F.lit("utf-8"))
+    out = zc.write_archives(df.repartition(3), root, ym=F.col("ym"), label=F.col("label"), member=F.concat("label", F.lit(".csv")),
+                            encoding=enc, columns=cols, order=cols)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain("simple")
+    assert "MapInArrow" in buf.getvalue() and "MapInPandas" not in buf.getvalue()
+    want = sorted((ym, lab, len(fields)) for ym in ("2026_3", "2026_6") for lab in ("p", "q"))
+    assert sorted(rows(out, "publish_ym", "label", "rows")) == want
+    assert sorted(os.listdir(root)) == ["2026_3", "2026_6"]
+    for ym, lab, _ in want:
+        mine = [(a, b)[:len(cols)] for y, x, a, b in data if (y, x) == (ym, lab)]
+        mine.sort(key=lambda r: [(v is not None, (v or "").encode()) for v in r])
+        with zipfile.ZipFile(f"{root}/{ym}/{lab}.zip") as zf:
+            assert zf.namelist() == ["readme.txt", f"{lab}.csv", "extra.csv"] and zf.testzip() is None
+            assert zf.read(f"{lab}.csv").decode("cp932" if lab == "p" else "utf-8") == zc._csv_text([cols, *mine])
